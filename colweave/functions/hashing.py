@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .vocab import PHI_FRACTION
 
@@ -67,7 +68,7 @@ def fibonacci_fraction(h: int) -> float:
     return (h * PHI_FRACTION) % 1.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def murmur3_fraction(values: pd.Series) -> pd.Series:
     out = np.empty(len(values), dtype="float64")
     for i, v in enumerate(values):
