@@ -15,14 +15,26 @@ from pyspark.sql import functions as F
 
 
 def char_ngrams(df: DataFrame, text_col: str, n_min: int, n_max: int) -> DataFrame:
-    """Explode ``(…, n, gram)`` for every character n-gram of ``text_col``."""
+    """Explode ``(…, n, gram)`` for every character n-gram of ``text_col``.
+
+    The grams are built as one array per row and only the array is exploded,
+    so the (possibly long) text is never copied into each generated row.
+    """
     t = F.regexp_replace(F.lower(F.col(text_col)), r"\s\s+", " ")
-    with_t = df.withColumn("_t", t).withColumn("n", F.explode(F.sequence(F.lit(n_min), F.lit(n_max))))
-    with_t = with_t.filter(F.length("_t") >= F.col("n"))
-    pos = F.sequence(F.lit(1), F.length("_t") - F.col("n") + 1)
-    return with_t.withColumn("_p", F.explode(pos)).withColumn(
-        "gram", F.call_function("substr", F.col("_t"), F.col("_p"), F.col("n"))
-    ).drop("_t", "_p")
+    keep = [c for c in df.columns if c != text_col]
+    # characters split once: slicing an array costs O(n) per gram, while substr
+    # on multi-byte UTF-8 text rescans from the start for every position
+    base = df.select(*keep, F.filter(F.split(t, ""), lambda x: x != "").alias("_c"))
+
+    def gram_at(n):
+        return lambda p: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(F.col("_c"), p, n), "").alias("gram"))
+
+    per_n = []
+    for n in range(n_min, n_max + 1):
+        grams = F.transform(F.sequence(F.lit(1), F.size("_c") - n + 1), gram_at(n))
+        per_n.append(F.when(F.size("_c") >= n, grams).otherwise(F.array().cast("array<struct<n:int,gram:string>>")))
+    arr = per_n[0] if len(per_n) == 1 else F.flatten(F.array(*per_n))
+    return base.select(*keep, F.explode(arr).alias("_g")).select(*keep, "_g.n", "_g.gram")
 
 
 def ngram_tfidf_scores(docs: DataFrame, group_cols: list[str], doc_col: str, text_col: str,

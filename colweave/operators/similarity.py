@@ -58,18 +58,24 @@ def _local_topk_dense(k: int, threshold: float | None, exclude_self: bool, has_g
     return fn
 
 
+TIE_DECIMALS = 12  # scores are ranked after rounding, so float noise never reorders exact ties
+
+
 def _emit_topk(S, lids, rids, rgroups, k, threshold):
+    """Per left row the k best right items (score desc, right id asc), optionally per right group."""
     out_l, out_r, out_s, out_g = [], [], [], []
+    S = np.round(S, TIE_DECIMALS)
     groups = [None] if rgroups is None else pd.unique(rgroups)
     for g in groups:
         idx = np.arange(len(rids)) if g is None else np.nonzero(rgroups == g)[0]
+        idx = idx[np.argsort(rids[idx], kind="stable")]
         sub = S[:, idx]
         kk = min(k, sub.shape[1])
         if kk <= 0:
             continue
-        part = np.argpartition(-sub, kk - 1, axis=1)[:, :kk] if kk < sub.shape[1] else np.tile(np.arange(sub.shape[1]), (sub.shape[0], 1))
+        order = np.argsort(-sub, axis=1, kind="stable")[:, :kk]
         for i in range(sub.shape[0]):
-            for j in part[i]:
+            for j in order[i]:
                 s = sub[i, j]
                 if not np.isfinite(s) or (threshold is not None and s < threshold):
                     continue
@@ -101,35 +107,58 @@ def dense_topk(left: DataFrame, right: DataFrame, k: int, threshold: float | Non
 
 def _final_topk(local: DataFrame, k: int, has_group: bool) -> DataFrame:
     part = ["lid", "rgroup"] if has_group else ["lid"]
-    w = Window.partitionBy(*part).orderBy(F.col("score").desc(), F.col("rid").asc())
+    w = Window.partitionBy(*part).orderBy(F.round("score", TIE_DECIMALS).desc(), F.col("rid").asc())
     return local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _sparse_scores(L: pd.DataFrame, R: pd.DataFrame) -> np.ndarray:
+    """Dot products of two blocks of sparse rows ``(terms, weights)`` as a dense |L| x |R| matrix.
+
+    The vocabulary of the block pair is factorised once; the left block
+    becomes a dense |L| x V matrix, and each right row's score is a gather of
+    its nonzero columns summed with ``reduceat``.
+    """
+    lt = [np.asarray(t, dtype=object) for t in L["terms"]]
+    rt = [np.asarray(t, dtype=object) for t in R["terms"]]
+    lw = [np.asarray(w, dtype="float64") for w in L["weights"]]
+    rw = [np.asarray(w, dtype="float64") for w in R["weights"]]
+    l_len = np.array([len(t) for t in lt])
+    r_len = np.array([len(t) for t in rt])
+    all_terms = np.concatenate(lt + rt) if (l_len.sum() + r_len.sum()) else np.array([], dtype=object)
+    codes, _ = pd.factorize(all_terms)
+    lc, rc = codes[: l_len.sum()], codes[l_len.sum():]
+    V = int(codes.max()) + 1 if len(codes) else 1
+    D = np.zeros((len(lt), V))
+    rows = np.repeat(np.arange(len(lt)), l_len)
+    if len(lc):
+        D[rows, lc] = np.concatenate(lw)
+    S = np.zeros((len(lt), len(rt)))
+    nz = r_len > 0
+    if nz.any() and len(rc):
+        prod = D[:, rc] * np.concatenate(rw)[None, :]
+        starts = np.concatenate([[0], np.cumsum(r_len)[:-1]])[nz]
+        S[:, nz] = np.add.reduceat(prod, starts, axis=1)
+    return S
+
+
 def _local_topk_sparse(k: int, threshold: float | None, exclude_self: bool, by_group: bool):
     cols = ["lid", "rid", "score", "rgroup"]
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        L = pdf[pdf["_side"] == "L"]
-        R = pdf[pdf["_side"] == "R"]
+        L = pdf[pdf["_side"] == "L"].reset_index(drop=True)
+        R = pdf[pdf["_side"] == "R"].reset_index(drop=True)
         if L.empty or R.empty:
             return pd.DataFrame({c: [] for c in cols})
-        le = L[["id", "grp", "terms", "weights"]].explode(["terms", "weights"])
-        re_ = R[["id", "grp", "terms", "weights"]].explode(["terms", "weights"])
-        m = le.merge(re_, on="terms", suffixes=("_l", "_r"))
-        if by_group:
-            m = m[m["grp_l"] != m["grp_r"]]
-        if m.empty:
-            return pd.DataFrame({c: [] for c in cols})
-        m["p"] = m["weights_l"].astype("float64") * m["weights_r"].astype("float64")
-        s = m.groupby(["id_l", "id_r", "grp_r"], sort=False, dropna=False)["p"].sum().reset_index()
+        S = _sparse_scores(L, R)
+        lids, rids = L["id"].to_numpy(), R["id"].to_numpy()
+        mask = np.zeros_like(S, dtype=bool)
         if exclude_self:
-            s = s[s["id_l"] != s["id_r"]]
-        if threshold is not None:
-            s = s[s["p"] >= threshold]
-        s = s.sort_values(["id_l", "grp_r", "p", "id_r"], ascending=[True, True, False, True])
-        s = s.groupby(["id_l", "grp_r"], sort=False, dropna=False).head(k)
-        return pd.DataFrame({"lid": s["id_l"].astype("int64"), "rid": s["id_r"].astype("int64"),
-                             "score": s["p"].astype("float64"), "rgroup": s["grp_r"]})
+            mask |= lids[:, None] == rids[None, :]
+        if by_group:
+            mask |= L["grp"].to_numpy()[:, None] == R["grp"].to_numpy()[None, :]
+        S[mask] = -np.inf
+        out = _emit_topk(S, lids, rids, R["grp"].to_numpy(), k, threshold)
+        return out[cols] if len(out) else pd.DataFrame({c: [] for c in cols})
 
     return fn
 
@@ -197,3 +226,38 @@ def minmax_normalize(df: DataFrame, part: list[str], score: str = "score") -> Da
     w = Window.partitionBy(*part)
     lo, hi = F.min(score).over(w), F.max(score).over(w)
     return df.withColumn(score, F.when(hi == lo, F.lit(1.0)).otherwise((F.col(score) - lo) / (hi - lo)))
+
+
+def dense_block_apply(left: DataFrame, right: DataFrame, kernel, schema: str,
+                      block_rows: int = DEFAULT_BLOCK_ROWS, extra=("label", "aux")) -> DataFrame:
+    """Run ``kernel(L, R, S)`` on every block pair; ``S`` is the cosine matrix of the pair.
+
+    ``left``/``right`` carry ``id``, ``vec`` and the optional ``extra`` columns
+    (``label`` BIGINT, ``aux`` DOUBLE). The kernel returns partial rows that
+    the caller aggregates with ``groupBy`` (sums, maxima), so each task only
+    ever holds two bounded blocks.
+    """
+    nl, nr = left.count(), right.count()
+    bl, br = _blocks(nl, block_rows), _blocks(nr, block_rows)
+
+    def prep(df):
+        cols = [F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")]
+        cols.append((F.col("label") if "label" in df.columns else F.lit(None)).cast("long").alias("label"))
+        cols.append((F.col("aux") if "aux" in df.columns else F.lit(None)).cast("double").alias("aux"))
+        return df.select(*cols)
+
+    L = _assign(prep(left), "id", bl, br, "L").withColumn("_side", F.lit("L"))
+    R = _assign(prep(right), "id", br, bl, "R").withColumn("_side", F.lit("R"))
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        Lp = pdf[pdf["_side"] == "L"].reset_index(drop=True)
+        Rp = pdf[pdf["_side"] == "R"].reset_index(drop=True)
+        if Lp.empty or Rp.empty:
+            return kernel(Lp, Rp, None)
+        A = np.vstack(Lp["vec"].to_numpy()).astype("float64")
+        B = np.vstack(Rp["vec"].to_numpy()).astype("float64")
+        A /= np.maximum(np.linalg.norm(A, axis=1, keepdims=True), 1e-300)
+        B /= np.maximum(np.linalg.norm(B, axis=1, keepdims=True), 1e-300)
+        return kernel(Lp, Rp, A @ B.T)
+
+    return L.unionByName(R).groupBy("_lb", "_rb").applyInPandas(fn, schema)

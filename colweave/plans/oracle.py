@@ -130,7 +130,7 @@ U0 = "(('0x' || substr(md5(value), 1, 8))::BIGINT / 4294967296.0)"
 U42 = "(('0x' || substr(md5('42:' || value), 1, 8))::BIGINT / 4294967296.0)"
 
 
-def sample_sql(mode: str, tables=SAMPLE_TABLES, n: int = 10) -> str:
+def sample_sql(mode: str, tables=SAMPLE_TABLES, n: int = 10, as_list: bool = False) -> str:
     base = f"""
     WITH vc AS ({vc(cells(tables))}),
     v AS (SELECT * FROM vc WHERE value IS NOT NULL),
@@ -172,8 +172,9 @@ def sample_sql(mode: str, tables=SAMPLE_TABLES, n: int = 10) -> str:
                 UNION ALL SELECT table_id, col_name, value FROM div))"""
     else:
         raise ValueError(mode)
-    return base + "," + sel + """
-    SELECT table_id, col_name, string_agg(value, ' | ' ORDER BY k1 NULLS FIRST, value) AS samples
+    agg = "list(value ORDER BY k1 NULLS FIRST, value)" if as_list else "string_agg(value, ' | ' ORDER BY k1 NULLS FIRST, value)"
+    return base + "," + sel + f"""
+    SELECT table_id, col_name, {agg} AS samples
     FROM sel GROUP BY table_id, col_name"""
 
 
@@ -238,3 +239,243 @@ def oracles() -> dict:
     ]:
         o[name] = sample_sql(mode)
     return o
+
+
+# ------------------------------------------------------------------ batch 2
+SER_TABLES = ["customer", "part"]
+STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def profile_sql(tables) -> str:
+    return f"""
+    WITH st AS (SELECT * FROM ({stats(cells(tables))})),
+    sm AS (SELECT * FROM ({sample_sql('mixed', tables, 10, as_list=True)})),
+    p AS (SELECT st.table_id, st.col_name, st.col_pos, st.semantic_type AS y,
+                 coalesce(sm.samples, []::VARCHAR[]) AS v
+          FROM st LEFT JOIN sm USING (table_id, col_name))"""
+
+
+def simple_template(mode: str) -> str:
+    C, S, E = "'<s>'", "'</s>'", "'</s>'"
+    h, y = "col_name", "y"
+    j = "array_to_string(v, '</s>')"
+    if mode == "header_values_verbose":
+        return f"{C} || 'Column: ' || {h} || {S} || 'Type: ' || {y} || {S} || 'Values: ' || {j} || {S}"
+    if mode in ("header_values_default", "header_values_default_notype"):
+        return f"{C} || {h} || {S} || {y} || {S} || {j}"
+    if mode == "header_values_prefix":
+        return f"{C} || 'header:' || {h} || {S} || 'datatype:' || {y} || {S} || 'values:' || array_to_string(v, ', ')"
+    if mode in ("header_values_repeat", "header_header_values_repeat_notype"):
+        rep = f" || {S} || ".join([h] * 5)
+        return f"{C} || {rep} || {S} || {y} || {S} || {j}"
+    if mode == "header_only":
+        return f"{C} || {h} || {E}"
+    if mode == "header_values_verbose_notype":
+        return f"{C} || 'Column: ' || {h} || {S} || 'Values: ' || {j} || {S} || {E}"
+    if mode == "header_values_columnvaluepair_notype":
+        pairs = f"array_to_string(list_transform(v, lambda x: {h} || ':' || x), '</s>')"
+        return f"{C} || 'Column: ' || {h} || {S} || 'Values: ' || {pairs} || {S} || {E}"
+    raise ValueError(mode)
+
+
+def target_block_sql(repeat: bool) -> str:
+    toks = f"list_filter(list_transform(v, lambda x: {STRIP.format(x='x')}), lambda x: x <> '')"
+    focus = "'Target Column Focus: ' || col_name || ' [SEP] ' || " if repeat else ""
+    return (
+        f"('Target Column Name: ' || col_name || ' [SEP] ' || {focus}'Target Column Type: ' || y || ' [SEP] ' || "
+        f"'Target Sample Values: ' || CASE WHEN len({toks}) > 0 THEN array_to_string({toks}, ' | ') ELSE 'NONE' END)"
+    )
+
+
+def serialize_sql(mode: str, tables=SER_TABLES, w: int = 7) -> str:
+    base = profile_sql(tables)
+    if mode == "table_context_target_values":
+        listed = "array_to_string(list_transform(headers, lambda x, i: CASE WHEN i - 1 = col_pos THEN '<TARGET> ' || x || ' </TARGET>' ELSE x END), ' | ')"
+        text = f"'<s> Contextual Column Representation [SEP] Table Columns: ' || {listed} || ' [SEP] ' || {target_block_sql(False)} || ' </s>'"
+    elif mode == "table_context_window_target_values":
+        lft, rgt = (w - 1) // 2, w - 1 - (w - 1) // 2
+        text = f"""'<s> Windowed Contextual Column Representation [SEP] Left Context Columns: '
+            || CASE WHEN len(list_slice(headers, ws + 1, col_pos)) > 0 THEN array_to_string(list_slice(headers, ws + 1, col_pos), ' | ') ELSE 'NONE' END
+            || '. Target Marker: <TARGET> ' || col_name || ' </TARGET>. Right Context Columns: '
+            || CASE WHEN len(list_slice(headers, col_pos + 2, we)) > 0 THEN array_to_string(list_slice(headers, col_pos + 2, we), ' | ') ELSE 'NONE' END
+            || '. [SEP] ' || {target_block_sql(True)} || ' </s>'"""
+        return base + f""",
+        h AS (SELECT table_id, list(col_name ORDER BY col_pos) AS headers, count(*) AS n FROM p GROUP BY table_id),
+        b AS (SELECT p.*, headers, n, greatest(0, col_pos - {lft}) AS s0, least(n, col_pos + {rgt} + 1) AS e0 FROM p JOIN h USING (table_id)),
+        b2 AS (SELECT *, {w} - (e0 - s0) AS miss FROM b),
+        b3 AS (SELECT *, greatest(0, s0 - miss) AS ns FROM b2),
+        b4 AS (SELECT *,
+            CASE WHEN {w} >= n THEN 0 WHEN miss > 0 THEN ns ELSE s0 END AS ws,
+            CASE WHEN {w} >= n THEN n WHEN miss > 0 THEN least(n, e0 + miss - (s0 - ns)) ELSE e0 END AS we FROM b3)
+        SELECT table_id, col_name, {text} AS text FROM b4"""
+    else:
+        return base + f" SELECT table_id, col_name, {simple_template(mode)} AS text FROM p"
+    return base + f""",
+        h AS (SELECT table_id, list(col_name ORDER BY col_pos) AS headers FROM p GROUP BY table_id)
+        SELECT table_id, col_name, {text} AS text FROM p JOIN h USING (table_id)"""
+
+
+EQ_TABLES = ["events", "documents", "labels", "pages", "benchmark", "conversations"]
+ALIGN_PAIRS = [("customer", "supplier"), ("orders", "lineitem"), ("part", "lineitem"), ("nation", "region")]
+
+
+def data_columns_sql(tables) -> str:
+    return f"SELECT table_id, col_name, col_pos FROM ({cells(tables, clean_text=False)}) GROUP BY ALL HAVING count(value) > 0"
+
+
+def equal_name_sql() -> str:
+    pairs = " UNION ALL ".join(f"SELECT {q(a)} AS src_table, {q(b)} AS tgt_table" for i, a in enumerate(EQ_TABLES) for b in EQ_TABLES[i + 1:])
+    key = lambda c: f"regexp_replace(lower({STRIP.format(x=c)}), '[^a-zA-Z0-9\\s]', ' ', 'g')"
+    return f"""
+    WITH c AS ({data_columns_sql(EQ_TABLES)}), pr AS ({pairs})
+    SELECT s.table_id AS src_table, s.col_name AS src_col, t.table_id AS tgt_table, t.col_name AS tgt_col, CAST(1.0 AS DOUBLE) AS score
+    FROM c s JOIN pr ON pr.src_table = s.table_id JOIN c t ON t.table_id = pr.tgt_table AND {key('s.col_name')} = {key('t.col_name')}"""
+
+
+def alignment_sql() -> str:
+    tables = sorted({t for p in ALIGN_PAIRS for t in p})
+    pairs = " UNION ALL ".join(f"SELECT {q(a)} AS src_table, {q(b)} AS tgt_table" for a, b in ALIGN_PAIRS)
+    al = lambda c: f"lower(regexp_replace({c}, '[^a-zA-Z0-9]', '', 'g'))"
+    return f"""
+    WITH c AS ({data_columns_sql(tables)}),
+    pre AS (SELECT table_id, min(col_name) AS lo, max(col_name) AS hi FROM c GROUP BY table_id),
+    pre2 AS (SELECT table_id, CASE WHEN least(length(lo), length(hi)) = 0 THEN '' ELSE substr(lo, 1, coalesce(
+        (SELECT min(i) FROM range(1, least(length(lo), length(hi)) + 1) r(i) WHERE substr(lo, i, 1) <> substr(hi, i, 1)) - 1,
+        least(length(lo), length(hi)))) END AS prefix FROM pre),
+    cp AS (SELECT c.*, CASE WHEN prefix = '' THEN col_name ELSE replace(col_name, prefix, '') END AS prep FROM c JOIN pre2 USING (table_id)),
+    pr AS ({pairs}),
+    ch AS (SELECT table_id, col_name, prep, unnest(list_distinct(list_filter(str_split(lower(prep), ''), lambda x: x <> ''))) AS chr FROM cp),
+    cand AS (SELECT DISTINCT s.table_id AS src_table, s.col_name AS src_col, s.prep AS sp, t.table_id AS tgt_table, t.col_name AS tgt_col, t.prep AS tp
+             FROM ch s JOIN pr ON pr.src_table = s.table_id JOIN ch t ON t.table_id = pr.tgt_table AND s.chr = t.chr),
+    a1 AS (SELECT *, {al('sp')} AS a, {al('tp')} AS b FROM cand),
+    a2 AS (SELECT *, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS sh, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS lg FROM a1),
+    a3 AS (SELECT *, list_reduce(list_filter(str_split(sh, ''), lambda x: x <> ''),
+        lambda acc, ch: CASE WHEN instr(substr(lg, acc.last + 2), ch) > 0 AND (acc.last = -1 OR instr(substr(lg, acc.last + 2), ch) <= 2)
+                        THEN {{'last': acc.last + instr(substr(lg, acc.last + 2), ch), 'hits': acc.hits + 1}} ELSE acc END,
+        {{'last': -1, 'hits': 0}}) AS r FROM a2)
+    SELECT src_table, src_col, tgt_table, tgt_col,
+      round(CASE WHEN length(lg) > 2 * length(sh) OR length(sh) = 0 THEN 0.0 ELSE r.hits / length(sh) END, 6) AS alignment
+    FROM a3"""
+
+
+EMB = """e AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+    nr AS (SELECT vec_id, sqrt(sum(x * x)) AS nrm FROM e GROUP BY vec_id),
+    dots AS (SELECT a.vec_id AS src, b.vec_id AS tgt, sum(a.x * b.x) AS dot FROM e a JOIN e b ON a.i = b.i AND a.vec_id <> b.vec_id GROUP BY ALL),
+    sims AS (SELECT src, tgt, dot / (na.nrm * nb.nrm) AS score FROM dots JOIN nr na ON na.vec_id = src JOIN nr nb ON nb.vec_id = tgt),
+    lab AS (SELECT vec_id, label FROM embeddings)"""
+
+
+def topk_sql(k: int) -> str:
+    return f"(SELECT src, tgt, score, row_number() OVER (PARTITION BY src ORDER BY round(score, 12) DESC, tgt) AS rank FROM sims QUALIFY rank <= {k})"
+
+
+PG = f"""WITH {EMB},
+    preds AS (SELECT src AS source, tgt AS target, score, rank FROM {topk_sql(10)}),
+    gt AS (SELECT a.vec_id AS source, b.vec_id AS target FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 AND a.label = b.label)"""
+
+
+def oracles_batch2() -> dict:
+    o = {}
+    from ..operators.serialize import CONTEXT_MODES, SIMPLE_MODES
+
+    for mode in SIMPLE_MODES + CONTEXT_MODES:
+        o[f"serialize_{mode}"] = serialize_sql(mode)
+    o["equal_name_matches"] = equal_name_sql()
+    o["alignment_scores"] = alignment_sql()
+    o["cosine_topk"] = f"WITH {EMB} SELECT src AS src_id, tgt AS tgt_id, rank, round(score, 6) AS score FROM {topk_sql(5)} WHERE score >= 0.1"
+    o["minmax_topk"] = f"""WITH {EMB}, t AS {topk_sql(5)},
+        m AS (SELECT *, min(score) OVER (PARTITION BY src) AS lo, max(score) OVER (PARTITION BY src) AS hi FROM t)
+        SELECT src AS src_id, tgt AS tgt_id, rank, round(CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END, 6) AS score FROM m"""
+    o["label_topk_accuracy"] = f"""WITH {EMB}, t AS {topk_sql(5)},
+        h AS (SELECT l.vec_id AS src,
+          max(CASE WHEN t.rank <= 1 AND ll.label = l.label THEN 1 ELSE 0 END) AS h1,
+          max(CASE WHEN t.rank <= 3 AND ll.label = l.label THEN 1 ELSE 0 END) AS h3,
+          max(CASE WHEN t.rank <= 5 AND ll.label = l.label THEN 1 ELSE 0 END) AS h5
+          FROM lab l LEFT JOIN t ON t.src = l.vec_id LEFT JOIN lab ll ON ll.vec_id = t.tgt GROUP BY l.vec_id)
+        SELECT 1 AS k, round(avg(h1), 6) AS accuracy FROM h UNION ALL SELECT 3, round(avg(h3), 6) FROM h UNION ALL SELECT 5, round(avg(h5), 6) FROM h"""
+    o["embedding_mrr"] = f"""WITH {EMB},
+        best AS (SELECT l.vec_id AS src, coalesce(max(s.score) FILTER (WHERE lt.label = l.label), -1.0) AS best
+                 FROM lab l LEFT JOIN sims s ON s.src = l.vec_id LEFT JOIN lab lt ON lt.vec_id = s.tgt GROUP BY l.vec_id),
+        cnt AS (SELECT b.src, count(s.tgt) FILTER (WHERE s.score > b.best) AS above FROM best b LEFT JOIN sims s ON s.src = b.src GROUP BY b.src)
+        SELECT round(avg(1.0 / (above + 1)), 6) AS mrr FROM cnt"""
+    o["contrastive_loss"] = f"""WITH {EMB},
+        z AS (SELECT s.src, sum(exp(s.score / 0.5)) AS s_all, sum(CASE WHEN a.label = b.label THEN exp(s.score / 0.5) ELSE 0 END) AS s_pos
+              FROM sims s JOIN lab a ON a.vec_id = s.src JOIN lab b ON b.vec_id = s.tgt GROUP BY s.src)
+        SELECT round(avg(-ln(s_pos / s_all)), 6) AS loss FROM z"""
+    o["ranking_metrics"] = f"""{PG},
+        cov AS (SELECT DISTINCT source, 1 AS c FROM preds),
+        j AS (SELECT gt.*, cov.c, p.rank FROM gt LEFT JOIN cov USING (source) LEFT JOIN preds p USING (source, target))
+        SELECT count(*) AS n_ground_truth, round(coalesce(sum(coalesce(c, 0)) / count(*), 0.0), 6) AS coverage,
+          round(coalesce(sum(coalesce(1.0 / rank, 0.0)) / count(*), 0.0), 6) AS mrr, round(coalesce(avg(rank), 0.0), 6) AS mean_rank,
+          sum(CASE WHEN rank <= 1 THEN 1 ELSE 0 END) AS top1_correct, round(sum(CASE WHEN rank <= 1 THEN 1 ELSE 0 END) / count(*), 6) AS top1_accuracy,
+          sum(CASE WHEN rank <= 3 THEN 1 ELSE 0 END) AS top3_correct, round(sum(CASE WHEN rank <= 3 THEN 1 ELSE 0 END) / count(*), 6) AS top3_accuracy,
+          sum(CASE WHEN rank <= 5 THEN 1 ELSE 0 END) AS top5_correct, round(sum(CASE WHEN rank <= 5 THEN 1 ELSE 0 END) / count(*), 6) AS top5_accuracy
+        FROM j"""
+    o["ranking_errors"] = f"""{PG},
+        l AS (SELECT source, string_agg(CAST(target AS VARCHAR), ',' ORDER BY rank) FILTER (WHERE rank <= 1) AS t1,
+                 string_agg(CAST(target AS VARCHAR), ',' ORDER BY rank) FILTER (WHERE rank <= 3) AS t3,
+                 string_agg(CAST(target AS VARCHAR), ',' ORDER BY rank) FILTER (WHERE rank <= 5) AS t5 FROM preds GROUP BY source)
+        SELECT gt.source AS source_column, gt.target AS ground_truth_target, l.t1 AS predicted_top1,
+          coalesce(l.t3, '') AS predicted_top3, coalesce(l.t5, '') AS predicted_top5, p.rank AS ground_truth_rank,
+          coalesce(p.rank = 1, false) AS is_top1_correct, coalesce(p.rank <= 3, false) AS is_top3_correct, p.rank IS NOT NULL AS is_found
+        FROM gt LEFT JOIN l USING (source) LEFT JOIN preds p USING (source, target)"""
+    o["pairset_metrics"] = f"""{PG},
+        pp AS (SELECT DISTINCT source, target FROM preds WHERE rank = 1), g AS (SELECT DISTINCT source, target FROM gt),
+        c AS (SELECT (SELECT count(*) FROM pp) AS predicted, (SELECT count(*) FROM g) AS ground_truth,
+                     (SELECT count(*) FROM pp JOIN g USING (source, target)) AS correct),
+        r AS (SELECT *, coalesce(correct / nullif(predicted, 0), 0.0) AS pr, coalesce(correct / nullif(ground_truth, 0), 0.0) AS rc FROM c)
+        SELECT predicted, ground_truth, correct, predicted - correct AS false_positives, ground_truth - correct AS false_negatives,
+          round(pr, 6) AS precision, round(rc, 6) AS recall, round(coalesce(2 * pr * rc / nullif(pr + rc, 0), 0.0), 6) AS f1 FROM r"""
+    o["pairset_errors"] = f"""{PG},
+        pp AS (SELECT DISTINCT source, target FROM preds WHERE rank = 1), g AS (SELECT DISTINCT source, target FROM gt)
+        SELECT source AS source_column, target AS target_column, 'false_positive' AS error_type FROM (SELECT * FROM pp EXCEPT SELECT * FROM g)
+        UNION ALL
+        SELECT source, target, 'false_negative' FROM (SELECT * FROM g EXCEPT SELECT * FROM pp)"""
+    o["mrr"] = f"{PG} SELECT round(avg(coalesce(1.0 / p.rank, 0.0)), 6) AS mrr FROM gt LEFT JOIN preds p USING (source, target)"
+    o["mrr_adjusted"] = f"""{PG},
+        s AS (SELECT DISTINCT source FROM preds WHERE source IN (SELECT source FROM gt)),
+        b AS (SELECT source, min(rank) AS best FROM preds WHERE (source, target) IN (SELECT (source, target) FROM gt) GROUP BY source)
+        SELECT round(avg(coalesce(1.0 / b.best, 0.0)), 6) AS mrr_adjusted FROM s LEFT JOIN b USING (source)"""
+    o["recall_pairs"] = f"""{PG},
+        g AS (SELECT least(CAST(source AS VARCHAR), CAST(target AS VARCHAR)) AS a, greatest(CAST(source AS VARCHAR), CAST(target AS VARCHAR)) AS b, count(*) AS c FROM gt GROUP BY ALL),
+        p AS (SELECT DISTINCT least(CAST(source AS VARCHAR), CAST(target AS VARCHAR)) AS a, greatest(CAST(source AS VARCHAR), CAST(target AS VARCHAR)) AS b, 1 AS hit FROM preds)
+        SELECT round(coalesce(count(p.hit) / sum(g.c), 0.0), 6) AS recall FROM g LEFT JOIN p USING (a, b)"""
+    o["recall_topk"] = f"""{PG}, g AS (SELECT DISTINCT source, target FROM gt),
+        ks AS (SELECT * FROM (VALUES (1), (5), (10)) v(k)),
+        j AS (SELECT ks.k, g.source, g.target, max(CASE WHEN p.rank <= ks.k THEN 1 ELSE 0 END) AS hit
+              FROM ks, g LEFT JOIN preds p USING (source, target) GROUP BY ALL)
+        SELECT k, round(sum(hit) / count(*), 3) AS recall FROM j GROUP BY k"""
+    o["metrics_core"] = f"""{PG},
+        p AS (SELECT DISTINCT source, target, score FROM preds), g AS (SELECT DISTINCT source, target FROM gt),
+        n AS (SELECT (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM g) AS ng),
+        r AS (SELECT p.*, row_number() OVER (ORDER BY score DESC, source, target) AS rn, (g.source IS NOT NULL) AS hit FROM p LEFT JOIN g USING (source, target)),
+        a AS (SELECT count(*) FILTER (WHERE hit) AS h_all,
+              count(*) FILTER (WHERE hit AND rn <= (SELECT ceil(0.1 * np) FROM n)) AS h_10,
+              count(*) FILTER (WHERE hit AND rn <= (SELECT ng FROM n)) AS h_g FROM r),
+        m AS (SELECT a.*, h_all / np AS pr, h_all / ng AS rc, ceil(0.1 * np) AS m10, ng FROM a, n)
+        SELECT 'all' AS scope, round(pr, 6) AS precision, round(rc, 6) AS recall, round(coalesce(2 * pr * rc / nullif(pr + rc, 0), 0.0), 6) AS f1,
+          round(h_10 / m10, 6) AS precision_top10pct, round(h_g / ng, 6) AS recall_at_gt FROM m"""
+    o["ngram_cosine_topk"] = """
+    WITH docs AS (SELECT item_id * 2 AS id, text FROM benchmark UNION ALL SELECT doc_id * 2 + 1, text FROM documents),
+    d AS (SELECT id, regexp_replace(lower(text), '\\s\\s+', ' ', 'g') AS t FROM docs WHERE text IS NOT NULL),
+    nd AS (SELECT count(*) AS n FROM d),
+    pos AS (SELECT id, t, unnest(range(1, length(t) - 1)) AS p FROM d WHERE length(t) >= 3),
+    tf AS (SELECT id, substr(t, p, 3) AS gram, count(*) AS tf FROM pos GROUP BY ALL),
+    df AS (SELECT gram, count(*) AS df FROM tf GROUP BY gram),
+    w AS (SELECT tf.id, tf.gram, tf.tf * (ln((1.0 + (SELECT n FROM nd)) / (1.0 + df.df)) + 1.0) AS w FROM tf JOIN df USING (gram)),
+    nrm AS (SELECT id, sqrt(sum(w * w)) AS nr FROM w GROUP BY id),
+    wn AS (SELECT w.id, w.gram, w.w / nrm.nr AS w FROM w JOIN nrm USING (id)),
+    l AS (SELECT * FROM wn WHERE id % 2 = 0), r AS (SELECT * FROM wn WHERE id % 2 = 1),
+    s AS (SELECT l.id AS lid, r.id AS rid, sum(l.w * r.w) AS score FROM l JOIN r USING (gram) GROUP BY ALL),
+    t AS (SELECT *, row_number() OVER (PARTITION BY lid ORDER BY round(score, 12) DESC, rid) AS rank FROM s QUALIFY rank <= 5)
+    SELECT CAST(lid / 2 AS BIGINT) AS item_id, CAST((rid - 1) / 2 AS BIGINT) AS doc_id, rank, round(score, 6) AS score FROM t"""
+    return o
+
+
+_oracles_batch1 = oracles
+
+
+def oracles() -> dict:  # noqa: F811
+    o = _oracles_batch1()
+    o.update(oracles_batch2())
+    return o

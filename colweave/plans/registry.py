@@ -134,3 +134,253 @@ def registry() -> dict:
     ]:
         q[name] = _sample_query(mode)
     return q
+
+
+# ---------------------------------------------------------------- serialization
+from ..operators import evaluate as EV  # noqa: E402
+from ..operators import serialize as Z  # noqa: E402
+from ..operators import candidates as CA  # noqa: E402
+from ..operators.similarity import dense_topk, minmax_normalize, sparse_topk, tfidf_vectors  # noqa: E402
+
+SER_TABLES = ["customer", "part"]
+
+
+def _profile(spark, sf, names):
+    from .pipeline import MatchOptions, column_profile
+
+    prepare(spark)
+    return column_profile(load_catalog(spark, sf, names), MatchOptions())
+
+
+def _serialize_query(mode):
+    def q(spark, sf):
+        return Z.serialize(_profile(spark, sf, SER_TABLES), mode).select("table_id", "col_name", "text")
+
+    q.__name__ = f"q_serialize_{mode}"
+    return q
+
+
+# ---------------------------------------------------------------- name layer
+EQ_TABLES = ["events", "documents", "labels", "pages", "benchmark", "conversations"]
+ALIGN_PAIRS = [("customer", "supplier"), ("orders", "lineitem"), ("part", "lineitem"), ("nation", "region")]
+
+
+def _data_columns(spark, sf, names):
+    """Columns that hold at least one value, read from the data (not only the schema)."""
+    c = _cells(spark, sf, names, clean=False)
+    return c.groupBy("table_id", "col_name", "col_pos").agg(F.count("value").alias("n_values")).filter(F.col("n_values") > 0)
+
+
+def _pairs_df(spark, pairs):
+    return spark.createDataFrame(pairs, "src_table string, tgt_table string")
+
+
+def q_equal_name_matches(spark, sf):
+    cols = _data_columns(spark, sf, EQ_TABLES)
+    pairs = [(a, b) for i, a in enumerate(EQ_TABLES) for b in EQ_TABLES[i + 1:]]
+    m = CA.equal_name_candidates(cols, cols, _pairs_df(spark, pairs))
+    return m.select("src_table", "src_col", "tgt_table", "tgt_col", "score")
+
+
+def _align_tables():
+    return sorted({t for p in ALIGN_PAIRS for t in p})
+
+
+def q_alignment_scores(spark, sf):
+    from ..functions.strsim import alignment_score
+
+    cols = _data_columns(spark, sf, _align_tables())
+    p = CA.name_pairs(cols, cols, _pairs_df(spark, ALIGN_PAIRS))
+    return p.select(
+        "src_table", "src_col", "tgt_table", "tgt_col",
+        F.round(alignment_score(F.col("src_prep"), F.col("tgt_prep")), R6).alias("alignment"),
+    )
+
+
+def q_fuzzy_candidates(spark, sf):
+    cols = _data_columns(spark, sf, _align_tables())
+    m = CA.strsim_candidates(cols, cols, _pairs_df(spark, ALIGN_PAIRS))
+    return m.select("src_table", "src_col", "tgt_table", "tgt_col", "score")
+
+
+# ---------------------------------------------------------------- vectors
+def _vecs(spark, sf):
+    prepare(spark)
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.col("label").cast("long").alias("label"))
+
+
+def _topk(spark, sf, k, threshold=None):
+    v = _vecs(spark, sf)
+    return dense_topk(v.select("id", "vec"), v.select("id", "vec"), k, threshold=threshold, exclude_self=True)
+
+
+def q_cosine_topk(spark, sf):
+    t = _topk(spark, sf, 5, 0.1)
+    return t.select(F.col("lid").alias("src_id"), F.col("rid").alias("tgt_id"), "rank", F.round("score", R6).alias("score"))
+
+
+def q_minmax_topk(spark, sf):
+    t = minmax_normalize(_topk(spark, sf, 5), ["lid"])
+    return t.select(F.col("lid").alias("src_id"), F.col("rid").alias("tgt_id"), "rank", F.round("score", R6).alias("score"))
+
+
+def q_label_topk_accuracy(spark, sf):
+    return EV.label_topk_accuracy(_vecs(spark, sf), (1, 3, 5)).select("k", F.round("accuracy", R6).alias("accuracy"))
+
+
+def q_embedding_mrr(spark, sf):
+    return EV.embedding_mrr(_vecs(spark, sf)).select(F.round("mrr", R6).alias("mrr"))
+
+
+def q_contrastive_loss(spark, sf):
+    return EV.contrastive_loss(_vecs(spark, sf), 0.5).select(F.round("loss", R6).alias("loss"))
+
+
+def _preds_gt(spark, sf, k=10):
+    """Predictions: 10 nearest other vectors; ground truth: (i, i+1) when both share a label."""
+    v = _vecs(spark, sf)
+    preds = dense_topk(v.select("id", "vec"), v.select("id", "vec"), k, exclude_self=True).select(
+        F.col("lid").alias("source"), F.col("rid").alias("target"), "score", "rank"
+    )
+    a = v.select(F.col("id").alias("source"), F.col("label").alias("la"))
+    b = v.select((F.col("id") - 1).alias("source"), F.col("id").alias("target"), F.col("label").alias("lb"))
+    gt = a.join(b, "source").filter(F.col("la") == F.col("lb")).select("source", "target")
+    return preds, gt
+
+
+def _round_all(df):
+    return df.select(*[F.round(c, R6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def q_ranking_metrics(spark, sf):
+    p, g = _preds_gt(spark, sf)
+    return _round_all(EV.ranking_metrics(p, g))
+
+
+def q_ranking_errors(spark, sf):
+    p, g = _preds_gt(spark, sf)
+    return EV.ranking_errors(p, g)
+
+
+def q_pairset_metrics(spark, sf):
+    p, g = _preds_gt(spark, sf)
+    return _round_all(EV.pairset_metrics(p.filter(F.col("rank") == 1), g))
+
+
+def q_pairset_errors(spark, sf):
+    p, g = _preds_gt(spark, sf)
+    return EV.pairset_errors(p.filter(F.col("rank") == 1), g)
+
+
+def q_mrr(spark, sf):
+    p, g = _preds_gt(spark, sf)
+    return _round_all(EV.mrr(p, g))
+
+
+def q_mrr_adjusted(spark, sf):
+    p, g = _preds_gt(spark, sf)
+    return _round_all(EV.mrr_adjusted(p, g))
+
+
+def q_recall_pairs(spark, sf):
+    p, g = _preds_gt(spark, sf)
+    return _round_all(EV.recall_pairs(p, g))
+
+
+def q_recall_topk(spark, sf):
+    p, g = _preds_gt(spark, sf)
+    return EV.recall_at_topk(p, g, 1).unionByName(EV.recall_at_topk(p, g, 5)).unionByName(EV.recall_at_topk(p, g, 10))
+
+
+def q_metrics_core(spark, sf):
+    p, g = _preds_gt(spark, sf)
+    return _round_all(EV.metrics_core(p, g, "all"))
+
+
+def q_greedy_one_to_one(spark, sf):
+    from ..operators.rerank import greedy_one_to_one
+
+    p, _ = _preds_gt(spark, sf)
+    m = p.select(
+        F.lit("embeddings").alias("src_table"), F.col("source").cast("string").alias("src_col"), F.col("source").cast("int").alias("src_pos"),
+        F.lit("embeddings").alias("tgt_table"), F.col("target").cast("string").alias("tgt_col"), F.col("target").cast("int").alias("tgt_pos"),
+        "score",
+    )
+    return greedy_one_to_one(m).select("src_col", "tgt_col", F.round("score", R6).alias("score"))
+
+
+def q_ngram_cosine_topk(spark, sf):
+    """Each benchmark item against all documents: 5 nearest by character 3-gram TF-IDF cosine."""
+    prepare(spark)
+    b = spark.read.parquet(f"{sf}/benchmark.parquet").select((F.col("item_id") * 2).alias("id"), "text")
+    d = spark.read.parquet(f"{sf}/documents.parquet").select((F.col("doc_id") * 2 + 1).alias("id"), "text")
+    from ..session import cut_lineage
+
+    vecs = cut_lineage(tfidf_vectors(b.unionByName(d), "id", "text", 3))
+    left = vecs.join(b.select("id"), "id", "left_semi")
+    right = vecs.join(d.select("id"), "id", "left_semi")
+    t = sparse_topk(left, right, 5)
+    return t.select(
+        (F.col("lid") / 2).cast("long").alias("item_id"), ((F.col("rid") - 1) / 2).cast("long").alias("doc_id"),
+        "rank", F.round("score", R6).alias("score"),
+    )
+
+
+# ---------------------------------------------------------------- full matching
+def q_strategy_merge(spark, sf):
+    from .pipeline import MatchOptions, match_catalog
+
+    prepare(spark)
+    tabs = load_catalog(spark, sf, ["customer", "supplier"])
+    return match_catalog(spark, tabs, [("customer", "supplier")], MatchOptions(include_strsim_matches=True, use_bp_reranker=False))
+
+
+def q_match_tables(spark, sf):
+    from .pipeline import match_tables
+
+    prepare(spark)
+    c, s = load_catalog(spark, sf, ["customer", "supplier"])
+    return match_tables(spark, c, s)
+
+
+def q_match_corpus(spark, sf):
+    from .pipeline import match_corpus
+
+    prepare(spark)
+    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "pages", "benchmark", "conversations"]
+    return match_corpus(spark, load_catalog(spark, sf, names))
+
+
+_base_registry = registry
+
+
+def registry() -> dict:  # noqa: F811
+    q = _base_registry()
+    for mode in Z.SIMPLE_MODES + Z.CONTEXT_MODES:
+        q[f"serialize_{mode}"] = _serialize_query(mode)
+    q.update({
+        "equal_name_matches": q_equal_name_matches,
+        "alignment_scores": q_alignment_scores,
+        "fuzzy_candidates": q_fuzzy_candidates,
+        "cosine_topk": q_cosine_topk,
+        "minmax_topk": q_minmax_topk,
+        "label_topk_accuracy": q_label_topk_accuracy,
+        "embedding_mrr": q_embedding_mrr,
+        "contrastive_loss": q_contrastive_loss,
+        "ranking_metrics": q_ranking_metrics,
+        "ranking_errors": q_ranking_errors,
+        "pairset_metrics": q_pairset_metrics,
+        "pairset_errors": q_pairset_errors,
+        "mrr": q_mrr,
+        "mrr_adjusted": q_mrr_adjusted,
+        "recall_pairs": q_recall_pairs,
+        "recall_topk": q_recall_topk,
+        "metrics_core": q_metrics_core,
+        "greedy_one_to_one": q_greedy_one_to_one,
+        "ngram_cosine_topk": q_ngram_cosine_topk,
+        "strategy_merge": q_strategy_merge,
+        "match_tables": q_match_tables,
+        "match_corpus": q_match_corpus,
+    })
+    return q
