@@ -11,22 +11,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clean import is_binary_word, is_date_text, is_integer_text, is_number_text
+from ..functions.clean import clean_text, is_binary_word, is_date_text, is_integer_text, is_number_text
 from ..functions.vocab import KEY_AFFIXES
 from ..sources.catalog import BOOL, FLOAT, INT, TEXT
 
 COL_KEYS = ["table_id", "col_name", "col_pos", "kind"]
 
 
-def value_counts(cells: DataFrame, keep_null: bool = False) -> DataFrame:
+def value_counts(cells: DataFrame, keep_null: bool = False, clean: bool = False) -> DataFrame:
     """``(table_id, col_name, col_pos, kind, value, cnt, first_row)`` (AGG-1).
 
     With ``keep_null`` the null cells form one extra group per column, which
     lets column statistics count rows including nulls from the same pass.
+    With ``clean`` the input holds raw cells: they are counted first (map-side
+    partial aggregation on the raw text), the cleaning regexes then run once
+    per distinct raw value, and a second aggregation merges raw values that
+    clean to the same text.
     """
     vc = cells.groupBy(*COL_KEYS, "value").agg(
         F.count(F.lit(1)).alias("cnt"), F.min("row_id").alias("first_row")
     )
+    if clean:
+        cleaned = F.when(F.col("kind") == TEXT, clean_text(F.col("value"))).otherwise(F.col("value"))
+        vc = vc.withColumn("value", cleaned).groupBy(*COL_KEYS, "value").agg(
+            F.sum("cnt").alias("cnt"), F.min("first_row").alias("first_row")
+        )
     return vc if keep_null else vc.filter(F.col("value").isNotNull())
 
 
@@ -34,15 +43,17 @@ def column_stats(vc_with_null: DataFrame, key_threshold: float = 0.8, datetime_t
     """One row per column with counts, flags, semantic type and inferred dtype."""
     v = F.col("value")
     nonnull = v.isNotNull()
-    numeric_cell = F.when(F.col("kind") != TEXT, F.lit(True)).otherwise(is_number_text(v))
+    text = nonnull & (F.col("kind") == TEXT)
+    # text-only tests: for numeric columns the ladder never reaches them, so
+    # their (many) distinct values skip the regex and date-parse work
     stats = vc_with_null.groupBy(*COL_KEYS).agg(
         F.sum("cnt").alias("n_rows"),
         F.coalesce(F.sum(F.when(nonnull, F.col("cnt"))), F.lit(0)).alias("n_nonnull"),
         F.count(v).alias("n_distinct"),
-        F.coalesce(F.max(F.when(nonnull, numeric_cell)), F.lit(False)).alias("any_numeric"),
-        F.coalesce(F.min(F.when(nonnull, is_integer_text(v))), F.lit(True)).alias("all_integer_text"),
-        F.coalesce(F.sum(F.when(nonnull & is_binary_word(v), 1)), F.lit(0)).alias("n_binary"),
-        F.coalesce(F.sum(F.when(nonnull & is_date_text(v), F.col("cnt"))), F.lit(0)).alias("n_date"),
+        F.coalesce(F.max(F.when(nonnull, (F.col("kind") != TEXT) | is_number_text(v))), F.lit(False)).alias("any_numeric"),
+        F.coalesce(F.min(F.when(text, is_integer_text(v))), F.lit(True)).alias("all_integer_text"),
+        F.coalesce(F.sum(F.when(text & is_binary_word(v), 1)), F.lit(0)).alias("n_binary"),
+        F.coalesce(F.sum(F.when(text & is_date_text(v), F.col("cnt"))), F.lit(0)).alias("n_date"),
     )
     return stats.select(
         "*",

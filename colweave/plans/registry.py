@@ -46,13 +46,18 @@ def q_clean_values(spark, sf):
     )
 
 
+def _vc(spark, sf, names, keep_null=False):
+    """Value counts of cleaned cells (raw values counted first, cleaned once per distinct value)."""
+    return profile.value_counts(_cells(spark, sf, names, clean=False), keep_null=keep_null, clean=True)
+
+
 def q_value_counts(spark, sf):
-    vc = profile.value_counts(_cells(spark, sf, ["orders", "events"]))
+    vc = _vc(spark, sf, ["orders", "events"])
     return vc.select("table_id", "col_name", "value", "cnt", "first_row")
 
 
 def _stats(spark, sf, names):
-    return profile.column_stats(profile.value_counts(_cells(spark, sf, names), keep_null=True))
+    return profile.column_stats(_vc(spark, sf, names, keep_null=True))
 
 
 def q_distinct_ratio(spark, sf):
@@ -81,7 +86,7 @@ def q_declared_types(spark, sf):
 
 
 def q_top_values_json(spark, sf):
-    vc = profile.value_counts(_cells(spark, sf, ["part", "orders"]))
+    vc = _vc(spark, sf, ["part", "orders"])
     return profile.top_values(vc).select("table_id", "col_name", "value", "cnt")
 
 
@@ -90,7 +95,7 @@ SAMPLE_TABLES = ["part", "customer", "events"]
 
 def _sample_query(mode):
     def q(spark, sf):
-        vc = profile.value_counts(_cells(spark, sf, SAMPLE_TABLES))
+        vc = _vc(spark, sf, SAMPLE_TABLES)
         s = sampling.samples(vc, n=10, mode=mode)
         return s.select("table_id", "col_name", F.array_join("samples", " | ").alias("samples"))
 
@@ -384,3 +389,18 @@ def registry() -> dict:  # noqa: F811
         "match_corpus": q_match_corpus,
     })
     return q
+
+
+def q_lineitem_profile(spark, sf):
+    """Full profile of the largest table: one value-count pass, one per-column pass."""
+    s = _stats(spark, sf, ["lineitem"])
+    return s.select("table_id", "col_name", "n_rows", "n_distinct", "semantic_type", "inferred_dtype")
+
+
+_registry_2 = registry
+
+
+def registry() -> dict:  # noqa: F811
+    q = _registry_2()
+    q["lineitem_profile"] = q_lineitem_profile
+    return q
