@@ -130,9 +130,9 @@ U0 = "(('0x' || substr(md5(value), 1, 8))::BIGINT / 4294967296.0)"
 U42 = "(('0x' || substr(md5('42:' || value), 1, 8))::BIGINT / 4294967296.0)"
 
 
-def sample_sql(mode: str, tables=SAMPLE_TABLES, n: int = 10, as_list: bool = False) -> str:
+def sample_sql(mode: str, tables=SAMPLE_TABLES, n: int = 10, as_list: bool = False, clean_text: bool = True) -> str:
     base = f"""
-    WITH vc AS ({vc(cells(tables))}),
+    WITH vc AS ({vc(cells(tables, clean_text=clean_text))}),
     v AS (SELECT * FROM vc WHERE value IS NOT NULL),
     nd AS (SELECT table_id, col_name, count(*) AS n_distinct FROM v GROUP BY table_id, col_name),
     j AS (SELECT v.*, nd.n_distinct FROM v JOIN nd USING (table_id, col_name))"""
@@ -488,3 +488,198 @@ def oracles() -> dict:  # noqa: F811
     o = _oracles_2()
     o["lineitem_profile"] = f"SELECT table_id, col_name, n_rows, n_distinct, semantic_type, inferred_dtype FROM ({stats(cells(['lineitem']))})"
     return o
+
+
+# ------------------------------------------------------------------ batch 3
+from ..operators.llm import AUG_NO_VALUES, AUG_WITH_VALUES, JUDGE_HEAD, JUDGE_MID, JUDGE_TAIL  # noqa: E402
+
+ALPHA37 = "abcdefghijklmnopqrstuvwxyz0123456789 "
+ALPHA36 = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def U(*parts) -> str:
+    """md5 unit of '42:' || parts joined by '|' (parts are SQL expressions)."""
+    return f"(('0x' || substr(md5('42:' || concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT / 4294967296.0)"
+
+
+def dv_sql(tables, limit_distinct=100, keep=50) -> str:
+    order = " ".join(f"WHEN {q(t)} THEN {i}" for i, t in enumerate(tables))
+    return f"""
+    WITH v AS (SELECT * FROM ({vc(cells(tables))}) WHERE value IS NOT NULL),
+    own AS (SELECT col_name, arg_min(table_id, o) AS table_id FROM (SELECT DISTINCT table_id, col_name, CASE table_id {order} END AS o FROM v) GROUP BY col_name),
+    vv AS (SELECT v.* FROM v JOIN own USING (col_name, table_id)),
+    r AS (SELECT *, count(*) OVER (PARTITION BY col_name) AS nd, row_number() OVER (PARTITION BY col_name ORDER BY cnt DESC, value) AS pos FROM vv)
+    SELECT col_name, table_id, value, cnt, pos FROM r WHERE nd <= {limit_distinct} OR pos <= {keep}"""
+
+
+def exact_aug_sql(tables) -> str:
+    c = "col_name"
+    pos = f"(floor({U(c, q('pos'))} * length({c}))::BIGINT + 1)"
+    ch = f"substr({q(ALPHA37)}, floor({U(c, q('chr'))} * 37)::BIGINT + 1, 1)"
+    replaced = f"(substr({c}, 1, {pos} - 1) || {ch} || substr({c}, {pos} + 1))"
+    alt = f"CASE WHEN {U(c, q('rename'))} < 0.3 OR n < 1 THEN {replaced} ELSE {c} END"
+
+    def draw(tag, size):
+        return f"list_slice(list_transform(list_sort(list_transform(vals, lambda x: {{'k': {U(c, q(tag), 'x')}, 'v': x}})), lambda s: s.v), 1, {size})"
+
+    cap = f"least(n, 15)"
+    k1 = f"(floor({U(c, q('k1'))} * {cap})::BIGINT + 1)"
+    k2 = f"(floor({U(c, q('k2'))} * {cap})::BIGINT + 1)"
+    return f"""
+    WITH dv AS ({dv_sql(tables)}),
+    l AS (SELECT col_name, list(value ORDER BY pos) AS vals, count(*) AS n FROM dv GROUP BY col_name),
+    e AS (
+      SELECT col_name, 'original' AS kind, col_name AS name, CASE WHEN n < 15 THEN vals ELSE {draw('orig', 15)} END AS vals FROM l
+      UNION ALL SELECT col_name, 'exact', col_name || '_1', CASE WHEN n < 1 THEN []::VARCHAR[] ELSE {draw('s1', k1)} END FROM l
+      UNION ALL SELECT col_name, 'exact', {alt} || '_2', CASE WHEN n < 1 THEN []::VARCHAR[] ELSE {draw('s2', k2)} END FROM l)"""
+
+
+def llm_prompts_sql() -> str:
+    return f"""
+    WITH sm AS ({sample_sql('priority_sampling', ['customer', 'supplier'], 10, as_list=True, clean_text=False)}),
+    lines AS (SELECT table_id, col_name, 'Column: ' || col_name || ', Sample values: [' || array_to_string(coalesce(samples, []::VARCHAR[]), ',') || ']' AS line FROM sm),
+    cols AS (SELECT DISTINCT table_id, col_name, col_pos FROM ({cells(['customer', 'supplier'], clean_text=False)})),
+    tg AS (SELECT string_agg(l.line, chr(10) ORDER BY c.col_pos) AS targets FROM cols c JOIN lines l USING (table_id, col_name) WHERE c.table_id = 'supplier')
+    SELECT c.col_name AS src_col, {q(JUDGE_HEAD)} || l.line || {q(JUDGE_MID)} || tg.targets || {q(JUDGE_TAIL)} AS prompt
+    FROM cols c JOIN lines l USING (table_id, col_name), tg WHERE c.table_id = 'customer'"""
+
+
+def header_order_sql(table: str, side: str, prefix: str | None) -> str:
+    rows = " UNION ALL ".join(f"SELECT {q(c)} AS orig" for c, _ in SCHEMAS[table])
+    new = f"{q(prefix)} || CAST(row_number() OVER (ORDER BY md5('42|{side}|' || orig), orig) AS VARCHAR)" if prefix else "orig"
+    return f"SELECT orig, {new} AS new FROM ({rows})"
+
+
+def noisy_sql(v: str, key: str, p: float, min_len: int) -> str:
+    u = lambda tag: f"(('0x' || substr(md5('42:' || concat_ws('|', {q(tag)}, {key})), 1, 8))::BIGINT / 4294967296.0)"
+    pos = f"(floor({u('pos')} * length({v}))::BIGINT + 1)"
+    ch = f"substr({q(ALPHA36)}, floor({u('chr')} * 36)::BIGINT + 1, 1)"
+    return f"CASE WHEN {v} IS NOT NULL AND length({v}) >= {min_len} AND {u('p')} < {p} THEN substr({v}, 1, {pos} - 1) || {ch} || substr({v}, {pos} + 1) ELSE {v} END"
+
+
+def make_pair_sql(table: str, spec) -> str:
+    parts = []
+    for side, prefix, p in (("source", spec.src_prefix, spec.src_noise), ("target", spec.tgt_prefix, spec.tgt_noise)):
+        for c, kind in SCHEMAS[table]:
+            v = f"CAST({c} AS VARCHAR)"
+            if kind == "text" and p > 0:
+                v = noisy_sql(v, f"concat_ws('|', {q(side)}, {q(c)}, CAST({ROW_KEYS[table]} AS VARCHAR))", p, spec.min_len)
+            parts.append(f"SELECT {q(side)} AS side, CAST({ROW_KEYS[table]} AS BIGINT) AS row_id, {q(c)} AS orig, {v} AS value FROM {table}")
+    hs = f"SELECT 'source' AS side, * FROM ({header_order_sql(table, 'source', spec.src_prefix)}) UNION ALL SELECT 'target', * FROM ({header_order_sql(table, 'target', spec.tgt_prefix)})"
+    return f"SELECT c.side, c.row_id, h.new AS col_name, c.value FROM ({' UNION ALL '.join(parts)}) c JOIN ({hs}) h USING (side, orig)"
+
+
+def gt_sql(table: str, spec, spec_name: str | None = None) -> str:
+    s = header_order_sql(table, "source", spec.src_prefix)
+    t = header_order_sql(table, "target", spec.tgt_prefix)
+    tag = f", {q(spec_name)} AS spec" if spec_name else ""
+    return f"SELECT s.orig AS role, s.new AS source_column, t.new AS target_column, {q(table)} AS entity{tag} FROM ({s}) s JOIN ({t}) t USING (orig)"
+
+
+def entity_gt_sql() -> str:
+    from ..operators.benchgen import SPECS
+
+    parts = [gt_sql(t, SPECS["v4"]) for t in ["customer", "supplier", "part", "nation", "orders"]]
+    return f"SELECT source_column, target_column, entity, regexp_replace(role, '^[^_]*_', '') AS role FROM ({' UNION ALL '.join(parts)})"
+
+
+def oracles_batch3() -> dict:
+    from ..operators.benchgen import SPECS
+
+    o = {}
+    o["distinct_values_json"] = f"""WITH dv AS ({dv_sql(['part', 'orders', 'customer'])})
+        SELECT col_name, to_json(map([col_name], [list(value ORDER BY pos)])) AS json FROM dv GROUP BY col_name"""
+    o["exact_augmentation"] = f"{exact_aug_sql(['customer', 'supplier'])} SELECT col_name, kind, name, array_to_string(vals, '|') AS values FROM e"
+    o["training_items"] = f"""{exact_aug_sql(['customer', 'supplier'])},
+        f AS (SELECT * FROM e WHERE instr('exact', kind) > 0 OR kind = 'original'),
+        cl AS (SELECT col_name, dense_rank() OVER (ORDER BY col_name) - 1 AS class_id FROM (SELECT DISTINCT col_name FROM f))
+        SELECT class_id, kind, CASE WHEN kind = 'exact' THEN regexp_replace(name, '_[^_]*$', '') ELSE name END AS name,
+          array_to_string(list_filter(list_transform(vals, lambda x: {clean('x')}), lambda x: x IS NOT NULL), '|') AS values
+        FROM f JOIN cl USING (col_name)"""
+    head_rest = AUG_WITH_VALUES.split("{values}", 1)[1]
+    none_rest = AUG_NO_VALUES.split("'{name}'", 1)[1]
+    o["augmentation_prompts"] = f"""WITH dv AS ({dv_sql(['customer'])}),
+        k AS (SELECT DISTINCT col_name, kind FROM ({cells(['customer'], clean_text=False)})),
+        l AS (SELECT col_name, list(value ORDER BY pos) AS vals FROM dv GROUP BY col_name)
+        SELECT col_name, CASE WHEN len(vals) > 0 THEN 'Given the table column ''' || col_name || ''' with values ['
+          || array_to_string(list_transform(vals, lambda v: CASE WHEN kind = 'text' THEN '''' || v || '''' ELSE v END), ', ') || ']' || {q(head_rest)}
+          ELSE 'Given the table column ''' || col_name || '''' || {q(none_rest)} END AS prompt
+        FROM l JOIN k USING (col_name)"""
+    o["augmentation_parse"] = """
+        WITH a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+        l AS (SELECT conv_id, turn, string_split(text, '; ') AS parts FROM a),
+        e AS (SELECT conv_id, turn, unnest(parts) AS m, generate_subscripts(parts, 1) - 1 AS idx FROM l),
+        f AS (SELECT conv_id, turn, idx, replace(m, chr(10), '') AS m FROM e),
+        g AS (SELECT *, instr(m, ', ') AS p FROM f)
+        SELECT conv_id, turn, idx, CASE WHEN p > 0 THEN substr(m, 1, p - 1) ELSE m END AS alt_name,
+          CASE WHEN p > 0 THEN len(string_split(substr(m, p + 2), ', ')) ELSE 0 END AS n_values,
+          CASE WHEN p > 0 THEN array_to_string(string_split(substr(m, p + 2), ', '), '|') ELSE '' END AS values
+        FROM g"""
+    o["llm_parse"] = r"""
+        WITH a AS (SELECT conv_id, turn, coalesce(regexp_extract(text, '(?s)\[.*\]', 0), '') AS js FROM conversations WHERE role = 'assistant')
+        , b AS (SELECT conv_id, turn, js, CASE WHEN js = '' THEN false WHEN NOT json_valid(js) THEN false ELSE json_type(js) = 'ARRAY' END AS ok FROM a)
+        SELECT conv_id, turn, ok AS parsed, CASE WHEN ok THEN json_array_length(js) ELSE 0 END AS n_entries FROM b"""
+    o["llm_prompts"] = llm_prompts_sql()
+    key = "concat_ws('|', table_id, col_name, CAST(row_id AS VARCHAR))"
+    o["value_noise"] = f"""SELECT table_id, row_id, col_name, value, {noisy_sql('value', key, 0.05, 4)} AS noisy
+        FROM ({cells(['customer', 'part'], clean_text=False)}) WHERE kind = 'text'"""
+    o["make_pair"] = make_pair_sql("customer", SPECS["v5"])
+    o["pair_ground_truth"] = " UNION ALL ".join(
+        f"SELECT role, source_column, target_column, entity, spec FROM ({gt_sql(t, SPECS[sp], sp)})" for t, sp in [("customer", "v5"), ("part", "v3"), ("supplier", "v1")]
+    )
+    o["hard_negatives"] = f"""WITH gt AS ({entity_gt_sql()})
+        SELECT DISTINCT a.source_column, a.target_column, b.target_column AS negative
+        FROM gt a JOIN gt b ON a.role = b.role AND a.entity <> b.entity WHERE b.target_column <> a.target_column"""
+    o["triplets"] = f"""WITH gt AS ({entity_gt_sql()}),
+        hard AS (SELECT DISTINCT a.source_column, a.target_column, b.target_column AS negative, 0 AS prio
+                 FROM gt a JOIN gt b ON a.role = b.role AND a.entity <> b.entity WHERE b.target_column <> a.target_column),
+        tc AS (SELECT DISTINCT target_column AS negative FROM gt),
+        pos AS (SELECT DISTINCT source_column, target_column FROM gt),
+        oth AS (SELECT pos.source_column, pos.target_column, tc.negative, 1 AS prio FROM pos, tc WHERE tc.negative <> pos.target_column),
+        c AS (SELECT source_column, target_column, negative, min(prio) AS prio FROM (SELECT * FROM hard UNION ALL SELECT * FROM oth) GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY source_column, target_column ORDER BY prio, {U('source_column', 'target_column', 'negative')}, negative) AS rn FROM c)
+        SELECT source_column, target_column AS positive_target_col, negative AS negative_target_col, prio AS is_random FROM r WHERE rn <= 4"""
+    o["balanced_batches"] = f"""WITH it AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS label FROM embeddings),
+        idx AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS gidx, count(*) OVER (PARTITION BY label) AS gsize FROM it),
+        nb AS (SELECT (SELECT count(*) FROM it) // 16 AS n),
+        labs AS (SELECT DISTINCT label, gsize FROM idx),
+        bl AS (SELECT labs.*, b AS batch FROM labs, range(0, greatest((SELECT n FROM nb), 1)) r(b) WHERE (SELECT n FROM nb) > 0),
+        ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY {U(q('cls'), 'batch', 'label')}, label) AS r FROM bl) WHERE r <= 8 AND gsize >= 2),
+        d AS (SELECT ch.*, s AS slot FROM ch, range(0, 2) r(s)),
+        dd AS (SELECT batch, label, CAST((floor({U(q('i0'), 'batch', 'label')} * gsize) + slot * (floor({U(q('st'), 'batch', 'label')} * (gsize - 2 + 1)) + 1)) AS BIGINT) % gsize AS gidx FROM d)
+        SELECT dd.batch, dd.label, idx.id FROM dd JOIN idx USING (label, gidx)"""
+    o["triplet_loss"] = f"""WITH it AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS label FROM embeddings),
+        idx AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS gidx, count(*) OVER (PARTITION BY label) AS gsize FROM it),
+        labs AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS lidx, count(*) OVER () AS n_labels FROM (SELECT DISTINCT label FROM it)),
+        a AS (SELECT idx.id AS anchor, idx.label, idx.gidx, idx.gsize, labs.lidx, labs.n_labels FROM idx JOIN labs USING (label) WHERE gsize >= 2 AND n_labels >= 2),
+        a2 AS (SELECT anchor, label,
+                 CAST((gidx + 1 + floor({U(q('p'), 'anchor')} * (gsize - 1))) AS BIGINT) % gsize AS p_idx,
+                 CAST((lidx + 1 + floor({U(q('nl'), 'anchor')} * (n_labels - 1))) AS BIGINT) % n_labels AS n_lidx FROM a),
+        t AS (SELECT a2.anchor, p.id AS positive, nl.label AS n_label FROM a2 JOIN idx p ON p.label = a2.label AND p.gidx = a2.p_idx JOIN labs nl ON nl.lidx = a2.n_lidx),
+        ns AS (SELECT DISTINCT label AS n_label, gsize AS n_size FROM idx),
+        t2 AS (SELECT t.*, CAST(floor({U(q('n'), 'anchor')} * n_size) AS BIGINT) AS ngidx FROM t JOIN ns USING (n_label)),
+        tr AS (SELECT t2.anchor, t2.positive, n.id AS negative FROM t2 JOIN idx n ON n.label = t2.n_label AND n.gidx = t2.ngidx),
+        nv AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_reduce(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y), lambda p, q: p + q, 0.0))) AS v FROM embeddings),
+        dists AS (SELECT tr.anchor,
+                    sqrt(list_reduce(list_transform(list_zip(a.v, p.v), lambda z: (z[1] - z[2] + 1e-6) * (z[1] - z[2] + 1e-6)), lambda s, t: s + t, 0.0)) AS dap,
+                    sqrt(list_reduce(list_transform(list_zip(a.v, n.v), lambda z: (z[1] - z[2] + 1e-6) * (z[1] - z[2] + 1e-6)), lambda s, t: s + t, 0.0)) AS dan
+                  FROM tr JOIN nv a ON a.vec_id = tr.anchor JOIN nv p ON p.vec_id = tr.positive JOIN nv n ON n.vec_id = tr.negative)
+        SELECT round(avg(greatest(0.0, dap - dan + 0.2)), 6) AS loss, count(*) AS n_triplets FROM dists"""
+    o["sweep_pivot"] = f"""{PG},
+        gp AS (SELECT a.vec_id AS source, b.vec_id AS target FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - 1 AND a.label = b.label),
+        g AS (SELECT DISTINCT 'next_same_label' AS benchmark, source, target FROM gt UNION ALL SELECT DISTINCT 'prev_same_label', source, target FROM gp),
+        j AS (SELECT g.benchmark, p.rank FROM g LEFT JOIN preds p USING (source, target))
+        SELECT benchmark,
+          round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS top1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END), 6) AS top3,
+          round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS top5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS top10
+        FROM j GROUP BY benchmark"""
+    return o
+
+
+_oracles_3 = oracles
+
+
+def oracles() -> dict:  # noqa: F811
+    o = _oracles_3()
+    o.update(oracles_batch3())
+    return o

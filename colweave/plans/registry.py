@@ -404,3 +404,189 @@ def registry() -> dict:  # noqa: F811
     q = _registry_2()
     q["lineitem_profile"] = q_lineitem_profile
     return q
+
+
+# ---------------------------------------------------------------- training data, augmentation, judges
+from ..operators import benchgen as BG  # noqa: E402
+from ..operators import llm as LL  # noqa: E402
+from ..operators import traindata as TD  # noqa: E402
+from . import sweep as SW  # noqa: E402
+
+DV_TABLES = ["part", "orders", "customer"]
+
+
+def _distinct_values(spark, sf, names=DV_TABLES, limit_distinct=100, keep=50):
+    return TD.distinct_values(_vc(spark, sf, names), names, limit_distinct, keep)
+
+
+def q_distinct_values_json(spark, sf):
+    return TD.values_json(_distinct_values(spark, sf))
+
+
+def q_exact_augmentation(spark, sf):
+    a = TD.exact_augmentation(_distinct_values(spark, sf, ["customer", "supplier"]))
+    return a.select("col_name", "kind", "name", F.array_join("values", "|").alias("values"))
+
+
+def q_training_items(spark, sf):
+    a = TD.exact_augmentation(_distinct_values(spark, sf, ["customer", "supplier"]))
+    t = TD.training_items(a, "exact")
+    return t.select("class_id", "kind", "name", F.array_join("values", "|").alias("values"))
+
+
+def q_augmentation_prompts(spark, sf):
+    dv = _distinct_values(spark, sf, ["customer"])
+    kinds = _cells(spark, sf, ["customer"], clean=False).select("col_name", "kind").distinct()
+    lists = dv.groupBy("col_name").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("values")
+    ).join(kinds, "col_name").withColumn("is_text", F.col("kind") == "text")
+    return LL.augmentation_prompts(lists)
+
+
+def _assistant_turns(spark, sf):
+    prepare(spark)
+    c = spark.read.parquet(f"{sf}/conversations.parquet")
+    return c.filter(F.col("role") == "assistant").select("conv_id", "turn", "text")
+
+
+def q_augmentation_parse(spark, sf):
+    p = TD.parse_alternatives(_assistant_turns(spark, sf), "text")
+    return p.select("conv_id", "turn", "idx", "alt_name", F.size("values").alias("n_values"), F.array_join("values", "|").alias("values"))
+
+
+def q_llm_parse(spark, sf):
+    t = _assistant_turns(spark, sf).withColumn("_p", LL.parse_response(F.col("text")))
+    return t.select("conv_id", "turn", F.col("_p").isNotNull().alias("parsed"), F.coalesce(F.size("_p"), F.lit(0)).alias("n_entries"))
+
+
+def q_llm_prompts(spark, sf):
+    """Judge prompts for customer -> supplier with every target as candidate (language-model-only mode)."""
+    raw = _cells(spark, sf, ["customer", "supplier"], clean=False)
+    vc = profile.value_counts(raw)
+    samp = sampling.samples(vc, 10, "priority_sampling")
+    cols = raw.select("table_id", "col_name", "col_pos").distinct()
+    src = cols.filter(F.col("table_id") == "customer").select(F.col("table_id").alias("src_table"), F.col("col_name").alias("src_col"), F.lit("supplier").alias("tgt_table"))
+    tgt = cols.filter(F.col("table_id") == "supplier").select(F.col("table_id").alias("tgt_table"), F.col("col_name").alias("tgt_col"), (F.col("col_pos") + 1).alias("rank"))
+    cands = src.join(tgt, "tgt_table")
+    return LL.prompts(cands, samp).select("src_col", "prompt")
+
+
+def q_value_noise(spark, sf):
+    prepare(spark)
+    c = cells(load_catalog(spark, sf, ["customer", "part"]), clean=False).filter(F.col("kind") == "text")
+    key = F.concat_ws("|", F.col("table_id"), F.col("col_name"), F.col("row_id").cast("string"))
+    return c.select("table_id", "row_id", "col_name", "value", BG.noisy_text(F.col("value"), 0.05, 42, key, 4).alias("noisy"))
+
+
+def q_make_pair(spark, sf):
+    prepare(spark)
+    (t,) = load_catalog(spark, sf, ["customer"])
+    s, g, _ = BG.make_pair(t, BG.SPECS["v5"])
+    return BG.pair_cells(s, g)
+
+
+GT_ENTITIES = ["customer", "supplier", "part", "nation", "orders"]
+
+
+def _entity_gt(spark, sf):
+    """Ground truth of same-name pairs over several entities; role = name without the table prefix."""
+    cols = _data_columns(spark, sf, GT_ENTITIES)
+    gts = []
+    for t in load_catalog(spark, sf, GT_ENTITIES):
+        _, _, gt = BG.make_pair(t, BG.SPECS["v4"])
+        gts.append(gt)
+    gt = gts[0]
+    for g in gts[1:]:
+        gt = gt.unionByName(g)
+    gt = gt.join(cols.select(F.col("table_id").alias("entity"), F.col("col_name").alias("source_column")), ["entity", "source_column"], "left_semi")
+    return gt.withColumn("role", F.regexp_replace("role", "^[^_]*_", ""))
+
+
+def q_pair_ground_truth(spark, sf):
+    prepare(spark)
+    out = None
+    for name, spec in [("customer", "v5"), ("part", "v3"), ("supplier", "v1")]:
+        (t,) = load_catalog(spark, sf, [name])
+        _, _, gt = BG.make_pair(t, BG.SPECS[spec])
+        cols = _data_columns(spark, sf, [name]).select(F.col("col_name").alias("role"))
+        gt = gt.join(cols, "role", "left_semi").withColumn("spec", F.lit(spec))
+        out = gt if out is None else out.unionByName(gt)
+    return out
+
+
+def q_hard_negatives(spark, sf):
+    return TD.hard_negatives(_entity_gt(spark, sf))
+
+
+def q_triplets(spark, sf):
+    gt = _entity_gt(spark, sf)
+    targets = gt.select("target_column").distinct()
+    return TD.triplets(gt, targets, 4, 42)
+
+
+def q_balanced_batches(spark, sf):
+    v = _vecs(spark, sf)
+    return TD.balanced_batches(v.select("id", "label"), 16, 2, 42)
+
+
+def q_triplet_loss(spark, sf):
+    v = _vecs(spark, sf)
+    t = TD.embedding_triplets(v.select("id", "label"), 42)
+    return TD.triplet_loss(t, v).select(F.round("loss", R6).alias("loss"), "n_triplets")
+
+
+def _gt_prev(spark, sf):
+    v = _vecs(spark, sf)
+    a = v.select(F.col("id").alias("source"), F.col("label").alias("la"))
+    b = v.select((F.col("id") + 1).alias("source"), F.col("id").alias("target"), F.col("label").alias("lb"))
+    return a.join(b, "source").filter(F.col("la") == F.col("lb")).select("source", "target")
+
+
+SWEEP_K = [1, 3, 5, 10]
+
+
+def q_sweep_pivot(spark, sf):
+    p, g_next = _preds_gt(spark, sf)
+    long = SW.recall_sweep(p, {"next_same_label": g_next, "prev_same_label": _gt_prev(spark, sf)}, SWEEP_K)
+    piv = SW.pivot_metrics(long, [f"top{k}" for k in SWEEP_K])
+    return piv.select("benchmark", *[F.round(f"top{k}", R6).alias(f"top{k}") for k in SWEEP_K])
+
+
+def q_assignment_rescaled(spark, sf):
+    from .pipeline import MatchOptions, column_profile, column_texts
+    from .pipeline import _embedding_candidates
+    from ..operators.candidates import top_k
+    from ..operators.rerank import bipartite_rerank
+
+    prepare(spark)
+    tabs = load_catalog(spark, sf, ["customer", "supplier"])
+    opts = MatchOptions()
+    texts = column_texts(column_profile(tabs, opts), opts)
+    cands = _embedding_candidates(texts, {"customer"}, {"supplier"}, opts)
+    return bipartite_rerank(top_k(cands, opts.topk)).select("src_col", "tgt_col", "score", "assigned")
+
+
+_registry_3 = registry
+
+
+def registry() -> dict:  # noqa: F811
+    q = _registry_3()
+    q.update({
+        "distinct_values_json": q_distinct_values_json,
+        "exact_augmentation": q_exact_augmentation,
+        "training_items": q_training_items,
+        "augmentation_prompts": q_augmentation_prompts,
+        "augmentation_parse": q_augmentation_parse,
+        "llm_parse": q_llm_parse,
+        "llm_prompts": q_llm_prompts,
+        "value_noise": q_value_noise,
+        "make_pair": q_make_pair,
+        "pair_ground_truth": q_pair_ground_truth,
+        "hard_negatives": q_hard_negatives,
+        "triplets": q_triplets,
+        "balanced_batches": q_balanced_batches,
+        "triplet_loss": q_triplet_loss,
+        "sweep_pivot": q_sweep_pivot,
+        "assignment_rescaled": q_assignment_rescaled,
+    })
+    return q

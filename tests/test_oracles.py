@@ -26,6 +26,7 @@ def _rows(cols, rows):
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
+    c.execute("SET max_temp_directory_size='4GB'")
     for t in TABLES:
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     return c
