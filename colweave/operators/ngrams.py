@@ -17,22 +17,19 @@ from pyspark.sql import functions as F
 def char_ngrams(df: DataFrame, text_col: str, n_min: int, n_max: int) -> DataFrame:
     """Explode ``(…, n, gram)`` for every character n-gram of ``text_col``.
 
-    The grams are built as one array per row and only the array is exploded,
-    so the (possibly long) text is never copied into each generated row.
+    All overlapping n-grams of a text come from one regex pass (a zero-width
+    lookahead capturing n characters at every position), and only the array
+    of grams is exploded, so the text is never copied into generated rows.
     """
     t = F.regexp_replace(F.lower(F.col(text_col)), r"\s\s+", " ")
     keep = [c for c in df.columns if c != text_col]
-    # characters split once: slicing an array costs O(n) per gram, while substr
-    # on multi-byte UTF-8 text rescans from the start for every position
-    base = df.select(*keep, F.filter(F.split(t, ""), lambda x: x != "").alias("_c"))
+    base = df.select(*keep, t.alias("_t"))
 
-    def gram_at(n):
-        return lambda p: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(F.col("_c"), p, n), "").alias("gram"))
+    def grams(n):
+        found = F.regexp_extract_all(F.col("_t"), F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
+        return F.transform(found, lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
 
-    per_n = []
-    for n in range(n_min, n_max + 1):
-        grams = F.transform(F.sequence(F.lit(1), F.size("_c") - n + 1), gram_at(n))
-        per_n.append(F.when(F.size("_c") >= n, grams).otherwise(F.array().cast("array<struct<n:int,gram:string>>")))
+    per_n = [grams(n) for n in range(n_min, n_max + 1)]
     arr = per_n[0] if len(per_n) == 1 else F.flatten(F.array(*per_n))
     return base.select(*keep, F.explode(arr).alias("_g")).select(*keep, "_g.n", "_g.gram")
 

@@ -118,13 +118,13 @@ def _sparse_scores(L: pd.DataFrame, R: pd.DataFrame) -> np.ndarray:
     becomes a dense |L| x V matrix, and each right row's score is a gather of
     its nonzero columns summed with ``reduceat``.
     """
-    lt = [np.asarray(t, dtype=object) for t in L["terms"]]
-    rt = [np.asarray(t, dtype=object) for t in R["terms"]]
+    lt = [np.asarray(t) for t in L["terms"]]
+    rt = [np.asarray(t) for t in R["terms"]]
     lw = [np.asarray(w, dtype="float64") for w in L["weights"]]
     rw = [np.asarray(w, dtype="float64") for w in R["weights"]]
     l_len = np.array([len(t) for t in lt])
     r_len = np.array([len(t) for t in rt])
-    all_terms = np.concatenate(lt + rt) if (l_len.sum() + r_len.sum()) else np.array([], dtype=object)
+    all_terms = np.concatenate(lt + rt) if (l_len.sum() + r_len.sum()) else np.array([], dtype="int64")
     codes, _ = pd.factorize(all_terms)
     lc, rc = codes[: l_len.sum()], codes[l_len.sum():]
     V = int(codes.max()) + 1 if len(codes) else 1
@@ -165,7 +165,7 @@ def _local_topk_sparse(k: int, threshold: float | None, exclude_self: bool, by_g
 
 def sparse_topk(left: DataFrame, right: DataFrame, k: int, threshold: float | None = None,
                 exclude_self: bool = False, block_rows: int = 128, group_col: str | None = None) -> DataFrame:
-    """Top-k cosine of L2-normalised sparse vectors ``(id, terms ARRAY<STRING>, weights ARRAY<DOUBLE>)``.
+    """Top-k cosine of L2-normalised sparse vectors ``(id, terms ARRAY<BIGINT|STRING>, weights ARRAY<DOUBLE>)``.
 
     With ``group_col`` (present on both sides) the top-k is kept per (left item,
     right group) and items of the same group are never compared.
@@ -194,12 +194,14 @@ def tfidf_vectors(docs: DataFrame, id_col: str, text_col: str, n: int = 3) -> Da
     n_docs = d.count()  # one scalar to the driver
     g = char_ngrams(d, "t", n, n).select("id", "gram")
     tf = g.groupBy("id", "gram").agg(F.count(F.lit(1)).alias("tf"))
-    df_ = tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    # one row per distinct gram: its document frequency and a unique integer id,
+    # so block kernels move and factorise int64 arrays instead of strings
+    df_ = tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).withColumn("term_id", F.monotonically_increasing_id())
     w = tf.join(df_, "gram").withColumn(
         "w", F.col("tf") * (F.log(F.lit(1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0)
     )
     vec = w.groupBy("id").agg(
-        F.collect_list("gram").alias("terms"), F.collect_list("w").alias("weights")
+        F.collect_list("term_id").alias("terms"), F.collect_list("w").alias("weights")
     )
     norm = F.sqrt(F.aggregate(F.col("weights"), F.lit(0.0), lambda acc, x: acc + x * x))
     return vec.withColumn("weights", F.transform("weights", lambda x: x / norm))

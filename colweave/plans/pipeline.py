@@ -65,6 +65,9 @@ def column_profile(tabs: list[Table], opts: MatchOptions) -> DataFrame:
     """``(table_id, col_name, col_pos, kind, semantic_type, n_rows, n_distinct, samples)``."""
     c = cells(tabs, clean=False)
     vc_all = P.value_counts(c, keep_null=True, clean=True)
+    # read by the statistics and by every sampler branch: materialise once
+    # (reliable checkpoint) instead of rescanning the tables per branch
+    vc_all = cut_lineage(vc_all) if opts.checkpoint else vc_all
     stats = P.column_stats(vc_all)
     samp = S.samples(vc_all.filter(F.col("value").isNotNull()), opts.sampling_size, opts.sampling_mode)
     keys = ["table_id", "col_name", "col_pos", "kind"]

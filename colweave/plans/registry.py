@@ -95,7 +95,9 @@ SAMPLE_TABLES = ["part", "customer", "events"]
 
 def _sample_query(mode):
     def q(spark, sf):
-        vc = _vc(spark, sf, SAMPLE_TABLES)
+        from ..session import cut_lineage
+
+        vc = cut_lineage(_vc(spark, sf, SAMPLE_TABLES))  # read by several sampler branches
         s = sampling.samples(vc, n=10, mode=mode)
         return s.select("table_id", "col_name", F.array_join("samples", " | ").alias("samples"))
 
