@@ -29,6 +29,8 @@ SIMPLE_MODES = (
     "header_values_default_notype",
 )
 CONTEXT_MODES = ("table_context_target_values", "table_context_window_target_values")
+SPAN_MODES = ("table_context_window_span", "table_context_window_span_target_block")
+MARKER_MODES = ("table_context_window_starmie_marker", "table_context_window_starmie_structured")
 
 
 @dataclass(frozen=True)
@@ -38,6 +40,11 @@ class Tokens:
     eos: str = "</s>"
     marker_start: str = "<TARGET>"
     marker_end: str = "</TARGET>"
+    span_start: str = "<<TARGET_START>>"
+    span_end: str = "<<TARGET_END>>"
+    block_start: str = "<<TARGET_BLOCK_START>>"
+    block_end: str = "<<TARGET_BLOCK_END>>"
+    col_marker: str = "<<COL>>"
 
 
 def _lit(s: str) -> Column:
@@ -161,10 +168,90 @@ def context_text(mode: str, tok: Tokens = Tokens(), window: int | None = 7) -> C
     raise ValueError(f"unsupported context mode {mode!r}")
 
 
+def _window_lists(window: int | None):
+    start, end = window_bounds(F.col("col_pos"), F.col("n_cols"), window)
+    left = F.slice(F.col("headers"), start + 1, F.col("col_pos") - start)
+    right = F.slice(F.col("headers"), F.col("col_pos") + 2, F.greatest(end - F.col("col_pos") - 1, F.lit(0)))
+    none = lambda a: F.when(F.size(a) > 0, F.array_join(a, " | ")).otherwise(_lit("NONE"))
+    return start, end, none(left), none(right)
+
+
+def _values_text(sep: str) -> Column:
+    toks = _clean_tokens(F.coalesce(F.col("samples"), F.array().cast("array<string>")))
+    return F.when(F.size(toks) > 0, F.array_join(toks, sep)).otherwise(_lit("NONE"))
+
+
+def _span(text: Column, m_start: str, m_end: str) -> tuple[Column, Column]:
+    """Character span between two markers, surrounding spaces excluded (0-based, end exclusive)."""
+    s_idx = F.locate(m_start, text) - 1
+    e_idx = F.locate(m_end, text) - 1
+    after = F.call_function("substr", text, s_idx + len(m_start) + 1)
+    lead = F.length(F.regexp_extract(after, "^ *", 0))
+    before = F.call_function("substr", text, F.lit(1), e_idx)
+    trail = F.length(F.regexp_extract(before, " *$", 0))
+    return s_idx + len(m_start) + lead, e_idx - trail
+
+
+def span_text(mode: str, tok: Tokens = Tokens(), window: int | None = 7) -> tuple[Column, Column, Column]:
+    """Text and target span for the two span modes (FN-24, FN-25)."""
+    _, _, left, right = _window_lists(window)
+    h, y = F.col("col_name"), F.col("semantic_type")
+    if mode == "table_context_window_span":
+        text = F.concat(
+            _lit("Window Context. Left Columns: "), left, _lit(". Target Column Header: "),
+            _lit(tok.span_start + " "), h, _lit(" " + tok.span_end), _lit(". Right Columns: "), right,
+            _lit(". Target Column Type: "), y, _lit(". Target Sample Values: "), _values_text(" | "), _lit("."),
+        )
+        a, b = _span(text, tok.span_start, tok.span_end)
+    else:
+        block = F.concat(_lit("Target Column Header: "), h, _lit(". Target Column Type: "), y,
+                         _lit(". Target Sample Values: "), _values_text(" | "), _lit("."))
+        text = F.concat(
+            _lit("Window Context. Left Columns: "), left, _lit(". "), _lit(tok.block_start + " "), block,
+            _lit(" " + tok.block_end + ". Right Columns: "), right, _lit("."),
+        )
+        a, b = _span(text, tok.block_start, tok.block_end)
+    return text, a, b
+
+
+def _column_block(mode: str, tok: Tokens) -> Column:
+    h = F.col("col_name")
+    if mode == "table_context_window_starmie_marker":
+        toks = _clean_tokens(F.coalesce(F.col("samples"), F.array().cast("array<string>")))
+        return F.array_join(F.concat(F.array(_lit(tok.col_marker), h), toks), " | ")
+    return F.concat(_lit(tok.col_marker + " ; header = "), h, _lit(" ; type = "), F.col("semantic_type"),
+                    _lit(" ; values = "), _values_text(" ; "))
+
+
+def marker_texts(profile: DataFrame, mode: str, tok: Tokens = Tokens(), window: int | None = 7) -> DataFrame:
+    """Window of column blocks with one marker per column, plus the target's ordinal (FN-26, FN-27).
+
+    Each column's block is built once; a table's blocks are collected in
+    position order (schema-sized) and every column slices its window.
+    """
+    blocks = profile.withColumn("_blk", _column_block(mode, tok))
+    per_table = blocks.groupBy("table_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("col_pos", "_blk"))), lambda x: x["_blk"]).alias("_blocks")
+    )
+    j = profile.join(per_table, "table_id").withColumn("n_cols", F.size("_blocks"))
+    start, end = window_bounds(F.col("col_pos"), F.col("n_cols"), window)
+    win = F.slice(F.col("_blocks"), start + 1, end - start)
+    head = ["Window Table Representation."] if mode == "table_context_window_starmie_marker" else [
+        "Column Ordered Table Serialization.", "Each marker denotes one contextualized column representation."]
+    text = F.array_join(F.concat(F.array(*[_lit(x) for x in head]), win), "\n")
+    return j.select(*profile.columns, text.alias("text"), (F.col("col_pos") - start).alias("marker_ordinal")).drop("_blocks")
+
+
 def serialize(profile: DataFrame, mode: str, tok: Tokens = Tokens(), window: int | None = 7) -> DataFrame:
-    """``profile`` + ``text`` for any supported mode."""
+    """``profile`` + ``text`` (+ ``span_start``/``span_end`` or ``marker_ordinal``) for any supported mode."""
     if mode in SIMPLE_MODES:
         return profile.withColumn("text", simple_text(mode, tok))
     if mode in CONTEXT_MODES:
         return with_table_headers(profile).withColumn("text", context_text(mode, tok, window)).drop("headers", "n_cols")
-    raise ValueError(f"unsupported encoding mode {mode!r}; use one of {SIMPLE_MODES + CONTEXT_MODES}")
+    if mode in SPAN_MODES:
+        p = with_table_headers(profile)
+        text, a, b = span_text(mode, tok, window)
+        return p.withColumn("text", text).withColumn("span_start", a).withColumn("span_end", b).drop("headers", "n_cols")
+    if mode in MARKER_MODES:
+        return marker_texts(profile, mode, tok, window)
+    raise ValueError(f"unsupported encoding mode {mode!r}; use one of {SIMPLE_MODES + CONTEXT_MODES + SPAN_MODES + MARKER_MODES}")

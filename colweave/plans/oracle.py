@@ -683,3 +683,65 @@ def oracles() -> dict:  # noqa: F811
     o = _oracles_3()
     o.update(oracles_batch3())
     return o
+
+
+# ------------------------------------------------------------------ span / marker modes
+def _window_cte(w: int = 7) -> str:
+    lft, rgt = (w - 1) // 2, w - 1 - (w - 1) // 2
+    toks = f"list_filter(list_transform(v, lambda x: {STRIP.format(x='x')}), lambda x: x <> '')"
+    return f""",
+    toks AS (SELECT *, {toks} AS tk FROM p),
+    blk AS (SELECT *,
+        array_to_string(list_concat(['<<COL>>', col_name], tk), ' | ') AS b_marker,
+        '<<COL>> ; header = ' || col_name || ' ; type = ' || y || ' ; values = ' || CASE WHEN len(tk) > 0 THEN array_to_string(tk, ' ; ') ELSE 'NONE' END AS b_struct
+        FROM toks),
+    h AS (SELECT table_id, list(col_name ORDER BY col_pos) AS headers, list(b_marker ORDER BY col_pos) AS bm,
+                 list(b_struct ORDER BY col_pos) AS bs, count(*) AS n FROM blk GROUP BY table_id),
+    b AS (SELECT blk.*, headers, bm, bs, n, greatest(0, col_pos - {lft}) AS s0, least(n, col_pos + {rgt} + 1) AS e0 FROM blk JOIN h USING (table_id)),
+    b2 AS (SELECT *, {w} - (e0 - s0) AS miss FROM b),
+    b3 AS (SELECT *, greatest(0, s0 - miss) AS ns FROM b2),
+    b4 AS (SELECT *,
+        CASE WHEN {w} >= n THEN 0 WHEN miss > 0 THEN ns ELSE s0 END AS ws,
+        CASE WHEN {w} >= n THEN n WHEN miss > 0 THEN least(n, e0 + miss - (s0 - ns)) ELSE e0 END AS we FROM b3),
+    b5 AS (SELECT *,
+        CASE WHEN len(list_slice(headers, ws + 1, col_pos)) > 0 THEN array_to_string(list_slice(headers, ws + 1, col_pos), ' | ') ELSE 'NONE' END AS lt,
+        CASE WHEN len(list_slice(headers, col_pos + 2, we)) > 0 THEN array_to_string(list_slice(headers, col_pos + 2, we), ' | ') ELSE 'NONE' END AS rt,
+        CASE WHEN len(tk) > 0 THEN array_to_string(tk, ' | ') ELSE 'NONE' END AS vt FROM b4)"""
+
+
+def _span_sql(text: str, ms: str, me: str) -> str:
+    after = f"substr({text}, strpos({text}, {q(ms)}) + {len(ms)})"
+    before = f"substr({text}, 1, strpos({text}, {q(me)}) - 1)"
+    a = f"strpos({text}, {q(ms)}) - 1 + {len(ms)} + (length({after}) - length(ltrim({after}, ' ')))"
+    b = f"strpos({text}, {q(me)}) - 1 - (length({before}) - length(rtrim({before}, ' ')))"
+    return a, b
+
+
+def span_marker_sql(mode: str, tables=SER_TABLES) -> str:
+    base = profile_sql(tables) + _window_cte(7)
+    if mode == "table_context_window_span":
+        text = ("('Window Context. Left Columns: ' || lt || '. Target Column Header: <<TARGET_START>> ' || col_name || "
+                "' <<TARGET_END>>. Right Columns: ' || rt || '. Target Column Type: ' || y || '. Target Sample Values: ' || vt || '.')")
+        a, b = _span_sql("t", "<<TARGET_START>>", "<<TARGET_END>>")
+        return base + f", f AS (SELECT table_id, col_name, {text} AS t FROM b5) SELECT table_id, col_name, t AS text, {a} AS span_start, {b} AS span_end FROM f"
+    if mode == "table_context_window_span_target_block":
+        text = ("('Window Context. Left Columns: ' || lt || '. <<TARGET_BLOCK_START>> Target Column Header: ' || col_name || "
+                "'. Target Column Type: ' || y || '. Target Sample Values: ' || vt || '. <<TARGET_BLOCK_END>>. Right Columns: ' || rt || '.')")
+        a, b = _span_sql("t", "<<TARGET_BLOCK_START>>", "<<TARGET_BLOCK_END>>")
+        return base + f", f AS (SELECT table_id, col_name, {text} AS t FROM b5) SELECT table_id, col_name, t AS text, {a} AS span_start, {b} AS span_end FROM f"
+    if mode == "table_context_window_starmie_marker":
+        head, blocks = "['Window Table Representation.']", "bm"
+    else:
+        head, blocks = "['Column Ordered Table Serialization.', 'Each marker denotes one contextualized column representation.']", "bs"
+    return base + f" SELECT table_id, col_name, array_to_string(list_concat({head}, list_slice({blocks}, ws + 1, we)), chr(10)) AS text, col_pos - ws AS marker_ordinal FROM b5"
+
+
+_oracles_4 = oracles
+
+
+def oracles() -> dict:  # noqa: F811
+    o = _oracles_4()
+    for mode in ("table_context_window_span", "table_context_window_span_target_block",
+                 "table_context_window_starmie_marker", "table_context_window_starmie_structured"):
+        o[f"serialize_{mode}"] = span_marker_sql(mode)
+    return o

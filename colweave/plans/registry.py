@@ -160,8 +160,12 @@ def _profile(spark, sf, names):
 
 
 def _serialize_query(mode):
+    extra = {"span": ["span_start", "span_end"], "marker": ["marker_ordinal"]}
+
     def q(spark, sf):
-        return Z.serialize(_profile(spark, sf, SER_TABLES), mode).select("table_id", "col_name", "text")
+        out = Z.serialize(_profile(spark, sf, SER_TABLES), mode)
+        cols = extra["span"] if mode in Z.SPAN_MODES else extra["marker"] if mode in Z.MARKER_MODES else []
+        return out.select("table_id", "col_name", "text", *cols)
 
     q.__name__ = f"q_serialize_{mode}"
     return q
@@ -364,7 +368,7 @@ _base_registry = registry
 
 def registry() -> dict:  # noqa: F811
     q = _base_registry()
-    for mode in Z.SIMPLE_MODES + Z.CONTEXT_MODES:
+    for mode in Z.SIMPLE_MODES + Z.CONTEXT_MODES + Z.SPAN_MODES + Z.MARKER_MODES:
         q[f"serialize_{mode}"] = _serialize_query(mode)
     q.update({
         "equal_name_matches": q_equal_name_matches,
