@@ -110,3 +110,47 @@ def concat_blocks(tables: list[Table]) -> DataFrame:
         d = t.df.select(t.row_id().alias("row_id"), *[F.col(f"`{c}`").alias(f"{t.table_id}.{c}") for c in t.df.columns])
         out = d if out is None else out.join(d, "row_id", "full_outer")
     return out
+
+
+def augment_cells(cells_df: DataFrame, target_col: str, seed: int = 42) -> DataFrame:
+    """Row sub-sample, one column drop, cell blanking and row shuffle of one table in cell form (WIN-12).
+
+    ``cells_df``: ``(row_id, col_name, col_pos, value)`` of one table. Every draw is a
+    seeded hash. The row sample keeps exactly ``k`` rows with the smallest row
+    hashes: hashes are uniform, so fixed-width hash buckets hold bounded row
+    counts; the bucket of the k-th row is found from bucket totals and only
+    inside buckets are rows ranked.
+    """
+    from pyspark.sql import Window
+
+    u = lambda *p: seeded_unit(F.concat_ws("|", *[x if isinstance(x, Column) else F.lit(str(x)) for x in p]), seed)
+    rows = cells_df.select("row_id").distinct().withColumn("_h", u("row", F.col("row_id")))
+    n = rows.count()
+    spark = cells_df.sparkSession
+    flags = spark.range(1).select(
+        u("frac").alias("u_frac"), u("drop").alias("u_drop"), u("blank").alias("u_blank"),
+        u("rate").alias("u_rate"), u("shuffle").alias("u_shuffle"),
+    ).first()
+    k = n
+    if n > 12:
+        k = min(max(12, int(n * (0.55 + 0.35 * flags["u_frac"]))), n)
+    buckets = max(1, n // 100_000)
+    rows = rows.withColumn("_b", F.least(F.floor(F.col("_h") * buckets), F.lit(buckets - 1)))
+    counts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_bn"))
+    wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # over bucket totals only
+    counts = counts.withColumn("_off", F.coalesce(F.sum("_bn").over(wb), F.lit(0)))
+    wi = Window.partitionBy("_b").orderBy("_h", "row_id")
+    ranked = rows.join(counts, "_b").withColumn("_r", F.col("_off") + F.row_number().over(wi))
+    keep = ranked.filter(F.col("_r") <= k).select("row_id")
+    out = cells_df.join(keep, "row_id", "left_semi")
+    cols = cells_df.select("col_name", "col_pos").distinct().collect()  # schema-sized
+    if len(cols) > 3 and flags["u_drop"] < 0.6:
+        cand = sorted((c["col_name"] for c in cols if c["col_name"] != target_col),
+                      key=lambda c: hashlib.md5(f"{seed}|dropcol|{c}".encode()).hexdigest())
+        out = out.filter(F.col("col_name") != cand[0])
+    if flags["u_blank"] < 0.7:
+        rate = 0.05 + 0.10 * flags["u_rate"]
+        out = out.withColumn("value", F.when(u("cell", F.col("col_name"), F.col("row_id")) < rate, F.lit(None).cast("string")).otherwise(F.col("value")))
+    if flags["u_shuffle"] < 0.35:
+        out = out.withColumn("row_id", F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}|order"), F.col("row_id").cast("string"))), 1, 15), 16, 10).cast("long"))
+    return out

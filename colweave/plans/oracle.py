@@ -745,3 +745,30 @@ def oracles() -> dict:  # noqa: F811
                  "table_context_window_starmie_marker", "table_context_window_starmie_structured"):
         o[f"serialize_{mode}"] = span_marker_sql(mode)
     return o
+
+
+def augment_cells_sql() -> str:
+    u = lambda *parts: f"(('0x' || substr(md5('42:' || concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT / 4294967296.0)"
+    return f"""
+    WITH c AS (SELECT row_id, col_name, col_pos, value FROM ({cells(['customer'], clean_text=False)})),
+    f AS (SELECT {u(q('frac'))} AS u_frac, {u(q('drop'))} AS u_drop, {u(q('blank'))} AS u_blank, {u(q('rate'))} AS u_rate, {u(q('shuffle'))} AS u_shuffle),
+    r AS (SELECT DISTINCT row_id FROM c),
+    nn AS (SELECT count(*) AS n FROM r),
+    k AS (SELECT CASE WHEN n > 12 THEN least(greatest(12, CAST(floor(n * (0.55 + 0.35 * u_frac)) AS BIGINT)), n) ELSE n END AS k FROM nn, f),
+    keep AS (SELECT row_id FROM (SELECT row_id, row_number() OVER (ORDER BY {u(q('row'), 'CAST(row_id AS VARCHAR)')}, row_id) AS rk FROM r) WHERE rk <= (SELECT k FROM k)),
+    dropc AS (SELECT CASE WHEN (SELECT count(DISTINCT col_name) FROM c) > 3 AND (SELECT u_drop FROM f) < 0.6
+                 THEN (SELECT col_name FROM (SELECT DISTINCT col_name FROM c) WHERE col_name <> 'c_name' ORDER BY md5('42|dropcol|' || col_name) LIMIT 1) END AS d),
+    o AS (SELECT c.* FROM c JOIN keep USING (row_id) WHERE c.col_name IS DISTINCT FROM (SELECT d FROM dropc)),
+    b AS (SELECT row_id, col_name,
+            CASE WHEN (SELECT u_blank FROM f) < 0.7 AND {u(q('cell'), 'col_name', 'CAST(row_id AS VARCHAR)')} < 0.05 + 0.10 * (SELECT u_rate FROM f) THEN NULL ELSE value END AS value FROM o)
+    SELECT CASE WHEN (SELECT u_shuffle FROM f) < 0.35 THEN ('0x' || substr(md5('42|order|' || CAST(row_id AS VARCHAR)), 1, 15))::BIGINT ELSE row_id END AS row_id,
+      col_name, value FROM b"""
+
+
+_oracles_5 = oracles
+
+
+def oracles() -> dict:  # noqa: F811
+    o = _oracles_5()
+    o["augment_cells"] = augment_cells_sql()
+    return o
