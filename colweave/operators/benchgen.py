@@ -34,12 +34,13 @@ class PairSpec:
     min_len: int = 4
     seed: int = 42
     shuffle: bool = True
+    header_noise: float = 0.0  # probability of a one-character typo in a source header
 
 
 # Six flavours after the published generators: same-name, generic/noisy, opaque x4.
 SPECS = {
     "v1": PairSpec("v1", None, None, 0.05, 0.0, 5),
-    "v2": PairSpec("v2", None, "col_", 0.08, 0.0, 4),
+    "v2": PairSpec("v2", None, "col_", 0.08, 0.0, 4, header_noise=0.2),
     "v3": PairSpec("v3", "c", "t", 0.04, 0.04, 4),
     "v4": PairSpec("v4", None, None, 0.05, 0.05, 4),
     "v5": PairSpec("v5", "s", "t", 0.04, 0.04, 4),
@@ -51,10 +52,23 @@ def _h(seed: int, *parts) -> str:
     return hashlib.md5(("|".join([str(seed), *map(str, parts)])).encode()).hexdigest()
 
 
-def header_plan(names: list[str], side: str, prefix: str | None, seed: int, shuffle: bool) -> list[tuple[str, str]]:
+def _unit(seed: int, *parts) -> float:
+    return int(_h(seed, *parts)[:8], 16) / 4294967296.0
+
+
+def header_typo(name: str, p: float, seed: int, side: str) -> str:
+    """With probability ``p`` replace one character of a header (schema-sized, computed on the driver)."""
+    if p <= 0 or not name or _unit(seed, "hdr", side, name) >= p:
+        return name
+    pos = int(_unit(seed, "hdrpos", side, name) * len(name))
+    ch = ALPHABET[int(_unit(seed, "hdrchr", side, name) * len(ALPHABET))]
+    return name[:pos] + ch + name[pos + 1:]
+
+
+def header_plan(names: list[str], side: str, prefix: str | None, seed: int, shuffle: bool, typo_p: float = 0.0) -> list[tuple[str, str]]:
     """``[(original, new)]`` in output column order (PRJ-4, PRJ-5)."""
     order = sorted(names, key=lambda n: (_h(seed, side, n), n)) if shuffle else list(names)
-    return [(n, f"{prefix}{i + 1}" if prefix else n) for i, n in enumerate(order)]
+    return [(n, f"{prefix}{i + 1}" if prefix else header_typo(n, typo_p, seed, side)) for i, n in enumerate(order)]
 
 
 def noisy_text(v: Column, p: float, seed: int, key: Column, min_len: int) -> Column:
@@ -70,7 +84,7 @@ def noisy_text(v: Column, p: float, seed: int, key: Column, min_len: int) -> Col
 
 def _side(t: Table, side: str, prefix: str | None, p: float, spec: PairSpec) -> tuple[DataFrame, list[tuple[str, str]]]:
     fields = {f.name: f.dataType for f in t.df.schema.fields}
-    plan = header_plan(list(fields), side, prefix, spec.seed, spec.shuffle)
+    plan = header_plan(list(fields), side, prefix, spec.seed, spec.shuffle, spec.header_noise if side == "source" else 0.0)
     rid = t.row_id().cast("string")
     cols = []
     for orig, new in plan:
@@ -93,6 +107,32 @@ def make_pair(t: Table, spec: PairSpec) -> tuple[DataFrame, DataFrame, DataFrame
     return src, tgt, gt
 
 
+def fuzzy_ground_truth(src_headers: DataFrame, originals: DataFrame) -> DataFrame:
+    """Ground truth by header resemblance (JOIN-13).
+
+    ``src_headers``: ``(spos, source_column)`` in source order; ``originals``:
+    ``(opos, original_column, base, target_column)``. The match is the first
+    source header containing the first three characters of ``base`` (which
+    also covers "contains ``base``"), else the source header at the original's
+    position. Candidates come from an equi-join of the stem with the headers'
+    own n-grams (exact blocking, no theta join).
+    """
+    from pyspark.sql import Window
+
+    grams = None
+    for n in (1, 2, 3):
+        g = src_headers.select("spos", "source_column", F.explode(F.regexp_extract_all("source_column", F.lit(f"(?s)(?=(.{{{n}}}))"), 1)).alias("gram"))
+        grams = g if grams is None else grams.unionByName(g)
+    grams = grams.distinct()
+    o = originals.withColumn("stem", F.substring("base", 1, 3))
+    cand = o.join(grams, o["stem"] == grams["gram"]).select("opos", "original_column", "spos", "source_column")
+    w = Window.partitionBy("original_column").orderBy("spos")
+    first = cand.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("original_column", F.col("source_column").alias("_found"))
+    positional = src_headers.select(F.col("spos").alias("opos"), F.col("source_column").alias("_pos_col"))
+    j = o.join(first, "original_column", "left").join(positional, "opos", "left")
+    return j.select("original_column", F.coalesce("_found", "_pos_col").alias("source_column"), "target_column")
+
+
 def pair_cells(src: DataFrame, tgt: DataFrame) -> DataFrame:
     """Long form of both sides: ``(side, row_id, col_name, value)``."""
     def long(df, side):

@@ -772,3 +772,31 @@ def oracles() -> dict:  # noqa: F811
     o = _oracles_5()
     o["augment_cells"] = augment_cells_sql()
     return o
+
+
+def fuzzy_gt_sql(tables=("customer", "part", "orders")) -> str:
+    unit = lambda s: f"(('0x' || substr(md5({s}), 1, 8))::BIGINT / 4294967296.0)"
+    parts = []
+    for t in tables:
+        names = " UNION ALL ".join(f"SELECT {q(c)} AS orig, {i} AS opos" for i, (c, _) in enumerate(SCHEMAS[t]))
+        typo = (f"CASE WHEN {unit(chr(39) + '42|hdr|source|' + chr(39) + ' || orig')} < 0.2 THEN "
+                f"substr(orig, 1, CAST(floor({unit(chr(39) + '42|hdrpos|source|' + chr(39) + ' || orig')} * length(orig)) AS BIGINT)) || "
+                f"substr({q(ALPHA36)}, CAST(floor({unit(chr(39) + '42|hdrchr|source|' + chr(39) + ' || orig')} * 36) AS BIGINT) + 1, 1) || "
+                f"substr(orig, CAST(floor({unit(chr(39) + '42|hdrpos|source|' + chr(39) + ' || orig')} * length(orig)) AS BIGINT) + 2) ELSE orig END")
+        parts.append(f"""SELECT * FROM (
+            WITH n AS ({names}),
+            s AS (SELECT orig, opos, row_number() OVER (ORDER BY md5('42|source|' || orig), orig) - 1 AS spos, {typo} AS source_column FROM n),
+            tg AS (SELECT orig, 'col_' || CAST(row_number() OVER (ORDER BY md5('42|target|' || orig), orig) AS VARCHAR) AS target_column FROM n),
+            f AS (SELECT n.orig, arg_min(s.source_column, s.spos) AS found FROM n JOIN s ON contains(s.source_column, substr(n.orig, 1, 3)) GROUP BY n.orig)
+            SELECT n.orig AS original_column, coalesce(f.found, sp.source_column) AS source_column, tg.target_column, {q(t)} AS entity
+            FROM n LEFT JOIN f USING (orig) LEFT JOIN s sp ON sp.spos = n.opos JOIN tg USING (orig))""")
+    return " UNION ALL ".join(parts)
+
+
+_oracles_6 = oracles
+
+
+def oracles() -> dict:  # noqa: F811
+    o = _oracles_6()
+    o["fuzzy_ground_truth"] = fuzzy_gt_sql()
+    return o

@@ -610,3 +610,31 @@ def registry() -> dict:  # noqa: F811
     q = _registry_4()
     q["augment_cells"] = q_augment_cells
     return q
+
+
+FUZZY_GT_TABLES = ["customer", "part", "orders"]
+
+
+def q_fuzzy_ground_truth(spark, sf):
+    """Ground truth of v2-style pairs (typo headers vs generic headers) found by header resemblance."""
+    prepare(spark)
+    out = None
+    for t in load_catalog(spark, sf, FUZZY_GT_TABLES):
+        src, tgt, gt = BG.make_pair(t, BG.SPECS["v2"])
+        heads = spark.createDataFrame([(i, c) for i, c in enumerate(c for c in src.columns if c != "row_id")], "spos int, source_column string")
+        cols = _data_columns(spark, sf, [t.table_id])
+        orig = gt.join(cols.select(F.col("col_name").alias("role"), F.col("col_pos").alias("opos")), "role").select(
+            "opos", F.col("role").alias("original_column"), F.col("role").alias("base"), "target_column"
+        )
+        g = BG.fuzzy_ground_truth(heads, orig).withColumn("entity", F.lit(t.table_id))
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+_registry_5 = registry
+
+
+def registry() -> dict:  # noqa: F811
+    q = _registry_5()
+    q["fuzzy_ground_truth"] = q_fuzzy_ground_truth
+    return q
