@@ -97,13 +97,13 @@ def _side(t: Table, side: str, prefix: str | None, p: float, spec: PairSpec) ->
 
 
 def make_pair(t: Table, spec: PairSpec) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(source, target, ground_truth)``; ground truth rows ``(source_column, target_column, entity, role)`` (JOIN-12)."""
+    """``(source, target, ground_truth)``; ground truth rows ``(source_column, target_column, entity, role, pair_id)`` (JOIN-12)."""
     src, splan = _side(t, "source", spec.src_prefix, spec.src_noise, spec)
     tgt, tplan = _side(t, "target", spec.tgt_prefix, spec.tgt_noise, spec)
     s_map = dict(splan)
     t_map = dict(tplan)
-    gt_rows = [(s_map[o], t_map[o], t.table_id, o) for o, _ in splan]
-    gt = src.sparkSession.createDataFrame(gt_rows, "source_column string, target_column string, entity string, role string")
+    gt_rows = [(s_map[o], t_map[o], t.table_id, o, t.table_id) for o, _ in splan]
+    gt = src.sparkSession.createDataFrame(gt_rows, "source_column string, target_column string, entity string, role string, pair_id string")
     return src, tgt, gt
 
 
@@ -147,7 +147,7 @@ def concat_blocks(tables: list[Table]) -> DataFrame:
     """Horizontal block concat (PRJ-6) of tables sharing a row key: equi-join on ``row_id``."""
     out = None
     for t in tables:
-        d = t.df.select(t.row_id().alias("row_id"), *[F.col(f"`{c}`").alias(f"{t.table_id}.{c}") for c in t.df.columns])
+        d = t.df.select(t.row_id().alias("row_id"), *[F.col(f"`{c}`") for c in t.df.columns])
         out = d if out is None else out.join(d, "row_id", "full_outer")
     return out
 

@@ -149,9 +149,13 @@ def hard_negatives(gt: DataFrame) -> DataFrame:
     ``gt``: ``(source_column, target_column, role[, entity][, block][, semantic_column])``.
     """
     extra = [c for c in ("entity", "block", "semantic_column") if c in gt.columns]
+    same_pair = "pair_id" in gt.columns
     a = gt.alias("a")
-    b = gt.select(F.col("role").alias("b_role"), *[F.col(c).alias(f"b_{c}") for c in extra], F.col("target_column").alias("negative"))
+    b = gt.select(F.col("role").alias("b_role"), *([F.col("pair_id").alias("b_pair")] if same_pair else []),
+                  *[F.col(c).alias(f"b_{c}") for c in extra], F.col("target_column").alias("negative"))
     cond = F.col("a.role") == F.col("b_role")
+    if same_pair:
+        cond = cond & (F.col("a.pair_id") == F.col("b_pair"))
     j = a.join(b, cond)
     for c in extra:
         j = j.filter(F.col(f"a.{c}") != F.col(f"b_{c}"))
@@ -162,14 +166,16 @@ def hard_negatives(gt: DataFrame) -> DataFrame:
 def triplets(gt: DataFrame, target_columns: DataFrame, n_neg: int = 4, seed: int = 42) -> DataFrame:
     """Up to ``n_neg`` negatives per positive: hard ones first, then other target columns (WIN-11).
 
-    ``target_columns``: ``(target_column)``. Draw order is a seeded hash.
+    ``gt`` and ``target_columns`` carry ``pair_id`` (one source/target table pair);
+    ``target_columns``: ``(pair_id, target_column)``. Draw order is a seeded hash.
     Group sizes here are schema widths (columns of one target table).
     """
     hard = hard_negatives(gt).withColumn("_prio", F.lit(0))
-    pos = gt.select("source_column", "target_column").distinct()
-    # every other column of the target table is a candidate (schema-sized group)
-    tc = target_columns.select(F.lit(1).alias("_t"), F.col("target_column").alias("negative"))
-    other = pos.withColumn("_t", F.lit(1)).join(tc, "_t").drop("_t").filter(F.col("negative") != F.col("target_column"))
+    pos = gt.select("pair_id", "source_column", "target_column").distinct()
+    # every other column of the pair's target table is a candidate (schema-sized group),
+    # joined on the pair id carried as data
+    tc = target_columns.select("pair_id", F.col("target_column").alias("negative"))
+    other = pos.join(tc, "pair_id").drop("pair_id").filter(F.col("negative") != F.col("target_column"))
     other = other.withColumn("_prio", F.lit(1))
     cand = hard.unionByName(other)
     cand = cand.groupBy("source_column", "target_column", "negative").agg(F.min("_prio").alias("_prio"))
@@ -222,8 +228,11 @@ def balanced_batches(items: DataFrame, batch_size: int = 16, per_class: int = 2,
 def embedding_triplets(vecs: DataFrame, seed: int = 42) -> DataFrame:
     """One (anchor, positive, negative) per item: positive another item of its label, negative an item of another label."""
     idx = dense_index(vecs.select("id", "label"), "label", "id")
-    labs = dense_index(idx.select("label").distinct().withColumn("_one", F.lit(0)), "_one", "label").select(
-        "label", F.col("gidx").alias("lidx"), F.col("gsize").alias("n_labels")
+    # label ordinals over the distinct labels only (one row per class)
+    distinct = idx.select("label").distinct()
+    labs = distinct.select(
+        "label", (F.dense_rank().over(Window.orderBy("label")) - 1).cast("long").alias("lidx"),
+        F.count(F.lit(1)).over(Window.partitionBy()).alias("n_labels"),
     )
     a = idx.join(labs, "label").filter(F.col("gsize") >= 2).filter(F.col("n_labels") >= 2)
     pidx = F.pmod(F.col("gidx") + 1 + F.floor(_u(seed, "p", F.col("id")) * (F.col("gsize") - 1)).cast("long"), F.col("gsize"))

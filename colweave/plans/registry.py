@@ -471,8 +471,10 @@ def q_llm_prompts(spark, sf):
     vc = profile.value_counts(raw)
     samp = sampling.samples(vc, 10, "priority_sampling")
     cols = raw.select("table_id", "col_name", "col_pos").distinct()
-    src = cols.filter(F.col("table_id") == "customer").select(F.col("table_id").alias("src_table"), F.col("col_name").alias("src_col"), F.lit("supplier").alias("tgt_table"))
-    tgt = cols.filter(F.col("table_id") == "supplier").select(F.col("table_id").alias("tgt_table"), F.col("col_name").alias("tgt_col"), (F.col("col_pos") + 1).alias("rank"))
+    pairs = _pairs_df(spark, [("customer", "supplier")])
+    src = cols.select(F.col("table_id").alias("src_table"), F.col("col_name").alias("src_col")).join(pairs, "src_table")
+    tgt = cols.select(F.col("table_id").alias("tgt_table"), F.col("col_name").alias("tgt_col"), (F.col("col_pos") + 1).alias("rank"))
+    # every target column of the pair is a candidate: equi-join on the target table id (schema-sized)
     cands = src.join(tgt, "tgt_table")
     return LL.prompts(cands, samp).select("src_col", "prompt")
 
@@ -496,15 +498,15 @@ GT_ENTITIES = ["customer", "supplier", "part", "nation", "orders"]
 
 def _entity_gt(spark, sf):
     """Ground truth of same-name pairs over several entities; role = name without the table prefix."""
-    cols = _data_columns(spark, sf, GT_ENTITIES)
-    gts = []
-    for t in load_catalog(spark, sf, GT_ENTITIES):
-        _, _, gt = BG.make_pair(t, BG.SPECS["v4"])
-        gts.append(gt)
-    gt = gts[0]
-    for g in gts[1:]:
-        gt = gt.unionByName(g)
-    gt = gt.join(cols.select(F.col("table_id").alias("entity"), F.col("col_name").alias("source_column")), ["entity", "source_column"], "left_semi")
+    # one pair whose tables are entity blocks side by side (v4 shape): block concat on the row key
+    from ..sources.catalog import Table
+
+    tabs = load_catalog(spark, sf, GT_ENTITIES)
+    wide = Table("entities", BG.concat_blocks(tabs), "row_id")
+    _, _, gt = BG.make_pair(wide, BG.SPECS["v4"])
+    gt = gt.filter(F.col("role") != "row_id")
+    owner = _data_columns(spark, sf, GT_ENTITIES).select(F.col("table_id").alias("_entity"), F.col("col_name").alias("role"))
+    gt = gt.join(owner, "role").withColumn("entity", F.col("_entity")).drop("_entity")
     return gt.withColumn("role", F.regexp_replace("role", "^[^_]*_", ""))
 
 
@@ -515,7 +517,7 @@ def q_pair_ground_truth(spark, sf):
         (t,) = load_catalog(spark, sf, [name])
         _, _, gt = BG.make_pair(t, BG.SPECS[spec])
         cols = _data_columns(spark, sf, [name]).select(F.col("col_name").alias("role"))
-        gt = gt.join(cols, "role", "left_semi").withColumn("spec", F.lit(spec))
+        gt = gt.join(cols, "role", "left_semi").withColumn("spec", F.lit(spec)).drop("pair_id")
         out = gt if out is None else out.unionByName(gt)
     return out
 
@@ -526,7 +528,7 @@ def q_hard_negatives(spark, sf):
 
 def q_triplets(spark, sf):
     gt = _entity_gt(spark, sf)
-    targets = gt.select("target_column").distinct()
+    targets = gt.select("pair_id", "target_column").distinct()
     return TD.triplets(gt, targets, 4, 42)
 
 

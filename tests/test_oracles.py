@@ -55,3 +55,19 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() >= 0
     assert set(df.columns) >= {"src_col", "tgt_col", "score"}
+
+
+def _all_names():
+    import __spark_entry__ as E
+
+    return sorted(E.queries())
+
+
+@pytest.mark.parametrize("name", _all_names())
+def test_plan_has_no_cartesian_join(spark, name):
+    """No registered query may plan a cartesian product or a nested-loop join."""
+    import __spark_entry__ as E
+
+    df = E.queries()[name](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
