@@ -235,3 +235,78 @@ def contrastive_loss(vecs: DataFrame, temperature: float = 0.5) -> DataFrame:
         F.sum("s_all").alias("s_all"), F.sum("s_pos").alias("s_pos")
     )
     return sums.agg(F.avg(-F.log(F.col("s_pos") / F.col("s_all"))).alias("loss"))
+
+
+# ---- recall at ground truth: exact per-row selection in two histogram passes ----
+
+def _hist_kernel(bins: int):
+    def k(L, R, S):
+        if S is None:
+            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "bin": pd.Series([], dtype="int32"), "cnt": pd.Series([], dtype="int64")})
+        S = np.round(S, 12)
+        other = L["id"].to_numpy()[:, None] != R["id"].to_numpy()[None, :]
+        b = np.clip(np.floor((S + 1.0) / 2.0 * bins), 0, bins - 1).astype("int64")
+        ids, bs, cs = [], [], []
+        for i in range(S.shape[0]):
+            cnt = np.bincount(b[i][other[i]], minlength=bins)
+            nz = np.nonzero(cnt)[0]
+            ids.append(np.full(len(nz), L["id"].iat[i])); bs.append(nz); cs.append(cnt[nz])
+        return pd.DataFrame({"id": np.concatenate(ids).astype("int64"), "bin": np.concatenate(bs).astype("int32"), "cnt": np.concatenate(cs).astype("int64")})
+
+    return k
+
+
+def _boundary_kernel(bins: int):
+    """Positives above the boundary bin (counted) and every item inside it (listed)."""
+    def k(L, R, S):
+        empty = pd.DataFrame({"id": pd.Series([], dtype="int64"), "sim": pd.Series([], dtype="float64"),
+                              "rid": pd.Series([], dtype="int64"), "is_pos": pd.Series([], dtype="int32"), "n_pos_above": pd.Series([], dtype="int64")})
+        if S is None:
+            return empty
+        S = np.round(S, 12)
+        lid, rid = L["id"].to_numpy(), R["id"].to_numpy()
+        other = lid[:, None] != rid[None, :]
+        same = (L["label"].to_numpy()[:, None] == R["label"].to_numpy()[None, :]) & other
+        b = np.clip(np.floor((S + 1.0) / 2.0 * bins), 0, bins - 1).astype("int64")
+        bstar = L["aux"].to_numpy().astype("int64")[:, None]
+        above = (same & (b > bstar)).sum(axis=1)
+        ii, jj = np.nonzero(other & (b == bstar))
+        rows = pd.DataFrame({"id": lid[ii].astype("int64"), "sim": S[ii, jj], "rid": rid[jj].astype("int64"),
+                             "is_pos": same[ii, jj].astype("int32"), "n_pos_above": np.zeros(len(ii), dtype="int64")})
+        counts = pd.DataFrame({"id": lid.astype("int64"), "sim": np.nan, "rid": np.int64(-1), "is_pos": np.int32(0), "n_pos_above": above.astype("int64")})
+        return pd.concat([rows, counts], ignore_index=True)
+
+    return k
+
+
+def recall_at_ground_truth(vecs: DataFrame, bins: int = 4096) -> DataFrame:
+    """Same-label items among each item's (class size - 1) nearest others, summed over sum of (class size - 1) (AGG-18).
+
+    Singleton classes are skipped. The (class size - 1)-th similarity of each
+    row is located exactly without sorting whole rows: pass 1 builds per-row
+    histograms block by block (at most ``bins`` rows per item), a window over
+    each item's bins finds the boundary bin and the count above it; pass 2
+    counts positives above that bin and lists only the items inside it,
+    which are then ranked (score rounded to 12 decimals, then id).
+    """
+    v = vecs.select("id", "vec", "label")
+    sizes = v.groupBy("label").agg(F.count(F.lit(1)).alias("csize"))
+    items = v.join(sizes, "label").withColumn("k", F.col("csize") - 1).filter(F.col("k") > 0)
+    hist = dense_block_apply(items.select("id", "vec", "label"), v, _hist_kernel(bins), "id long, bin int, cnt long")
+    hist = hist.groupBy("id", "bin").agg(F.sum("cnt").alias("cnt"))
+    w = Window.partitionBy("id").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    cum = hist.withColumn("cum", F.sum("cnt").over(w)).join(items.select("id", "k"), "id")
+    bound = cum.filter((F.col("cum") >= F.col("k")) & (F.col("cum") - F.col("cnt") < F.col("k"))).select(
+        "id", F.col("bin").alias("bstar"), (F.col("cum") - F.col("cnt")).alias("n_above"), "k"
+    )
+    left = items.join(bound, "id").select("id", "vec", "label", F.col("bstar").cast("double").alias("aux"))
+    part = dense_block_apply(left, v, _boundary_kernel(bins), "id long, sim double, rid long, is_pos int, n_pos_above long")
+    pos_above = part.groupBy("id").agg(F.sum("n_pos_above").alias("pos_above"))
+    inbin = part.filter(F.col("rid") >= 0).join(bound.select("id", "n_above", "k"), "id")
+    wr = Window.partitionBy("id").orderBy(F.col("sim").desc(), F.col("rid").asc())
+    taken = inbin.withColumn("_r", F.row_number().over(wr)).filter(F.col("_r") <= F.col("k") - F.col("n_above"))
+    pos_in = taken.groupBy("id").agg(F.sum("is_pos").alias("pos_in"))
+    per = bound.join(pos_above, "id").join(pos_in, "id", "left")
+    return per.agg(
+        F.coalesce(F.try_divide(F.sum(F.col("pos_above") + F.coalesce("pos_in", F.lit(0))), F.sum("k")), F.lit(0.0)).alias("recall_at_gt")
+    )

@@ -800,3 +800,18 @@ def oracles() -> dict:  # noqa: F811
     o = _oracles_6()
     o["fuzzy_ground_truth"] = fuzzy_gt_sql()
     return o
+
+
+_oracles_7 = oracles
+
+
+def oracles() -> dict:  # noqa: F811
+    o = _oracles_7()
+    o["recall_at_gt"] = f"""WITH {EMB},
+        sz AS (SELECT label, count(*) - 1 AS k FROM lab GROUP BY label),
+        r AS (SELECT s.src, s.tgt, row_number() OVER (PARTITION BY s.src ORDER BY round(s.score, 12) DESC, s.tgt) AS rn FROM sims s),
+        a AS (SELECT l.vec_id AS src, l.label, sz.k FROM lab l JOIN sz USING (label) WHERE sz.k > 0),
+        h AS (SELECT a.src, a.k, count(*) FILTER (WHERE r.rn <= a.k AND lt.label = a.label) AS hits
+              FROM a JOIN r ON r.src = a.src JOIN lab lt ON lt.vec_id = r.tgt GROUP BY a.src, a.k)
+        SELECT round(coalesce(sum(hits) / sum(k), 0.0), 6) AS recall_at_gt FROM h"""
+    return o

@@ -640,3 +640,16 @@ def registry() -> dict:  # noqa: F811
     q = _registry_5()
     q["fuzzy_ground_truth"] = q_fuzzy_ground_truth
     return q
+
+
+def q_recall_at_gt(spark, sf):
+    return EV.recall_at_ground_truth(_vecs(spark, sf)).select(F.round("recall_at_gt", R6).alias("recall_at_gt"))
+
+
+_registry_6 = registry
+
+
+def registry() -> dict:  # noqa: F811
+    q = _registry_6()
+    q["recall_at_gt"] = q_recall_at_gt
+    return q
