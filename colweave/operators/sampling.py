@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import md5_unit, seeded_unit
+from ..functions.hashing import md5_unit, murmur3_fraction, seeded_unit
 from ..sources.catalog import TEXT
 
 MODES = ("random", "frequent", "mixed", "weighted", "priority_sampling", "consistent_sampling")
@@ -59,7 +59,14 @@ def first_appearance_rank(vc: DataFrame, width: int = BUCKET_WIDTH) -> DataFrame
     return ranked.drop("_bkt", "_bn", "_off")
 
 
-def sample_rows(vc: DataFrame, n: int = 10, mode: str = "mixed", seed: int = 42) -> DataFrame:
+def _hash_fraction(hash_fn: str):
+    """Uniform fraction of a value: md5 (SQL-checkable) or exact golden-ratio murmur3 (seed 42)."""
+    if hash_fn == "murmur3":
+        return murmur3_fraction(F.col("value"))
+    return md5_unit(F.col("value"))
+
+
+def sample_rows(vc: DataFrame, n: int = 10, mode: str = "mixed", seed: int = 42, hash_fn: str = "md5") -> DataFrame:
     """Selected rows plus an ``_ord`` struct that orders them in the output list."""
     if mode not in MODES:
         raise ValueError(f"unsupported sampling mode {mode!r}; use one of {MODES}")
@@ -88,17 +95,19 @@ def sample_rows(vc: DataFrame, n: int = 10, mode: str = "mixed", seed: int = 42)
         key = -F.log(F.greatest(seeded_unit(F.col("value"), seed), F.lit(1e-12))) / F.col("cnt")
         sel = _top_n(big, n, key.asc(), F.col("value")).withColumn("_ord", F.struct(key, F.col("value")))
     elif mode == "priority_sampling":
-        prio = F.col("cnt") / F.greatest(md5_unit(F.col("value")), F.lit(1e-12))
+        big = big.withColumn("_frac", _hash_fraction(hash_fn))
+        prio = F.col("cnt") / F.greatest(F.col("_frac"), F.lit(1e-12))
         sel = _top_n(big, n, prio.desc(), F.col("value")).withColumn("_ord", F.struct(-prio, F.col("value")))
     else:  # consistent_sampling
-        frac = md5_unit(F.col("value"))
+        big = big.withColumn("_frac", _hash_fraction(hash_fn))
+        frac = F.col("_frac")
         sel = _top_n(big, n, frac.desc(), F.col("value")).withColumn("_ord", F.struct(-frac, F.col("value")))
     return small.unionByName(sel.select(*small.columns))
 
 
-def samples(vc: DataFrame, n: int = 10, mode: str = "mixed", seed: int = 42) -> DataFrame:
+def samples(vc: DataFrame, n: int = 10, mode: str = "mixed", seed: int = 42, hash_fn: str = "md5") -> DataFrame:
     """``(table_id, col_name, col_pos, kind, samples ARRAY<STRING>)`` per column with values."""
-    rows = sample_rows(vc, n, mode, seed)
+    rows = sample_rows(vc, n, mode, seed, hash_fn)
     return rows.groupBy(*KEYS).agg(
         F.transform(F.array_sort(F.collect_list(F.struct(F.col("_ord").alias("o"), F.col("value").alias("v")))), lambda s: s["v"]).alias(
             "samples"

@@ -815,3 +815,19 @@ def oracles() -> dict:  # noqa: F811
               FROM a JOIN r ON r.src = a.src JOIN lab lt ON lt.vec_id = r.tgt GROUP BY a.src, a.k)
         SELECT round(coalesce(sum(hits) / sum(k), 0.0), 6) AS recall_at_gt FROM h"""
     return o
+
+
+_oracles_8 = oracles
+
+
+def oracles() -> dict:  # noqa: F811
+    o = _oracles_8()
+    o["lowercase_text"] = "SELECT p_partkey, lower(p_name) AS p_name, lower(p_brand) AS p_brand, lower(p_type) AS p_type, p_size, p_retailprice FROM part"
+    o["top_pairs_report"] = f"WITH {EMB} SELECT src AS src_id, tgt AS tgt_id, round(score, 6) AS score FROM sims ORDER BY round(score, 12) DESC, src, tgt LIMIT 30"
+    acc = f"SELECT 'accuracy_at_1' AS metric, accuracy AS value FROM ({o['label_topk_accuracy']}) WHERE k = 1"
+    rec = f"SELECT 'recall_at_gt' AS metric, recall_at_gt AS value FROM ({o['recall_at_gt']})"
+    mrr = f"SELECT 'mrr' AS metric, mrr AS value FROM ({o['embedding_mrr']})"
+    o["embedding_eval"] = f"""WITH a AS ({acc}), r AS ({rec}), m AS ({mrr})
+        SELECT * FROM a UNION ALL SELECT * FROM r UNION ALL SELECT * FROM m
+        UNION ALL SELECT 'selection_score', round(((SELECT value FROM r) + (SELECT value FROM m)) / 2.0, 6)"""
+    return o

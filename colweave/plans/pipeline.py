@@ -47,6 +47,7 @@ class MatchOptions:
     tokens: Z.Tokens = field(default_factory=Z.Tokens)
     ngram: int = 3
     checkpoint: bool = True
+    query_prefix: str | None = None  # asymmetric retrieval: instruction prepended to source texts only
 
     def with_(self, **kw) -> "MatchOptions":
         return replace(self, **kw)
@@ -80,6 +81,23 @@ def column_texts(profile: DataFrame, opts: MatchOptions) -> DataFrame:
 
 
 def _embedding_candidates(texts: DataFrame, src_ids: set, tgt_ids: set, opts: MatchOptions) -> DataFrame:
+    if opts.query_prefix:
+        # the source side is encoded as queries: prefix its texts and give them their own ids
+        src = texts.filter(F.col("table_id").isin(*src_ids)).withColumn("text", F.concat(F.lit(opts.query_prefix), F.col("text")))
+        src = src.withColumn("col_id", F.xxhash64(F.lit("query"), "table_id", "col_name"))
+        texts = src.unionByName(texts.filter(F.col("table_id").isin(*tgt_ids)))
+        vecs = tfidf_vectors(texts, "col_id", "text", opts.ngram)
+        meta = texts.select("col_id", "table_id", "col_name", "col_pos")
+        vecs = vecs.join(meta, vecs["id"] == meta["col_id"]).drop("col_id")
+        if opts.checkpoint:
+            vecs = cut_lineage(vecs)
+        qids = src.select(F.col("col_id").alias("id"))
+        left = vecs.join(qids, "id", "left_semi")
+        right = vecs.join(qids, "id", "left_anti")
+        top = sparse_topk(left, right, opts.topk, opts.embedding_threshold, group_col="table_id")
+        lm = meta.select(F.col("col_id").alias("lid"), F.col("table_id").alias("src_table"), F.col("col_name").alias("src_col"), F.col("col_pos").alias("src_pos"))
+        rm = meta.select(F.col("col_id").alias("rid"), F.col("table_id").alias("tgt_table"), F.col("col_name").alias("tgt_col"), F.col("col_pos").alias("tgt_pos"))
+        return top.join(lm, "lid").join(rm, "rid").select(*C.CAND_COLS[:6], F.lit("embedding").alias("strategy"), "score")
     vecs = tfidf_vectors(texts, "col_id", "text", opts.ngram)
     meta = texts.select("col_id", "table_id", "col_name", "col_pos")
     vecs = vecs.join(meta, vecs["id"] == meta["col_id"]).drop("col_id")

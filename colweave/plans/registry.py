@@ -653,3 +653,61 @@ def registry() -> dict:  # noqa: F811
     q = _registry_6()
     q["recall_at_gt"] = q_recall_at_gt
     return q
+
+
+def q_lowercase_text(spark, sf):
+    from ..sources.catalog import lowercase_text
+
+    prepare(spark)
+    return lowercase_text(spark.read.parquet(f"{sf}/part.parquet"))
+
+
+def q_top_pairs_report(spark, sf):
+    """The 30 most similar vector pairs overall (global top of the per-item top-30 lists)."""
+    t = _topk(spark, sf, 30)
+    return t.orderBy(F.col("score").desc(), F.col("lid"), F.col("rid")).limit(30).select(
+        F.col("lid").alias("src_id"), F.col("rid").alias("tgt_id"), F.round("score", R6).alias("score")
+    )
+
+
+def q_embedding_eval(spark, sf):
+    """Accuracy@1, recall at ground truth, MRR and the selection score (recall + MRR) / 2 (AGG-19)."""
+    v = _vecs(spark, sf)
+    acc = EV.label_topk_accuracy(v, (1,)).select(F.lit("accuracy_at_1").alias("metric"), F.round("accuracy", R6).alias("value"))
+    rec = EV.recall_at_ground_truth(v).select(F.lit("recall_at_gt").alias("metric"), F.round("recall_at_gt", R6).alias("value"))
+    mrr = EV.embedding_mrr(v).select(F.lit("mrr").alias("metric"), F.round("mrr", R6).alias("value"))
+    both = rec.unionByName(mrr)
+    sel = both.agg(F.round(F.sum("value") / 2.0, R6).alias("value")).select(F.lit("selection_score").alias("metric"), "value")
+    return acc.unionByName(both).unionByName(sel)
+
+
+def q_input_stats(spark, sf):
+    from .pipeline import MatchOptions, column_profile, match_tables
+
+    prepare(spark)
+    c, s = load_catalog(spark, sf, ["customer", "supplier"])
+    m = match_tables(spark, c, s)
+    return SW.input_stats(column_profile([c, s], MatchOptions()), m, "customer", "supplier")
+
+
+def q_sample_priority_murmur3(spark, sf):
+    from ..session import cut_lineage
+
+    vc = cut_lineage(_vc(spark, sf, SAMPLE_TABLES))
+    s = sampling.samples(vc, n=10, mode="priority_sampling", hash_fn="murmur3")
+    return s.select("table_id", "col_name", F.array_join("samples", " | ").alias("samples"))
+
+
+_registry_7 = registry
+
+
+def registry() -> dict:  # noqa: F811
+    q = _registry_7()
+    q.update({
+        "lowercase_text": q_lowercase_text,
+        "top_pairs_report": q_top_pairs_report,
+        "embedding_eval": q_embedding_eval,
+        "input_stats": q_input_stats,
+        "sample_priority_murmur3": q_sample_priority_murmur3,
+    })
+    return q

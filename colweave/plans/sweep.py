@@ -30,9 +30,13 @@ def pivot_metrics(long: DataFrame, labels: list[str]) -> DataFrame:
 
 
 def input_stats(profile: DataFrame, matches: DataFrame, src: str, tgt: str) -> DataFrame:
-    """ncols / nrows of both tables and the number of matches (AGG-24)."""
-    p = profile.groupBy("table_id").agg(F.count(F.lit(1)).alias("ncols"), F.max("n_rows").alias("nrows"))
-    s = p.filter(F.col("table_id") == src).select(F.col("ncols").alias("ncols_src"), F.col("nrows").alias("nrows_src"), F.lit(1).alias("_k"))
-    t = p.filter(F.col("table_id") == tgt).select(F.col("ncols").alias("ncols_tgt"), F.col("nrows").alias("nrows_tgt"), F.lit(1).alias("_k"))
-    m = matches.agg(F.count(F.lit(1)).alias("nmatches")).withColumn("_k", F.lit(1))
-    return s.join(t, "_k").join(m, "_k").drop("_k")
+    """ncols / nrows of both tables and the number of matches (AGG-24), one aggregation over a union."""
+    p = profile.select("table_id", "n_rows", F.lit(0).alias("_m"))
+    m = matches.select(F.lit(None).cast("string").alias("table_id"), F.lit(None).cast("long").alias("n_rows"), F.lit(1).alias("_m"))
+    u = p.unionByName(m)
+    is_s, is_t = F.col("table_id") == src, F.col("table_id") == tgt
+    return u.agg(
+        F.count(F.when(is_s, 1)).alias("ncols_src"), F.count(F.when(is_t, 1)).alias("ncols_tgt"),
+        F.max(F.when(is_s, F.col("n_rows"))).alias("nrows_src"), F.max(F.when(is_t, F.col("n_rows"))).alias("nrows_tgt"),
+        F.sum("_m").alias("nmatches"),
+    )

@@ -159,3 +159,9 @@ def cells(tables: list[Table], clean: bool = True) -> DataFrame:
 def load_catalog(spark: SparkSession, sf_dir: str, names: list[str], columns: dict | None = None) -> list[Table]:
     columns = columns or {}
     return [read_table(spark, sf_dir, n, columns.get(n)) for n in names]
+
+
+def lowercase_text(df: DataFrame) -> DataFrame:
+    """Lower-case every string column, keep the rest (PRJ-3)."""
+    return df.select(*[F.lower(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")
+                       for f in df.schema.fields])

@@ -94,3 +94,40 @@ def test_strategy_merge_and_corpus_shapes(spark):
     for r in rows:
         by.setdefault((r["src_table"], r["src_col"], r["tgt_table"]), []).append(r["rank"])
     assert all(sorted(v) == list(range(1, len(v) + 1)) for v in by.values())
+
+
+def test_murmur3_priority_sampling_brute_force(spark):
+    from colweave.functions.hashing import fibonacci_fraction, murmur3_32
+    from colweave.operators import sampling as S
+    from colweave.operators.profile import value_counts
+    from colweave.sources.catalog import Table, cells
+
+    rows = [(i, f"w{(i * 7) % 23}") for i in range(200)]
+    df = spark.createDataFrame(rows, "rid long, c string")
+    vc = value_counts(cells([Table("t", df, "rid", ("c",))], clean=False), clean=True)
+    got = S.samples(vc, 10, "priority_sampling", hash_fn="murmur3").first()["samples"]
+    counts = {}
+    for _, v in rows:
+        counts[v] = counts.get(v, 0) + 1
+    prio = {v: c / max(fibonacci_fraction(murmur3_32(v.encode(), 42)), 1e-12) for v, c in counts.items()}
+    want = [v for v, _ in sorted(prio.items(), key=lambda kv: (-kv[1], kv[0]))[:10]]
+    assert got == want
+
+
+def test_input_stats_counts(spark):
+    import __spark_entry__ as E
+
+    r = E.queries()["input_stats"](spark, SF_SMALL).first()
+    assert (r["ncols_src"], r["ncols_tgt"]) == (5, 4)
+    assert r["nrows_src"] == spark.read.parquet(f"{SF_SMALL}/customer.parquet").count()
+    assert r["nmatches"] == E.queries()["match_tables"](spark, SF_SMALL).count()
+
+
+def test_query_prefix_option(spark):
+    from colweave.plans.pipeline import MatchOptions, match_tables
+    from colweave.sources.catalog import load_catalog
+
+    c, s = load_catalog(spark, SF_SMALL, ["customer", "supplier"])
+    m = match_tables(spark, c, s, MatchOptions(query_prefix="query: ")).collect()
+    top1 = {r["src_col"]: r["tgt_col"] for r in m if r["rank"] == 1}
+    assert top1["c_name"] == "s_name"
