@@ -194,6 +194,12 @@ def tfidf_vectors(docs: DataFrame, id_col: str, text_col: str, n: int = 3) -> Da
     n_docs = d.count()  # one scalar to the driver
     g = char_ngrams(d, "t", n, n).select("id", "gram")
     tf = g.groupBy("id", "gram").agg(F.count(F.lit(1)).alias("tf"))
+    # tf feeds both the document frequencies and the weights; the two branches
+    # plan different aggregates, so without a cut the regex scan and its shuffle
+    # would run twice. A reliable checkpoint materialises it once.
+    from ..session import cut_lineage
+
+    tf = cut_lineage(tf)
     # one row per distinct gram: its document frequency and a unique integer id,
     # so block kernels move and factorise int64 arrays instead of strings
     df_ = tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).withColumn("term_id", F.monotonically_increasing_id())
