@@ -182,7 +182,7 @@ def sparse_topk(left: DataFrame, right: DataFrame, k: int, threshold: float | No
     return _final_topk(local, k, True)
 
 
-def tfidf_vectors(docs: DataFrame, id_col: str, text_col: str, n: int = 3) -> DataFrame:
+def tfidf_vectors(docs: DataFrame, id_col: str, text_col: str, n: int = 3, materialize_tf: bool = True) -> DataFrame:
     """Character n-gram TF-IDF, L2-normalised: ``(id, terms, weights)`` (VEC-1 default encoder).
 
     IDF is fitted on all ``docs`` (both sides of a comparison): smoothed
@@ -199,7 +199,8 @@ def tfidf_vectors(docs: DataFrame, id_col: str, text_col: str, n: int = 3) -> Da
     # would run twice. A reliable checkpoint materialises it once.
     from ..session import cut_lineage
 
-    tf = cut_lineage(tf)
+    if materialize_tf:
+        tf = cut_lineage(tf)
     # one row per distinct gram: its document frequency and a unique integer id,
     # so block kernels move and factorise int64 arrays instead of strings
     df_ = tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).withColumn("term_id", F.monotonically_increasing_id())

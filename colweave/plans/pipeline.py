@@ -86,7 +86,7 @@ def _embedding_candidates(texts: DataFrame, src_ids: set, tgt_ids: set, opts: Ma
         src = texts.filter(F.col("table_id").isin(*src_ids)).withColumn("text", F.concat(F.lit(opts.query_prefix), F.col("text")))
         src = src.withColumn("col_id", F.xxhash64(F.lit("query"), "table_id", "col_name"))
         texts = src.unionByName(texts.filter(F.col("table_id").isin(*tgt_ids)))
-        vecs = tfidf_vectors(texts, "col_id", "text", opts.ngram)
+        vecs = tfidf_vectors(texts, "col_id", "text", opts.ngram, materialize_tf=False)
         meta = texts.select("col_id", "table_id", "col_name", "col_pos")
         vecs = vecs.join(meta, vecs["id"] == meta["col_id"]).drop("col_id")
         if opts.checkpoint:
@@ -98,7 +98,7 @@ def _embedding_candidates(texts: DataFrame, src_ids: set, tgt_ids: set, opts: Ma
         lm = meta.select(F.col("col_id").alias("lid"), F.col("table_id").alias("src_table"), F.col("col_name").alias("src_col"), F.col("col_pos").alias("src_pos"))
         rm = meta.select(F.col("col_id").alias("rid"), F.col("table_id").alias("tgt_table"), F.col("col_name").alias("tgt_col"), F.col("col_pos").alias("tgt_pos"))
         return top.join(lm, "lid").join(rm, "rid").select(*C.CAND_COLS[:6], F.lit("embedding").alias("strategy"), "score")
-    vecs = tfidf_vectors(texts, "col_id", "text", opts.ngram)
+    vecs = tfidf_vectors(texts, "col_id", "text", opts.ngram, materialize_tf=False)
     meta = texts.select("col_id", "table_id", "col_name", "col_pos")
     vecs = vecs.join(meta, vecs["id"] == meta["col_id"]).drop("col_id")
     if opts.checkpoint:
