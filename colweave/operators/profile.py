@@ -32,10 +32,11 @@ def value_counts(cells: DataFrame, keep_null: bool = False, clean: bool = False)
         F.count(F.lit(1)).alias("cnt"), F.min("row_id").alias("first_row")
     )
     if clean:
-        cleaned = F.when(F.col("kind") == TEXT, clean_text(F.col("value"))).otherwise(F.col("value"))
-        vc = vc.withColumn("value", cleaned).groupBy(*COL_KEYS, "value").agg(
-            F.sum("cnt").alias("cnt"), F.min("first_row").alias("first_row")
-        )
+        # only text cells change under cleaning, so only they need the merge
+        # aggregation; numeric columns (often most distinct values) skip that shuffle
+        text = vc.filter(F.col("kind") == TEXT).withColumn("value", clean_text(F.col("value")))
+        text = text.groupBy(*COL_KEYS, "value").agg(F.sum("cnt").alias("cnt"), F.min("first_row").alias("first_row"))
+        vc = text.unionByName(vc.filter(F.col("kind") != TEXT))
     return vc if keep_null else vc.filter(F.col("value").isNotNull())
 
 
