@@ -50,6 +50,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        # a machine-local folder would not survive executor loss on a cluster
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store) for cluster runs")
     path = tempfile.mkdtemp(prefix="colweave-ckpt-")
     spark.conf.set(_CHECKPOINT_KEY, path)
     spark.sparkContext.setCheckpointDir(path)
