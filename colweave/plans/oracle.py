@@ -9,6 +9,7 @@ comparison checks the semantics, not a shared implementation.
 from __future__ import annotations
 
 from ..functions.vocab import BINARY_WORDS, DATE_FORMATS, KEY_AFFIXES, NULL_SPELLINGS
+from ..operators.llm import AUG_NO_VALUES, AUG_WITH_VALUES, JUDGE_HEAD, JUDGE_MID, JUDGE_TAIL
 
 # (column, kind, sql type family) for the driver tables, in schema order
 SCHEMAS = {
@@ -203,7 +204,7 @@ def ngram_sql(tables, n_min=3, n_max=8, threshold=0.3) -> str:
     SELECT col_name, n, ngram, round(score, 6) AS score FROM s WHERE score > {threshold}"""
 
 
-def oracles() -> dict:
+def _base_oracles() -> dict:
     cp = cells(["customer", "part"], clean_text=False)
     o = {
         "column_catalog": f"SELECT table_id, col_name, col_pos, kind, count(*) AS n_rows, count(value) AS n_values FROM ({cp}) GROUP BY ALL",
@@ -472,26 +473,17 @@ def oracles_batch2() -> dict:
     return o
 
 
-_oracles_batch1 = oracles
-
-
-def oracles() -> dict:  # noqa: F811
-    o = _oracles_batch1()
+def _extend_oracles_batch1(o: dict) -> dict:
     o.update(oracles_batch2())
     return o
 
 
-_oracles_2 = oracles
-
-
-def oracles() -> dict:  # noqa: F811
-    o = _oracles_2()
+def _extend_oracles_2(o: dict) -> dict:
     o["lineitem_profile"] = f"SELECT table_id, col_name, n_rows, n_distinct, semantic_type, inferred_dtype FROM ({stats(cells(['lineitem']))})"
     return o
 
 
 # ------------------------------------------------------------------ batch 3
-from ..operators.llm import AUG_NO_VALUES, AUG_WITH_VALUES, JUDGE_HEAD, JUDGE_MID, JUDGE_TAIL  # noqa: E402
 
 ALPHA37 = "abcdefghijklmnopqrstuvwxyz0123456789 "
 ALPHA36 = "abcdefghijklmnopqrstuvwxyz0123456789"
@@ -676,11 +668,7 @@ def oracles_batch3() -> dict:
     return o
 
 
-_oracles_3 = oracles
-
-
-def oracles() -> dict:  # noqa: F811
-    o = _oracles_3()
+def _extend_oracles_3(o: dict) -> dict:
     o.update(oracles_batch3())
     return o
 
@@ -736,11 +724,7 @@ def span_marker_sql(mode: str, tables=SER_TABLES) -> str:
     return base + f" SELECT table_id, col_name, array_to_string(list_concat({head}, list_slice({blocks}, ws + 1, we)), chr(10)) AS text, col_pos - ws AS marker_ordinal FROM b5"
 
 
-_oracles_4 = oracles
-
-
-def oracles() -> dict:  # noqa: F811
-    o = _oracles_4()
+def _extend_oracles_4(o: dict) -> dict:
     for mode in ("table_context_window_span", "table_context_window_span_target_block",
                  "table_context_window_starmie_marker", "table_context_window_starmie_structured"):
         o[f"serialize_{mode}"] = span_marker_sql(mode)
@@ -765,11 +749,7 @@ def augment_cells_sql() -> str:
       col_name, value FROM b"""
 
 
-_oracles_5 = oracles
-
-
-def oracles() -> dict:  # noqa: F811
-    o = _oracles_5()
+def _extend_oracles_5(o: dict) -> dict:
     o["augment_cells"] = augment_cells_sql()
     return o
 
@@ -793,20 +773,12 @@ def fuzzy_gt_sql(tables=("customer", "part", "orders")) -> str:
     return " UNION ALL ".join(parts)
 
 
-_oracles_6 = oracles
-
-
-def oracles() -> dict:  # noqa: F811
-    o = _oracles_6()
+def _extend_oracles_6(o: dict) -> dict:
     o["fuzzy_ground_truth"] = fuzzy_gt_sql()
     return o
 
 
-_oracles_7 = oracles
-
-
-def oracles() -> dict:  # noqa: F811
-    o = _oracles_7()
+def _extend_oracles_7(o: dict) -> dict:
     o["recall_at_gt"] = f"""WITH {EMB},
         sz AS (SELECT label, count(*) - 1 AS k FROM lab GROUP BY label),
         r AS (SELECT s.src, s.tgt, row_number() OVER (PARTITION BY s.src ORDER BY round(s.score, 12) DESC, s.tgt) AS rn FROM sims s),
@@ -817,11 +789,7 @@ def oracles() -> dict:  # noqa: F811
     return o
 
 
-_oracles_8 = oracles
-
-
-def oracles() -> dict:  # noqa: F811
-    o = _oracles_8()
+def _extend_oracles_8(o: dict) -> dict:
     o["lowercase_text"] = "SELECT p_partkey, lower(p_name) AS p_name, lower(p_brand) AS p_brand, lower(p_type) AS p_type, p_size, p_retailprice FROM part"
     o["top_pairs_report"] = f"WITH {EMB} SELECT src AS src_id, tgt AS tgt_id, round(score, 6) AS score FROM sims ORDER BY round(score, 12) DESC, src, tgt LIMIT 30"
     acc = f"SELECT 'accuracy_at_1' AS metric, accuracy AS value FROM ({o['label_topk_accuracy']}) WHERE k = 1"
@@ -831,3 +799,11 @@ def oracles() -> dict:  # noqa: F811
         SELECT * FROM a UNION ALL SELECT * FROM r UNION ALL SELECT * FROM m
         UNION ALL SELECT 'selection_score', round(((SELECT value FROM r) + (SELECT value FROM m)) / 2.0, 6)"""
     return o
+
+
+def oracles() -> dict:
+    """Every SQL oracle, by query name."""
+    o = _base_oracles()
+    for extend in (_extend_oracles_batch1, _extend_oracles_2, _extend_oracles_3, _extend_oracles_4, _extend_oracles_5, _extend_oracles_6, _extend_oracles_7, _extend_oracles_8,):
+        o = extend(o)
+    return o

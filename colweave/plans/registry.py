@@ -9,9 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import benchgen as BG
+from ..operators import candidates as CA
+from ..operators import evaluate as EV
+from ..operators import llm as LL
 from ..operators import ngrams, profile, sampling
+from ..operators import serialize as Z
+from ..operators import traindata as TD
+from ..operators.similarity import dense_topk, minmax_normalize, sparse_topk, tfidf_vectors
 from ..session import prepare
 from ..sources.catalog import cells, load_catalog
+from . import sweep as SW
 
 R6 = 6  # decimals kept for floating results compared across engines
 
@@ -116,38 +124,9 @@ def q_char_ngrams_tfidf(spark, sf):
     return s.select("col_name", "n", "ngram", F.round("score", R6).alias("score"))
 
 
-def registry() -> dict:
-    q = {
-        "column_catalog": q_column_catalog,
-        "cells_long": q_cells_long,
-        "clean_values": q_clean_values,
-        "value_counts": q_value_counts,
-        "distinct_ratio": q_distinct_ratio,
-        "column_types": q_column_types,
-        "inferred_types": q_inferred_types,
-        "types_to_columns": q_types_to_columns,
-        "declared_types": q_declared_types,
-        "top_values_json": q_top_values_json,
-        "common_prefix": q_common_prefix,
-        "char_ngrams_tfidf": q_char_ngrams_tfidf,
-    }
-    for mode, name in [
-        ("frequent", "sample_frequent"),
-        ("mixed", "sample_mixed"),
-        ("random", "sample_random"),
-        ("weighted", "sample_weighted"),
-        ("priority_sampling", "sample_priority"),
-        ("consistent_sampling", "sample_consistent"),
-    ]:
-        q[name] = _sample_query(mode)
-    return q
 
 
 # ---------------------------------------------------------------- serialization
-from ..operators import evaluate as EV  # noqa: E402
-from ..operators import serialize as Z  # noqa: E402
-from ..operators import candidates as CA  # noqa: E402
-from ..operators.similarity import dense_topk, minmax_normalize, sparse_topk, tfidf_vectors  # noqa: E402
 
 SER_TABLES = ["customer", "part"]
 
@@ -363,38 +342,6 @@ def q_match_corpus(spark, sf):
     return match_corpus(spark, load_catalog(spark, sf, names))
 
 
-_base_registry = registry
-
-
-def registry() -> dict:  # noqa: F811
-    q = _base_registry()
-    for mode in Z.SIMPLE_MODES + Z.CONTEXT_MODES + Z.SPAN_MODES + Z.MARKER_MODES:
-        q[f"serialize_{mode}"] = _serialize_query(mode)
-    q.update({
-        "equal_name_matches": q_equal_name_matches,
-        "alignment_scores": q_alignment_scores,
-        "fuzzy_candidates": q_fuzzy_candidates,
-        "cosine_topk": q_cosine_topk,
-        "minmax_topk": q_minmax_topk,
-        "label_topk_accuracy": q_label_topk_accuracy,
-        "embedding_mrr": q_embedding_mrr,
-        "contrastive_loss": q_contrastive_loss,
-        "ranking_metrics": q_ranking_metrics,
-        "ranking_errors": q_ranking_errors,
-        "pairset_metrics": q_pairset_metrics,
-        "pairset_errors": q_pairset_errors,
-        "mrr": q_mrr,
-        "mrr_adjusted": q_mrr_adjusted,
-        "recall_pairs": q_recall_pairs,
-        "recall_topk": q_recall_topk,
-        "metrics_core": q_metrics_core,
-        "greedy_one_to_one": q_greedy_one_to_one,
-        "ngram_cosine_topk": q_ngram_cosine_topk,
-        "strategy_merge": q_strategy_merge,
-        "match_tables": q_match_tables,
-        "match_corpus": q_match_corpus,
-    })
-    return q
 
 
 def q_lineitem_profile(spark, sf):
@@ -403,20 +350,9 @@ def q_lineitem_profile(spark, sf):
     return s.select("table_id", "col_name", "n_rows", "n_distinct", "semantic_type", "inferred_dtype")
 
 
-_registry_2 = registry
-
-
-def registry() -> dict:  # noqa: F811
-    q = _registry_2()
-    q["lineitem_profile"] = q_lineitem_profile
-    return q
 
 
 # ---------------------------------------------------------------- training data, augmentation, judges
-from ..operators import benchgen as BG  # noqa: E402
-from ..operators import llm as LL  # noqa: E402
-from ..operators import traindata as TD  # noqa: E402
-from . import sweep as SW  # noqa: E402
 
 DV_TABLES = ["part", "orders", "customer"]
 
@@ -574,30 +510,6 @@ def q_assignment_rescaled(spark, sf):
     return bipartite_rerank(top_k(cands, opts.topk)).select("src_col", "tgt_col", "score", "assigned")
 
 
-_registry_3 = registry
-
-
-def registry() -> dict:  # noqa: F811
-    q = _registry_3()
-    q.update({
-        "distinct_values_json": q_distinct_values_json,
-        "exact_augmentation": q_exact_augmentation,
-        "training_items": q_training_items,
-        "augmentation_prompts": q_augmentation_prompts,
-        "augmentation_parse": q_augmentation_parse,
-        "llm_parse": q_llm_parse,
-        "llm_prompts": q_llm_prompts,
-        "value_noise": q_value_noise,
-        "make_pair": q_make_pair,
-        "pair_ground_truth": q_pair_ground_truth,
-        "hard_negatives": q_hard_negatives,
-        "triplets": q_triplets,
-        "balanced_batches": q_balanced_batches,
-        "triplet_loss": q_triplet_loss,
-        "sweep_pivot": q_sweep_pivot,
-        "assignment_rescaled": q_assignment_rescaled,
-    })
-    return q
 
 
 def q_augment_cells(spark, sf):
@@ -605,13 +517,6 @@ def q_augment_cells(spark, sf):
     return BG.augment_cells(c, "c_name", 42).select("row_id", "col_name", "value")
 
 
-_registry_4 = registry
-
-
-def registry() -> dict:  # noqa: F811
-    q = _registry_4()
-    q["augment_cells"] = q_augment_cells
-    return q
 
 
 FUZZY_GT_TABLES = ["customer", "part", "orders"]
@@ -633,26 +538,12 @@ def q_fuzzy_ground_truth(spark, sf):
     return out
 
 
-_registry_5 = registry
-
-
-def registry() -> dict:  # noqa: F811
-    q = _registry_5()
-    q["fuzzy_ground_truth"] = q_fuzzy_ground_truth
-    return q
 
 
 def q_recall_at_gt(spark, sf):
     return EV.recall_at_ground_truth(_vecs(spark, sf)).select(F.round("recall_at_gt", R6).alias("recall_at_gt"))
 
 
-_registry_6 = registry
-
-
-def registry() -> dict:  # noqa: F811
-    q = _registry_6()
-    q["recall_at_gt"] = q_recall_at_gt
-    return q
 
 
 def q_lowercase_text(spark, sf):
@@ -698,16 +589,81 @@ def q_sample_priority_murmur3(spark, sf):
     return s.select("table_id", "col_name", F.array_join("samples", " | ").alias("samples"))
 
 
-_registry_7 = registry
+SAMPLE_QUERIES = {
+    "sample_frequent": "frequent",
+    "sample_mixed": "mixed",
+    "sample_random": "random",
+    "sample_weighted": "weighted",
+    "sample_priority": "priority_sampling",
+    "sample_consistent": "consistent_sampling",
+}
 
 
-def registry() -> dict:  # noqa: F811
-    q = _registry_7()
-    q.update({
+def registry() -> dict:
+    """Every registered query, by name."""
+    q = {
+        "column_catalog": q_column_catalog,
+        "cells_long": q_cells_long,
+        "clean_values": q_clean_values,
+        "value_counts": q_value_counts,
+        "distinct_ratio": q_distinct_ratio,
+        "column_types": q_column_types,
+        "inferred_types": q_inferred_types,
+        "types_to_columns": q_types_to_columns,
+        "declared_types": q_declared_types,
+        "top_values_json": q_top_values_json,
+        "common_prefix": q_common_prefix,
+        "char_ngrams_tfidf": q_char_ngrams_tfidf,
+        "equal_name_matches": q_equal_name_matches,
+        "alignment_scores": q_alignment_scores,
+        "fuzzy_candidates": q_fuzzy_candidates,
+        "cosine_topk": q_cosine_topk,
+        "minmax_topk": q_minmax_topk,
+        "label_topk_accuracy": q_label_topk_accuracy,
+        "embedding_mrr": q_embedding_mrr,
+        "contrastive_loss": q_contrastive_loss,
+        "ranking_metrics": q_ranking_metrics,
+        "ranking_errors": q_ranking_errors,
+        "pairset_metrics": q_pairset_metrics,
+        "pairset_errors": q_pairset_errors,
+        "mrr": q_mrr,
+        "mrr_adjusted": q_mrr_adjusted,
+        "recall_pairs": q_recall_pairs,
+        "recall_topk": q_recall_topk,
+        "metrics_core": q_metrics_core,
+        "greedy_one_to_one": q_greedy_one_to_one,
+        "ngram_cosine_topk": q_ngram_cosine_topk,
+        "strategy_merge": q_strategy_merge,
+        "match_tables": q_match_tables,
+        "match_corpus": q_match_corpus,
+        "lineitem_profile": q_lineitem_profile,
+        "distinct_values_json": q_distinct_values_json,
+        "exact_augmentation": q_exact_augmentation,
+        "training_items": q_training_items,
+        "augmentation_prompts": q_augmentation_prompts,
+        "augmentation_parse": q_augmentation_parse,
+        "llm_parse": q_llm_parse,
+        "llm_prompts": q_llm_prompts,
+        "value_noise": q_value_noise,
+        "make_pair": q_make_pair,
+        "pair_ground_truth": q_pair_ground_truth,
+        "hard_negatives": q_hard_negatives,
+        "triplets": q_triplets,
+        "balanced_batches": q_balanced_batches,
+        "triplet_loss": q_triplet_loss,
+        "sweep_pivot": q_sweep_pivot,
+        "assignment_rescaled": q_assignment_rescaled,
+        "augment_cells": q_augment_cells,
+        "fuzzy_ground_truth": q_fuzzy_ground_truth,
+        "recall_at_gt": q_recall_at_gt,
         "lowercase_text": q_lowercase_text,
         "top_pairs_report": q_top_pairs_report,
         "embedding_eval": q_embedding_eval,
         "input_stats": q_input_stats,
         "sample_priority_murmur3": q_sample_priority_murmur3,
-    })
+    }
+    for name, mode in SAMPLE_QUERIES.items():
+        q[name] = _sample_query(mode)
+    for mode in Z.SIMPLE_MODES + Z.CONTEXT_MODES + Z.SPAN_MODES + Z.MARKER_MODES:
+        q[f"serialize_{mode}"] = _serialize_query(mode)
     return q
