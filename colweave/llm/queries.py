@@ -9,13 +9,49 @@ from pyspark.sql import DataFrame, SparkSession
 from colweave.llm.common import setup, table
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colweave.llm.linededup import without_boilerplate
+
+    return without_boilerplate(table(setup(spark), sf_dir, "documents").select("doc_id", "source", "text")).select(
+        "doc_id", "n_lines", "n_removed", "text")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colweave.llm.decontam import contamination
+
+    return contamination(table(setup(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colweave.llm.packing import packed_documents
+
+    return packed_documents(table(setup(spark), sf_dir, "documents"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colweave.llm.sharding import shard_by_bytes
+
+    return shard_by_bytes(table(setup(spark), sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colweave.llm.tokens import token_counts
 
     return token_counts(table(setup(spark), sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colweave.llm.quality import quality_rules
+
+    return quality_rules(table(setup(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_line_dedup": op2_line_dedup,
+        "op3_decontamination": op3_decontamination,
+        "op4_packing": op4_packing,
+        "op6_sharding": op6_sharding,
         "op8_token_counts": op8_token_counts,
+        "op9_quality_rules": op9_quality_rules,
     }
