@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from colweave.llm.common import setup, table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colweave.llm.langid import identify
+
+    return identify(table(setup(spark), sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colweave.llm.linededup import without_boilerplate
 
@@ -34,6 +40,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(setup(spark), sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colweave.llm.warc import archive_round_trip
+
+    return archive_round_trip(table(setup(spark), sf_dir, "pages"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colweave.llm.tokens import token_counts
 
@@ -48,10 +60,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op2_line_dedup": op2_line_dedup,
         "op3_decontamination": op3_decontamination,
         "op4_packing": op4_packing,
         "op6_sharding": op6_sharding,
+        "op7_warc": op7_warc,
         "op8_token_counts": op8_token_counts,
         "op9_quality_rules": op9_quality_rules,
     }
