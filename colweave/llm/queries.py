@@ -34,6 +34,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(setup(spark), sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colweave.llm.neardup import near_duplicates
+
+    return near_duplicates(table(setup(spark), sf_dir, "documents")).drop("text_hash")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colweave.llm.sharding import shard_by_bytes
 
@@ -64,6 +70,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op3_decontamination": op3_decontamination,
         "op4_packing": op4_packing,
+        "op5_jaccard_join": op5_jaccard_join,
         "op6_sharding": op6_sharding,
         "op7_warc": op7_warc,
         "op8_token_counts": op8_token_counts,

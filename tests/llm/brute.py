@@ -74,3 +74,31 @@ def quality_base(text, width=5):
 
 def crc(text):
     return zlib.crc32((text or "").encode())
+
+
+def near_duplicates(docs, num=4, den=5):
+    """doc rows (doc_id, text) -> {doc_id: (class_id, n_links)} by comparing all pairs that share a shingle."""
+    sets = {}
+    for doc, text in docs:
+        w = [x.translate(UPPER) for x in SPACED.findall(text or "")]
+        sets[doc] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    index = defaultdict(list)
+    for doc, s in sets.items():
+        for x in s:
+            index[x].append(doc)
+    parent, links = {d: d for d in sets}, Counter()
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for doc, s in sets.items():
+        shared = Counter(o for x in s for o in index[x] if o < doc)
+        for o, n in shared.items():
+            if den * n >= num * (len(s) + len(sets[o]) - n):
+                links[doc] += 1
+                links[o] += 1
+                a, b = sorted((root(doc), root(o)))
+                parent[b] = a
+    return {d: (root(d), links[d]) for d in sets}
