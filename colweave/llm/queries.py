@@ -64,6 +64,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(setup(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colweave.llm.lm import score_documents
+
+    return score_documents(table(setup(spark), sf_dir, "documents"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -75,4 +81,5 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_warc": op7_warc,
         "op8_token_counts": op8_token_counts,
         "op9_quality_rules": op9_quality_rules,
+        "op10_lm_scoring": op10_lm_scoring,
     }

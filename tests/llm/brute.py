@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -102,3 +103,20 @@ def near_duplicates(docs, num=4, den=5):
                 a, b = sorted((root(doc), root(o)))
                 parent[b] = a
     return {d: (root(d), links[d]) for d in sets}
+
+
+def unigram(docs):
+    """doc rows (doc_id, text) -> {doc_id: (held_out, n_tokens, n_known, train_tokens, base_score)}."""
+    def tokens(text):
+        return [w.translate(UPPER) for w in SPACED.findall(text or "")] + [None]
+
+    def held(doc):
+        return doc is not None and zlib.crc32(str(doc).encode()) % 7 == 2
+
+    count = Counter(t for doc, text in docs if not held(doc) for t in tokens(text))
+    n, v = sum(count.values()), len(count)
+    out = {}
+    for doc, text in docs:
+        ts = tokens(text)
+        out[doc] = (held(doc), len(ts), sum(count[t] > 0 for t in ts), n, sum(math.log10((count[t] + 1) / (n + v + 1)) for t in ts))
+    return out
