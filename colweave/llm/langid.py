@@ -217,6 +217,21 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
     return src.mapInArrow(score, schema)
 
 
+def accepted(docs: DataFrame, filters: Filters, min_score: float = MIN_SCORE, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text is in a known language.
+
+    Rejected are ``und`` and scores below ``min_score``. Nothing is shuffled.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in gathered(batches, 4 << 20):
+            lang, score = shared.value.predict(binary_texts(b.column(text_col)))
+            yield b.filter(pa.array([x != "und" and y >= min_score for x, y in zip(lang, score)], pa.bool_()))
+
+    return docs.mapInArrow(choose, docs.schema)
+
+
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score, learned from the labelled rows that are not held out.
 
