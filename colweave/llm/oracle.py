@@ -1,7 +1,121 @@
-"""DuckDB SQL for those queries of the text operators that SQL can express."""
+"""DuckDB SQL for those queries of the text operators that SQL can express.
+
+Language identification, near duplicates, language-model scores (learned or
+hashed models), token counts and packing (a tokenizer) and sharding (DuckDB has
+no crc32) are tested against plain restatements instead.
+"""
 
 from __future__ import annotations
 
+from colweave.llm.linededup import MIN_CHARS, MIN_SITES
+from colweave.llm.quality import ALPHA, COST, DELTA, RULES
+
+LINES = f"""
+WITH l AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents WHERE text IS NOT NULL),
+k AS (SELECT *, trim(line) AS key FROM l),
+b AS (
+  SELECT key, min(doc_id) AS home FROM k WHERE length(key) >= {MIN_CHARS}
+  GROUP BY key HAVING count(DISTINCT source) >= {MIN_SITES}),
+m AS (SELECT k.*, b.key IS NOT NULL AND b.home <> k.doc_id AS gone FROM k LEFT JOIN b USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+  coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
+FROM m GROUP BY doc_id
+UNION ALL SELECT doc_id, 0, 0, NULL FROM documents WHERE text IS NULL
+"""
+
+_WORDS = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ITEMS = f"""
+WITH i AS (SELECT item_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item_id, array_to_string(w[s : s + 12], ' ') AS win, least(len(w), 13) AS n
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
+d AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+dw AS (
+  SELECT doc_id, n, s, array_to_string(w[s : s + n - 1], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+h AS (SELECT doc_id, item_id, s, dw.n FROM dw JOIN iw ON dw.win = iw.win AND dw.n = iw.n),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM h) GROUP BY doc_id),
+t AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+"""
+
+PAGES = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
+q AS (SELECT page_id, url, strlen(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM q)
+SELECT page_id, payload_bytes, payload_digest, url,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
+def quality_sql() -> str:
+    """Base columns, then the same tests: candidates admitted by the exact binomial tail, the best gain first."""
+    candidates = ", ".join(
+        f"('{rule}', {r}, {j}, {c}, {feature!r}, {str(above).lower()})"
+        for r, (rule, (feature, above, cutoffs)) in enumerate(RULES.items()) for j, c in enumerate(cutoffs))
+    per = len(next(iter(RULES.values()))[2])
+    value = " ".join(f"WHEN '{f}' THEN {f}" for f in dict.fromkeys(f for f, _, _ in RULES.values()))
+    return rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, text IS NULL AS missing FROM documents),
+g AS (SELECT doc_id, s, array_to_string(w[s : s + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS s FROM d WHERE len(w) >= 5)),
+r AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT doc_id, unnest(range(s, s + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1)
+  GROUP BY doc_id),
+l AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+b AS (
+  SELECT d.doc_id, stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+    coalesce(n_lines, 0) AS n_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN r ON d.doc_id = r.doc_id LEFT JOIN l ON d.doc_id = l.doc_id),
+f AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    CASE WHEN word_chars > 0 THEN 1000 * n_symbols // word_chars END AS symbol_share,
+    CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words END AS repeat_share,
+    CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines END AS dup_line_share,
+    CASE WHEN n_words > 0 THEN 100 * word_chars // n_words END AS mean_word FROM b),
+y AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+c(rule, r, j, cutoff, feature, above) AS (VALUES {candidates}),
+x AS (
+  SELECT stratum, rule, r, j, cutoff, feature, above, good, CASE feature {value} END AS v
+  FROM f JOIN y USING (doc_id), c WHERE NOT base_failed),
+n AS (
+  SELECT stratum, rule, r, j, cutoff, feature, above, count(*) FILTER (good) AS ng, count(*) FILTER (NOT good) AS nb,
+    count(*) FILTER (good AND (CASE WHEN above THEN v > cutoff ELSE v < cutoff END)) AS kg,
+    count(*) FILTER (NOT good AND (CASE WHEN above THEN v > cutoff ELSE v < cutoff END)) AS kb
+  FROM x GROUP BY ALL),
+a AS (
+  SELECT *, kb / greatest(nb, 1) - {COST} * kg / ng AS gain FROM n
+  WHERE ng > 0 AND list_sum(list_transform(range(0, kg + 1), lambda i: exp(
+    lgamma(ng + 1) - lgamma(i + 1) - CASE WHEN ng = i THEN 0 ELSE lgamma(ng - i + 1) END
+    + i * ln({ALPHA / len(RULES)!r}) + (ng - i) * ln(1 - {ALPHA / len(RULES)!r}))))
+    <= {DELTA!r} / ({per * len(RULES)} * (SELECT count(DISTINCT stratum) FROM x))),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, j) AS k FROM a WHERE gain > 0) WHERE k = 1),
+z AS (
+  SELECT DISTINCT doc_id FROM f JOIN s USING (stratum)
+  WHERE CASE WHEN above THEN (CASE feature {value} END) > cutoff ELSE (CASE feature {value} END) < cutoff END)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND z.doc_id IS NULL AS kept
+FROM f LEFT JOIN z ON f.doc_id = z.doc_id
+"""
+
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {
+        "op2_line_dedup": LINES,
+        "op3_decontamination": ITEMS,
+        "op7_warc": PAGES,
+        "op9_quality_rules": quality_sql(),
+    }
