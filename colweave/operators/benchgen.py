@@ -144,7 +144,12 @@ def pair_cells(src: DataFrame, tgt: DataFrame) -> DataFrame:
 
 
 def concat_blocks(tables: list[Table]) -> DataFrame:
-    """Horizontal block concat (PRJ-6) of tables sharing a row key: equi-join on ``row_id``."""
+    """Horizontal block concat (PRJ-6) of tables sharing a row key: equi-join on ``row_id``.
+
+    Every table needs an order key: scan positions depend on how a table is split.
+    """
+    if missing := [t.table_id for t in tables if t.order_key is None]:
+        raise ValueError(f"no order key: {', '.join(missing)}")
     out = None
     for t in tables:
         d = t.df.select(t.row_id().alias("row_id"), *[F.col(f"`{c}`") for c in t.df.columns])

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import global_index
 from .similarity import dense_block_apply, dense_topk
 
 
@@ -130,26 +131,21 @@ def metrics_core(preds: DataFrame, gt: DataFrame, scope: str = "all") -> DataFra
     Pinned definitions: the global order is score desc, then source, target;
     top 10 percent = the first ceil(0.1 n) matches; recall at |GT| = hits in the
     first |GT| matches / |GT|. ``n`` and ``|GT|`` are two scalars from counts;
-    the two prefixes are ``orderBy().limit(m)`` (per-partition top-m, then merge).
+    places in the order come from ranges of it (``global_index``), which also
+    stores the predictions, so they are computed once.
     """
     g = gt.select("source", "target").distinct()
-    p = preds.select("source", "target", "score").distinct()
+    order = [F.col("score").desc(), F.col("source").asc(), F.col("target").asc()]
+    p = global_index(preds.select("source", "target", "score").distinct(), order, "_place")
     n_pred = p.count()
     n_gt = g.count()
     m10 = math.ceil(0.1 * n_pred)
-    order = [F.col("score").desc(), F.col("source").asc(), F.col("target").asc()]
-    top10 = p.orderBy(*order).limit(max(m10, 0)).select("source", "target", F.lit(1).alias("_t10"))
-    topg = p.orderBy(*order).limit(max(n_gt, 0)).select("source", "target", F.lit(1).alias("_tg"))
-    j = (
-        p.join(g.withColumn("_hit", F.lit(1)), ["source", "target"], "left")
-        .join(top10, ["source", "target"], "left")
-        .join(topg, ["source", "target"], "left")
-    )
+    j = p.join(g.withColumn("_hit", F.lit(1)), ["source", "target"], "left")
     hit = F.col("_hit").isNotNull()
     a = j.agg(
         F.count(F.when(hit, 1)).alias("h_all"),
-        F.count(F.when(hit & F.col("_t10").isNotNull(), 1)).alias("h_10"),
-        F.count(F.when(hit & F.col("_tg").isNotNull(), 1)).alias("h_g"),
+        F.count(F.when(hit & (F.col("_place") < m10), 1)).alias("h_10"),
+        F.count(F.when(hit & (F.col("_place") < n_gt), 1)).alias("h_g"),
     )
     prec = F.lit(0.0) if n_pred == 0 else F.col("h_all") / F.lit(float(n_pred))
     rec = F.lit(0.0) if n_gt == 0 else F.col("h_all") / F.lit(float(n_gt))
@@ -178,11 +174,9 @@ def label_topk_accuracy(vecs: DataFrame, ks=(1, 3, 5)) -> DataFrame:
     )
     allids = vecs.select(F.col("id").alias("lid"))
     per = allids.join(per, "lid", "left")
-    rows = [per.agg(F.avg(F.coalesce(F.col(f"h{k}"), F.lit(0))).alias("accuracy")).select(F.lit(k).alias("k"), "accuracy") for k in ks]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    # one aggregate, then one row for each k
+    means = per.agg(*[F.avg(F.coalesce(F.col(f"h{k}"), F.lit(0))).alias(f"h{k}") for k in ks])
+    return means.select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"h{k}").alias("accuracy")) for k in ks])))
 
 
 def _best_same_label(L, R, S):

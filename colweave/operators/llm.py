@@ -52,7 +52,7 @@ AUG_NO_VALUES = (
     "Ensure your response excludes additional information and quotations."
 )
 
-RESPONSE_SCHEMA = "array<struct<column:string,score:string>>"
+RESPONSE_SCHEMA = "array<map<string,string>>"
 
 
 def column_line(name: Column, samples: Column) -> Column:
@@ -81,10 +81,25 @@ def prompts(cands: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def parse_response(text: Column) -> Column:
-    """``[{column, score}]`` found in the text, or null when nothing parses (FN-31). Missing score -> 0."""
-    js = F.regexp_extract(text, r"(?s)\[.*\]", 0)
-    arr = F.from_json(F.when(js != "", js), RESPONSE_SCHEMA)
-    return F.transform(arr, lambda e: F.struct(e["column"].alias("column"), F.coalesce(e["score"].try_cast("double"), F.lit(0.0)).alias("score")))
+    """``[{column, score}]`` found in the text, or null when nothing parses (FN-31).
+
+    Tolerated are text around the list, trailing commas and a list that is cut
+    off after an entry. A missing score is 0; a score that is null or no number
+    makes the whole answer unreadable.
+    """
+    whole = F.regexp_extract(text, r"(?s)\[.*\]", 0)
+    cut = F.regexp_extract(text, r"(?s)\[.*\}", 0)
+    js = F.when(whole != "", whole).when(cut != "", F.concat(cut, F.lit("]")))
+    arr = F.from_json(F.regexp_replace(js, r",(\s*[\]}])", "$1"), RESPONSE_SCHEMA)
+
+    def number(e):
+        v = F.try_element_at(e, F.lit("score"))
+        value = F.when(v == "true", F.lit(1.0)).when(v == "false", F.lit(0.0)).otherwise(F.trim(v).try_cast("double"))
+        return F.when(F.map_contains_key(e, F.lit("score")), value).otherwise(F.lit(0.0))
+
+    entries = F.transform(arr, lambda e: F.struct(F.try_element_at(e, F.lit("column")).alias("column"), number(e).alias("score")))
+    readable = F.forall(arr, lambda e: e.isNotNull()) & F.forall(entries, lambda e: e["score"].isNotNull())
+    return F.when(readable, entries)
 
 
 def merge_judgements(matches: DataFrame, responses: DataFrame) -> DataFrame:

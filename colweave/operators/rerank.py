@@ -1,71 +1,60 @@
 """Re-ranking: 1:1 assignment, rescaling of the rest, greedy 1:1 (RNK-1..3, JOIN-9, SET-4).
 
-Each (source table, target table) pair is one group of ``applyInPandas``: the
-group holds the top-k candidates of that table pair only (bounded by
-source width x k), and different pairs run in parallel. The solver is a
-plain O(n^3) Hungarian on the dense score matrix of that group (no scipy).
+For the assignment each (source table, target table) pair is one group of
+``applyInPandas``: the group holds the top-k candidates of that table pair only
+(bounded by source width x k), and different pairs run in parallel. The greedy
+1:1 selection is joins and aggregates alone, whatever the size of a pair.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 OUT_SCHEMA = "src_table string, src_col string, src_pos int, tgt_table string, tgt_col string, tgt_pos int, score double, assigned boolean"
 
 
 def hungarian_max(weights: np.ndarray) -> list[tuple[int, int]]:
-    """Maximum-weight assignment of a rectangular matrix; min(rows, cols) pairs."""
-    n_r, n_c = weights.shape
-    n = max(n_r, n_c)
-    cost = np.zeros((n, n))
-    cost[:n_r, :n_c] = -weights
-    u = np.zeros(n + 1)
-    v = np.zeros(n + 1)
-    p = np.zeros(n + 1, dtype=int)
-    way = np.zeros(n + 1, dtype=int)
+    """Maximum-weight assignment of a rectangular matrix; min(rows, cols) pairs.
+
+    Shortest augmenting paths with potentials, one row of the smaller side at a
+    time; each step works on a whole row of the matrix.
+    """
+    w = np.asarray(weights, dtype="float64")
+    if not w.size:
+        return []
+    flip = w.shape[0] > w.shape[1]
+    cost = -(w.T if flip else w)
+    n, m = cost.shape
+    u, v = np.zeros(n + 1), np.zeros(m + 1)
+    row_of, way = np.zeros(m + 1, dtype="int64"), np.zeros(m + 1, dtype="int64")
     for i in range(1, n + 1):
-        p[0] = i
-        j0 = 0
-        minv = np.full(n + 1, np.inf)
-        used = np.zeros(n + 1, dtype=bool)
-        while True:
-            used[j0] = True
-            i0 = p[j0]
-            delta = np.inf
-            j1 = 0
-            for j in range(1, n + 1):
-                if not used[j]:
-                    cur = cost[i0 - 1, j - 1] - u[i0] - v[j]
-                    if cur < minv[j]:
-                        minv[j] = cur
-                        way[j] = j0
-                    if minv[j] < delta:
-                        delta = minv[j]
-                        j1 = j
-            for j in range(n + 1):
-                if used[j]:
-                    u[p[j]] += delta
-                    v[j] -= delta
-                else:
-                    minv[j] -= delta
-            j0 = j1
-            if p[j0] == 0:
-                break
+        row_of[0], at = i, 0
+        least, used = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=bool)
         while True:
-            j1 = way[j0]
-            p[j0] = p[j1]
-            j0 = j1
-            if j0 == 0:
+            used[at] = True
+            row = row_of[at]
+            reduced = cost[row - 1] - u[row] - v[1:]
+            closer = ~used[1:] & (reduced < least[1:])
+            least[1:][closer], way[1:][closer] = reduced[closer], at
+            nxt = int(np.argmin(np.where(used[1:], np.inf, least[1:]))) + 1
+            delta = least[nxt]
+            u[row_of[used]] += delta
+            v[used] -= delta
+            least[~used] -= delta
+            at = nxt
+            if not row_of[at]:
                 break
-    pairs = []
-    for j in range(1, n + 1):
-        i = p[j]
-        if i and i - 1 < n_r and j - 1 < n_c:
-            pairs.append((i - 1, j - 1))
-    return sorted(pairs)
+        while at:
+            row_of[at], at = row_of[way[at]], way[at]
+    pairs = [(int(r) - 1, j) for j, r in enumerate(row_of[1:]) if r]
+    return sorted((j, i) if flip else (i, j) for i, j in pairs)
 
 
 def _arrange(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -100,20 +89,23 @@ def bipartite_rerank(topk: DataFrame) -> DataFrame:
     return topk.select(*cols).groupBy("src_table", "tgt_table").applyInPandas(_arrange, OUT_SCHEMA)
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["score", "src_pos", "tgt_pos"], ascending=[False, True, True])
-    used_s, used_t, keep = set(), set(), []
-    for r in pdf.itertuples(index=False):
-        if r.src_col in used_s or r.tgt_col in used_t:
-            continue
-        used_s.add(r.src_col)
-        used_t.add(r.tgt_col)
-        keep.append(r)
-    return pd.DataFrame(keep, columns=pdf.columns)
-
-
 def greedy_one_to_one(matches: DataFrame) -> DataFrame:
-    """Greedy 1:1 by score desc within each table pair (RNK-3)."""
+    """Greedy 1:1 by score desc within each table pair (RNK-3).
+
+    Ties go to the smaller source position, then target position. Taking the
+    best remaining pair again and again is the same as taking, round by round,
+    all pairs that are the best left for both their columns: a round is two
+    aggregates and a few equi-joins, and no table pair has to fit a task.
+    """
     cols = ["src_table", "src_col", "src_pos", "tgt_table", "tgt_col", "tgt_pos", "score"]
-    schema = "src_table string, src_col string, src_pos int, tgt_table string, tgt_col string, tgt_pos int, score double"
-    return matches.select(*cols).groupBy("src_table", "tgt_table").applyInPandas(_greedy, schema)
+    src, tgt = ["src_table", "tgt_table", "src_col"], ["src_table", "tgt_table", "tgt_col"]
+    rank = F.struct((-F.col("score")).alias("s"), "src_pos", "tgt_pos", "src_col", "tgt_col")
+    left = cut_lineage(matches.select(*cols).dropDuplicates([*src, "tgt_col"]).withColumn("_rank", rank))
+    taken = []
+    while not left.isEmpty():
+        best_src = left.groupBy(*src).agg(F.min("_rank").alias("_a"))
+        best_tgt = left.groupBy(*tgt).agg(F.min("_rank").alias("_b"))
+        won = cut_lineage(left.join(best_src, src).join(best_tgt, tgt).filter("_rank = _a AND _rank = _b").select(*cols))
+        taken.append(won)
+        left = cut_lineage(left.join(won.select(*src), src, "left_anti").join(won.select(*tgt), tgt, "left_anti"))
+    return reduce(DataFrame.unionByName, taken) if taken else left.select(*cols)

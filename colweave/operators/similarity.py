@@ -8,8 +8,9 @@ as a partial group limit) merges local lists. This is the block matrix product:
 the shuffle carries ``N * Br + M * Bl`` rows, every task holds two bounded
 blocks, and no pair row is ever materialised in Spark.
 
-Dense vectors use a matmul; sparse (term, weight) vectors merge on the term
-inside the block pair. Cosine is computed in float64 on L2-normalised rows.
+Dense vectors use a matmul. Sparse (term, weight) vectors are scored against
+bounded blocks of the query side, see ``sparse_topk``. Cosine is computed in
+float64 on L2-normalised rows.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ TIE_DECIMALS = 12  # scores are ranked after rounding, so float noise never reor
 
 def _emit_topk(S, lids, rids, rgroups, k, threshold):
     """Per left row the k best right items (score desc, right id asc), optionally per right group."""
-    out_l, out_r, out_s, out_g = [], [], [], []
+    out = []
     S = np.round(S, TIE_DECIMALS)
     groups = [None] if rgroups is None else pd.unique(rgroups)
     for g in groups:
@@ -73,17 +74,20 @@ def _emit_topk(S, lids, rids, rgroups, k, threshold):
         kk = min(k, sub.shape[1])
         if kk <= 0:
             continue
-        order = np.argsort(-sub, axis=1, kind="stable")[:, :kk]
-        for i in range(sub.shape[0]):
-            for j in order[i]:
-                s = sub[i, j]
-                if not np.isfinite(s) or (threshold is not None and s < threshold):
-                    continue
-                out_l.append(lids[i]); out_r.append(rids[idx[j]]); out_s.append(float(s)); out_g.append(g)
-    res = {"lid": out_l, "rid": out_r, "score": out_s}
-    if rgroups is not None:
-        res["rgroup"] = out_g
-    return pd.DataFrame(res)
+        # everything down to the k-th score, ties included, then cut by (score, id)
+        kth = np.partition(sub, sub.shape[1] - kk, axis=1)[:, sub.shape[1] - kk]
+        row, col = np.nonzero(sub >= kth[:, None])
+        score = sub[row, col]
+        order = np.lexsort((col, -score, row))
+        row, col, score = row[order], col[order], score[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = (place < kk) & np.isfinite(score) & ((threshold is None) | (score >= (threshold or 0.0)))
+        part = {"lid": lids[row[keep]], "rid": rids[idx[col[keep]]], "score": score[keep]}
+        if rgroups is not None:
+            part["rgroup"] = g
+        out.append(pd.DataFrame(part))
+    cols = ["lid", "rid", "score"] + (["rgroup"] if rgroups is not None else [])
+    return pd.concat(out, ignore_index=True)[cols] if out else pd.DataFrame({c: [] for c in cols})
 
 
 def dense_topk(left: DataFrame, right: DataFrame, k: int, threshold: float | None = None,
@@ -111,75 +115,167 @@ def _final_topk(local: DataFrame, k: int, has_group: bool) -> DataFrame:
     return local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _sparse_scores(L: pd.DataFrame, R: pd.DataFrame) -> np.ndarray:
-    """Dot products of two blocks of sparse rows ``(terms, weights)`` as a dense |L| x |R| matrix.
-
-    The vocabulary of the block pair is factorised once; the left block
-    becomes a dense |L| x V matrix, and each right row's score is a gather of
-    its nonzero columns summed with ``reduceat``.
-    """
-    lt = [np.asarray(t) for t in L["terms"]]
-    rt = [np.asarray(t) for t in R["terms"]]
-    lw = [np.asarray(w, dtype="float64") for w in L["weights"]]
-    rw = [np.asarray(w, dtype="float64") for w in R["weights"]]
-    l_len = np.array([len(t) for t in lt])
-    r_len = np.array([len(t) for t in rt])
-    all_terms = np.concatenate(lt + rt) if (l_len.sum() + r_len.sum()) else np.array([], dtype="int64")
-    codes, _ = pd.factorize(all_terms)
-    lc, rc = codes[: l_len.sum()], codes[l_len.sum():]
-    V = int(codes.max()) + 1 if len(codes) else 1
-    D = np.zeros((len(lt), V))
-    rows = np.repeat(np.arange(len(lt)), l_len)
-    if len(lc):
-        D[rows, lc] = np.concatenate(lw)
-    S = np.zeros((len(lt), len(rt)))
-    nz = r_len > 0
-    if nz.any() and len(rc):
-        prod = D[:, rc] * np.concatenate(rw)[None, :]
-        starts = np.concatenate([[0], np.cumsum(r_len)[:-1]])[nz]
-        S[:, nz] = np.add.reduceat(prod, starts, axis=1)
-    return S
-
-
-def _local_topk_sparse(k: int, threshold: float | None, exclude_self: bool, by_group: bool):
-    cols = ["lid", "rid", "score", "rgroup"]
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        L = pdf[pdf["_side"] == "L"].reset_index(drop=True)
-        R = pdf[pdf["_side"] == "R"].reset_index(drop=True)
-        if L.empty or R.empty:
-            return pd.DataFrame({c: [] for c in cols})
-        S = _sparse_scores(L, R)
-        lids, rids = L["id"].to_numpy(), R["id"].to_numpy()
-        mask = np.zeros_like(S, dtype=bool)
-        if exclude_self:
-            mask |= lids[:, None] == rids[None, :]
-        if by_group:
-            mask |= L["grp"].to_numpy()[:, None] == R["grp"].to_numpy()[None, :]
-        S[mask] = -np.inf
-        out = _emit_topk(S, lids, rids, R["grp"].to_numpy(), k, threshold)
-        return out[cols] if len(out) else pd.DataFrame({c: [] for c in cols})
+#: Nonzeros of the left vectors that every task holds at once (16 bytes each), and
+#: the matrix cells a task works on at a time.
+LEFT_NONZEROS = 2_000_000
+CELLS = 4_000_000
+#: Terms whose document frequencies are sent to every task (16 bytes each); beyond, they are joined.
+VOCABULARY = 4_000_000
+
+
+class _LeftBlock:
+    """A bounded set of sparse query rows, numbered terms, ready to be scored against any row."""
+
+    def __init__(self, rows):
+        self.ids = np.array([r["id"] for r in rows], dtype="int64")
+        self.groups = np.array([r["grp"] for r in rows], dtype=object)
+        sizes = np.array([len(r["terms"]) for r in rows])
+        self.vocabulary, self.codes = np.unique(np.concatenate([np.asarray(r["terms"]) for r in rows]), return_inverse=True)
+        self.weights = np.concatenate([np.asarray(r["weights"], dtype="float64") for r in rows])
+        self.starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        self.chunk = max(1, CELLS // max(len(self.vocabulary), len(self.codes), 1))
+
+    def scores(self, terms: list, weights: list) -> np.ndarray:
+        """Dot products (left rows x right rows); work and memory follow the nonzeros."""
+        sizes = np.array([len(t) for t in terms])
+        flat, w = np.concatenate(terms), np.concatenate(weights)
+        at = np.searchsorted(self.vocabulary, flat)
+        at[at == len(self.vocabulary)] = 0
+        known = self.vocabulary[at] == flat
+        dense = np.zeros((len(self.vocabulary), len(terms)))
+        dense[at[known], np.repeat(np.arange(len(terms)), sizes)[known]] = w[known]
+        return np.add.reduceat(dense[self.codes] * self.weights[:, None], self.starts, axis=0)
+
+
+class _Best:
+    """The k best right rows of every left row so far, for one right group."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.score, self.rid = k, np.full((n, 0), -np.inf), np.zeros((n, 0), dtype="int64")
+
+    def add(self, score: np.ndarray, rid: np.ndarray) -> None:
+        s = np.concatenate([self.score, score], axis=1)
+        r = np.concatenate([self.rid, np.broadcast_to(rid, score.shape)], axis=1)
+        order = np.lexsort((r, -s), axis=1)[:, : self.k]
+        self.score, self.rid = np.take_along_axis(s, order, axis=1), np.take_along_axis(r, order, axis=1)
+
+
+def _score_rows(shared, k: int, threshold: float | None, exclude_self: bool, by_group: bool):
+    def fn(batches):
+        import pyarrow as pa
+
+        left = shared.value
+        best: dict[str, _Best] = {}
+        for b in batches:
+            ids, grp = b.column("id").to_numpy(), np.array(b.column("grp").to_pylist(), dtype=object)
+            terms, weights = (b.column(c).to_numpy(zero_copy_only=False) for c in ("terms", "weights"))
+            for a in range(0, b.num_rows, left.chunk):
+                cut = slice(a, a + left.chunk)
+                S = np.round(left.scores(list(terms[cut]), list(weights[cut])), TIE_DECIMALS)
+                if exclude_self:
+                    S[left.ids[:, None] == ids[cut][None, :]] = -np.inf
+                if by_group:
+                    S[left.groups[:, None] == grp[cut][None, :]] = -np.inf
+                if threshold is not None:
+                    S[S < threshold] = -np.inf
+                for g in set(grp[cut]):
+                    own = np.flatnonzero(grp[cut] == g)
+                    best.setdefault(g, _Best(len(left.ids), k)).add(S[:, own], ids[cut][own])
+        for g, x in best.items():
+            row, col = np.nonzero(np.isfinite(x.score))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(left.ids[row]), pa.array(x.rid[row, col]), pa.array(x.score[row, col]), pa.array([g] * len(row), pa.string())],
+                names=["lid", "rid", "score", "rgroup"])
 
     return fn
 
 
 def sparse_topk(left: DataFrame, right: DataFrame, k: int, threshold: float | None = None,
-                exclude_self: bool = False, block_rows: int = 128, group_col: str | None = None) -> DataFrame:
-    """Top-k cosine of L2-normalised sparse vectors ``(id, terms ARRAY<BIGINT|STRING>, weights ARRAY<DOUBLE>)``.
+                exclude_self: bool = False, group_col: str | None = None) -> DataFrame:
+    """Top-k cosine of L2-normalised sparse vectors ``(id, terms ARRAY<BIGINT>, weights ARRAY<DOUBLE>)``.
 
     With ``group_col`` (present on both sides) the top-k is kept per (left item,
     right group) and items of the same group are never compared.
     Returns ``(lid, rid, score, rgroup, rank)``.
+
+    The left side, the queries, is dealt into blocks of about ``LEFT_NONZEROS``
+    nonzeros. Every task scores its own right rows against a block and keeps k
+    of them for each query, so right rows are neither copied nor shuffled; the
+    tasks' lists are merged by a window. Both sides are read once for each block.
     """
-    nl, nr = left.count(), right.count()
-    bl, br = _blocks(nl, block_rows), _blocks(nr, block_rows)
-    g = (lambda d: F.col(group_col).cast("string")) if group_col else (lambda d: F.lit("").cast("string"))
-    L = _assign(left.select("id", g(left).alias("grp"), "terms", "weights"), "id", bl, br, "L").withColumn("_side", F.lit("L"))
-    R = _assign(right.select("id", g(right).alias("grp"), "terms", "weights"), "id", br, bl, "R").withColumn("_side", F.lit("R"))
-    local = L.unionByName(R).groupBy("_lb", "_rb").applyInPandas(
-        _local_topk_sparse(k, threshold, exclude_self, bool(group_col)), "lid long, rid long, score double, rgroup string"
-    )
-    return _final_topk(local, k, True)
+    spark = left.sparkSession
+
+    def prep(df):
+        g = F.col(group_col).cast("string") if group_col else F.lit("")
+        return df.select(F.col("id").cast("long").alias("id"), g.alias("grp"), "terms", "weights").filter(F.size("terms") > 0)
+
+    L, R = prep(left), prep(right)
+    nonzeros = L.agg(F.sum(F.size("terms").cast("long"))).first()[0] or 0
+    blocks = max(1, math.ceil(nonzeros / LEFT_NONZEROS))
+    out = None
+    for b in range(blocks):
+        rows = L.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect() if nonzeros else []
+        if not rows:
+            continue
+        shared = spark.sparkContext.broadcast(_LeftBlock(rows))
+        part = R.mapInArrow(_score_rows(shared, k, threshold, exclude_self, bool(group_col)), "lid long, rid long, score double, rgroup string")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], "lid long, rid long, score double, rgroup string")
+    return _final_topk(out, k, True)
+
+
+def _gram_counts(n: int):
+    """Arrow function: the distinct character n-grams of each text and how often they occur.
+
+    Up to three code points fit a BIGINT (21 bits each); longer grams are known by a 64-bit hash.
+    """
+
+    def fn(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            terms, counts = [], []
+            for t in b.column("t").to_pylist():
+                c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype("uint64")
+                m = max(0, len(c) - n + 1)
+                key = np.zeros(m, dtype="uint64")
+                for j in range(n):
+                    if n <= 3:
+                        key = (key << np.uint64(21)) | c[j : j + m]
+                    else:
+                        key = (key ^ c[j : j + m]) * np.uint64(0x9E3779B97F4A7C15)
+                        key ^= key >> np.uint64(29)
+                u, k = np.unique(key, return_counts=True)
+                terms.append(u.view("int64"))
+                counts.append(k.astype("int64"))
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in terms])]).astype("int32")
+            flat = [np.concatenate(x) if x else np.zeros(0, "int64") for x in (terms, counts)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), *(pa.ListArray.from_arrays(pa.array(bounds), pa.array(x)) for x in flat)], names=["id", "terms", "tfs"])
+
+    return fn
+
+
+def _weigh(shared, n_docs: int):
+    def fn(batches):
+        import pyarrow as pa
+
+        known, freq = shared.value
+        for b in batches:
+            terms = b.column("terms")
+            flat, tf = terms.flatten().to_numpy(), b.column("tfs").flatten().to_numpy()
+            w = tf * (np.log((1.0 + n_docs) / (1.0 + freq[np.searchsorted(known, flat)])) + 1.0)
+            sizes = np.diff(np.asarray(terms.offsets))
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            if len(w):
+                w = w / np.repeat(np.sqrt(np.add.reduceat(w * w, starts)), sizes)
+            bounds = np.concatenate([[0], np.cumsum(sizes)]).astype("int32")
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(w))],
+                names=["id", "terms", "weights"])
+
+    return fn
 
 
 def tfidf_vectors(docs: DataFrame, id_col: str, text_col: str, n: int = 3, materialize_tf: bool = True) -> DataFrame:
@@ -187,31 +283,32 @@ def tfidf_vectors(docs: DataFrame, id_col: str, text_col: str, n: int = 3, mater
 
     IDF is fitted on all ``docs`` (both sides of a comparison): smoothed
     ``ln((1+N)/(1+df)) + 1``; text lower-cased, whitespace runs collapsed.
+    A text is one row, so its n-grams are counted inside the row and no
+    (text, n-gram) pair is shuffled; terms follow from the n-gram's code
+    points alone, so a retried task gives the same vectors.
     """
-    from .ngrams import char_ngrams
-
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).filter(F.col("t").isNotNull())
-    n_docs = d.count()  # one scalar to the driver
-    g = char_ngrams(d, "t", n, n).select("id", "gram")
-    tf = g.groupBy("id", "gram").agg(F.count(F.lit(1)).alias("tf"))
-    # tf feeds both the document frequencies and the weights; the two branches
-    # plan different aggregates, so without a cut the regex scan and its shuffle
-    # would run twice. A reliable checkpoint materialises it once.
     from ..session import cut_lineage
 
+    t = F.regexp_replace(F.lower(F.col(text_col)), r"\s\s+", " ")
+    d = docs.select(F.col(id_col).cast("long").alias("id"), t.alias("t")).filter(F.col("t").isNotNull())
+    counts = d.mapInArrow(_gram_counts(n), "id long, terms array<long>, tfs array<long>")
     if materialize_tf:
-        tf = cut_lineage(tf)
-    # one row per distinct gram: its document frequency and a unique integer id,
-    # so block kernels move and factorise int64 arrays instead of strings
-    df_ = tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).withColumn("term_id", F.monotonically_increasing_id())
-    w = tf.join(df_, "gram").withColumn(
-        "w", F.col("tf") * (F.log(F.lit(1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0)
-    )
-    vec = w.groupBy("id").agg(
-        F.collect_list("term_id").alias("terms"), F.collect_list("w").alias("weights")
-    )
-    norm = F.sqrt(F.aggregate(F.col("weights"), F.lit(0.0), lambda acc, x: acc + x * x))
-    return vec.withColumn("weights", F.transform("weights", lambda x: x / norm))
+        counts = cut_lineage(counts)
+    n_docs = counts.count()  # one scalar to the driver
+    counts = counts.filter(F.size("terms") > 0)
+    freq = counts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    head = freq.limit(VOCABULARY + 1).toPandas()
+    if len(head) <= VOCABULARY:
+        head = head.sort_values("term")
+        shared = docs.sparkSession.sparkContext.broadcast((head["term"].to_numpy("int64"), head["df"].to_numpy("int64")))
+        return counts.mapInArrow(_weigh(shared, n_docs), "id long, terms array<long>, weights array<double>")
+    # a vocabulary without a small bound is joined; written once, so that Spark splits hot terms
+    freq = cut_lineage(freq)
+    each = counts.select("id", F.explode(F.arrays_zip("terms", "tfs")).alias("e")).select("id", F.col("e.terms").alias("term"), F.col("e.tfs").alias("tf"))
+    w = each.join(freq, "term").withColumn("w", F.col("tf") * (F.log(F.lit(1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0))
+    vec = w.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("e"))
+    norm = F.sqrt(F.aggregate(F.col("e.w"), F.lit(0.0), lambda acc, x: acc + x * x))
+    return vec.select("id", F.col("e.term").alias("terms"), F.transform(F.col("e.w"), lambda x: x / norm).alias("weights"))
 
 
 def normalize_expr(vec_col: str):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import clean_text
 from ..functions.hashing import seeded_unit
+from .ordering import global_index
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
@@ -36,7 +37,9 @@ def distinct_values(vc: DataFrame, table_order: list[str], limit_distinct: int =
     v = vc.join(owner, ["col_name", "table_id"], "left_semi")
     nd = v.groupBy("col_name").agg(F.count(F.lit(1)).alias("_nd"))
     w = Window.partitionBy("col_name").orderBy(F.col("cnt").desc(), F.col("value"))
-    ranked = v.join(nd, "col_name").withColumn("pos", F.row_number().over(w))
+    # the bound on the rank lets Spark keep that many values of a column before they are shuffled
+    most = max(limit_distinct, keep)
+    ranked = v.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= most).join(nd, "col_name")
     return ranked.filter((F.col("_nd") <= limit_distinct) | (F.col("pos") <= keep)).select(
         "col_name", "table_id", "value", "cnt", "pos"
     )
@@ -135,7 +138,7 @@ def training_items(aug: DataFrame, augmentation: str = "exact_semantic") -> Data
     a = aug.filter(use)
     name = F.when(F.col("kind") == "exact", F.regexp_replace("name", "_[^_]*$", "")).otherwise(F.col("name"))
     # class ids rank the distinct column names only (one row per column)
-    classes = a.select("col_name").distinct().withColumn("class_id", F.dense_rank().over(Window.orderBy("col_name")) - 1)
+    classes = global_index(a.select("col_name").distinct(), [F.col("col_name")], "class_id").withColumn("class_id", F.col("class_id").cast("int"))
     return a.join(classes, "col_name").select(
         "class_id", "kind", name.alias("name"),
         F.filter(F.transform("values", lambda v: clean_text(v)), lambda v: v.isNotNull()).alias("values"),
@@ -204,36 +207,47 @@ def balanced_batches(items: DataFrame, batch_size: int = 16, per_class: int = 2,
     """Class-balanced batches (WIN-10): per batch, ``batch_size // per_class`` classes, ``per_class`` rows each.
 
     ``items``: ``(id, label)``; number of batches = rows // batch_size.
-    Classes per batch: the smallest seeded hashes of (batch, label); rows per
-    class: ``per_class`` distinct dense indexes drawn by hash, then an
-    equi-join on (label, index). Returns ``(batch, label, id)``.
+    Only classes with at least ``per_class`` rows take part; with fewer such
+    classes than a batch needs the batches cannot be filled, which is an error.
+    Classes per batch and rows per class are distinct indexes drawn by hash
+    (``_distinct_draws``), then found by an equi-join, so neither batches x
+    classes nor a class as a whole is ever laid out. Returns ``(batch, label, id)``.
     """
-    n = items.count()
-    n_batches = n // batch_size
+    n_batches = items.count() // batch_size
     n_cls = batch_size // per_class
-    idx = dense_index(items, "label", "id")
-    labels = idx.select("label", "gsize").distinct()
-    bl = labels.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(max(n_batches - 1, 0))))) if n_batches > 0 else labels.limit(0).withColumn("batch", F.lit(0))
-    w = Window.partitionBy("batch").orderBy(_u(seed, "cls", F.col("batch"), F.col("label")), "label")
-    chosen = bl.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n_cls).drop("_r")
-    chosen = chosen.filter(F.col("gsize") >= per_class)
-    draws = chosen.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(per_class - 1))))
-    # distinct indexes: first draw uniform, later draws step by a nonzero offset
-    first = F.floor(_u(seed, "i0", F.col("batch"), F.col("label")) * F.col("gsize")).cast("long")
-    step = (F.floor(_u(seed, "st", F.col("batch"), F.col("label")) * (F.col("gsize") - per_class + 1)).cast("long") + 1)
-    draws = draws.withColumn("gidx", F.pmod(first + F.col("slot") * step, F.col("gsize")))
+    idx = dense_index(items, "label", "id").filter(F.col("gsize") >= per_class)
+    labels = global_index(idx.select("label", "gsize").distinct(), [F.col("label")], "lidx")
+    n_labels = labels.count()
+    if n_batches and n_labels < n_cls:
+        raise ValueError(f"a batch takes {n_cls} classes of {per_class} rows; {n_labels} classes have that many")
+    batches = items.sparkSession.range(n_batches).withColumnRenamed("id", "batch")
+    classes = _distinct_draws(batches, n_cls, F.lit(n_labels), seed, "cls", ["batch"], "lidx")
+    chosen = classes.join(labels, "lidx").select("batch", "label", "gsize")
+    draws = _distinct_draws(chosen, per_class, F.col("gsize"), seed, "row", ["batch", "label"], "gidx")
     return draws.join(idx.select("label", "gidx", "id"), ["label", "gidx"]).select("batch", "label", "id")
 
 
+def _distinct_draws(df: DataFrame, k: int, size: Column, seed: int, tag: str, key: list[str], name: str) -> DataFrame:
+    """``k`` rows for each row of ``df``, with distinct indexes below ``size`` (at least k).
+
+    The first index is uniform; every later one steps on by one to as much as
+    leaves room for the others, so the steps sum up to less than ``size``.
+    """
+    parts = [F.col(c) for c in key]
+    out = df.withColumn("_first", F.floor(_u(seed, f"{tag}0", *parts) * size).cast("long")).withColumn("_far0", F.lit(0).cast("long"))
+    for j in range(1, k):
+        room = size - 1 - F.col(f"_far{j - 1}") - (k - 1 - j)
+        out = out.withColumn(f"_far{j}", F.col(f"_far{j - 1}") + F.floor(_u(seed, f"{tag}{j}", *parts) * room).cast("long") + 1)
+    spread = out.withColumn("_far", F.explode(F.array(*[F.col(f"_far{j}") for j in range(k)])))
+    return spread.withColumn(name, F.pmod(F.col("_first") + F.col("_far"), size)).drop("_first", "_far", *[f"_far{j}" for j in range(k)])
+
+
 def embedding_triplets(vecs: DataFrame, seed: int = 42) -> DataFrame:
     """One (anchor, positive, negative) per item: positive another item of its label, negative an item of another label."""
     idx = dense_index(vecs.select("id", "label"), "label", "id")
     # label ordinals over the distinct labels only (one row per class)
-    distinct = idx.select("label").distinct()
-    labs = distinct.select(
-        "label", (F.dense_rank().over(Window.orderBy("label")) - 1).cast("long").alias("lidx"),
-        F.count(F.lit(1)).over(Window.partitionBy()).alias("n_labels"),
-    )
+    labs = global_index(idx.select("label").distinct(), [F.col("label")], "lidx")
+    labs = labs.withColumn("n_labels", F.lit(labs.count()))  # one scalar to the driver
     a = idx.join(labs, "label").filter(F.col("gsize") >= 2).filter(F.col("n_labels") >= 2)
     pidx = F.pmod(F.col("gidx") + 1 + F.floor(_u(seed, "p", F.col("id")) * (F.col("gsize") - 1)).cast("long"), F.col("gsize"))
     nl = F.pmod(F.col("lidx") + 1 + F.floor(_u(seed, "nl", F.col("id")) * (F.col("n_labels") - 1)).cast("long"), F.col("n_labels"))

@@ -375,6 +375,30 @@ PG = f"""WITH {EMB},
     gt AS (SELECT a.vec_id AS source, b.vec_id AS target FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 AND a.label = b.label)"""
 
 
+def balanced_sql(batch_size: int, per_class: int) -> str:
+    """Distinct classes of each batch and distinct rows of each class, every index some steps after the one before."""
+    classes = batch_size // per_class
+
+    def draws(tag: str, k: int, size: str, *key: str) -> str:
+        far = ["0"]
+        for j in range(1, k):
+            far.append(f"(f{j - 1} + floor({U(q(tag + str(j)), *key)} * ({size} - 1 - f{j - 1} - {k - 1 - j})) + 1)")
+        names = ", ".join(f"f{j}" for j in range(k))
+        inner = f"SELECT *, 0 AS f0, floor({U(q(tag + '0'), *key)} * {size}) AS first FROM {{source}}"
+        for j in range(1, k):
+            inner = f"SELECT *, {far[j]} AS f{j} FROM ({inner})"
+        return f"SELECT *, CAST(first + far AS BIGINT) % {size} AS pick FROM (SELECT *, unnest([{names}]) AS far FROM ({inner}))"
+
+    return f"""WITH it AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS label FROM embeddings),
+        idx AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS gidx, count(*) OVER (PARTITION BY label) AS gsize FROM it) WHERE gsize >= {per_class}),
+        labs AS (SELECT label, gsize, row_number() OVER (ORDER BY label) - 1 AS lidx, count(*) OVER () AS n FROM (SELECT DISTINCT label, gsize FROM idx)),
+        b AS (SELECT r.b AS batch, (SELECT max(n) FROM labs) AS n FROM range(0, (SELECT count(*) FROM it) // {batch_size}) r(b)),
+        c AS ({draws("cls", classes, "n", "batch").replace("{source}", "b")}),
+        ch AS (SELECT c.batch, labs.label, labs.gsize FROM c JOIN labs ON labs.lidx = c.pick),
+        d AS ({draws("row", per_class, "gsize", "batch", "label").replace("{source}", "ch")})
+        SELECT d.batch, d.label, idx.id FROM d JOIN idx ON idx.label = d.label AND idx.gidx = d.pick"""
+
+
 def oracles_batch2() -> dict:
     o = {}
     from ..operators.serialize import CONTEXT_MODES, SIMPLE_MODES
@@ -631,15 +655,16 @@ def oracles_batch3() -> dict:
         c AS (SELECT source_column, target_column, negative, min(prio) AS prio FROM (SELECT * FROM hard UNION ALL SELECT * FROM oth) GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY source_column, target_column ORDER BY prio, {U('source_column', 'target_column', 'negative')}, negative) AS rn FROM c)
         SELECT source_column, target_column AS positive_target_col, negative AS negative_target_col, prio AS is_random FROM r WHERE rn <= 4"""
-    o["balanced_batches"] = f"""WITH it AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS label FROM embeddings),
-        idx AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS gidx, count(*) OVER (PARTITION BY label) AS gsize FROM it),
-        nb AS (SELECT (SELECT count(*) FROM it) // 16 AS n),
-        labs AS (SELECT DISTINCT label, gsize FROM idx),
-        bl AS (SELECT labs.*, b AS batch FROM labs, range(0, greatest((SELECT n FROM nb), 1)) r(b) WHERE (SELECT n FROM nb) > 0),
-        ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY {U(q('cls'), 'batch', 'label')}, label) AS r FROM bl) WHERE r <= 8 AND gsize >= 2),
-        d AS (SELECT ch.*, s AS slot FROM ch, range(0, 2) r(s)),
-        dd AS (SELECT batch, label, CAST((floor({U(q('i0'), 'batch', 'label')} * gsize) + slot * (floor({U(q('st'), 'batch', 'label')} * (gsize - 2 + 1)) + 1)) AS BIGINT) % gsize AS gidx FROM d)
-        SELECT dd.batch, dd.label, idx.id FROM dd JOIN idx USING (label, gidx)"""
+    o["balanced_batches"] = balanced_sql(16, 2)
+    o["balanced_batches_three"] = balanced_sql(12, 3)
+    o["llm_parse_merge"] = """
+        WITH p AS (SELECT l_suppkey, l_partkey, count(*)::DOUBLE AS score, sum(l_quantity)::DOUBLE AS judged, l_suppkey % 7 AS kind FROM lineitem GROUP BY ALL),
+        k AS (SELECT *, kind IN (0, 1, 2, 5) OR (kind = 3 AND NOT bool_or(l_partkey % 5 = 0) OVER w) OR (kind = 4 AND NOT bool_or(l_partkey % 5 = 1) OVER w) AS readable
+              FROM p WINDOW w AS (PARTITION BY l_suppkey)),
+        s AS (SELECT l_suppkey, l_partkey::VARCHAR AS tgt_col, CASE WHEN NOT readable THEN score WHEN kind = 5 THEN 0.0 ELSE judged END AS score FROM k)
+        SELECT l_suppkey::VARCHAR AS src_col, tgt_col, round(score, 6) AS score, row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, tgt_col) AS rank FROM s"""
+    o["augmentation_parse_parts"] = """
+        SELECT p_size, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS idx, p_name AS alt_name, 2 AS n_values, p_type || '|' || p_brand AS values FROM part"""
     o["triplet_loss"] = f"""WITH it AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS label FROM embeddings),
         idx AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS gidx, count(*) OVER (PARTITION BY label) AS gsize FROM it),
         labs AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS lidx, count(*) OVER () AS n_labels FROM (SELECT DISTINCT label FROM it)),

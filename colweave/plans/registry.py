@@ -18,7 +18,7 @@ from ..operators import serialize as Z
 from ..operators import traindata as TD
 from ..operators.similarity import dense_topk, minmax_normalize, sparse_topk, tfidf_vectors
 from ..session import prepare
-from ..sources.catalog import cells, load_catalog
+from ..sources.catalog import cells, columns_relation, load_catalog
 from . import sweep as SW
 
 R6 = 6  # decimals kept for floating results compared across engines
@@ -156,9 +156,9 @@ ALIGN_PAIRS = [("customer", "supplier"), ("orders", "lineitem"), ("part", "linei
 
 
 def _data_columns(spark, sf, names):
-    """Columns that hold at least one value, read from the data (not only the schema)."""
-    c = _cells(spark, sf, names, clean=False)
-    return c.groupBy("table_id", "col_name", "col_pos").agg(F.count("value").alias("n_values")).filter(F.col("n_values") > 0)
+    """All columns of the tables, from their schemas: a column without values has a name as well."""
+    prepare(spark)
+    return columns_relation(spark, load_catalog(spark, sf, names)).select("table_id", "col_name", "col_pos")
 
 
 def _pairs_df(spark, pairs):
@@ -308,9 +308,8 @@ def q_ngram_cosine_topk(spark, sf):
     from ..session import cut_lineage
 
     vecs = cut_lineage(tfidf_vectors(b.unionByName(d), "id", "text", 3))
-    left = vecs.join(b.select("id"), "id", "left_semi")
-    right = vecs.join(d.select("id"), "id", "left_semi")
-    t = sparse_topk(left, right, 5)
+    # the side is in the id: items are even, documents odd
+    t = sparse_topk(vecs.filter("id % 2 = 0"), vecs.filter("id % 2 <> 0"), 5)
     return t.select(
         (F.col("lid") / 2).cast("long").alias("item_id"), ((F.col("rid") - 1) / 2).cast("long").alias("doc_id"),
         "rank", F.round("score", R6).alias("score"),
@@ -338,7 +337,7 @@ def q_match_corpus(spark, sf):
     from .pipeline import match_corpus
 
     prepare(spark)
-    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "pages", "benchmark", "conversations"]
+    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "labels", "pages", "benchmark", "conversations"]
     return match_corpus(spark, load_catalog(spark, sf, names))
 
 
@@ -401,6 +400,63 @@ def q_llm_parse(spark, sf):
     return t.select("conv_id", "turn", F.col("_p").isNotNull().alias("parsed"), F.coalesce(F.size("_p"), F.lit(0)).alias("n_entries"))
 
 
+#: Kinds of answers in ``llm_parse_merge``, by supplier: whole, trailing comma, cut off, a score that is
+#: no number, a null score, no score, no list.
+ANSWER_KINDS = 7
+
+
+def _judge_answers(spark, sf):
+    """(matches, answers) from lineitem: suppliers' parts scored by orders, judged anew by quantity."""
+    prepare(spark)
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    per = li.groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).cast("double").alias("score"), F.sum("l_quantity").cast("double").alias("judged"))
+    names = [F.lit("supplier").alias("src_table"), F.col("l_suppkey").cast("string").alias("src_col"), F.lit("part").alias("tgt_table")]
+    matches = per.select(*names, F.col("l_partkey").cast("string").alias("tgt_col"), "score")
+    kind = F.pmod(F.col("l_suppkey"), F.lit(ANSWER_KINDS))
+    head = F.concat(F.lit('{"column": "'), F.col("l_partkey").cast("string"), F.lit('"'))
+    value = F.when((kind == 3) & (F.col("l_partkey") % 5 == 0), F.lit('"high"')).when((kind == 4) & (F.col("l_partkey") % 5 == 1), F.lit("null")).otherwise(F.col("judged").cast("string"))
+    entry = F.when(kind == 5, F.concat(head, F.lit("}"))).otherwise(F.concat(head, F.lit(', "score": '), value, F.lit("}")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_partkey", entry.alias("e")))), lambda x: x["e"]), ", ")
+    lists = per.groupBy("l_suppkey").agg(body.alias("body"))
+    answer = (
+        F.when(kind == 1, F.concat(F.lit("Here you are: ["), "body", F.lit(", ]. Anything else?")))
+        .when(kind == 2, F.concat(F.lit("["), "body", F.lit(', {"column": "cut of')))
+        .when(kind == 6, F.lit("I cannot rank these columns.")).otherwise(F.concat(F.lit("["), "body", F.lit("]")))
+    )
+    return matches, lists.select(*names, answer.alias("response"))
+
+
+def q_llm_parse_merge(spark, sf):
+    """Answers of a judge, good and broken ones, merged into matches."""
+    m = LL.merge_judgements(*_judge_answers(spark, sf))
+    return m.select("src_col", "tgt_col", F.round("score", R6).alias("score"), "rank")
+
+
+def q_augmentation_parse_parts(spark, sf):
+    """Alternatives in the requested format, one text for each part size."""
+    prepare(spark)
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    entry = F.concat_ws(", ", F.concat(F.col("p_name"), F.lit("\n")), "p_type", "p_brand")
+    texts = p.groupBy("p_size").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", entry.alias("e")))), lambda x: x["e"]), "; ").alias("text"))
+    out = TD.parse_alternatives(texts, "text")
+    return out.select("p_size", "idx", "alt_name", F.size("values").alias("n_values"), F.array_join("values", "|").alias("values"))
+
+
+def q_metrics_core_one_to_one(spark, sf):
+    """The core metrics over the greedy 1:1 selection of the predictions."""
+    from ..operators.rerank import greedy_one_to_one
+
+    p, g = _preds_gt(spark, sf)
+    named = p.select(F.lit("e").alias("src_table"), "source", F.col("source").alias("src_pos"), F.lit("e").alias("tgt_table"), "target", F.col("target").alias("tgt_pos"), "score")
+    one = greedy_one_to_one(named.withColumnsRenamed({"source": "src_col", "target": "tgt_col"}))
+    return _round_all(EV.metrics_core(one.select(F.col("src_col").alias("source"), F.col("tgt_col").alias("target"), "score"), g, "one_to_one"))
+
+
+def q_balanced_batches_three(spark, sf):
+    v = _vecs(spark, sf)
+    return TD.balanced_batches(v.select("id", "label"), 12, 3, 42)
+
+
 def q_llm_prompts(spark, sf):
     """Judge prompts for customer -> supplier with every target as candidate (language-model-only mode)."""
     raw = _cells(spark, sf, ["customer", "supplier"], clean=False)
@@ -643,6 +699,10 @@ def registry() -> dict:
         "augmentation_prompts": q_augmentation_prompts,
         "augmentation_parse": q_augmentation_parse,
         "llm_parse": q_llm_parse,
+        "llm_parse_merge": q_llm_parse_merge,
+        "augmentation_parse_parts": q_augmentation_parse_parts,
+        "metrics_core_one_to_one": q_metrics_core_one_to_one,
+        "balanced_batches_three": q_balanced_batches_three,
         "llm_prompts": q_llm_prompts,
         "value_noise": q_value_noise,
         "make_pair": q_make_pair,

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.clean import clean_text
+from ..functions.clean import clean_text, is_integer_text, is_number_text
 
 TEXT, INT, FLOAT, BOOL = "text", "int", "float", "bool"
 
@@ -57,9 +57,12 @@ class Table:
             return F.monotonically_increasing_id()
         if isinstance(key, str):
             return F.col(key).cast("long")
-        # composite order: (k1, k2) with k2 small -> k1 * 2^16 + k2
-        k1, k2 = key
-        return F.col(k1).cast("long") * F.lit(1 << 16) + F.col(k2).cast("long")
+        # composite order: (k1, k2) -> k1 * 2^16 + k2. A pair that does not fit would share
+        # another pair's id, so it ends the job instead.
+        k1, k2 = F.col(key[0]).cast("long"), F.col(key[1]).cast("long")
+        fits = k2.between(0, (1 << 16) - 1) & k1.between(-(1 << 46), (1 << 46) - 1)
+        problem = F.concat(F.lit(f"{self.table_id}: row key does not fit: "), F.concat_ws(", ", k1.cast("string"), k2.cast("string")))
+        return F.when(k1.isNull() | k2.isNull() | fits, k1 * F.lit(1 << 16) + k2).otherwise(F.raise_error(problem).cast("long"))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> Table:
@@ -68,12 +71,38 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     return Table(name, df, key, tuple(columns) if columns is not None else None)
 
 
+# FIXED VALUES: cells that CSV readers of data frames take as missing.
+CSV_NULLS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+CSV_BOOLS = ("True", "False", "TRUE", "FALSE", "true", "false")
+
+
 def read_csv_table(spark: SparkSession, path: str, table_id: str | None = None, strip_headers: bool = True) -> Table:
-    """CSV with header and inferred schema; header names stripped (SRC-1, SRC-2)."""
-    df = spark.read.option("header", True).option("inferSchema", True).csv(path)
+    """CSV with header, null spellings and inferred types; header names stripped (SRC-1, SRC-2).
+
+    Cells are read as text, the null spellings become null, and each column takes
+    the type that all its other cells have: whole numbers (as floats where
+    cells are missing), numbers, booleans or text. One pass over the file.
+    """
+    df = spark.read.option("header", True).csv(path)
     if strip_headers:
-        df = df.toDF(*[c.strip() for c in df.columns])
-    return Table(table_id or os.path.splitext(os.path.basename(path))[0], df, None)
+        df = df.toDF(*unique_names([c.strip() for c in df.columns]))
+    cells = {c: F.when(~F.col(f"`{c}`").isin(*CSV_NULLS), F.col(f"`{c}`")) for c in df.columns}
+    found = df.agg(F.count(F.lit(1)).alias("rows"), *[x for i, v in enumerate(cells.values()) for x in (
+        F.count(v).alias(f"n{i}"), F.count(F.when(is_integer_text(v), 1)).alias(f"i{i}"),
+        F.count(F.when(is_number_text(v), 1)).alias(f"f{i}"), F.count(F.when(v.isin(*CSV_BOOLS), 1)).alias(f"b{i}"))]).first()
+    typed = []
+    for i, (name, v) in enumerate(cells.items()):
+        n = found[f"n{i}"]
+        if n and found[f"i{i}"] == n and n == found["rows"]:
+            out = F.trim(v).try_cast("long")
+        elif n and found[f"f{i}"] == n:
+            out = F.trim(v).try_cast("double")
+        elif n and found[f"b{i}"] == n and n == found["rows"]:
+            out = F.lower(v).try_cast("boolean")
+        else:
+            out = v
+        typed.append(out.alias(name))
+    return Table(table_id or os.path.splitext(os.path.basename(path))[0], df.select(*typed), None)
 
 
 def kind_of(dt: T.DataType) -> str:
@@ -100,6 +129,25 @@ def unique_names(names: list[str]) -> list[str]:
     return out
 
 
+def float_text(c: Column) -> Column:
+    """A floating number as CSV text shows it: shortest digits, plain from 1e-4 up to 1e16.
+
+    Java writes ``1.23456789E7`` and ``1.0E-4`` where data frames write
+    ``12345678.9`` and ``0.0001``; outside that range ``1e+16`` and ``1e-05``.
+    """
+    s, a = c.cast("string"), F.abs(c.cast("double"))
+    digits = F.regexp_replace(s.try_cast("decimal(38,20)").cast("string"), r"0+$", "")
+    plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+    power = F.substring_index(s, "E", -1).try_cast("int")
+    mantissa = F.regexp_replace(F.substring_index(s, "E", 1), r"\.0$", "")
+    far = F.concat(mantissa, F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.format_string("%02d", F.abs(power)))
+    infinite = F.when(c.cast("double") > 0, F.lit("inf")).otherwise(F.lit("-inf"))
+    return (
+        F.when(F.isnan(c), F.lit(None).cast("string")).when(s.contains("Inf"), infinite)
+        .when(~s.contains("E"), s).when((a >= 1e-4) & (a < 1e16), plain).otherwise(far)
+    )
+
+
 def cell_text(name: str, dt: T.DataType) -> Column:
     """Canonical text of a cell, as a schema-inferring CSV reader would show it."""
     c = F.col(f"`{name}`")
@@ -107,7 +155,7 @@ def cell_text(name: str, dt: T.DataType) -> Column:
     if k == BOOL:
         return F.when(c, F.lit("True")).when(~c, F.lit("False"))
     if k == FLOAT and not isinstance(dt, T.DecimalType):
-        return F.when(F.isnan(c), F.lit(None).cast("string")).otherwise(c.cast("string"))
+        return float_text(c)
     if isinstance(dt, (T.StructType, T.MapType, T.ArrayType)):
         return F.to_json(c)
     return c.cast("string")

@@ -7,6 +7,7 @@ write job, so a retried job never leaves half a row. ``pending`` is a
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +18,12 @@ def append_results(results: DataFrame, path: str, partition_by: tuple[str, ...]
 
 
 def read_results(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The log; with a ``schema`` an empty one where none was written yet. Any other trouble is raised:
+    a log that cannot be read is not an empty log."""
     try:
         return spark.read.parquet(path)
-    except Exception:  # no log yet
-        if schema is None:
+    except AnalysisException as e:
+        if schema is None or e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
