@@ -59,6 +59,12 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def ratio_upper_bound(a: Column, b: Column) -> Column:
-    """Native upper bound of the ratio: 2 * min(len) / (len a + len b)."""
+    """Native upper bound of the ratio: the characters both names have, as often as both have them."""
     la, lb = F.length(a), F.length(b)
-    return F.try_divide(2.0 * F.least(la, lb), la + lb)
+
+    def times(name: Column, ch: Column) -> Column:
+        return F.length(name) - F.length(F.replace(name, ch, F.lit("")))
+
+    letters = F.array_distinct(F.filter(F.split(a, ""), lambda x: x != ""))
+    shared = F.aggregate(letters, F.lit(0), lambda acc, ch: acc + F.least(times(a, ch), times(b, ch)))
+    return F.coalesce(F.try_divide(2.0 * shared, la + lb), F.lit(0.0))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import equal_name_key
-from ..functions.strsim import alignment_score, fuzzy_ratio
+from ..functions.strsim import alignment_score, fuzzy_ratio, ratio_upper_bound
 from .profile import common_prefix_expr
 
 CAND_COLS = ["src_table", "src_col", "src_pos", "tgt_table", "tgt_col", "tgt_pos", "strategy", "score"]
@@ -67,6 +67,9 @@ def strsim_candidates(src_cols: DataFrame, tgt_cols: DataFrame, pairs: DataFrame
     """Alignment >= 0.95 or fuzzy ratio >= 0.6; the fuzzy score overwrites (JOIN-1, FLT-2)."""
     p = name_pairs(src_cols, tgt_cols, pairs)
     p = p.withColumn("alignment", alignment_score(F.col("src_prep"), F.col("tgt_prep")))
+    # the ratio is compared as a whole percent; pairs whose lengths or characters rule it out skip the function
+    least = fuzzy_threshold - 0.005
+    p = p.filter((F.col("alignment") >= alignment_threshold) | (ratio_upper_bound(F.col("src_prep"), F.col("tgt_prep")) >= least))
     p = p.withColumn("fuzzy", fuzzy_ratio(F.col("src_prep"), F.col("tgt_prep")))
     score = F.when(F.col("fuzzy") >= fuzzy_threshold, F.col("fuzzy")).when(
         F.col("alignment") >= alignment_threshold, F.col("alignment")
@@ -76,6 +79,14 @@ def strsim_candidates(src_cols: DataFrame, tgt_cols: DataFrame, pairs: DataFrame
     )
 
 
+def all_columns(cols: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Every target column as a candidate of every source column of its table pair, with score 0 (a judge's work list)."""
+    s = _side(cols, "src").join(pairs, "src_table")
+    t = _side(cols, "tgt")
+    return s.join(t, "tgt_table").select(
+        "src_table", "src_col", "tgt_table", "tgt_col", F.lit(0.0).alias("score"), (F.col("tgt_pos") + 1).alias("rank"))
+
+
 def merge_strategies(cands: list[DataFrame], order: dict | None = None) -> DataFrame:
     """Union of strategy candidates; per pair the last strategy in ``order`` wins (SET-1, S5).
 

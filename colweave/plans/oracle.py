@@ -753,9 +753,32 @@ def _extend_oracles_4(o: dict) -> dict:
     for mode in ("table_context_window_span", "table_context_window_span_target_block",
                  "table_context_window_starmie_marker", "table_context_window_starmie_structured"):
         o[f"serialize_{mode}"] = span_marker_sql(mode)
+    for mode in ("table_context_window_span", "table_context_window_starmie_marker"):
+        o[f"serialize_wide_{mode}"] = span_marker_sql(mode, WIDE_TABLES)
+    o["serialize_wide_table_context_window_target_values"] = serialize_sql("table_context_window_target_values", WIDE_TABLES)
+    o["span_pool"] = pool_sql("table_context_window_span", True)
+    o["marker_pool"] = pool_sql("table_context_window_starmie_structured", False)
     return o
 
 
+WIDE_TABLES = ["lineitem"]
+
+
+def pool_sql(mode: str, span: bool) -> str:
+    """Tokens split at blanks with (length, letters ``e``, first code); mean over the span, or the target's marker; unit length."""
+    if span:
+        pick = "t.e > f.span_start AND t.s < f.span_end AND t.s <> t.e"
+    else:
+        pick = "t.marker AND t.k = f.marker_ordinal"
+    return f"""WITH f AS ({span_marker_sql(mode)}),
+        w AS (SELECT table_id, col_name, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM f),
+        p AS (SELECT *, coalesce(sum(length(w) + 1) OVER (PARTITION BY table_id, col_name ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, suffix(w, '<<COL>>') AS marker FROM w),
+        t AS (SELECT *, s + length(w) AS e, count(*) FILTER (marker) OVER (PARTITION BY table_id, col_name ORDER BY i) - 1 AS k FROM p),
+        m AS (SELECT f.table_id, f.col_name, avg(length(w)) AS a, avg(length(w) - length(replace(w, 'e', ''))) AS b, avg(CASE WHEN w = '' THEN 0 ELSE unicode(w) END) AS c
+              FROM f JOIN t ON t.table_id = f.table_id AND t.col_name = f.col_name AND {pick} GROUP BY ALL)
+        SELECT table_id, col_name, round(a / sqrt(a * a + b * b + c * c), 6) AS v0, round(b / sqrt(a * a + b * b + c * c), 6) AS v1, round(c / sqrt(a * a + b * b + c * c), 6) AS v2 FROM m"""
+
+
 def augment_cells_sql() -> str:
     u = lambda *parts: f"(('0x' || substr(md5('42:' || concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT / 4294967296.0)"
     return f"""

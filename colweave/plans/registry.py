@@ -150,6 +150,45 @@ def _serialize_query(mode):
     return q
 
 
+#: Tables wider than the context window of seven columns, so that the window slides.
+WIDE_TABLES = ["lineitem"]
+WIDE_MODES = ["table_context_window_target_values", "table_context_window_span", "table_context_window_starmie_marker"]
+
+
+def _serialize_wide_query(mode):
+    extra = {"span": ["span_start", "span_end"], "marker": ["marker_ordinal"]}
+
+    def q(spark, sf):
+        out = Z.serialize(_profile(spark, sf, WIDE_TABLES), mode)
+        cols = extra["span"] if mode in Z.SPAN_MODES else extra["marker"] if mode in Z.MARKER_MODES else []
+        return out.select("table_id", "col_name", "text", *cols)
+
+    q.__name__ = f"q_serialize_wide_{mode}"
+    return q
+
+
+def text_tokens(texts: DataFrame) -> DataFrame:
+    """Token relation of texts split at blanks: a plain encoder whose vectors are (length, letters ``e``, first code)."""
+    parts = texts.select("item_id", F.split("text", " ", -1).alias("_t"))
+    each = parts.select("item_id", "_t", F.posexplode("_t").alias("tok_idx", "_w"))
+    start = F.when(F.col("tok_idx") > 0, F.length(F.array_join(F.slice("_t", 1, F.col("tok_idx")), " ")) + 1).otherwise(0)
+    vec = F.array(F.length("_w"), F.length("_w") - F.length(F.replace("_w", F.lit("e"), F.lit(""))), F.ascii("_w")).cast("array<double>")
+    return each.select("item_id", "tok_idx", start.alias("start"), (start + F.length("_w")).alias("end"), vec.alias("vec"),
+                       (F.col("_w").endswith(Z.Tokens().col_marker)).alias("is_marker"))
+
+
+def _pool_query(mode):
+    def q(spark, sf):
+        from .pipeline import MatchOptions, column_texts, column_vectors
+
+        opts = MatchOptions(encoding_mode=mode, encode_tokens=text_tokens)
+        texts = column_texts(_profile(spark, sf, SER_TABLES), opts)
+        v = column_vectors(texts, opts).join(texts.select(F.col("col_id").alias("id"), "table_id", "col_name"), "id")
+        return v.select("table_id", "col_name", *[F.round(F.col("vec")[i], R6).alias(f"v{i}") for i in range(3)])
+
+    return q
+
+
 # ---------------------------------------------------------------- name layer
 EQ_TABLES = ["events", "documents", "labels", "pages", "benchmark", "conversations"]
 ALIGN_PAIRS = [("customer", "supplier"), ("orders", "lineitem"), ("part", "lineitem"), ("nation", "region")]
@@ -552,6 +591,24 @@ def q_sweep_pivot(spark, sf):
     return piv.select("benchmark", *[F.round(f"top{k}", R6).alias(f"top{k}") for k in SWEEP_K])
 
 
+def q_sweep_strategy_orders(spark, sf):
+    """Customer against supplier under all 15 strategy orders, from one set of candidates."""
+    from ..session import cut_lineage
+    from .pipeline import MatchOptions, _embedding_candidates, column_profile, column_texts
+
+    prepare(spark)
+    tabs = load_catalog(spark, sf, ["customer", "supplier"])
+    opts = MatchOptions()
+    texts = cut_lineage(column_texts(column_profile(tabs, opts), opts))
+    cols = texts.select("table_id", "col_name", "col_pos")
+    src, tgt = cols.filter("table_id = 'customer'"), cols.filter("table_id = 'supplier'")
+    pairs = _pairs_df(spark, [("customer", "supplier")])
+    cands = CA.strsim_candidates(src, tgt, pairs).unionByName(CA.equal_name_candidates(src, tgt, pairs)).unionByName(
+        _embedding_candidates(texts, {"customer"}, {"supplier"}, opts))
+    out = SW.strategy_orders(cut_lineage(cands), SW.STRATEGY_ORDERS, opts.topk)
+    return out.select("config", "src_col", "tgt_col", "strategy", F.round("score", R6).alias("score"), "rank")
+
+
 def q_assignment_rescaled(spark, sf):
     from .pipeline import MatchOptions, column_profile, column_texts
     from .pipeline import _embedding_candidates
@@ -722,6 +779,11 @@ def registry() -> dict:
         "input_stats": q_input_stats,
         "sample_priority_murmur3": q_sample_priority_murmur3,
     }
+    q["span_pool"] = _pool_query("table_context_window_span")
+    q["marker_pool"] = _pool_query("table_context_window_starmie_structured")
+    q["sweep_strategy_orders"] = q_sweep_strategy_orders
+    for mode in WIDE_MODES:
+        q[f"serialize_wide_{mode}"] = _serialize_wide_query(mode)
     for name, mode in SAMPLE_QUERIES.items():
         q[name] = _sample_query(mode)
     for mode in Z.SIMPLE_MODES + Z.CONTEXT_MODES + Z.SPAN_MODES + Z.MARKER_MODES:

@@ -6,7 +6,9 @@ through the same joins, so all configurations share one scan of the inputs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import permutations
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,3 +42,28 @@ def input_stats(profile: DataFrame, matches: DataFrame, src: str, tgt: str) -> D
         F.max(F.when(is_s, F.col("n_rows"))).alias("nrows_src"), F.max(F.when(is_t, F.col("n_rows"))).alias("nrows_tgt"),
         F.sum("_m").alias("nmatches"),
     )
+
+
+#: Orders of the three candidate strategies; -1 leaves a strategy out. All 15 arrangements of one to three strategies.
+STRATEGY_ORDERS = [
+    dict(zip(("strsim", "embedding", "equal"), (place.index(n) if n in place else -1 for n in ("strsim", "embedding", "equal"))))
+    for size in (1, 2, 3) for place in permutations(("strsim", "embedding", "equal"), size)
+]
+
+
+def strategy_orders(cands: DataFrame, orders: list[dict], k: int) -> DataFrame:
+    """Merged top-k candidates under every strategy order, as one plan.
+
+    ``cands`` holds all strategies' candidates once; a configuration is a key that
+    each row is copied to, so no strategy is computed again. Returns
+    ``(config, src_table, src_col, tgt_table, tgt_col, score, strategy, rank)``.
+    """
+    prios = F.create_map(*[
+        x for name in ("strsim", "embedding", "equal")
+        for x in (F.lit(name), F.array(*[F.lit(int(o.get(name, -1))) for o in orders]))])
+    each = cands.select("*", F.posexplode(prios[F.col("strategy")]).alias("config", "_prio")).filter(F.col("_prio") >= 0)
+    keys = ["config", "src_table", "src_col", "src_pos", "tgt_table", "tgt_col", "tgt_pos"]
+    merged = each.groupBy(*keys).agg(F.max_by("score", "_prio").alias("score"), F.max_by("strategy", "_prio").alias("strategy"))
+    w = Window.partitionBy("config", "src_table", "src_col", "tgt_table").orderBy(F.col("score").desc(), F.col("tgt_pos").asc())
+    return merged.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(
+        "config", "src_table", "src_col", "tgt_table", "tgt_col", "score", "strategy", "rank")
