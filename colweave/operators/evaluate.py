@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordering import global_index
 from .similarity import dense_block_apply, dense_topk
 
@@ -205,6 +206,7 @@ def embedding_mrr(vecs: DataFrame) -> DataFrame:
     v = vecs.select("id", "vec", "label")
     best = dense_block_apply(v, v, _best_same_label, "id long, best double").groupBy("id").agg(F.max("best").alias("best"))
     best = best.withColumn("best", F.when(F.col("best") == float("-inf"), F.lit(-1.0)).otherwise(F.col("best")))
+    best = cut_lineage(best)  # the second pass sizes its blocks from it and reads it: one number for each item
     left = v.join(best, "id").withColumnRenamed("best", "aux")
     cnt = dense_block_apply(left, v, _count_above, "id long, above long").groupBy("id").agg(F.sum("above").alias("above"))
     return cnt.agg(F.avg(1.0 / (F.col("above") + 1)).alias("mrr"))
@@ -293,6 +295,7 @@ def recall_at_ground_truth(vecs: DataFrame, bins: int = 4096) -> DataFrame:
     bound = cum.filter((F.col("cum") >= F.col("k")) & (F.col("cum") - F.col("cnt") < F.col("k"))).select(
         "id", F.col("bin").alias("bstar"), (F.col("cum") - F.col("cnt")).alias("n_above"), "k"
     )
+    bound = cut_lineage(bound)  # read three times below: one row for each item
     left = items.join(bound, "id").select("id", "vec", "label", F.col("bstar").cast("double").alias("aux"))
     part = dense_block_apply(left, v, _boundary_kernel(bins), "id long, sim double, rid long, is_pos int, n_pos_above long")
     pos_above = part.groupBy("id").agg(F.sum("n_pos_above").alias("pos_above"))
