@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded_unit
 from ..sources.catalog import TEXT, Table, kind_of
+from .ordering import global_index
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789"
 
@@ -107,6 +108,49 @@ def make_pair(t: Table, spec: PairSpec) -> tuple[DataFrame, DataFrame, DataFrame
     return src, tgt, gt
 
 
+def block_order(tables: list[Table], side: str, seed: int) -> list[Table]:
+    """Entity blocks of a side: as given on the source side, by seeded hash on the target side."""
+    return list(tables) if side == "source" else sorted(tables, key=lambda t: (_h(seed, "block", t.table_id), t.table_id))
+
+
+def _block_side(tables: list[Table], side: str, prefix: str | None, p: float, spec: PairSpec) -> tuple[DataFrame, list[tuple]]:
+    """Blocks side by side, row by row in key order, and ``(entity, role, header)`` of every column."""
+    out, heads = None, []
+    for i, t in enumerate(block_order(tables, side, spec.seed), start=1):
+        if t.order_key is None:
+            raise ValueError(f"no order key: {t.table_id}")
+        keyed = t.df.withColumn("_rid", t.row_id())
+        placed = global_index(keyed, [F.col("_rid")], "row_id")
+        cols = []
+        for j, f in enumerate(t.df.schema.fields, start=1):
+            c, new = F.col(f"`{f.name}`"), f"{prefix}{i}_{j}" if prefix else f.name
+            if kind_of(f.dataType) == TEXT and p > 0:
+                key = F.concat_ws("|", F.lit(side), F.lit(f.name), F.col("_rid").cast("string"))
+                c = noisy_text(c.cast("string"), p, spec.seed, key, spec.min_len)
+            cols.append(c.alias(new))
+            heads.append((t.table_id, f.name, new))
+        block = placed.select("row_id", *cols)
+        out = block if out is None else out.join(block, "row_id", "full_outer")
+    return out, heads
+
+
+def make_block_pair(tables: list[Table], spec: PairSpec, anchors: dict[str, set[str]] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(source, target, ground_truth)`` of several entity blocks side by side (GEN-1, GEN-3..6).
+
+    Each side has its own block order and, with a prefix, opaque headers
+    ``prefix{block}_{column}``. Rows of the blocks line up by their place in key
+    order; a block with fewer rows is padded with nulls. ``anchors`` (entity ->
+    columns) stay in both tables but out of the truth, which pairs the same role
+    of the same entity.
+    """
+    anchors = anchors or {}
+    src, s_heads = _block_side(tables, "source", spec.src_prefix, spec.src_noise, spec)
+    tgt, t_heads = _block_side(tables, "target", spec.tgt_prefix, spec.tgt_noise, spec)
+    target = {(e, r): h for e, r, h in t_heads}
+    rows = [(e, r, h, target[e, r]) for e, r, h in s_heads if r not in anchors.get(e, ())]
+    return src, tgt, src.sparkSession.createDataFrame(rows, "entity string, role string, source_column string, target_column string")
+
+
 def fuzzy_ground_truth(src_headers: DataFrame, originals: DataFrame) -> DataFrame:
     """Ground truth by header resemblance (JOIN-13).
 

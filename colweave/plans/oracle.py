@@ -585,6 +585,37 @@ def make_pair_sql(table: str, spec) -> str:
     return f"SELECT c.side, c.row_id, h.new AS col_name, c.value FROM ({' UNION ALL '.join(parts)}) c JOIN ({hs}) h USING (side, orig)"
 
 
+BLOCK_TABLES = ["customer", "supplier", "part"]
+
+
+def block_pair_sql(spec) -> tuple[str, str]:
+    """(cells of both sides, headers): blocks side by side, rows in key order, shorter blocks padded."""
+    import hashlib
+
+    cells_, heads = [], []
+    order = sorted(BLOCK_TABLES, key=lambda t: (hashlib.md5(f"42|block|{t}".encode()).hexdigest(), t))
+    most = "greatest(" + ", ".join(f"(SELECT count(*) FROM {t})" for t in BLOCK_TABLES) + ")"
+    for side, prefix, p, tables in (("source", spec.src_prefix, spec.src_noise, BLOCK_TABLES), ("target", spec.tgt_prefix, spec.tgt_noise, order)):
+        for i, t in enumerate(tables, start=1):
+            for j, (c, kind) in enumerate(SCHEMAS[t], start=1):
+                v = f"CAST({c} AS VARCHAR)"
+                if kind == "text" and p > 0:
+                    v = noisy_sql(v, f"concat_ws('|', {q(side)}, {q(c)}, CAST({ROW_KEYS[t]} AS VARCHAR))", p, spec.min_len)
+                new = f"{prefix}{i}_{j}" if prefix else c
+                cells_.append(f"SELECT {q(side)} AS side, r.r AS row_id, {q(new)} AS col_name, x.value FROM range(0, {most}) r(r) "
+                              f"LEFT JOIN (SELECT row_number() OVER (ORDER BY {ROW_KEYS[t]}) - 1 AS k, {v} AS value FROM {t}) x ON x.k = r.r")
+                heads.append(f"SELECT {q(side)} AS side, {q(t)} AS entity, {q(c)} AS role, {q(new)} AS new, {str(j == 1).lower()} AS anchor")
+    return " UNION ALL ".join(cells_), " UNION ALL ".join(heads)
+
+
+def block_truth_sql(spec) -> str:
+    cells_, heads = block_pair_sql(spec)
+    return f"""WITH c AS (SELECT side, col_name, count(value) AS n FROM ({cells_}) GROUP BY ALL), h AS ({heads})
+        SELECT s.entity, s.role, s.new AS source_column, t.new AS target_column, cs.n AS n_source, ct.n AS n_target
+        FROM h s JOIN h t ON s.side = 'source' AND t.side = 'target' AND s.entity = t.entity AND s.role = t.role AND NOT s.anchor
+        JOIN c cs ON cs.side = 'source' AND cs.col_name = s.new JOIN c ct ON ct.side = 'target' AND ct.col_name = t.new"""
+
+
 def gt_sql(table: str, spec, spec_name: str | None = None) -> str:
     s = header_order_sql(table, "source", spec.src_prefix)
     t = header_order_sql(table, "target", spec.tgt_prefix)
@@ -640,6 +671,9 @@ def oracles_batch3() -> dict:
     o["value_noise"] = f"""SELECT table_id, row_id, col_name, value, {noisy_sql('value', key, 0.05, 4)} AS noisy
         FROM ({cells(['customer', 'part'], clean_text=False)}) WHERE kind = 'text'"""
     o["make_pair"] = make_pair_sql("customer", SPECS["v5"])
+    o["make_block_pair"] = block_pair_sql(SPECS["v6"])[0]
+    for version in ("v1", "v3", "v4", "v5", "v6"):
+        o[f"block_pair_truth_{version}"] = block_truth_sql(SPECS[version])
     o["pair_ground_truth"] = " UNION ALL ".join(
         f"SELECT role, source_column, target_column, entity, spec FROM ({gt_sql(t, SPECS[sp], sp)})" for t, sp in [("customer", "v5"), ("part", "v3"), ("supplier", "v1")]
     )

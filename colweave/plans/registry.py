@@ -524,6 +524,25 @@ def q_make_pair(spark, sf):
     return BG.pair_cells(s, g)
 
 
+BLOCK_TABLES = ["customer", "supplier", "part"]
+BLOCK_ANCHORS = {"customer": {"c_custkey"}, "supplier": {"s_suppkey"}, "part": {"p_partkey"}}
+
+
+def _block_query(version, cells_of):
+    def q(spark, sf):
+        prepare(spark)
+        src, tgt, gt = BG.make_block_pair(load_catalog(spark, sf, BLOCK_TABLES), BG.SPECS[version], BLOCK_ANCHORS)
+        if cells_of:
+            return BG.pair_cells(src, tgt)
+        # the truth as the joined blocks show it: both columns and how many rows they fill
+        filled = BG.pair_cells(src, tgt).groupBy("side", "col_name").agg(F.count("value").alias("n"))
+        s = filled.filter("side = 'source'").select(F.col("col_name").alias("source_column"), F.col("n").alias("n_source"))
+        t = filled.filter("side = 'target'").select(F.col("col_name").alias("target_column"), F.col("n").alias("n_target"))
+        return gt.join(s, "source_column").join(t, "target_column").select("entity", "role", "source_column", "target_column", "n_source", "n_target")
+
+    return q
+
+
 GT_ENTITIES = ["customer", "supplier", "part", "nation", "orders"]
 
 
@@ -779,6 +798,9 @@ def registry() -> dict:
         "input_stats": q_input_stats,
         "sample_priority_murmur3": q_sample_priority_murmur3,
     }
+    for version in ("v1", "v3", "v4", "v5", "v6"):
+        q[f"block_pair_truth_{version}"] = _block_query(version, False)
+    q["make_block_pair"] = _block_query("v6", True)
     q["span_pool"] = _pool_query("table_context_window_span")
     q["marker_pool"] = _pool_query("table_context_window_starmie_structured")
     q["sweep_strategy_orders"] = q_sweep_strategy_orders
