@@ -88,7 +88,7 @@ def test_strategy_merge_and_corpus_shapes(spark):
 
     m = E.queries()["match_corpus"](spark, SF_SMALL)
     rows = m.collect()
-    order = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "pages", "benchmark", "conversations"]
+    order = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "labels", "pages", "benchmark", "conversations"]
     assert rows and all(order.index(r["src_table"]) < order.index(r["tgt_table"]) for r in rows)
     by = {}
     for r in rows:
