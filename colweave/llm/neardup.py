@@ -10,11 +10,12 @@ threshold is below ``TOLERANCE``. What is left is verified on the shingles.
 No group of candidates is ever expanded into all its pairs:
 
 1. Every class of a band's bucket is compared with one hub of that bucket
-   (``HUBS`` rounds with other hubs for what stays apart), and links are merged
-   into components.
-2. Where a bucket still holds classes of different components, they are compared
-   in blocks of ``BLOCK`` classes inside tasks, by MinHash values, and only
-   pairs of different components that survive leave the task, to be verified.
+   (``SPREAD`` hubs for the bands of a group, ``HUBS`` rounds with other hubs for
+   what stays apart), and links are merged into components.
+2. Where a bucket still holds classes of different components, those outside its
+   largest component are compared with the others in blocks of ``BLOCK`` classes
+   inside tasks, first by MinHash values, then exactly. A task hands back
+   only links that join what it does not yet see joined: fewer than it has classes.
 3. All links lie within components. They are counted there, block against
    block, on whole shingle sets; a task hands back one sum for each class.
 
@@ -50,7 +51,9 @@ TOLERANCE = 1e-6
 #: Classes compared with each other in one task, as a block.
 BLOCK = 256
 #: Rounds of hubs before classes are compared in blocks.
-HUBS = 3
+HUBS = 2
+#: Hubs that the buckets of one group have in a round.
+SPREAD = 4
 #: Pairs of one hub that are verified together.
 STAR = 512
 #: Shingles hashed at once while MinHash values are made.
@@ -149,7 +152,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
-    """key, cls: the bands of every class."""
+    """key, band, cls: the bands of every class."""
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,9 +163,10 @@ def band_rows(classes: DataFrame) -> DataFrame:
             for r in range(ROWS):
                 key = _mix(key * _BASE + values[:, :, r])
             row = np.repeat(np.arange(b.num_rows), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), b.column("cls").take(pa.array(row))], names=["key", "cls"])
+            band = np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(band), b.column("cls").take(pa.array(row))], names=["key", "band", "cls"])
 
-    return classes.select("cls", "sig").mapInArrow(bands, "key long, cls binary")
+    return classes.select("cls", "sig").mapInArrow(bands, "key long, band int, cls binary")
 
 
 @lru_cache
@@ -298,30 +302,74 @@ def _blocks(rows: DataFrame, group: list[str], size: int = BLOCK) -> DataFrame:
     return dealt.withColumn("o", other).withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o")).drop("o", "nb")
 
 
-def _cross(members: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b: pairs of different components that share a bucket and are not pruned, found block by block."""
+def _cross(members: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, size: int = BLOCK) -> DataFrame:
+    """a, b: verified links between different components that share a bucket, enough to join these.
+
+    In each mixed bucket the largest component stands apart: its classes are
+    not compared with each other, and only the rest is copied to its blocks.
+    """
     named = members.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
-    rows = _blocks(store(named.join(mixed, "key", "left_semi").select("key", "cls", "comp"), "mixed-buckets"), ["key"])
-    rows = rows.join(classes.select("cls", "sig"), "cls").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    per = named.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    mixed = store(
+        per.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("comps")).filter("comps > 1")
+        .select("key", F.col("m.comp").alias("main"), F.ceil(F.col("m.n") / size).cast("int").alias("nm"),
+                (F.col("all") - F.col("m.n")).alias("rest"), F.ceil((F.col("all") - F.col("m.n")) / size).cast("int").alias("nr")), "mixed-buckets")
+    rows = named.join(mixed, "key").withColumn("rest_row", F.col("comp") != F.col("main"))
+    rows = rows.withColumn("blk", F.pmod(F.xxhash64("cls"), F.when(F.col("rest_row"), F.col("nr")).otherwise(F.col("nm"))).cast("int"))
+
+    def places(last, spot):
+        return F.transform(F.sequence(F.lit(0), last - 1), spot)
+
+    def group(i, kind, j):
+        return F.struct(i.alias("i"), F.lit(kind).alias("kind"), j.alias("j"))
+
+    # kind 0: a block of the rest and a block of the largest component; kind 1: two blocks of the rest
+    blk, none = F.col("blk"), F.array().cast("array<struct<i:int,kind:int,j:int>>")
+    with_main = places(F.col("nm"), lambda j: group(blk, 0, j))
+    with_rest = F.when(F.col("rest") > 1, places(F.col("nr"), lambda o: group(F.least(blk, o), 1, F.greatest(blk, o)))).otherwise(none)
+    of_main = places(F.col("nr"), lambda i: group(i, 0, blk))
+    dealt = rows.withColumn("g", F.explode(F.when(F.col("rest_row"), F.concat(with_main, with_rest)).otherwise(of_main)))
+    dealt = dealt.select("key", "band", "cls", "comp", "rest_row", "blk", "g.i", "g.kind", "g.j")
+    full = dealt.join(classes.select("cls", "sig"), "cls").join(texts, "cls")
+    full = full.repartition("key", "i", "kind", "j").sortWithinPartitions("key", "i", "kind", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), t in _groups(batches, ["key", "i", "j"]):
-            cls, sig = t.column("cls").to_pylist(), _matrix(t.column("sig"))
+        for (_, i, kind, j), t in _groups(batches, ["key", "i", "kind", "j"]):
+            t = t.combine_chunks()
+            cls, sig, band = t.column("cls").to_pylist(), _matrix(t.column("sig")), t.column("band")[0].as_py()
             comp = np.unique(np.array([c.hex() for c in t.column("comp").to_pylist()]), return_inverse=True)[1]
-            blk = t.column("blk").to_numpy()
-            left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
+            rest, blk = t.column("rest_row").to_numpy(zero_copy_only=False), t.column("blk").to_numpy()
+            left = np.flatnonzero(rest & (blk == i))
+            right = np.flatnonzero(~rest) if kind == 0 else np.flatnonzero(rest & (blk == j))
+            texts, sets = t.column("text"), {}
+            root = np.arange(comp.max() + 1)  # label of each component, as far as this group joins them
             out = []
+
+            def own(x: int) -> np.ndarray:
+                if x not in sets:
+                    sets[x] = _sets([texts[x].as_py().encode()])[0]
+                return sets[x]
+
             for x in left:
-                other = right[right > x] if i == j else right
-                other = other[comp[other] != comp[x]]
-                stay = surviving(np.broadcast_to(sig[x], (len(other), VALUES)), sig[other]) if len(other) else []
-                out += [sorted((cls[x], cls[y])) for y in other[stay]]
+                other = right[right > x] if kind == 1 and i == j else right
+                other = other[root[comp[other]] != root[comp[x]]]
+                if not len(other):
+                    continue
+                for y in other[surviving(np.broadcast_to(sig[x], (len(other), VALUES)), sig[other])]:
+                    if root[comp[x]] == root[comp[y]]:
+                        continue
+                    # every pair is looked at in the first bucket that it shares
+                    if int(np.argmax((sig[x].reshape(BANDS, ROWS) == sig[y].reshape(BANDS, ROWS)).all(axis=1))) != band:
+                        continue
+                    a, b = own(x), own(y)
+                    if _similar(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)):
+                        out.append((cls[x], cls[y]))
+                        root[root == root[comp[y]]] = root[comp[x]]
             if out:
                 a, b = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return rows.mapInArrow(compare, "a binary, b binary").distinct()
+    return full.mapInArrow(compare, "a binary, b binary")
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
@@ -338,17 +386,17 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges, labels = None, None
     for r in range(HUBS + 1):
         if r < HUBS:
-            # the hub of a bucket: another class in every round and every bucket
+            # the hub of a bucket: another class in every round, and SPREAD of them for buckets alike
             named = members if labels is None else members.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-            draw = F.struct(F.xxhash64(F.lit(r), "cls").alias("d"), "cls", *([F.col("comp")] if labels is not None else []))
+            draw = F.struct(F.xxhash64(F.lit(r), F.col("band") % SPREAD, "cls").alias("d"), "cls", *([F.col("comp")] if labels is not None else []))
             hubs = store(named.groupBy("key").agg(F.min(draw).alias("h")).select("key", F.col("h.cls").alias("hub"), *([F.col("h.comp").alias("hc")] if labels is not None else [])), "hubs")
             near = named.join(hubs, "key").filter(F.col("cls") != F.col("hub"))
             if labels is not None:
                 near = near.filter(F.col("comp") != F.col("hc"))
             pairs = near.select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
+            found = store(_verify(store(_prune(store(pairs, "pairs"), classes), "candidates"), texts), "links")
         else:
-            pairs = _cross(members, labels, classes)
-        found = store(_verify(store(_prune(store(pairs, "pairs"), classes), "candidates"), texts), "links")
+            found = store(_cross(members, labels, classes, texts), "links")
         edges = found if edges is None else edges.unionByName(found)
         if labels is None or not found.isEmpty():
             labels = components(edges)

@@ -101,14 +101,18 @@ def test_links_match_all_pairs(llm_spark, monkeypatch, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
     monkeypatch.setattr(neardup, "STAR", 20 if block == 9 else 512)
     monkeypatch.setattr(neardup._blocks, "__defaults__", (block,))
+    monkeypatch.setattr(neardup._cross, "__defaults__", (block,))
     rows = pair_rows()
     want = brute.near_duplicates([(r[0], r[1]) for r in rows])
     assert links_of(data.documents(llm_spark, rows)) == want
     assert max(n for _, n in want.values()) > 30
 
 
-def test_links_found_without_hubs(llm_spark, monkeypatch):
+@pytest.mark.parametrize("block", [256, 7])
+def test_links_found_without_most_hubs(llm_spark, monkeypatch, block):
     monkeypatch.setattr(neardup, "HUBS", 1)
+    monkeypatch.setattr(neardup, "SPREAD", 1)
+    monkeypatch.setattr(neardup._cross, "__defaults__", (block,))
     rows = pair_rows()[-150:]
     assert links_of(data.documents(llm_spark, rows)) == brute.near_duplicates([(r[0], r[1]) for r in rows])
 
@@ -165,11 +169,9 @@ def small_model(texts):
     code = lm.prefix_code(signs)
     counts = [np.zeros((1 << bits, 2), np.int32) for _, bits in lm.PREDICTORS]
     bits = lm.Bits(texts, code, blocked=False)
-    for c, slots in zip(counts, bits.slots):
+    for c, slots in zip(counts, bits.slots()):
         np.add.at(c, (slots, bits.bit), 1)
-    mixer = lm.Mixer(code, None).fit(texts[:20], counts)
-    mixer.tables = [lm.log_odds(c) for c in counts]
-    return mixer
+    return lm.Mixer(code, [lm.log_odds(c) for c in counts]).fit(texts[:20], [np.minimum(c, lm.CAP).astype(np.uint8) for c in counts])
 
 
 @pytest.fixture(scope="module")
@@ -207,7 +209,7 @@ def test_context_counts_add_up_by_levels(llm_spark, corpus, monkeypatch):
     code = lm.prefix_code(signs)
     want = [np.zeros((1 << bits, 2), np.int64) for _, bits in lm.PREDICTORS]
     bits = lm.Bits(corpus[:90], code, blocked=False)
-    for c, slots in zip(want, bits.slots):
+    for c, slots in zip(want, bits.slots()):
         np.add.at(c, (slots, bits.bit), 1)
     got = [np.zeros_like(c) for c in want]
     for r in lm.context_counts(df, code).collect():
