@@ -18,8 +18,8 @@ from colweave.llm.common import store
 
 #: Sites that make a line boilerplate.
 MIN_SITES = 10
-#: Shorter lines (without outer blanks) are never boilerplate.
-MIN_CHARS = 16
+#: Shorter lines (without outer blanks) are never boilerplate: only blank ones are.
+MIN_CHARS = 1
 #: Sketch size (2^12 registers: 1.6 % standard error) and the share of the
 #: threshold around it, 15 such errors, within which lines are counted exactly.
 LG_K = 12
@@ -32,11 +32,12 @@ def _lines(text: Column) -> Column:
 
 def line_rows(docs: DataFrame, site_col: str = "source", id_col: str = "doc_id", text_col: str = "text",
               min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, th (hash of the text), site, pos, h1, h2: every line that is long enough."""
+    """doc_id, th (hash of the text), site, pos, h1, h2: every line that is long enough and not white space alone."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(site_col).cast("string").alias("site"),
                        F.posexplode(_lines(text)).alias("pos", "line")).withColumn("line", F.trim("line"))
-    return rows.filter(F.char_length("line") >= min_chars).select(
+    blank = F.trim(F.translate("line", "\t\r\f\v", "    ")) == ""
+    return rows.filter((F.char_length("line") >= min_chars) & ~blank).select(
         "doc_id", "th", "site", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 

@@ -48,6 +48,14 @@ def test_lines_near_threshold_are_counted_exactly(llm_spark):
     assert removed == {s: (s - 1 if s >= 10 else 0) for s in range(6, 16)}
 
 
+def test_short_lines_on_many_sites_go(llm_spark):
+    rows = [(i, f"own words of document {i}\nLes.\n\n\t\n \r\n=", "en", f"s{i}", 1) for i in range(12)]
+    got = rows_of(linededup.without_boilerplate(data.documents(llm_spark, rows)), "doc_id", "n_lines", "n_removed", "text")
+    want = brute.line_dedup([(r[0], r[3], r[1].replace("\t", "").replace("\r", "")) for r in rows], min_chars=1)
+    assert sorted(r[:3] for r in got) == sorted(r[:3] for r in want) and sum(r[2] for r in got) == 2 * 11  # blank lines stay
+    assert all(r[3] == f"own words of document {r[0]}\n\n\t\n \r" for r in got if r[0])
+
+
 # decontamination
 
 def item_rows(docs):
