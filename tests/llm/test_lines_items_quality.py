@@ -48,6 +48,18 @@ def test_lines_near_threshold_are_counted_exactly(llm_spark):
     assert removed == {s: (s - 1 if s >= 10 else 0) for s in range(6, 16)}
 
 
+def test_long_lines_fall_on_fewer_sites(llm_spark):
+    rows = []
+    for spread in range(2, 13):
+        line = " ".join(f"word{spread}x{j}" for j in range(50))
+        short = line.rsplit(" ", 1)[0]  # 49 words
+        # half of the documents on one hot source
+        rows += [(1000 * spread + i, f"{line}\n{short}", "en", f"s{max(0, i - spread)}", 1) for i in range(2 * spread)]
+    got = rows_of(linededup.without_boilerplate(data.documents(llm_spark, rows)), "doc_id", "n_removed")
+    removed = {s: sum(n for d, n in got if d // 1000 == s) for s in range(2, 13)}
+    assert removed == {s: ((s >= 5) + (s >= 10)) * (2 * s - 1) for s in range(2, 13)}
+
+
 def test_short_lines_on_many_sites_go(llm_spark):
     rows = [(i, f"own words of document {i}\nLes.\n\n\t\n \r\n=", "en", f"s{i}", 1) for i in range(12)]
     got = rows_of(linededup.without_boilerplate(data.documents(llm_spark, rows)), "doc_id", "n_lines", "n_removed", "text")
