@@ -1,15 +1,16 @@
 """Quality rules whose cutoffs come with a guarantee (built-in functions only).
 
 Each rule rejects documents on one side of a cutoff. Candidates for a cutoff
-are a fixed grid, chosen before any label is seen. On labelled holdout
-documents, good ones rejected by a candidate are counted by stratum; a
-candidate is admitted if an exact binomial test shows that its rate of false
-rejections is below the rule's share of the allowed risk. The tests are
-corrected for their number (Bonferroni over strata, rules and cutoffs), and the
-rules' shares add up to the whole risk, so with confidence 1 - DELTA no stratum
-loses more than ALPHA of its good documents. Among admitted cutoffs the one
-that tells bad from good best is used; a stratum with too few labels to admit
-any has no rule there.
+are a fixed grid, chosen before any label is seen. They make one chain of sets
+of cutoffs: the first rule alone from its mildest cutoff to its strictest, then
+the first two, and so on. On labelled holdout documents, good ones rejected by
+any rule of a set are counted by stratum; a set is admitted if an exact binomial
+test shows that its rate of false rejections is below ALPHA, and the chain ends
+at the first that is not. Tests in a fixed order need no correction within the
+chain, only for the number of strata, so with confidence 1 - DELTA no stratum
+loses more than ALPHA of its good documents. Among admitted sets the one that
+tells bad from good best is used; a stratum with too few labels to admit any
+has no rule there, and one that a rule ends early has none of the later rules.
 """
 
 from __future__ import annotations
@@ -130,34 +131,43 @@ def _rejects(rule: str, cutoff: Column) -> Column:
     return F.coalesce(F.col(feature) > cutoff if above else F.col(feature) < cutoff, F.lit(False))
 
 
+def chain() -> list[dict[str, int]]:
+    """Rule -> cutoff, in the order of the tests: each set rejects what the one before rejects, and more."""
+    out, held = [], {}
+    for rule, (_, above, cutoffs) in RULES.items():
+        for c in sorted(cutoffs, reverse=above):
+            held = {**held, rule: c}
+            out.append(held)
+    return out
+
+
 def calibrate(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, int]]:
     """Stratum -> rule -> cutoff from labelled rows (stratum, good, features).
 
     Rows that fail the base rules are left out: the method decides on the
     others. The summary has one row for each stratum, such as a language, and
-    one column for each rule and candidate.
+    one column for each set of the chain.
     """
-    sums = []
-    for rule, (_, _, cutoffs) in RULES.items():
-        for j, c in enumerate(cutoffs):
-            hit = _rejects(rule, F.lit(c))
-            sums += [F.sum((hit & F.col("good")).cast("long")).alias(f"{rule}_{j}_good"),
-                     F.sum((hit & ~F.col("good")).cast("long")).alias(f"{rule}_{j}_bad")]
-    rows = labelled.filter(~F.col("base_failed")).groupBy("stratum").agg(
-        F.sum(F.col("good").cast("long")).alias("n_good"), F.sum((~F.col("good")).cast("long")).alias("n_bad"), *sums).collect()
-    tests = sum(len(c) for _, _, c in RULES.values()) * max(1, len(rows))
+    sets = chain()
+    # number of the first set that rejects a row: what it rejects, all later ones reject
+    first = F.coalesce(*[F.when(_rejects(rule, F.lit(c[rule])), j) for j, c in enumerate(sets) for rule in [list(c)[-1]]], F.lit(len(sets)))
+    rows = (
+        labelled.filter(~F.col("base_failed")).select("stratum", "good", first.alias("first"))
+        .groupBy("stratum").pivot("first", list(range(len(sets) + 1))).agg(
+            F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad")).collect()
+    )
     out: dict[str, dict[str, int]] = {}
     for r in rows:
-        chosen = out.setdefault(r["stratum"], {})
-        for rule, (_, _, cutoffs) in RULES.items():
-            best = 0.0
-            for j, c in enumerate(cutoffs):
-                good, bad = r[f"{rule}_{j}_good"], r[f"{rule}_{j}_bad"]
-                if not r["n_good"] or binomial_cdf(good, r["n_good"], alpha / len(RULES)) > delta / tests:
-                    continue
-                gain = (bad / r["n_bad"] if r["n_bad"] else 0.0) - COST * good / r["n_good"]
-                if gain > best:
-                    best, chosen[rule] = gain, c
+        n_good, n_bad = (sum(r[f"{j}_{kind}"] or 0 for j in range(len(sets) + 1)) for kind in ("good", "bad"))
+        best, good, bad = 0.0, 0, 0
+        out[r["stratum"]] = {}
+        for j, c in enumerate(sets):
+            good, bad = good + (r[f"{j}_good"] or 0), bad + (r[f"{j}_bad"] or 0)
+            if not n_good or binomial_cdf(good, n_good, alpha) > delta / len(rows):
+                break
+            gain = (bad / n_bad if n_bad else 0.0) - COST * good / n_good
+            if gain > best:
+                best, out[r["stratum"]] = gain, c
     return out
 
 
@@ -178,8 +188,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delt
     One row per input row. Strata are languages (null is one of its own). A
     document labelled more than once counts as good only if all its labels
     say so; null labels and null ids are left out of the holdout. Without
-    labels only the base rules reject. Ties between cutoffs go to the first
-    of the grid.
+    labels only the base rules reject. Ties between sets of cutoffs go to the
+    first of the chain.
     """
     base = store(rule_features(base_features(docs, keep=("doc_id", "lang"))).withColumn("stratum", F.coalesce("lang", F.lit(""))), "features")
     good = (

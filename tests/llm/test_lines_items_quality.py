@@ -155,6 +155,30 @@ def test_quality_cutoffs_keep_their_promise(llm_spark):
     assert not got[9001]["kept"] and not got[9002]["kept"] and got[None]["kept"]
 
 
+def test_quality_few_hundred_labels_admit_rules(llm_spark):
+    # 400 and 300 good labels by language, none with symbols; 100 in a third are too few
+    rng = random.Random(6)
+    rows, labels = [], []
+    for lang, n in (("en", 400), ("fr", 300), (None, 100)):
+        for i in range(n + 60):
+            d = len(rows)
+            rows.append((d, data.sentence(rng, 30) + (" ###" * 4 if i >= n else ""), lang, "s", 1))
+            labels.append((d, int(i < n)))
+    df, lab = data.documents(llm_spark, rows), llm_spark.createDataFrame(labels, "doc_id long, quality int")
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality_rules(df, lab).collect()}
+    assert all(kept[d] for d, good in labels if good)
+    assert [sum(kept[r[0]] for r, (_, good) in zip(rows, labels) if not good and r[2] == lang) for lang in ("en", "fr", None)] == [0, 0, 60]
+
+
+def test_quality_chain_counts_unions(llm_spark):
+    # the symbol rule rejects no good label; repeats reject 3 % of them, so the chain ends there
+    columns = "stratum string, good boolean, base_failed boolean, symbol_share long, repeat_share long, dup_line_share long, mean_word long"
+    rows = [("en", True, False, 0, 180 if i < 30 else 0, 0, 550) for i in range(1000)] + [("en", False, False, 160, 180, 0, 550)] * 50
+    assert quality.calibrate(llm_spark.createDataFrame(rows, columns)) == {"en": {"symbols": 150}}
+    sets = quality.chain()
+    assert len(sets) == 50 and sets[0] == {"symbols": 300} and list(sets[-1]) == list(quality.RULES)
+
+
 def test_quality_without_labels_or_rows(llm_spark):
     labels = llm_spark.createDataFrame([], "doc_id long, quality int")
     got = quality.quality_rules(data.documents(llm_spark), labels)
