@@ -11,8 +11,8 @@ Texts are taken as UTF-8 bytes with ASCII letters in lower case and everything
 else in ASCII as blanks. An n-gram belongs to a language if it is at least
 ``SHARE`` times as frequent there as in the language where it is most
 frequent, so a few mislabelled texts do not blur the filters. The filters are
-learned from a bounded sample, about ``SAMPLE`` texts of each language, and
-have a fixed size; every text is scored whole.
+learned from a bounded sample, about ``SAMPLE`` different texts of each language
+however often each occurs, and have a fixed size; every text is scored whole.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from colweave.llm.tokens import binary_texts, gathered
 
 #: Lengths of n-grams in bytes.
 SIZES = (3, 5)
-#: Texts of each language to learn from (expected; at most a few per cent more).
+#: Different texts of each language to learn from (expected; at most a few per cent more).
 SAMPLE = 3000
 #: log2 of the positions of the filters, and positions of an n-gram.
 POSITION_BITS = 21
@@ -135,11 +135,13 @@ class Filters:
 def train(labelled: DataFrame, sample: int = SAMPLE, bits: int = POSITION_BITS, text_col: str = "text", lang_col: str = "lang") -> Filters:
     """Filters from labelled texts; rows without text or language are left out.
 
-    The driver receives the languages' row counts and the filters, whose size
-    is fixed by ``bits``.
+    Copies of a text count once, in the number of texts as in the sample. The
+    driver receives the languages' numbers of texts and the filters, whose
+    size is fixed by ``bits``.
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    rows = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
+    counts = {r[0]: r[1] for r in rows.select("lang", "h1", "h2").distinct().groupBy("lang").count().collect()}
     languages = sorted(counts)
     words = -(-len(languages) // WORD_BITS)
     size = 1 << bits
@@ -147,9 +149,9 @@ def train(labelled: DataFrame, sample: int = SAMPLE, bits: int = POSITION_BITS,
         return Filters([], [], bits)
     rate = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, 0.95 * sample / counts[k])))])
     number = F.create_map(*[x for i, k in enumerate(languages) for x in (F.lit(k), F.lit(i))])
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000
-    chosen = rows.filter((draw < F.element_at(rate, F.col("lang"))) | (F.element_at(rate, F.col("lang")) >= 1)).select(
-        F.element_at(number, F.col("lang")).alias("lang"), "text")
+    draw = F.pmod(F.col("h1"), F.lit(1_000_000)) / 1_000_000
+    drawn = rows.filter((draw < F.element_at(rate, F.col("lang"))) | (F.element_at(rate, F.col("lang")) >= 1))
+    chosen = drawn.groupBy("lang", "h1", "h2").agg(F.first("text").alias("text")).select(F.element_at(number, F.col("lang")).alias("lang"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in gathered(batches):

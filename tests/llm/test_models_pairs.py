@@ -56,6 +56,20 @@ def test_many_languages_take_more_words_of_bits(llm_spark):
     assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.97 * len(rows)
 
 
+def test_copies_do_not_empty_a_language(llm_spark):
+    rng = random.Random(11)
+
+    def texts(letters, n):
+        words = ["".join(rng.choices(letters, k=5)) for _ in range(30)]
+        return [" ".join(rng.choices(words, k=60)) for _ in range(n)]
+
+    own, other = texts("abcdefg", 4), texts("tuvwxyz", 20)
+    rows = [(i, own[i % 4], "zz", "s", 1) for i in range(800)] + [(1000 + i, t, "bb", "s", 1) for i, t in enumerate(other)]
+    df = data.documents(llm_spark, rows)
+    filters = langid.train(df, sample=20)  # by rows one text of "zz" in 42 would be drawn
+    assert filters.predict([t.encode() for t in own])[0] == ["zz"] * 4 and filters.predict([t.encode() for t in other])[0] == ["bb"] * 20
+
+
 def test_long_texts_are_counted_whole():
     rng = np.random.default_rng(1)
     filters = langid.Filters(["a", "b"], [rng.integers(0, 4, 1 << 12).astype(np.uint32)], 12)
