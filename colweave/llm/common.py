@@ -44,3 +44,19 @@ def store(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 def text_bytes(text) -> "F.Column":
     """UTF-8 bytes of a text, 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, n: str = "n", share: int = 1000) -> DataFrame:
+    """``left`` joined with ``right``, which has every key once and in ``n`` its rows in ``left``.
+
+    Keys with more than one ``share``-th of the rows, fewer than ``share`` of them, are
+    dealt over several tasks. ``right`` is read several times and should be a stored table.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    limit = max(1000, total // share)
+    parts = F.ceil(F.col(n) / limit).cast("int")
+    wide = right.filter(F.col(n) > limit).select(key, parts.alias("__parts"))
+    dealt = left.join(F.broadcast(wide), key, "left").withColumn(
+        "__part", F.pmod(F.monotonically_increasing_id(), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    copied = right.withColumn("__part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop(n)
+    return dealt.join(copied, [key, "__part"]).drop("__part")

