@@ -70,6 +70,12 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(setup(spark), sf_dir, "documents"))
 
 
+def op11_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colweave.llm.alignment import alignment
+
+    return alignment(table(setup(spark), sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colweave.llm.merkle import verified_manifest
 
@@ -94,6 +100,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_quality_rules": op9_quality_rules,
         "op10_lm_scoring": op10_lm_scoring,
+        "op11_cross_tokenizer": op11_cross_tokenizer,
         "op12_merkle_manifest": op12_merkle_manifest,
         "op13_simhash": op13_simhash,
     }
