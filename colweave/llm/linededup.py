@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from colweave.llm.common import store
 
-#: Sites that make a line boilerplate.
-MIN_SITES = 10
-#: The same for lines of LONG_WORDS words or more. Those that repeat on sf0.1 lie on 3 sites or
-#: fewer (copies of whole documents, 4 on sf0.01) or on 11 or more; none on 5 to 10.
+#: Sites that make a line boilerplate. On sf0.1 lines lie on 4 sites or fewer (copies of whole
+#: documents) or on 6 or more; none lies on 5.
+MIN_SITES = 5
+#: The same for lines of LONG_WORDS words or more, which hardly repeat by chance.
 LONG_SITES, LONG_WORDS = 5, 50
 #: Shorter lines (without outer blanks) are never boilerplate: only blank ones are.
 MIN_CHARS = 1
@@ -83,7 +83,7 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site_col: s
     gone = (
         lines.drop("site", "long").join(known, ["h1", "h2"])
         .filter(~F.struct("doc_id", "th").eqNullSafe(F.col("home")))
-        .groupBy("doc_id", "th").agg(F.collect_list("pos").alias(f"{clash}gone"))
+        .groupBy("doc_id", "th").agg(F.collect_set("pos").alias(f"{clash}gone"))
         .select(F.col("doc_id").alias(f"{clash}d"), F.col("th").alias(f"{clash}t"), f"{clash}gone")
     )
     docs = docs.drop("n_lines", "n_removed")

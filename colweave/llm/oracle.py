@@ -8,7 +8,7 @@ no crc32) are tested against plain restatements instead.
 from __future__ import annotations
 
 from colweave.llm.linededup import MIN_CHARS, MIN_SITES
-from colweave.llm.quality import ALPHA, COST, DELTA, RULES
+from colweave.llm.quality import ALPHA, COST, DELTA, RULES, chain
 
 LINES = f"""
 WITH l AS (
@@ -112,15 +112,12 @@ FROM v{levels + 1}, br
 
 
 def quality_sql() -> str:
-    """Base columns, then the same tests: candidates admitted by the exact binomial tail, the best gain first."""
-    candidates = ", ".join(
-        f"('{rule}', {r}, {j}, {c}, {feature!r}, {str(above).lower()})"
-        for r, (rule, (feature, above, cutoffs)) in enumerate(RULES.items()) for j, c in enumerate(cutoffs))
-    per = len(next(iter(RULES.values()))[2])
-    value = " ".join(f"WHEN '{f}' THEN {f}" for f in dict.fromkeys(f for f, _, _ in RULES.values()))
+    """Base columns, then the same tests: the steps of the chain up to the first that the exact binomial tail does not admit, the best gain."""
+    steps = chain()
+    first = " ".join(f"WHEN {RULES[rule][0]} {'>' if RULES[rule][1] else '<'} {c} THEN {j}" for j, (rule, c) in enumerate(steps))
     return rf"""
 WITH d AS (
-  SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text,
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS stratum, coalesce(text, '') AS text,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, text IS NULL AS missing FROM documents),
 g AS (SELECT doc_id, s, array_to_string(w[s : s + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS s FROM d WHERE len(w) >= 5)),
 r AS (
@@ -142,27 +139,23 @@ f AS (
     CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines END AS dup_line_share,
     CASE WHEN n_words > 0 THEN 100 * word_chars // n_words END AS mean_word FROM b),
 y AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
-c(rule, r, j, cutoff, feature, above) AS (VALUES {candidates}),
+o AS (SELECT *, CASE {first} ELSE {len(steps)} END AS step FROM f),
 x AS (
-  SELECT stratum, rule, r, j, cutoff, feature, above, good, CASE feature {value} END AS v
-  FROM f JOIN y USING (doc_id), c WHERE NOT base_failed),
+  SELECT stratum, text, step, min(good::INT) = 1 AS good FROM o JOIN y USING (doc_id) JOIN (SELECT DISTINCT doc_id, text FROM d) USING (doc_id)
+  WHERE NOT base_failed GROUP BY stratum, text, step),
 n AS (
-  SELECT stratum, rule, r, j, cutoff, feature, above, count(*) FILTER (good) AS ng, count(*) FILTER (NOT good) AS nb,
-    count(*) FILTER (good AND (CASE WHEN above THEN v > cutoff ELSE v < cutoff END)) AS kg,
-    count(*) FILTER (NOT good AND (CASE WHEN above THEN v > cutoff ELSE v < cutoff END)) AS kb
-  FROM x GROUP BY ALL),
+  SELECT s.stratum, j, count(*) FILTER (good) AS ng, count(*) FILTER (NOT good) AS nb,
+    count(*) FILTER (good AND step <= j) AS kg, count(*) FILTER (NOT good AND step <= j) AS kb
+  FROM x s, range({len(steps)}) r(j) GROUP BY ALL),
 a AS (
-  SELECT *, kb / greatest(nb, 1) - {COST} * kg / ng AS gain FROM n
-  WHERE ng > 0 AND list_sum(list_transform(range(0, kg + 1), lambda i: exp(
+  SELECT *, kb / greatest(nb, 1) - {COST} * kg / ng AS gain, ng > 0 AND list_sum(list_transform(range(0, kg + 1), lambda i: exp(
     lgamma(ng + 1) - lgamma(i + 1) - CASE WHEN ng = i THEN 0 ELSE lgamma(ng - i + 1) END
-    + i * ln({ALPHA / len(RULES)!r}) + (ng - i) * ln(1 - {ALPHA / len(RULES)!r}))))
-    <= {DELTA!r} / ({per * len(RULES)} * (SELECT count(DISTINCT stratum) FROM x))),
-s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, j) AS k FROM a WHERE gain > 0) WHERE k = 1),
-z AS (
-  SELECT DISTINCT doc_id FROM f JOIN s USING (stratum)
-  WHERE CASE WHEN above THEN (CASE feature {value} END) > cutoff ELSE (CASE feature {value} END) < cutoff END)
-SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND z.doc_id IS NULL AS kept
-FROM f LEFT JOIN z ON f.doc_id = z.doc_id
+    + i * ln({ALPHA!r}) + (ng - i) * ln(1 - {ALPHA!r})))) <= {DELTA!r} / (SELECT count(DISTINCT stratum) FROM x) AS passes
+  FROM n),
+e AS (SELECT stratum, min(j) FILTER (NOT passes) AS stop FROM a GROUP BY stratum),
+z AS (SELECT stratum, arg_min(j, struct_pack(g := -gain, j := j)) AS last FROM a JOIN e USING (stratum) WHERE j < coalesce(stop, {len(steps)}) AND gain > 0 GROUP BY stratum)
+SELECT o.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(step > last, true) AS kept
+FROM o LEFT JOIN z ON o.stratum = z.stratum
 """
 
 

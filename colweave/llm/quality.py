@@ -2,15 +2,15 @@
 
 Each rule rejects documents on one side of a cutoff. Candidates for a cutoff
 are a fixed grid, chosen before any label is seen. They make one chain of sets
-of cutoffs: the first rule alone from its mildest cutoff to its strictest, then
-the first two, and so on. On labelled holdout documents, good ones rejected by
+of cutoffs: all rules one after the other at their mildest cutoff, then all at the next, and
+so on. On labelled holdout documents, good ones rejected by
 any rule of a set are counted by stratum; a set is admitted if an exact binomial
 test shows that its rate of false rejections is below ALPHA, and the chain ends
 at the first that is not. Tests in a fixed order need no correction within the
 chain, only for the number of strata, so with confidence 1 - DELTA no stratum
 loses more than ALPHA of its good documents. Among admitted sets the one that
 tells bad from good best is used; a stratum with too few labels to admit any
-has no rule there, and one that a rule ends early has none of the later rules.
+has no rule. Copies of a text are no further evidence: each different text counts once in its stratum.
 """
 
 from __future__ import annotations
@@ -131,72 +131,71 @@ def _rejects(rule: str, cutoff: Column) -> Column:
     return F.coalesce(F.col(feature) > cutoff if above else F.col(feature) < cutoff, F.lit(False))
 
 
-def chain() -> list[dict[str, int]]:
-    """Rule -> cutoff, in the order of the tests: each set rejects what the one before rejects, and more."""
-    out, held = [], {}
-    for rule, (_, above, cutoffs) in RULES.items():
-        for c in sorted(cutoffs, reverse=above):
-            held = {**held, rule: c}
-            out.append(held)
-    return out
+def chain() -> list[tuple[str, int]]:
+    """(rule, cutoff) in the order of the tests. The set of a step is what the steps up to it reject, so sets grow."""
+    grids = {rule: sorted(cutoffs, reverse=above) for rule, (_, above, cutoffs) in RULES.items()}
+    return [(rule, grid[k]) for k in range(max(map(len, grids.values()))) for rule, grid in grids.items() if k < len(grid)]
+
 
+def first_step() -> Column:
+    """Number of the first step of the chain that rejects a row, the chain's length if none does."""
+    steps = chain()
+    return F.coalesce(*[F.when(_rejects(rule, F.lit(c)), j) for j, (rule, c) in enumerate(steps)], F.lit(len(steps)))
 
-def calibrate(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, int]]:
-    """Stratum -> rule -> cutoff from labelled rows (stratum, good, features).
+
+def calibrate(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, int]:
+    """Stratum -> last step of the chain that is used, from labelled rows (stratum, h1, h2, base_failed, first, good).
 
     Rows that fail the base rules are left out: the method decides on the
-    others. The summary has one row for each stratum, such as a language, and
-    one column for each set of the chain.
+    others. Rows with equal h1 and h2 in a stratum are copies and count once, as good if all are. The summary
+    has one row for each stratum, such as a language, and one column for each step.
     """
-    sets = chain()
-    # number of the first set that rejects a row: what it rejects, all later ones reject
-    first = F.coalesce(*[F.when(_rejects(rule, F.lit(c[rule])), j) for j, c in enumerate(sets) for rule in [list(c)[-1]]], F.lit(len(sets)))
+    steps = len(chain())
     rows = (
-        labelled.filter(~F.col("base_failed")).select("stratum", "good", first.alias("first"))
-        .groupBy("stratum").pivot("first", list(range(len(sets) + 1))).agg(
+        labelled.filter(~F.col("base_failed")).groupBy("stratum", "h1", "h2", "first").agg(F.min("good").alias("good"))
+        .groupBy("stratum").pivot("first", list(range(steps + 1))).agg(
             F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad")).collect()
     )
-    out: dict[str, dict[str, int]] = {}
+    out: dict[str, int] = {}
     for r in rows:
-        n_good, n_bad = (sum(r[f"{j}_{kind}"] or 0 for j in range(len(sets) + 1)) for kind in ("good", "bad"))
+        n_good, n_bad = (sum(r[f"{j}_{kind}"] or 0 for j in range(steps + 1)) for kind in ("good", "bad"))
         best, good, bad = 0.0, 0, 0
-        out[r["stratum"]] = {}
-        for j, c in enumerate(sets):
+        for j in range(steps):
             good, bad = good + (r[f"{j}_good"] or 0), bad + (r[f"{j}_bad"] or 0)
             if not n_good or binomial_cdf(good, n_good, alpha) > delta / len(rows):
                 break
             gain = (bad / n_bad if n_bad else 0.0) - COST * good / n_good
             if gain > best:
-                best, out[r["stratum"]] = gain, c
+                best, out[r["stratum"]] = gain, j
     return out
 
 
-def rejected(cutoffs: dict[str, dict[str, int]]) -> Column:
-    """Whether the rules of a row's stratum reject it."""
-    out = F.lit(False)
-    for rule in RULES:
-        of = {s: c[rule] for s, c in cutoffs.items() if rule in c}
-        if of:
-            table = F.create_map(*[x for s, c in sorted(of.items()) for x in (F.lit(s), F.lit(c))])
-            out = out | _rejects(rule, F.try_element_at(table, F.col("stratum")))
-    return out
+def rejected(used: dict[str, int]) -> Column:
+    """Whether the steps used in a row's stratum reject it."""
+    if not used:
+        return F.lit(False)
+    last = F.create_map(*[x for s, j in sorted(used.items()) for x in (F.lit(s), F.lit(j))])
+    return F.coalesce(F.col("first") <= F.try_element_at(last, F.col("stratum")), F.lit(False))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
-    One row per input row. Strata are languages (null is one of its own). A
+    One row per input row. Strata are languages; null is one of its own, and so is an empty name. A
     document labelled more than once counts as good only if all its labels
     say so; null labels and null ids are left out of the holdout. Without
-    labels only the base rules reject. Ties between sets of cutoffs go to the
+    labels only the base rules reject. Ties between steps go to the
     first of the chain.
     """
-    base = store(rule_features(base_features(docs, keep=("doc_id", "lang"))).withColumn("stratum", F.coalesce("lang", F.lit(""))), "features")
+    text = F.col("text").cast("string")
+    marked = docs.select("doc_id", "lang", "text", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"))
+    base = rule_features(base_features(marked, keep=("doc_id", "lang", "h1", "h2"))).withColumn("first", first_step())
+    base = store(base.withColumn("stratum", F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))), "features")
     good = (
         labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("__d"))
         .agg((F.min("quality") > 0).alias("good"))
     )
-    cutoffs = calibrate(base.join(good, base["doc_id"] == good["__d"]), alpha, delta)
+    used = calibrate(base.join(good, base["doc_id"] == good["__d"]), alpha, delta)
     return base.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~rejected(cutoffs)).alias("kept"))
+        (~F.col("base_failed") & ~rejected(used)).alias("kept"))

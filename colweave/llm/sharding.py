@@ -18,23 +18,32 @@ from colweave.llm.common import scratch_path, store, text_bytes
 
 #: Virtual slots; fixed for the life of a data set.
 SLOTS = 8192
+#: Rows repeated by more than one HOT-th of all rows are spread over slots.
+HOT = 1 << 14
 
 SlotSums = dict[int, tuple[int, int]]
 
 
 def slotted(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, size (UTF-8 bytes plus 1), text_crc32 and virtual_slot of each record.
+    """``id_col``, size (UTF-8 bytes plus 1), text_crc32 and virtual_slot of each record, stored.
 
     The slot hashes id and text, so records that share an id spread out as
-    well; null ids and texts hash like any value. Null text has no bytes.
+    well; null ids and texts hash like any value. Null text has no bytes. A row that is repeated
+    by more than one ``HOT``-th of all rows has its copies told apart by a running number.
     """
     text = F.col(text_col).cast("string")
-    return docs.select(
+    keyed = store(docs.select(
         F.col(id_col),
         (text_bytes(text) + 1).alias("size"),
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col(id_col), text), F.lit(slots)).cast("int").alias("virtual_slot"),
-    )
+        F.xxhash64(F.col(id_col), text).alias("__key"),
+    ), "keyed-records")
+    least = max(1, keyed.count() // HOT)
+    hot = keyed.groupBy("__key").agg(F.count("*").alias("__n")).filter(F.col("__n") > least)  # fewer than HOT rows
+    number = F.pmod(F.monotonically_increasing_id(), F.col("__n"))
+    key = F.when(F.col("__n").isNull(), F.col("__key")).otherwise(F.xxhash64("__key", number))
+    return store(
+        keyed.join(F.broadcast(hot), "__key", "left").select(id_col, "size", "text_crc32", F.pmod(key, F.lit(slots)).cast("int").alias("virtual_slot")), "slots")
 
 
 def slot_sums(records: DataFrame) -> SlotSums:
@@ -43,15 +52,9 @@ def slot_sums(records: DataFrame) -> SlotSums:
     return {r["virtual_slot"]: (r["b"], r["n"]) for r in rows}
 
 
-def first_map(sums: SlotSums, shards: int, slots: int = SLOTS) -> list[int]:
-    """Shard of each slot: heaviest slot first, to the shard with the fewest bytes so far."""
-    out = [s % shards for s in range(slots)]
-    loads = [(0, k) for k in range(shards)]
-    for slot, _ in sorted(sums.items(), key=lambda x: (-x[1][0], x[0])):
-        load, k = heapq.heappop(loads)
-        out[slot] = k
-        heapq.heappush(loads, (load + sums[slot][0], k))
-    return out
+def first_map(shards: int, slots: int = SLOTS) -> list[int]:
+    """Shard of each slot while no sizes are known: slots in turn."""
+    return [s % shards for s in range(slots)]
 
 
 def rebalanced(slot_map: list[int], sums: SlotSums, shards: int) -> list[int]:
@@ -113,6 +116,17 @@ def read_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.schema("virtual_slot int, shard int, first_row long").parquet(f"{path}/version={version}")
 
 
+def rebalance(spark: SparkSession, path: str, version: int, sums: SlotSums, shards: int) -> tuple[int, DataFrame]:
+    """Read a stored version of the map, edit it for the sizes at hand and store the result as the next version.
+
+    Returns the version that holds and its map: the one given if no slot has to move.
+    """
+    held = read_map(spark, path, version)
+    old = [r["shard"] for r in held.orderBy("virtual_slot").collect()]  # as many as there are slots
+    new = rebalanced(old, sums, shards)
+    return (version, held) if new == old else (version + 1, write_map(spark, path, version + 1, new, sums))
+
+
 def place(records: DataFrame, slot_map: DataFrame) -> DataFrame:
     """Add shard and the record's row in its shard, from 0 without gaps.
 
@@ -131,15 +145,17 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, slots: int = SLOTS, map_pa
     """Every record's shard, so that the shards' sizes are near equal (law ``bytes``).
 
     Returns doc_id, size, text_crc32, law, shard, slot (row within the shard),
-    grown_shard (null: the map edited for one more shard also follows sizes)
-    and virtual_slot, one row per input row. Identical rows share a virtual
-    slot; an empty table gives an empty result. The map is stored as version 1
-    below ``map_path``.
+    grown_shard (null: the map edited for one more shard also follows sizes),
+    virtual_slot and map_version, one row per input row. Repeated rows are records each;
+    an empty table gives an empty result. Version 1 of the map, below
+    ``map_path``, deals slots in turn; it is edited for the sizes that are found, which gives version 2.
     """
     spark = docs.sparkSession
-    records = store(slotted(docs, slots), "slots")
+    records = slotted(docs, slots)
     sums = slot_sums(records)
-    slot_map = write_map(spark, map_path or scratch_path(spark, "slot-map"), 1, first_map(sums, shards, slots), sums)
+    path = map_path or scratch_path(spark, "slot-map")
+    write_map(spark, path, 1, first_map(shards, slots), sums)
+    version, slot_map = rebalance(spark, path, 1, sums, shards)
     return place(records, slot_map).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        F.col("row").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+        F.col("row").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(version).alias("map_version"))

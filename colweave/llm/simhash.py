@@ -222,7 +222,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     signed = store(fingerprints(docs, id_col, text_col), "fingerprints")
     known = store(signed.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "known-fingerprints")
-    labels = components(near_fingerprints(known.select("fp"), radius))
+    labels = components(store(near_fingerprints(known.select("fp"), radius), "near-fingerprints"))
     named = store(known.join(labels.withColumnRenamed("cls", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp")), "named-fingerprints")
     of = store(named.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")), "component-ids")
     facts = store(spread_join(named.select("fp", "comp", F.col("n").alias("docs")), of, "comp").select("fp", "component_id", F.col("docs").alias("n")), "fingerprint-components")

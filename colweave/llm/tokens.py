@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -107,9 +108,14 @@ class WordEncoder:
     @staticmethod
     def _stem(word: str) -> str:
         """The word without closing stops and commas, where they are units of their own: after
-        a letter or a digit. After other signs they belong to one unit with these."""
+        a letter or a digit. After other signs they belong to one unit with these. What counts is the
+        last character as the tokenizer sees it, in lower case and composed: some letters end in a mark there."""
         stem = word.rstrip(".,")
-        return stem if stem and (stem[-1].isalpha() or "0" <= stem[-1] <= "9") else word
+        if stem and not stem[-1].isascii():
+            last = unicodedata.normalize("NFC", stem[-1].lower())[-1]
+        else:
+            last = stem[-1:]
+        return stem if last.isalpha() or "0" <= last <= "9" else word
 
     def learn(self, new: list[str], batch: list[str]) -> None:
         """Put the new words of a batch into the table."""

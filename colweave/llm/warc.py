@@ -28,6 +28,8 @@ MIN_REVISIT = 100
 ARCHIVE_BYTES = 256 << 20
 #: Index rows of one archive are read together within spans of this size.
 SPAN_BYTES = 32 << 20
+#: ... and least, where there is too little for all cores.
+LEAST_SPAN = 1 << 20
 #: Ranges this close are read together, up to so many bytes.
 GAP_BYTES = 64 << 10
 READ_BYTES = 8 << 20
@@ -163,8 +165,12 @@ def read_records(index: DataFrame, payload: bool = False) -> DataFrame:
     and payload_digest, both of the full payload, and the payload itself if wanted.
     """
     schema = RECORDS + (", payload string" if payload else "")
-    span = F.floor(F.col("offset") / SPAN_BYTES)
-    placed = index.select("archive", "offset", "length").repartition("archive", span).sortWithinPartitions("archive", "offset")
+    # tasks by bytes: the index itself is small, which says nothing on what its rows stand for
+    total = index.agg(F.sum("length")).first()[0] or 0
+    size = min(SPAN_BYTES, max(LEAST_SPAN, total // (2 * index.sparkSession.sparkContext.defaultParallelism)))
+    span = F.floor(F.col("offset") / size)
+    placed = index.select("archive", "offset", "length").repartition(max(1, -(-total // size)), "archive", span)
+    placed = placed.sortWithinPartitions("archive", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, source = None, None

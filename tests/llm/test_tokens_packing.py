@@ -45,6 +45,14 @@ def test_any_text_gives_the_library_counts(texts):
     assert enc.counts([t.encode() for t in texts]).tolist() == want
 
 
+def test_closing_stops_after_every_kind_of_letter():
+    enc = tokens.encoder(tokens.tokenizer_path(), "count")
+    letters = [chr(c) for c in (*range(0x250), *range(0x250, 0x2FA20, 37), 0x130, *range(0x958, 0x960), 0x9DC, 0xFB1D, 0xFB1F, 0x2ADC) if chr(c).isalpha()]
+    texts = [f"x{c}{stop} y" for c in letters for stop in (".", ",", ".,")]
+    want = [len(enc.tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert enc.counts([t.encode() for t in texts]).tolist() == want
+
+
 def test_small_tables_and_segments_change_nothing(library, monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_WORDS", 50)
     monkeypatch.setattr(tokens, "BATCH_BYTES", 700)
