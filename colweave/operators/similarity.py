@@ -1,16 +1,13 @@
-"""Exact similarity top-k joins without a cross join (JOIN-3..6, JOIN-14, VEC-1).
+"""Exact similarity joins without a cross join (JOIN-3..6, JOIN-14, VEC-1).
 
-Both sides are cut into hash blocks of bounded size. Each left row is copied
+Top-k retrieval goes through ``topk``, which skips blocks by bounds. Passes that need every pair's
+score (rank counts, sums, histograms) take block pairs: both sides are cut into hash blocks of bounded size. Each left row is copied
 to every right block and vice versa, and one ``groupBy(left_block,
 right_block).applyInPandas`` task scores one block pair with a numpy kernel and
-keeps only the local top-k per left item. A final ``row_number() <= k`` (planned
-as a partial group limit) merges local lists. This is the block matrix product:
-the shuffle carries ``N * Br + M * Bl`` rows, every task holds two bounded
+hands back one row for each left item. The shuffle carries ``N * Br + M * Bl`` rows, every task holds two bounded
 blocks, and no pair row is ever materialised in Spark.
 
-Dense vectors use a matmul. Sparse (term, weight) vectors are scored against
-bounded blocks of the query side, see ``sparse_topk``. Cosine is computed in
-float64 on L2-normalised rows.
+Cosine is computed in float64 on L2-normalised rows.
 """
 
 from __future__ import annotations
@@ -38,27 +35,6 @@ def _assign(df: DataFrame, id_col: str, nb: int, other_nb: int, side: str) -> Da
     return df.withColumn("_rb", own).withColumn("_lb", other)
 
 
-def _local_topk_dense(k: int, threshold: float | None, exclude_self: bool, has_group: bool):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        L = pdf[pdf["_side"] == "L"]
-        R = pdf[pdf["_side"] == "R"]
-        cols = ["lid", "rid", "score"] + (["rgroup"] if has_group else [])
-        if L.empty or R.empty:
-            return pd.DataFrame({c: [] for c in cols})
-        A = np.vstack(L["vec"].to_numpy()).astype("float64")
-        B = np.vstack(R["vec"].to_numpy()).astype("float64")
-        A /= np.maximum(np.linalg.norm(A, axis=1, keepdims=True), 1e-300)
-        B /= np.maximum(np.linalg.norm(B, axis=1, keepdims=True), 1e-300)
-        S = A @ B.T
-        lids = L["id"].to_numpy()
-        rids = R["id"].to_numpy()
-        if exclude_self:
-            S[lids[:, None] == rids[None, :]] = -np.inf
-        return _emit_topk(S, lids, rids, R["grp"].to_numpy() if has_group else None, k, threshold)
-
-    return fn
-
-
 TIE_DECIMALS = 12  # scores are ranked after rounding, so float noise never reorders exact ties
 
 
@@ -98,98 +74,23 @@ def dense_topk(left: DataFrame, right: DataFrame, k: int, threshold: float | Non
     With ``right_group`` the top-k is kept per (left item, right group).
     Returns ``(lid, rid, score, rank[, rgroup])``.
     """
-    nl, nr = left.count(), right.count()
-    bl, br = _blocks(nl, block_rows), _blocks(nr, block_rows)
-    grp = F.col(right_group).cast("string") if right_group else F.lit(None).cast("string")
-    L = _assign(left.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), F.lit(None).cast("string").alias("grp")), "id", bl, br, "L")
-    R = _assign(right.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), grp.alias("grp")), "id", br, bl, "R")
-    both = L.withColumn("_side", F.lit("L")).unionByName(R.withColumn("_side", F.lit("R")))
-    schema = "lid long, rid long, score double" + (", rgroup string" if right_group else "")
-    local = both.groupBy("_lb", "_rb").applyInPandas(_local_topk_dense(k, threshold, exclude_self, bool(right_group)), schema)
-    return _final_topk(local, k, bool(right_group))
+    from .topk import Dense, blocked_topk
 
+    def side(df: DataFrame, group) -> DataFrame:
+        vec = F.col("vec").cast("array<double>")
+        return df.select(F.col("id").cast("long").alias("id"), group.alias("grp"), vec.alias("vec")).filter(F.size("vec") > 0)
 
-def _final_topk(local: DataFrame, k: int, has_group: bool) -> DataFrame:
-    part = ["lid", "rgroup"] if has_group else ["lid"]
-    w = Window.partitionBy(*part).orderBy(F.round("score", TIE_DECIMALS).desc(), F.col("rid").asc())
-    return local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    grp = F.coalesce(F.col(right_group).cast("string"), F.lit("")) if right_group else F.lit("")
+    top = blocked_topk(side(left, F.lit("")), side(right, grp), Dense, k, threshold, exclude_self, block_rows=block_rows)
+    return top if right_group else top.drop("rgroup")
 
 
-#: Nonzeros of the left vectors that every task holds at once (16 bytes each), and
-#: the matrix cells a task works on at a time.
-LEFT_NONZEROS = 2_000_000
+#: Matrix cells a task works on at a time.
 CELLS = 4_000_000
 #: Terms whose document frequencies are sent to every task (16 bytes each); beyond, they are joined.
 VOCABULARY = 4_000_000
 
 
-class _LeftBlock:
-    """A bounded set of sparse query rows, numbered terms, ready to be scored against any row."""
-
-    def __init__(self, rows):
-        self.ids = np.array([r["id"] for r in rows], dtype="int64")
-        self.groups = np.array([r["grp"] for r in rows], dtype=object)
-        sizes = np.array([len(r["terms"]) for r in rows])
-        self.vocabulary, self.codes = np.unique(np.concatenate([np.asarray(r["terms"]) for r in rows]), return_inverse=True)
-        self.weights = np.concatenate([np.asarray(r["weights"], dtype="float64") for r in rows])
-        self.starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        self.chunk = max(1, CELLS // max(len(self.vocabulary), len(self.codes), 1))
-
-    def scores(self, terms: list, weights: list) -> np.ndarray:
-        """Dot products (left rows x right rows); work and memory follow the nonzeros."""
-        sizes = np.array([len(t) for t in terms])
-        flat, w = np.concatenate(terms), np.concatenate(weights)
-        at = np.searchsorted(self.vocabulary, flat)
-        at[at == len(self.vocabulary)] = 0
-        known = self.vocabulary[at] == flat
-        dense = np.zeros((len(self.vocabulary), len(terms)))
-        dense[at[known], np.repeat(np.arange(len(terms)), sizes)[known]] = w[known]
-        return np.add.reduceat(dense[self.codes] * self.weights[:, None], self.starts, axis=0)
-
-
-class _Best:
-    """The k best right rows of every left row so far, for one right group."""
-
-    def __init__(self, n: int, k: int):
-        self.k, self.score, self.rid = k, np.full((n, 0), -np.inf), np.zeros((n, 0), dtype="int64")
-
-    def add(self, score: np.ndarray, rid: np.ndarray) -> None:
-        s = np.concatenate([self.score, score], axis=1)
-        r = np.concatenate([self.rid, np.broadcast_to(rid, score.shape)], axis=1)
-        order = np.lexsort((r, -s), axis=1)[:, : self.k]
-        self.score, self.rid = np.take_along_axis(s, order, axis=1), np.take_along_axis(r, order, axis=1)
-
-
-def _score_rows(shared, k: int, threshold: float | None, exclude_self: bool, by_group: bool):
-    def fn(batches):
-        import pyarrow as pa
-
-        left = shared.value
-        best: dict[str, _Best] = {}
-        for b in batches:
-            ids, grp = b.column("id").to_numpy(), np.array(b.column("grp").to_pylist(), dtype=object)
-            terms, weights = (b.column(c).to_numpy(zero_copy_only=False) for c in ("terms", "weights"))
-            for a in range(0, b.num_rows, left.chunk):
-                cut = slice(a, a + left.chunk)
-                S = np.round(left.scores(list(terms[cut]), list(weights[cut])), TIE_DECIMALS)
-                if exclude_self:
-                    S[left.ids[:, None] == ids[cut][None, :]] = -np.inf
-                if by_group:
-                    S[left.groups[:, None] == grp[cut][None, :]] = -np.inf
-                if threshold is not None:
-                    S[S < threshold] = -np.inf
-                for g in set(grp[cut]):
-                    own = np.flatnonzero(grp[cut] == g)
-                    best.setdefault(g, _Best(len(left.ids), k)).add(S[:, own], ids[cut][own])
-        for g, x in best.items():
-            row, col = np.nonzero(np.isfinite(x.score))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(left.ids[row]), pa.array(x.rid[row, col]), pa.array(x.score[row, col]), pa.array([g] * len(row), pa.string())],
-                names=["lid", "rid", "score", "rgroup"])
-
-    return fn
-
-
 def sparse_topk(left: DataFrame, right: DataFrame, k: int, threshold: float | None = None,
                 exclude_self: bool = False, group_col: str | None = None) -> DataFrame:
     """Top-k cosine of L2-normalised sparse vectors ``(id, terms ARRAY<BIGINT>, weights ARRAY<DOUBLE>)``.
@@ -198,31 +99,16 @@ def sparse_topk(left: DataFrame, right: DataFrame, k: int, threshold: float | No
     right group) and items of the same group are never compared.
     Returns ``(lid, rid, score, rgroup, rank)``.
 
-    The left side, the queries, is dealt into blocks of about ``LEFT_NONZEROS``
-    nonzeros. Every task scores its own right rows against a block and keeps k
-    of them for each query, so right rows are neither copied nor shuffled; the
-    tasks' lists are merged by a window. Both sides are read once for each block.
+    Right rows lie in blocks on the executors and queries are sent to the blocks that can hold a row
+    of their result, see ``topk``; no row of either side passes through the driver.
     """
-    spark = left.sparkSession
+    from .topk import Sparse, blocked_topk
 
     def prep(df):
-        g = F.col(group_col).cast("string") if group_col else F.lit("")
+        g = F.coalesce(F.col(group_col).cast("string"), F.lit("")) if group_col else F.lit("")
         return df.select(F.col("id").cast("long").alias("id"), g.alias("grp"), "terms", "weights").filter(F.size("terms") > 0)
 
-    L, R = prep(left), prep(right)
-    nonzeros = L.agg(F.sum(F.size("terms").cast("long"))).first()[0] or 0
-    blocks = max(1, math.ceil(nonzeros / LEFT_NONZEROS))
-    out = None
-    for b in range(blocks):
-        rows = L.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect() if nonzeros else []
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast(_LeftBlock(rows))
-        part = R.mapInArrow(_score_rows(shared, k, threshold, exclude_self, bool(group_col)), "lid long, rid long, score double, rgroup string")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "lid long, rid long, score double, rgroup string")
-    return _final_topk(out, k, True)
+    return blocked_topk(prep(left), prep(right), Sparse, k, threshold, exclude_self, by_group=bool(group_col))
 
 
 def _gram_counts(n: int):

@@ -12,6 +12,7 @@ from colweave.operators.candidates import equal_name_candidates
 from colweave.operators.llm import merge_judgements, parse_response
 from colweave.operators.ordering import global_index
 from colweave.operators.rerank import greedy_one_to_one, hungarian_max
+from colweave.operators import topk
 from colweave.operators.similarity import sparse_topk, tfidf_vectors
 from colweave.operators import similarity
 from colweave.operators.traindata import balanced_batches
@@ -147,8 +148,8 @@ def test_greedy_selection_in_rounds(spark):
 @pytest.mark.parametrize("n", [2, 3, 5])
 @pytest.mark.parametrize("joined", [False, True])
 def test_ngram_vectors_and_topk(spark, monkeypatch, n, joined):
-    monkeypatch.setattr(similarity, "LEFT_NONZEROS", 60)
-    monkeypatch.setattr(similarity, "CELLS", 200)
+    monkeypatch.setattr(topk, "BLOCK_NONZEROS", 60)
+    monkeypatch.setattr(topk, "CELLS", 200)
     if joined:
         monkeypatch.setattr(similarity, "VOCABULARY", 3)
     rng = random.Random(n)
