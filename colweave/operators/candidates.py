@@ -3,18 +3,20 @@
 Candidate rows: ``(src_table, src_col, src_pos, tgt_table, tgt_col, tgt_pos, strategy, score)``.
 ``pairs`` is the relation of table pairs to compare ``(src_table, tgt_table)``.
 
-Name similarity never forms a column cross product: a pair can only score
-above zero when the names share a character, so pairs are generated by an
-equi-join on (table pair, character) and de-duplicated; scoring runs on those
-candidates only.
+Name similarity forms only pairs that can reach the thresholds. Names are multisets of characters
+ordered by rarity; a pair with enough characters in common shares one among the first few of
+either (prefix filter), so an equi-join on (table pair, character) finds it. Length
+and character bounds follow, and scoring runs on what is left.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.clean import equal_name_key
+from ..functions.clean import alnum_lower, equal_name_key
 from ..functions.strsim import alignment_score, fuzzy_ratio, ratio_upper_bound
 from .profile import common_prefix_expr
 
@@ -48,35 +50,69 @@ def _with_prefix_stripped(cols: DataFrame, prefix: str) -> DataFrame:
     ).drop("_prefix")
 
 
-def _chars(c: str):
-    return F.array_distinct(F.filter(F.split(F.lower(F.col(c)), ""), lambda x: x != ""))
+def _multiset(text: Column) -> Column:
+    """The characters of a text, each with a number that tells how often it came before."""
+    chars = F.filter(F.split(text, ""), lambda x: x != "")
+    return F.transform(chars, lambda x, i: F.struct(x.alias("ch"), F.size(F.filter(F.slice(chars, 1, i), lambda y: y == x)).alias("nth")))
+
+
+def _ceil(x: Column) -> Column:
+    return F.ceil(x - 1e-9).cast("int")
+
+
+def prefix_pairs(src: DataFrame, tgt: DataFrame, pairs: DataFrame, text: Callable[[str], Column], least_common: Callable[[Column], Column]) -> DataFrame:
+    """Rows of ``src`` and ``tgt`` whose texts may have enough characters in common (exact blocking).
+
+    ``text(side)`` is the text of a side (``src`` or ``tgt``); ``least_common`` of its length is the least number of characters that it
+    has in common with any text it pairs with. Of the characters in order of rarity all but that many, and one, are indexed.
+    """
+    sides = {p: df.withColumn("_text", text(p)).filter(F.length("_text") > 0) for p, df in (("src", src), ("tgt", tgt))}
+    tokens = {p: df.withColumn("_t", F.explode(_multiset(F.col("_text")))) for p, df in sides.items()}
+    rarity = tokens["src"].select("_t").unionByName(tokens["tgt"].select("_t")).groupBy("_t").agg(F.count("*").alias("_df"))
+
+    def indexed(p: str, df: DataFrame, own: list[str]) -> DataFrame:
+        n = F.length("_text")
+        ordered = df.join(rarity, "_t").groupBy(*own, "_text").agg(F.sort_array(F.collect_list(F.struct("_df", "_t"))).alias("_all"))
+        first = F.slice("_all", 1, F.greatest(n - least_common(n) + 1, F.lit(1)))
+        return ordered.withColumn("_e", F.explode(first)).select(*own, F.col("_e._t").alias("_t"))
+
+    s, t = (indexed(p, tokens[p], df.columns) for p, df in (("src", src), ("tgt", tgt)))
+    return s.join(pairs, "src_table").join(t, ["tgt_table", "_t"]).drop("_t").distinct()
+
 
+def _prepared(src_cols: DataFrame, tgt_cols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return _with_prefix_stripped(_side(src_cols, "src"), "src"), _with_prefix_stripped(_side(tgt_cols, "tgt"), "tgt")
 
-def name_pairs(src_cols: DataFrame, tgt_cols: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Column pairs whose prefix-stripped names share a character (exact blocking)."""
-    s = _with_prefix_stripped(_side(src_cols, "src"), "src")
-    t = _with_prefix_stripped(_side(tgt_cols, "tgt"), "tgt")
-    sc = s.withColumn("_ch", F.explode(_chars("src_prep")))
-    tc = t.withColumn("_ch", F.explode(_chars("tgt_prep")))
-    j = sc.join(pairs, "src_table").join(tc, ["tgt_table", "_ch"])
-    return j.drop("_ch").dropDuplicates(["src_table", "src_col", "tgt_table", "tgt_col"])
+
+def aligned_pairs(src_cols: DataFrame, tgt_cols: DataFrame, pairs: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """Column pairs with an alignment of at least ``threshold`` and their ``alignment``.
+
+    The shorter name has that share of its letters in the longer one, which is at most twice as long.
+    """
+    s, t = _prepared(src_cols, tgt_cols)
+    p = prefix_pairs(s, t, pairs, lambda side: alnum_lower(F.col(f"{side}_prep")), lambda n: _ceil(threshold * F.ceil(n / 2)))
+    return p.withColumn("alignment", alignment_score(F.col("src_prep"), F.col("tgt_prep"))).filter(F.col("alignment") >= threshold)
+
+
+def fuzzy_pairs(src_cols: DataFrame, tgt_cols: DataFrame, pairs: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """Column pairs with a ratio of at least ``threshold`` and their ``fuzzy``.
+
+    Twice the common characters over both lengths is at least the threshold, so the lengths are near as well.
+    """
+    least = threshold - 0.005  # the ratio is compared as a whole percent
+    s, t = _prepared(src_cols, tgt_cols)
+    p = prefix_pairs(s, t, pairs, lambda side: F.col(f"{side}_prep"), lambda n: _ceil(least / 2 * (n + _ceil(n * least / (2 - least)))))
+    p = p.filter(ratio_upper_bound(F.col("src_prep"), F.col("tgt_prep")) >= least)
+    return p.withColumn("fuzzy", fuzzy_ratio(F.col("src_prep"), F.col("tgt_prep"))).filter(F.col("fuzzy") >= threshold)
 
 
 def strsim_candidates(src_cols: DataFrame, tgt_cols: DataFrame, pairs: DataFrame,
                       alignment_threshold: float = 0.95, fuzzy_threshold: float = 0.6) -> DataFrame:
     """Alignment >= 0.95 or fuzzy ratio >= 0.6; the fuzzy score overwrites (JOIN-1, FLT-2)."""
-    p = name_pairs(src_cols, tgt_cols, pairs)
-    p = p.withColumn("alignment", alignment_score(F.col("src_prep"), F.col("tgt_prep")))
-    # the ratio is compared as a whole percent; pairs whose lengths or characters rule it out skip the function
-    least = fuzzy_threshold - 0.005
-    p = p.filter((F.col("alignment") >= alignment_threshold) | (ratio_upper_bound(F.col("src_prep"), F.col("tgt_prep")) >= least))
-    p = p.withColumn("fuzzy", fuzzy_ratio(F.col("src_prep"), F.col("tgt_prep")))
-    score = F.when(F.col("fuzzy") >= fuzzy_threshold, F.col("fuzzy")).when(
-        F.col("alignment") >= alignment_threshold, F.col("alignment")
-    )
-    return p.withColumn("score", score).filter(F.col("score").isNotNull()).select(
-        *CAND_COLS[:6], F.lit("strsim").alias("strategy"), "score"
-    )
+    fuzzy = fuzzy_pairs(src_cols, tgt_cols, pairs, fuzzy_threshold).select(*CAND_COLS[:6], "fuzzy", F.lit(None).cast("double").alias("alignment"))
+    aligned = aligned_pairs(src_cols, tgt_cols, pairs, alignment_threshold).select(*CAND_COLS[:6], F.lit(None).cast("double").alias("fuzzy"), "alignment")
+    both = fuzzy.unionByName(aligned).groupBy(*CAND_COLS[:6]).agg(F.coalesce(F.max("fuzzy"), F.max("alignment")).alias("score"))
+    return both.select(*CAND_COLS[:6], F.lit("strsim").alias("strategy"), "score")
 
 
 def all_columns(cols: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -316,29 +316,33 @@ def serialize_sql(mode: str, tables=SER_TABLES, w: int = 7) -> str:
         SELECT table_id, col_name, {text} AS text FROM p JOIN h USING (table_id)"""
 
 
-EQ_TABLES = ["events", "documents", "labels", "pages", "benchmark", "conversations"]
-ALIGN_PAIRS = [("customer", "supplier"), ("orders", "lineitem"), ("part", "lineitem"), ("nation", "region")]
+NAME_COLUMNS = {"customer": ["c_mktsegment"], "supplier": ["s_name"], "part": ["p_name", "p_brand", "p_type"], "nation": ["n_name"],
+                "region": ["r_name"], "orders": ["o_orderpriority"]}
+EQ_NAMES = ["customer.c_mktsegment", "orders.o_orderpriority", "part.p_name", "part.p_type", "part.words"]
+ALIGN_PAIRS = [("customer.c_mktsegment", "part.p_type"), ("part.p_name", "part.p_type"), ("part.p_name", "part.words"), ("part.p_type", "part.words"),
+               ("nation.n_name", "region.r_name"), ("supplier.s_name", "nation.n_name"), ("part.p_brand", "supplier.s_name"),
+               ("orders.o_orderpriority", "customer.c_mktsegment")]
 
 
-def data_columns_sql(tables) -> str:
-    return f"SELECT table_id, col_name, col_pos FROM ({cells(tables, clean_text=False)}) GROUP BY ALL HAVING count(value) > 0"
+def value_names_sql() -> str:
+    parts = [f"SELECT DISTINCT {q(t + '.' + c)} AS table_id, {c} AS col_name FROM {t} WHERE {c} IS NOT NULL" for t, cols in NAME_COLUMNS.items() for c in cols]
+    return " UNION ALL ".join([*parts, "SELECT DISTINCT 'part.words', unnest(string_split(p_name, ' ')) FROM part"])
 
 
 def equal_name_sql() -> str:
-    pairs = " UNION ALL ".join(f"SELECT {q(a)} AS src_table, {q(b)} AS tgt_table" for i, a in enumerate(EQ_TABLES) for b in EQ_TABLES[i + 1:])
+    pairs = " UNION ALL ".join(f"SELECT {q(a)} AS src_table, {q(b)} AS tgt_table" for i, a in enumerate(EQ_NAMES) for b in EQ_NAMES[i + 1:])
     key = lambda c: f"regexp_replace(lower({STRIP.format(x=c)}), '[^a-zA-Z0-9\\s]', ' ', 'g')"
     return f"""
-    WITH c AS ({data_columns_sql(EQ_TABLES)}), pr AS ({pairs})
+    WITH c AS ({value_names_sql()}), pr AS ({pairs})
     SELECT s.table_id AS src_table, s.col_name AS src_col, t.table_id AS tgt_table, t.col_name AS tgt_col, CAST(1.0 AS DOUBLE) AS score
     FROM c s JOIN pr ON pr.src_table = s.table_id JOIN c t ON t.table_id = pr.tgt_table AND {key('s.col_name')} = {key('t.col_name')}"""
 
 
 def alignment_sql() -> str:
-    tables = sorted({t for p in ALIGN_PAIRS for t in p})
     pairs = " UNION ALL ".join(f"SELECT {q(a)} AS src_table, {q(b)} AS tgt_table" for a, b in ALIGN_PAIRS)
     al = lambda c: f"lower(regexp_replace({c}, '[^a-zA-Z0-9]', '', 'g'))"
     return f"""
-    WITH c AS ({data_columns_sql(tables)}),
+    WITH c AS ({value_names_sql()}),
     pre AS (SELECT table_id, min(col_name) AS lo, max(col_name) AS hi FROM c GROUP BY table_id),
     pre2 AS (SELECT table_id, CASE WHEN least(length(lo), length(hi)) = 0 THEN '' ELSE substr(lo, 1, coalesce(
         (SELECT min(i) FROM range(1, least(length(lo), length(hi)) + 1) r(i) WHERE substr(lo, i, 1) <> substr(hi, i, 1)) - 1,
@@ -354,9 +358,8 @@ def alignment_sql() -> str:
         lambda acc, ch: CASE WHEN instr(substr(lg, acc.last + 2), ch) > 0 AND (acc.last = -1 OR instr(substr(lg, acc.last + 2), ch) <= 2)
                         THEN {{'last': acc.last + instr(substr(lg, acc.last + 2), ch), 'hits': acc.hits + 1}} ELSE acc END,
         {{'last': -1, 'hits': 0}}) AS r FROM a2)
-    SELECT src_table, src_col, tgt_table, tgt_col,
-      round(CASE WHEN length(lg) > 2 * length(sh) OR length(sh) = 0 THEN 0.0 ELSE r.hits / length(sh) END, 6) AS alignment
-    FROM a3"""
+    SELECT src_table, src_col, tgt_table, tgt_col, round(r.hits / length(sh), 6) AS alignment
+    FROM a3 WHERE length(sh) > 0 AND length(lg) <= 2 * length(sh) AND r.hits / length(sh) >= 0.95"""
 
 
 EMB = """e AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),

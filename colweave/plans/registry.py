@@ -190,14 +190,30 @@ def _pool_query(mode):
 
 
 # ---------------------------------------------------------------- name layer
-EQ_TABLES = ["events", "documents", "labels", "pages", "benchmark", "conversations"]
-ALIGN_PAIRS = [("customer", "supplier"), ("orders", "lineitem"), ("part", "lineitem"), ("nation", "region")]
+#: Names taken from rows: the distinct values of these columns, and the words of part names.
+NAME_COLUMNS = {"customer": ["c_mktsegment"], "supplier": ["s_name"], "part": ["p_name", "p_brand", "p_type"], "nation": ["n_name"],
+                "region": ["r_name"], "orders": ["o_orderpriority"]}
+EQ_NAMES = ["customer.c_mktsegment", "orders.o_orderpriority", "part.p_name", "part.p_type", "part.words"]
+ALIGN_PAIRS = [("customer.c_mktsegment", "part.p_type"), ("part.p_name", "part.p_type"), ("part.p_name", "part.words"), ("part.p_type", "part.words"),
+               ("nation.n_name", "region.r_name"), ("supplier.s_name", "nation.n_name"), ("part.p_brand", "supplier.s_name"),
+               ("orders.o_orderpriority", "customer.c_mktsegment")]
 
 
 def _data_columns(spark, sf, names):
-    """All columns of the tables, from their schemas: a column without values has a name as well."""
+    """Columns with a value in some row."""
+    filled = _cells(spark, sf, names, clean=False).groupBy("table_id", "col_name", "col_pos").agg(F.count("value").alias("n"))
+    return filled.filter("n > 0").drop("n")
+
+
+def _value_names(spark, sf):
+    """Names that rows hold, as columns of one table for each source; positions follow the text."""
+    from ..operators.ordering import global_index
+
     prepare(spark)
-    return columns_relation(spark, load_catalog(spark, sf, names)).select("table_id", "col_name", "col_pos")
+    raw = cells(load_catalog(spark, sf, list(NAME_COLUMNS), columns=NAME_COLUMNS), clean=False).filter("value IS NOT NULL")
+    names = raw.select(F.concat_ws(".", "table_id", "col_name").alias("table_id"), F.col("value").alias("col_name")).distinct()
+    words = names.filter("table_id = 'part.p_name'").select(F.lit("part.words").alias("table_id"), F.explode(F.split("col_name", " ")).alias("col_name"))
+    return global_index(names.unionByName(words).distinct(), [F.col("table_id"), F.col("col_name")], "col_pos")
 
 
 def _pairs_df(spark, pairs):
@@ -205,29 +221,20 @@ def _pairs_df(spark, pairs):
 
 
 def q_equal_name_matches(spark, sf):
-    cols = _data_columns(spark, sf, EQ_TABLES)
-    pairs = [(a, b) for i, a in enumerate(EQ_TABLES) for b in EQ_TABLES[i + 1:]]
+    cols = _value_names(spark, sf)
+    pairs = [(a, b) for i, a in enumerate(EQ_NAMES) for b in EQ_NAMES[i + 1:]]
     m = CA.equal_name_candidates(cols, cols, _pairs_df(spark, pairs))
     return m.select("src_table", "src_col", "tgt_table", "tgt_col", "score")
 
 
-def _align_tables():
-    return sorted({t for p in ALIGN_PAIRS for t in p})
-
-
 def q_alignment_scores(spark, sf):
-    from ..functions.strsim import alignment_score
-
-    cols = _data_columns(spark, sf, _align_tables())
-    p = CA.name_pairs(cols, cols, _pairs_df(spark, ALIGN_PAIRS))
-    return p.select(
-        "src_table", "src_col", "tgt_table", "tgt_col",
-        F.round(alignment_score(F.col("src_prep"), F.col("tgt_prep")), R6).alias("alignment"),
-    )
+    cols = _value_names(spark, sf)
+    p = CA.aligned_pairs(cols, cols, _pairs_df(spark, ALIGN_PAIRS))
+    return p.select("src_table", "src_col", "tgt_table", "tgt_col", F.round("alignment", R6).alias("alignment"))
 
 
 def q_fuzzy_candidates(spark, sf):
-    cols = _data_columns(spark, sf, _align_tables())
+    cols = _value_names(spark, sf)
     m = CA.strsim_candidates(cols, cols, _pairs_df(spark, ALIGN_PAIRS))
     return m.select("src_table", "src_col", "tgt_table", "tgt_col", "score")
 
