@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from colweave.llm.tokens import gathered, tokenizer_path
 #: Bytes of text in a block of documents.
 BLOCK_BYTES = 2 << 20
 #: Words a task remembers before it begins anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 #: Bits of a pair's code that are the B id.
 SHIFT = 32
 
@@ -76,6 +77,22 @@ def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total) if len(n) else np.zeros(0, np.int64)
 
 
+def _bounds(n: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(n)])
+
+
+def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The sum of each stretch of values."""
+    total = _bounds(values)
+    return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Different values in order; sorts, which takes less time here than hashing."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 class Store:
     """Arrays of any lengths, one behind the other, added many at a time."""
 
@@ -140,13 +157,17 @@ class Aligner:
         if "" in words:  # a blank at the end of a text, which stands for itself
             ib[words.index("")] = [self.b.piece_to_id("▁")]
         na, nb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ia, ib))
-        # a literal U+2581 and an unknown piece are not the bytes of the text
-        ok = np.array([b"".join([self.a_bytes[i] for i in x]) == t == b"".join([self.b_bytes[i] for i in y]) for t, x, y in zip(raw, ia, ib)], bool)
-        na, nb = na * ok, nb * ok
-        a = np.array([i for x, good in zip(ia, ok) if good for i in x], np.int64)
-        b = np.array([i for x, good in zip(ib, ok) if good for i in x], np.int64)
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((ia, na), (ib, nb)))
+        size_a, size_b = _sums(self.a_size[a], _bounds(na)), _sums(self.b_size[b], _bounds(nb))
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        ok, text = (size_a == size) & (size_b == size), b"".join(raw)
+        if not ok.all() or b"".join(map(self.a_bytes.__getitem__, a.tolist())) != text or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != text:
+            # a literal U+2581 and an unknown piece are not the bytes of the text
+            ok = np.array([b"".join([self.a_bytes[i] for i in x]) == t == b"".join([self.b_bytes[i] for i in y]) for t, x, y in zip(raw, ia, ib)], bool)
+            a, b = a[np.repeat(ok, na)], b[np.repeat(ok, nb)]
+            na, nb = na * ok, nb * ok
         end_a, end_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-        ends = np.union1d(end_a, end_b)  # every stretch between two ends lies in one token of either side: a link
+        ends = _distinct(np.concatenate([end_a, end_b]))  # every stretch between two ends lies in one token of either side: a link
         links = a[np.searchsorted(end_a, ends)] << SHIFT | b[np.searchsorted(end_b, ends)] if len(ends) else np.zeros(0, np.int64)
         cuts = np.intersect1d(end_a, end_b, assume_unique=True)
         of_a, of_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)  # group of each token
@@ -154,14 +175,14 @@ class Aligner:
         # tokens in the order of writing: the A tokens of a group, then its B tokens
         place_a = np.arange(len(a)) + (np.cumsum(in_b) - in_b)[of_a]
         place_b = np.arange(len(b)) + np.cumsum(in_a)[of_b]
-        size = max(len(self.a_bytes), len(self.b_bytes))
+        ids = max(len(self.a_bytes), len(self.b_bytes))
         piece = np.zeros(len(a) + len(b), np.int64)
-        piece[place_a] = a + size * np.isin(end_a, cuts, assume_unique=True)
-        piece[place_b] = b + 2 * size * np.isin(end_b, cuts, assume_unique=True)
+        piece[place_a] = a + ids * np.isin(end_a, cuts, assume_unique=True)
+        piece[place_b] = b + 2 * ids * np.isin(end_b, cuts, assume_unique=True)
         written = pa.concat_arrays(self.digits).take(pa.array(piece))
         at = (np.frombuffer(written.buffers()[1], np.int32, len(piece) + 1)[np.concatenate([[0], np.cumsum(na + nb)])] if len(piece) else np.zeros(len(raw) + 1, np.int64)).tolist()
         data = written.buffers()[2].to_pybytes() if len(piece) else b""
-        word_end = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) * ok)  # bytes of good words
+        word_end = np.cumsum(size * ok)  # bytes of good words
         groups = np.diff(np.searchsorted(cuts, word_end, side="right"), prepend=0)
         first = len(self.text)
         while first + len(words) > self.n.shape[1]:
@@ -219,18 +240,18 @@ class Aligner:
         vocabulary, words = np.unique(slots, return_inverse=True)
         sizes = self.links.sizes(vocabulary)
         codes, links = np.unique(self.links.take(vocabulary), return_inverse=True)
-        first = np.concatenate([[0], np.cumsum(sizes)])
+        first = _bounds(sizes)
         # documents that hold a link: each different word of a document once, then each different link
-        held = np.unique(doc * max(len(vocabulary), 1) + words)
+        held = _distinct(doc * max(len(vocabulary), 1) + words)
         of, w = held // max(len(vocabulary), 1), held % max(len(vocabulary), 1)
-        pairs = np.unique(np.repeat(of, sizes[w]) * max(len(codes), 1) + links[_ranges(first[w], sizes[w])])
+        pairs = _distinct(np.repeat(of, sizes[w]) * max(len(codes), 1) + links[_ranges(first[w], sizes[w])])
         docs = np.bincount(pairs % max(len(codes), 1), minlength=len(codes))
         a, b = codes >> SHIFT, codes & ((1 << SHIFT) - 1)
         plain = self.same[a] == b
         return {
             "n_a": n[0], "n_b": n[1], "n_groups": n[2], "n_links": n[0] + n[1] - n[2], "groups_sha256": sha,
-            "words": words.astype("<i4").tobytes(), "bounds": bounds.astype("<i8").tobytes(),
-            "links": links.astype("<i4").tobytes(), "first": first.astype("<i8").tobytes(), "codes": codes.astype("<i8").tobytes(),
+            "words": packed(words), "sizes": packed(np.diff(bounds)),
+            "links": packed(links), "linked": packed(sizes), "codes_a": packed(a), "codes_b": packed(b),
             "pairs": codes[~plain], "docs": docs[~plain], "plain": (a[plain], docs[plain]),
         }
 
@@ -246,18 +267,22 @@ def _closed(words: list[str]) -> list[str]:
     return out if held is None else [*out, held]
 
 
-def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The sum of each stretch of values."""
-    total = np.concatenate([[0], np.cumsum(values)])
-    return total[bounds[1:]] - total[bounds[:-1]]
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, in as few bytes each as the largest needs; the first byte tells how many."""
+    size = next(k for k in (1, 2, 4, 8) if k == 8 or not len(x) or int(x.max()) < 1 << 8 * k)
+    return bytes([size]) + x.astype(f"<u{size}").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
 
 #: A stored row is a block of documents: lists with one entry for each document; words (the block's own
-#: numbers) and their bounds by document; links (numbers of codes) and their bounds by
-#: word; codes of all links; pairs: the codes off the fast path, docs: the documents of the block that
+#: numbers) and how many each document has; links (numbers of codes) and how many each
+#: word has; A and B ids of all codes; pairs: the codes off the fast path, docs: the documents of the block that
 #: hold each. The last row of each task has a vector instead: by A id, the documents that hold it linked to its twin.
 BLOCK = ("block long, ids array<{id}>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>,"
-         " words binary, bounds binary, links binary, first binary, codes binary, pairs array<long>, docs array<long>, vector binary")
+         " words binary, sizes binary, links binary, linked binary, codes_a binary, codes_b binary, pairs array<long>, docs array<long>, vector binary")
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
 
@@ -343,19 +368,18 @@ def alignment(docs: DataFrame, a_path: str | None = None, b_path: str | None = N
                     x = batch.column(c)[k].values
                     return pa.array([], pa.int64()) if x is None else x
 
-                def numbers(c: str, kind: str, k: int = k, batch: pa.RecordBatch = batch) -> np.ndarray:
-                    return np.frombuffer(batch.column(c)[k].as_py(), kind)
+                def numbers(c: str, k: int = k, batch: pa.RecordBatch = batch) -> np.ndarray:
+                    return unpacked(batch.column(c)[k].as_py())
 
-                codes, pair, n = numbers("codes", "<i8"), listed("known").to_numpy(), listed("counts").to_numpy()
+                a = numbers("codes_a")
+                codes, pair, n = a << SHIFT | numbers("codes_b"), listed("known").to_numpy(), listed("counts").to_numpy()
                 order = np.argsort(pair)
                 at = np.minimum(np.searchsorted(pair, codes, sorter=order), max(len(pair) - 1, 0))
-                a = codes >> SHIFT
                 count = of_twin[a]
                 if len(pair):  # codes not sent are on the fast path
                     count = np.where(pair[order[at]] == codes, n[order[at]], count)
-                links, first = numbers("links", "<i4"), numbers("first", "<i8")
-                words, bounds = numbers("words", "<i4"), numbers("bounds", "<i8")
-                sums = [_sums(_sums(x[links], first)[words], bounds) for x in ((count == best[a]).astype(np.int64), count)]
+                links, first, words, ends = numbers("links"), _bounds(numbers("linked")), numbers("words"), _bounds(numbers("sizes"))
+                sums = [_sums(_sums(x[links], first)[words], ends) for x in ((count == best[a]).astype(np.int64), count)]
                 yield pa.RecordBatch.from_arrays(
                     [listed("ids"), *(listed(c) for c in names[1:5]), *map(pa.array, sums), listed("groups_sha256")], names=names)
 

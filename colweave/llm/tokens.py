@@ -28,7 +28,7 @@ SEGMENT_BYTES = 1 << 20
 #: Bytes of text encoded together.
 BATCH_BYTES = 6 << 20
 #: Entries in each of the two word tables of a task.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 #: Words joined into one call of the library.
 JOINED = 200
 
