@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -38,6 +39,9 @@ from colweave.llm.tokens import gathered, tokenizer_path
 BLOCK_BYTES = 2 << 20
 #: Words a task remembers before it begins anew.
 CACHE_WORDS = 200_000
+#: Words encoded together.
+JOINED = 200
+_SPACED = re.compile(r"\s")
 #: Bits of a pair's code that are the B id.
 SHIFT = 32
 
@@ -128,6 +132,7 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a_bytes, self.b_bytes = a_vocabulary(self.a), b_vocabulary(self.b)
+        self.a_starts = np.array([x[:1] == b" " for x in self.a_bytes])
         self.a_size = np.array([len(x) for x in self.a_bytes])
         self.b_size = np.array([len(x) for x in self.b_bytes])
         # of pieces with the same bytes, whole pieces come before byte pieces, then the least id
@@ -149,21 +154,48 @@ class Aligner:
         self.n = np.zeros((3, 1 << 12), np.int64)  # A tokens, B tokens, groups
         self.ok = np.zeros(1 << 12, bool)
 
+    def a_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The A ids of all words, each behind a blank, and how many each word has. Words without white space
+        are encoded many at a time: each begins with the one token that begins with a blank."""
+        spaced = {i for i, w in enumerate(words) if not w or _SPACED.search(w)}
+        plain = [i for i in range(len(words)) if i not in spaced]
+        order, ids, n = [], [], []
+        for at in range(0, len(plain), JOINED * 100):
+            groups = [plain[i : i + JOINED] for i in range(at, min(at + JOINED * 100, len(plain)), JOINED)]
+            for group, found in zip(groups, self.a.encode_batch_fast(["".join([" " + words[i] for i in g]) for g in groups], add_special_tokens=False)):
+                found = np.array(found.ids, np.int64)
+                starts = np.flatnonzero(self.a_starts[found])
+                if len(starts) == len(group) and starts[0] == 0:
+                    order.extend(group)
+                    ids.append(found)
+                    n.append(np.diff(starts, append=len(found)))
+                else:
+                    spaced.update(group)
+        alone = sorted(spaced)
+        for i, found in zip(alone, self.a.encode_batch_fast([" " + words[i] for i in alone], add_special_tokens=False)):
+            order.append(i)
+            ids.append(np.array(found.ids, np.int64))
+            n.append(np.array([len(found.ids)]))
+        ids, n = np.concatenate(ids), np.concatenate(n)
+        place = np.argsort(np.array(order))
+        return ids[_ranges(_bounds(n)[place], n[place])], n[place]
+
     def learn(self, words: list[str]) -> None:
         """Align words, each behind a blank, and number them on from those known."""
         raw = [b" " + w.encode() for w in words]
-        ia = [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
+        a, na = self.a_ids(words)
         ib = self.b.encode(words, num_threads=1)
         if "" in words:  # a blank at the end of a text, which stands for itself
             ib[words.index("")] = [self.b.piece_to_id("▁")]
-        na, nb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ia, ib))
-        a, b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((ia, na), (ib, nb)))
+        nb = np.fromiter(map(len, ib), np.int64, len(ib))
+        b = np.fromiter(chain.from_iterable(ib), np.int64, int(nb.sum()))
         size_a, size_b = _sums(self.a_size[a], _bounds(na)), _sums(self.b_size[b], _bounds(nb))
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         ok, text = (size_a == size) & (size_b == size), b"".join(raw)
         if not ok.all() or b"".join(map(self.a_bytes.__getitem__, a.tolist())) != text or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != text:
             # a literal U+2581 and an unknown piece are not the bytes of the text
-            ok = np.array([b"".join([self.a_bytes[i] for i in x]) == t == b"".join([self.b_bytes[i] for i in y]) for t, x, y in zip(raw, ia, ib)], bool)
+            parts = np.split(a, np.cumsum(na)[:-1])
+            ok = np.array([b"".join([self.a_bytes[i] for i in x]) == t == b"".join([self.b_bytes[i] for i in y]) for t, x, y in zip(raw, parts, ib)], bool)
             a, b = a[np.repeat(ok, na)], b[np.repeat(ok, nb)]
             na, nb = na * ok, nb * ok
         end_a, end_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])

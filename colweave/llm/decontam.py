@@ -3,10 +3,12 @@
 A window of an item is contained in a document exactly when all its shingles
 are, so by the prefix principle one shingle is enough to find every candidate:
 the rarest. Shingles are short runs of words; the corpus is counted over all
-documents for the shingles that items have, and every window is indexed by its
+documents for the shingles that items have: one pass writes the places where they stand,
+which are counted, and every window is indexed by its
 rarest one. A document position with that shingle names a candidate; its place
 in the window gives the start (positional bound), the window's length must fit
-in the document (length bound), and the words themselves are then compared.
+in the document (length bound), and the words themselves are then compared, in
+the documents that have a candidate.
 
 Windows are joined in blocks of at most ``BLOCK_WINDOWS``, so what is broadcast
 has a fixed bound; more windows mean more blocks, none is left out.
@@ -90,65 +92,82 @@ class _Corpus:
         return rows.select("doc_id", "th", "words", "pos", F.explode(keys).alias("key"))
 
 
-def _prefix_windows(corpus: _Corpus, windows: DataFrame, blocks: int, widths: list[int]) -> DataFrame:
-    """(win, words, key, off): every distinct window with its rarest shingle and where that starts."""
+def _in_blocks(rows: DataFrame, blocks: int, on: str) -> list[DataFrame]:
+    return [rows.filter(F.pmod(F.xxhash64(on), F.lit(blocks)) == b) for b in range(blocks)]
+
+
+def _shingles_of(windows: DataFrame, widths: list[int]) -> DataFrame:
+    """win, words, off, key: the shingles of every distinct window and where they start."""
     distinct = windows.select("win", "words").distinct()
     n = F.size("words")
-    by_width = [
+    return reduce(DataFrame.unionByName, [
         distinct.filter(F.least(n, F.lit(SHINGLE)) == w)
         .select("win", "words", F.posexplode(_shingles(F.col("words"), w)).alias("off", "key"))
         for w in widths
-    ]
-    shingles = store(reduce(DataFrame.unionByName, by_width), "item-shingles")
-    wanted = shingles.select("key").distinct()
-    rows = corpus.keyed(widths).select("key")
-    counts = reduce(DataFrame.unionByName, [
-        rows.join(F.broadcast(wanted.filter(F.pmod("key", F.lit(blocks)) == b)), "key").groupBy("key").agg(F.count("*").alias("df"))
-        for b in range(blocks)
     ])
-    # a shingle that no document has is the rarest of all: its windows occur nowhere
+
+
+def _occurrences(corpus: _Corpus, shingles: DataFrame, blocks: int, widths: list[int]) -> DataFrame:
+    """doc_id, th, n (words), pos, key, stored: every place in the corpus where a shingle of an item
+    starts, and a row with position 0 for every document."""
+    rows = corpus.keyed(widths)
+    parts = []
+    for b, block in enumerate(_in_blocks(shingles.select("key").distinct(), blocks, "key")):
+        hit = rows.join(F.broadcast(block.withColumn("wanted", F.lit(True))), "key", "left")
+        first = F.col("pos") == 0 if b == 0 else F.lit(False)
+        parts.append(hit.filter(F.col("wanted") | first).select("doc_id", "th", (F.size("words") - 1).alias("n"), "pos", "key"))
+    return store(reduce(DataFrame.unionByName, parts), "item-shingles-found")
+
+
+def _prefixes(shingles: DataFrame, found: DataFrame) -> DataFrame:
+    """win, size, key, off: every window that may occur, with its rarest shingle and where that starts."""
+    counts = found.filter("pos > 0").groupBy("key").agg(F.count("*").alias("df"))
+    # a window with a shingle that no document has occurs nowhere
     return (
-        shingles.join(counts, "key", "left")
-        .groupBy("win", "words")
+        shingles.join(counts, "key", "left").groupBy("win", F.size("words").alias("size"))
         .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "key", "off")).alias("m"))
-        .filter("m.df > 0")
-        .select("win", "words", "m.key", "m.off")
+        .filter("m.df > 0").select("win", "size", "m.key", "m.off")
     )
 
 
 def match_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
-                  item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(per document, item windows). Per document: doc_id, th (hash of its text), rows (rows with that
-    id and text), n_words, spans (start and length of every occurrence of a window), wins."""
+                  item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, matches, item windows). Documents: doc_id, th (hash of the text) and n (words), one row for each
+    row. Matches, for rows with an occurrence of a window, alike rows once: doc_id, th, spans
+    (start and length of every occurrence) and wins. Item windows: item, win."""
     windows = store(item_windows(items, window, item_id, item_text), "item-windows")
     n_windows = windows.select("win").distinct().count()
     widths = sorted(r[0] for r in windows.select(F.least(F.size("words"), F.lit(SHINGLE))).distinct().collect())
+    corpus = _Corpus(docs, id_col, text_col)
+    if not widths:
+        rows = store(corpus.base.select("doc_id", "th", (F.size("words") - 1).alias("n")), "documents")
+        none = rows.select("doc_id", "th", F.array().cast("array<struct<start:int,len:int>>").alias("spans"), F.array().cast("array<string>").alias("wins"))
+        return rows, none.limit(0), windows.select("item", "win")
     # a window has up to `window` shingles, so blocks of shingles are bounded as well
     blocks = max(1, -(-n_windows // BLOCK_WINDOWS))
-    corpus = _Corpus(docs, id_col, text_col)
-    keyed = corpus.keyed(widths or [SHINGLE])
-    prefixes = _prefix_windows(corpus, windows, blocks, widths) if widths else None
-    none = [F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("len"), F.lit(None).cast("string").alias("win")]
-    parts = []
-    if prefixes is None:
-        parts.append(keyed.filter("pos = 0").select("doc_id", "th", F.size("words").alias("n"), F.lit(1).alias("row"), *none))
-    else:
-        prefixes = store(prefixes, "prefixes")
-    for b in range(blocks if prefixes is not None else 0):
-        block = prefixes.filter(F.pmod(F.xxhash64("win"), F.lit(blocks)) == b).withColumnRenamed("words", "w")
-        hit = keyed.join(F.broadcast(block), "key", "left" if b == 0 else "inner")
-        start, length = F.col("pos") - F.col("off"), F.size("w")
-        occurs = (start >= 1) & (start + length <= F.size("words")) & (F.slice("words", F.greatest(start, F.lit(1)) + 1, length) == F.col("w"))
-        parts.append(
-            hit.filter(F.coalesce(occurs, F.lit(False)) | (F.col("pos") == 0 if b == 0 else F.lit(False)))
-            .select("doc_id", "th", F.size("words").alias("n"), F.when(F.col("pos") == 0, 1).otherwise(0).alias("row"),
-                    F.when(F.col("pos") > 0, start - 1).alias("start"), F.when(F.col("pos") > 0, length).alias("len"), "win"))
-    rows = reduce(DataFrame.unionByName, parts)
-    span = F.when(F.col("start").isNotNull(), F.struct("start", "len"))
-    found = rows.groupBy("doc_id", "th").agg(
-        F.sum("row").alias("rows"), (F.max("n") - 1).cast("long").alias("n_words"),
-        F.sort_array(F.collect_set(span)).alias("spans"), F.collect_set("win").alias("wins"))
-    return store(found, "item-matches"), windows.select("item", "win")
+    shingles = store(_shingles_of(windows, widths), "item-shingles")
+    found = _occurrences(corpus, shingles, blocks, widths)
+    prefixes = store(_prefixes(shingles, found), "prefixes")
+    start = F.col("pos") - F.col("off")
+    # where the rarest shingle stands gives the start; the window must fit in the document
+    candidates = store(reduce(DataFrame.unionByName, [
+        found.filter("pos > 0").join(F.broadcast(block), "key").filter((start >= 1) & (start + F.col("size") - 1 <= F.col("n")))
+        .select("doc_id", "th", start.alias("start"), "size", "win")
+        for block in _in_blocks(prefixes, blocks, "win")
+    ]).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "size", "win")).alias("c")), "candidates")
+    # only documents with a candidate are read again: their words decide
+    text = F.col(text_col).cast("string")
+    known = candidates.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "c")
+    read = docs.select(F.col(id_col).alias("__id"), text.alias("__x"), F.xxhash64(text).alias("__h")).join(
+        known, (F.col("__h") == F.col("__t")) & F.col("__id").eqNullSafe(F.col("__d")))
+    read = read.groupBy("__d", "__t").agg(F.first("__x").alias("__x"), F.first("c").alias("c")).withColumn("__w", words_of(F.col("__x")))
+    same = F.filter("c", lambda c: F.array_join(F.slice("__w", c["start"], c["size"]), " ") == c["win"])
+    matches = store(
+        read.select(F.col("__d").alias("doc_id"), F.col("__t").alias("th"), same.alias("c")).filter(F.size("c") > 0)
+        .select("doc_id", "th",
+                F.array_sort(F.array_distinct(F.transform("c", lambda c: F.struct((c["start"] - 1).alias("start"), c["size"].alias("len"))))).alias("spans"),
+                F.array_distinct(F.transform("c", lambda c: c["win"])).alias("wins")), "item-matches")
+    return found.filter("pos = 0").select("doc_id", "th", "n"), matches, windows.select("item", "win")
 
 
 def _covered(spans: Column) -> Column:
@@ -172,25 +191,23 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_s
     text_hash. Null and empty texts have no words; rows alike in id and text have alike
     results; null item ids are not counted; without items nothing is hit.
     """
-    found, windows = match_windows(docs, items, window, id_col, text_col, item_id, item_text)
+    rows, matches, windows = match_windows(docs, items, window, id_col, text_col, item_id, item_text)
     items_of = (
-        found.filter(F.size("wins") > 0).select("doc_id", "th", F.explode("wins").alias("win"))
+        matches.select("doc_id", "th", F.explode("wins").alias("win"))
         .join(windows.filter("item is not null"), "win")
         .groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("item")).alias("items"))
-        .select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "items")
+        .select(F.col("doc_id").alias("__i"), F.col("th").alias("__j"), "items")
     )
-    items = F.coalesce("items", F.array().cast("array<string>"))
-    hit = _covered(F.col("spans"))
-    return (
-        found.join(items_of, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("th") == F.col("__t")), "left")
-        .withColumn("n_hit", hit)
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-        .select(
-            F.col("doc_id").alias(id_col), "n_words", "n_hit", F.size(items).cast("long").alias("n_items"),
-            F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
-            ((F.col("n_hit") > 0) & (min_share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-            F.col("th").alias("text_hash"))
+    hits = (
+        matches.join(items_of, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("th") == F.col("__j")), "left")
+        .select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), _covered(F.col("spans")).alias("hit"), "items")
     )
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    n_words, n_hit = F.col("n").cast("long"), F.coalesce("hit", F.lit(0)).cast("long")
+    return rows.join(hits, (F.col("th") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left").select(
+        F.col("doc_id").alias(id_col), n_words.alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        ((n_hit > 0) & (min_share * n_hit >= n_words)).alias("contaminated"), F.col("th").alias("text_hash"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
