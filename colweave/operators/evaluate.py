@@ -233,77 +233,105 @@ def contrastive_loss(vecs: DataFrame, temperature: float = 0.5) -> DataFrame:
     return sums.agg(F.avg(-F.log(F.col("s_pos") / F.col("s_all"))).alias("loss"))
 
 
-# ---- recall at ground truth: exact per-row selection in two histogram passes ----
+# ---- recall at ground truth: exact selection by refinement ----
 
-def _hist_kernel(bins: int):
-    def k(L, R, S):
-        if S is None:
-            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "bin": pd.Series([], dtype="int32"), "cnt": pd.Series([], dtype="int64")})
-        S = np.round(S, 12)
-        other = L["id"].to_numpy()[:, None] != R["id"].to_numpy()[None, :]
-        b = np.clip(np.floor((S + 1.0) / 2.0 * bins), 0, bins - 1).astype("int64")
-        ids, bs, cs = [], [], []
-        for i in range(S.shape[0]):
-            cnt = np.bincount(b[i][other[i]], minlength=bins)
-            nz = np.nonzero(cnt)[0]
-            ids.append(np.full(len(nz), L["id"].iat[i])); bs.append(nz); cs.append(cnt[nz])
-        return pd.DataFrame({"id": np.concatenate(ids).astype("int64"), "bin": np.concatenate(bs).astype("int32"), "cnt": np.concatenate(cs).astype("int64")})
+#: Similarities are compared as whole numbers, best first: minus this many times the similarity.
+SCALE = 10 ** 12
+STATE = ("lo", "hi", "id_lo", "id_hi")
+
+
+def _places(L, R, S):
+    """For each left row its others, as (place in the order of similarity, id, same label) within the row's interval."""
+    lid, rid = L["id"].to_numpy(), R["id"].to_numpy()
+    label = R["label"].to_numpy()
+    place = -np.rint(S * SCALE).astype("int64")
+    lo, hi, id_lo, id_hi = (L[c].to_numpy() for c in STATE)
+    for i in range(len(L)):
+        within = (rid != lid[i]) & (place[i] >= lo[i]) & (place[i] <= hi[i]) & (rid >= id_lo[i]) & (rid <= id_hi[i])
+        yield lid[i], place[i][within], rid[within], (label == L["label"].iat[i])[within]
 
-    return k
 
+def _width(lo, hi, bins: int):
+    """Width of the parts of an interval; it is divided before it is subtracted, so that no number overflows."""
+    return hi // bins - lo // bins + 1
 
-def _boundary_kernel(bins: int):
-    """Positives above the boundary bin (counted) and every item inside it (listed)."""
+
+def _parts_kernel(bins: int):
+    """Per left row and part of its interval: how many others fall into it and how many of them have its label."""
     def k(L, R, S):
-        empty = pd.DataFrame({"id": pd.Series([], dtype="int64"), "sim": pd.Series([], dtype="float64"),
-                              "rid": pd.Series([], dtype="int64"), "is_pos": pd.Series([], dtype="int32"), "n_pos_above": pd.Series([], dtype="int64")})
-        if S is None:
-            return empty
-        S = np.round(S, 12)
-        lid, rid = L["id"].to_numpy(), R["id"].to_numpy()
-        other = lid[:, None] != rid[None, :]
-        same = (L["label"].to_numpy()[:, None] == R["label"].to_numpy()[None, :]) & other
-        b = np.clip(np.floor((S + 1.0) / 2.0 * bins), 0, bins - 1).astype("int64")
-        bstar = L["aux"].to_numpy().astype("int64")[:, None]
-        above = (same & (b > bstar)).sum(axis=1)
-        ii, jj = np.nonzero(other & (b == bstar))
-        rows = pd.DataFrame({"id": lid[ii].astype("int64"), "sim": S[ii, jj], "rid": rid[jj].astype("int64"),
-                             "is_pos": same[ii, jj].astype("int32"), "n_pos_above": np.zeros(len(ii), dtype="int64")})
-        counts = pd.DataFrame({"id": lid.astype("int64"), "sim": np.nan, "rid": np.int64(-1), "is_pos": np.int32(0), "n_pos_above": above.astype("int64")})
-        return pd.concat([rows, counts], ignore_index=True)
+        out = {c: [np.zeros(0, "int64")] for c in ("id", "start", "cnt", "pos")}
+        for i, (lid, place, rid, same) in enumerate(_places(L, R, S) if S is not None else ()):
+            tied = L["lo"].iat[i] == L["hi"].iat[i]  # one similarity is left: the ids decide
+            low, high = (L[c].iat[i] for c in (("id_lo", "id_hi") if tied else ("lo", "hi")))
+            width = _width(int(low), int(high), bins)
+            start, at = np.unique((rid if tied else place) // width, return_inverse=True)
+            out["id"].append(np.full(len(start), lid))
+            out["start"].append(start * width)
+            out["cnt"].append(np.bincount(at, minlength=len(start)))
+            out["pos"].append(np.bincount(at, weights=same, minlength=len(start)).astype("int64"))
+        return pd.DataFrame({c: np.concatenate(x) for c, x in out.items()})
 
     return k
 
 
-def recall_at_ground_truth(vecs: DataFrame, bins: int = 4096) -> DataFrame:
+def _listing(L, R, S):
+    """Every other row in the interval of each left row."""
+    out = {c: [np.zeros(0, "int64")] for c in ("id", "place", "rid", "is_pos")}
+    for lid, place, rid, same in _places(L, R, S) if S is not None else ():
+        for c, x in zip(out, (np.full(len(rid), lid), place, rid, same.astype("int64"))):
+            out[c].append(x)
+    return pd.DataFrame({c: np.concatenate(x) for c, x in out.items()})
+
+
+def recall_at_ground_truth(vecs: DataFrame, bins: int = 256, most: int = 1024) -> DataFrame:
     """Same-label items among each item's (class size - 1) nearest others, summed over sum of (class size - 1) (AGG-18).
 
-    Singleton classes are skipped. The (class size - 1)-th similarity of each
-    row is located exactly without sorting whole rows: pass 1 builds per-row
-    histograms block by block (at most ``bins`` rows per item), a window over
-    each item's bins finds the boundary bin and the count above it; pass 2
-    counts positives above that bin and lists only the items inside it,
-    which are then ranked (score rounded to 12 decimals, then id).
+    Singleton classes are skipped. Where the (class size - 1)-th place of a row lies is found by
+    refinement: a pass counts the others in ``bins`` parts of the row's interval of similarities
+    (at most ``bins`` + 1 rows for each item), the part with that place becomes the interval, and so on until it
+    holds at most ``most`` items; where these all have one similarity, the
+    interval goes on over ids, which close ties. Only the rows that are left open take part in the next
+    pass. The last intervals are listed and ranked (similarity rounded to 12 decimals, then id).
     """
+    shift = bins.bit_length() - 1
+    if bins != 1 << shift or bins < 2:
+        raise ValueError("the number of parts must be a power of two")
     v = vecs.select("id", "vec", "label")
     sizes = v.groupBy("label").agg(F.count(F.lit(1)).alias("csize"))
-    items = v.join(sizes, "label").withColumn("k", F.col("csize") - 1).filter(F.col("k") > 0)
-    hist = dense_block_apply(items.select("id", "vec", "label"), v, _hist_kernel(bins), "id long, bin int, cnt long")
-    hist = hist.groupBy("id", "bin").agg(F.sum("cnt").alias("cnt"))
-    w = Window.partitionBy("id").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    cum = hist.withColumn("cum", F.sum("cnt").over(w)).join(items.select("id", "k"), "id")
-    bound = cum.filter((F.col("cum") >= F.col("k")) & (F.col("cum") - F.col("cnt") < F.col("k"))).select(
-        "id", F.col("bin").alias("bstar"), (F.col("cum") - F.col("cnt")).alias("n_above"), "k"
-    )
-    bound = cut_lineage(bound)  # read three times below: one row for each item
-    left = items.join(bound, "id").select("id", "vec", "label", F.col("bstar").cast("double").alias("aux"))
-    part = dense_block_apply(left, v, _boundary_kernel(bins), "id long, sim double, rid long, is_pos int, n_pos_above long")
-    pos_above = part.groupBy("id").agg(F.sum("n_pos_above").alias("pos_above"))
-    inbin = part.filter(F.col("rid") >= 0).join(bound.select("id", "n_above", "k"), "id")
-    wr = Window.partitionBy("id").orderBy(F.col("sim").desc(), F.col("rid").asc())
-    taken = inbin.withColumn("_r", F.row_number().over(wr)).filter(F.col("_r") <= F.col("k") - F.col("n_above"))
-    pos_in = taken.groupBy("id").agg(F.sum("is_pos").alias("pos_in"))
-    per = bound.join(pos_above, "id").join(pos_in, "id", "left")
+    ids = v.agg(F.min("id").alias("lo"), F.max("id").alias("hi")).first()
+    whole = {"lo": -SCALE - 1000, "hi": SCALE + 1000, "id_lo": ids["lo"] or 0, "id_hi": ids["hi"] or 0}
+    opened = cut_lineage(
+        v.join(sizes, "label").filter("csize > 1")
+        .select("id", "vec", "label", (F.col("csize") - 1).alias("k"), (F.col("csize") - 1).alias("left"), F.lit(0).cast("long").alias("pos"),
+                *[F.lit(x).cast("long").alias(c) for c, x in whole.items()]))
+    closed = None
+    w = Window.partitionBy("id").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    while True:
+        parts = dense_block_apply(opened, v, _parts_kernel(bins), "id long, start long, cnt long, pos long", extra=STATE)
+        parts = parts.groupBy("id", "start").agg(F.sum("cnt").alias("cnt"), F.sum("pos").alias("part_pos"))
+        run = parts.select("id", "start", "cnt", F.sum("cnt").over(w).alias("cum"), (F.sum("part_pos").over(w) - F.col("part_pos")).alias("before"))
+        found = run.join(opened, "id").filter((F.col("cum") >= F.col("left")) & (F.col("cum") - F.col("cnt") < F.col("left")))
+        tied = F.col("lo") == F.col("hi")
+
+        def width(lo: str, hi: str):
+            return F.shiftright(hi, shift) - F.shiftright(lo, shift) + 1
+
+        def narrowed(lo: str, hi: str, here):
+            end = F.col("start") + width(lo, hi) - 1
+            return [F.when(here, F.greatest(F.col(lo), F.col("start"))).otherwise(F.col(lo)).alias(lo), F.when(here, F.least(F.col(hi), end)).otherwise(F.col(hi)).alias(hi)]
+
+        state = cut_lineage(found.select(
+            "id", "vec", "label", "k", (F.col("left") - (F.col("cum") - F.col("cnt"))).alias("left"), (F.col("pos") + F.col("before")).alias("pos"),
+            *narrowed("lo", "hi", ~tied), *narrowed("id_lo", "id_hi", tied), "cnt"))
+        done = state.filter(F.col("cnt") <= most).drop("cnt")
+        closed = done if closed is None else closed.unionByName(done)
+        opened = state.filter(F.col("cnt") > most).drop("cnt")
+        if opened.isEmpty():
+            break
+    listed = dense_block_apply(closed, v, _listing, "id long, place long, rid long, is_pos long", extra=STATE)
+    order = Window.partitionBy("id").orderBy("place", "rid")
+    taken = listed.withColumn("_r", F.row_number().over(order)).join(closed.select("id", "left"), "id").filter(F.col("_r") <= F.col("left"))
+    per = closed.select("id", "k", "pos").join(taken.groupBy("id").agg(F.sum("is_pos").alias("pos_in")), "id", "left")
     return per.agg(
-        F.coalesce(F.try_divide(F.sum(F.col("pos_above") + F.coalesce("pos_in", F.lit(0))), F.sum("k")), F.lit(0.0)).alias("recall_at_gt")
+        F.coalesce(F.try_divide(F.sum(F.col("pos") + F.coalesce("pos_in", F.lit(0))), F.sum("k")), F.lit(0.0)).alias("recall_at_gt")
     )

@@ -221,11 +221,11 @@ def minmax_normalize(df: DataFrame, part: list[str], score: str = "score") -> Da
 
 
 def dense_block_apply(left: DataFrame, right: DataFrame, kernel, schema: str,
-                      block_rows: int = DEFAULT_BLOCK_ROWS, extra=("label", "aux")) -> DataFrame:
+                      block_rows: int = DEFAULT_BLOCK_ROWS, extra: tuple[str, ...] = ()) -> DataFrame:
     """Run ``kernel(L, R, S)`` on every block pair; ``S`` is the cosine matrix of the pair.
 
-    ``left``/``right`` carry ``id``, ``vec`` and the optional ``extra`` columns
-    (``label`` BIGINT, ``aux`` DOUBLE). The kernel returns partial rows that
+    ``left``/``right`` carry ``id``, ``vec`` and optional columns
+    (``label`` BIGINT, ``aux`` DOUBLE, those in ``extra`` BIGINT). The kernel returns partial rows that
     the caller aggregates with ``groupBy`` (sums, maxima), so each task only
     ever holds two bounded blocks.
     """
@@ -236,6 +236,7 @@ def dense_block_apply(left: DataFrame, right: DataFrame, kernel, schema: str,
         cols = [F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")]
         cols.append((F.col("label") if "label" in df.columns else F.lit(None)).cast("long").alias("label"))
         cols.append((F.col("aux") if "aux" in df.columns else F.lit(None)).cast("double").alias("aux"))
+        cols += [(F.col(c) if c in df.columns else F.lit(0)).cast("long").alias(c) for c in extra]
         return df.select(*cols)
 
     L = _assign(prep(left), "id", bl, br, "L").withColumn("_side", F.lit("L"))
