@@ -52,3 +52,21 @@ def test_miss_log(spark):
     gt = spark.createDataFrame([("a", "z"), ("a", "x")], "source string, target string")
     rows = sinks.miss_log(preds, gt, "run1").collect()
     assert len(rows) == 1 and rows[0]["target"] == "z" and rows[0]["predicted"] == "x, y"
+
+
+def test_csv_folder_by_each_files_header(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "one.csv").write_text('anchor, positive ,negative\nx,"two\nlines",NA\n\ny,p\n', encoding="utf-8")
+    (tmp_path / "two.csv").write_text("negative,anchor,extra,anchor\nn,z,1,again,too many\n", encoding="utf-8-sig")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "heads.csv").write_text("anchor,positive\n")
+    (tmp_path / "note.txt").write_text("no,table\n")
+    cells = {(r["file"].rsplit("/", 1)[1], r["row"], r["col_pos"]): (r["col_name"], r["value"]) for r in files.csv_cells(spark, str(tmp_path)).collect()}
+    second = cells.pop(("two.csv", 0, 3))
+    assert second[1] == "again" and second[0] != "anchor"
+    assert cells == {
+        ("one.csv", 0, 0): ("anchor", "x"), ("one.csv", 0, 1): ("positive", "two\nlines"), ("one.csv", 0, 2): ("negative", None),
+        ("one.csv", 1, 0): ("anchor", "y"), ("one.csv", 1, 1): ("positive", "p"), ("one.csv", 1, 2): ("negative", None),
+        ("two.csv", 0, 0): ("negative", "n"), ("two.csv", 0, 1): ("anchor", "z"), ("two.csv", 0, 2): ("extra", "1")}
+    union = files.csv_union(spark, str(tmp_path), ["anchor", "positive", "negative"])
+    assert sorted((r["anchor"], r["positive"] or "", r["negative"] or "") for r in union.collect()) == [("x", "two\nlines", ""), ("y", "p", ""), ("z", "", "n")]
