@@ -7,8 +7,8 @@ documents for the shingles that items have: one pass writes the places where the
 which are counted, and every window is indexed by its
 rarest one. A document position with that shingle names a candidate; its place
 in the window gives the start (positional bound), the window's length must fit
-in the document (length bound), and the words themselves are then compared, in
-the documents that have a candidate.
+in the document (length bound), and the words of all its shingles are then compared with
+those that stand there.
 
 Windows are joined in blocks of at most ``BLOCK_WINDOWS``, so what is broadcast
 has a fixed bound; more windows mean more blocks, none is left out.
@@ -97,25 +97,28 @@ def _in_blocks(rows: DataFrame, blocks: int, on: str) -> list[DataFrame]:
 
 
 def _shingles_of(windows: DataFrame, widths: list[int]) -> DataFrame:
-    """win, words, off, key: the shingles of every distinct window and where they start."""
+    """win, words, off, key, sh (its words): the shingles of every distinct window and where they start."""
     distinct = windows.select("win", "words").distinct()
     n = F.size("words")
     return reduce(DataFrame.unionByName, [
         distinct.filter(F.least(n, F.lit(SHINGLE)) == w)
         .select("win", "words", F.posexplode(_shingles(F.col("words"), w)).alias("off", "key"))
+        .withColumn("sh", F.array_join(F.slice("words", F.col("off") + 1, w), " "))
         for w in widths
     ])
 
 
 def _occurrences(corpus: _Corpus, shingles: DataFrame, blocks: int, widths: list[int]) -> DataFrame:
-    """doc_id, th, n (words), pos, key, stored: every place in the corpus where a shingle of an item
+    """doc_id, th, n (words), pos, key, sh (the words there), stored: every place in the corpus where a shingle of an item
     starts, and a row with position 0 for every document."""
     rows = corpus.keyed(widths)
     parts = []
-    for b, block in enumerate(_in_blocks(shingles.select("key").distinct(), blocks, "key")):
-        hit = rows.join(F.broadcast(block.withColumn("wanted", F.lit(True))), "key", "left")
+    known = shingles.groupBy("key").agg(F.max(F.size(F.split("sh", " "))).alias("width"))  # a key is of one width
+    for b, block in enumerate(_in_blocks(known, blocks, "key")):
+        hit = rows.join(F.broadcast(block), "key", "left")
         first = F.col("pos") == 0 if b == 0 else F.lit(False)
-        parts.append(hit.filter(F.col("wanted") | first).select("doc_id", "th", (F.size("words") - 1).alias("n"), "pos", "key"))
+        there = F.when(F.col("pos") > 0, F.array_join(F.slice("words", F.col("pos") + 1, F.col("width")), " "))
+        parts.append(hit.filter(F.col("width").isNotNull() | first).select("doc_id", "th", (F.size("words") - 1).alias("n"), "pos", "key", there.alias("sh")))
     return store(reduce(DataFrame.unionByName, parts), "item-shingles-found")
 
 
@@ -150,23 +153,24 @@ def match_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     prefixes = store(_prefixes(shingles, found), "prefixes")
     start = F.col("pos") - F.col("off")
     # where the rarest shingle stands gives the start; the window must fit in the document
-    candidates = store(reduce(DataFrame.unionByName, [
-        found.filter("pos > 0").join(F.broadcast(block), "key").filter((start >= 1) & (start + F.col("size") - 1 <= F.col("n")))
+    hits = found.filter("pos > 0").dropDuplicates(["doc_id", "th", "pos", "key"])
+    candidates = reduce(DataFrame.unionByName, [
+        hits.join(F.broadcast(block), "key").filter((start >= 1) & (start + F.col("size") - 1 <= F.col("n")))
         .select("doc_id", "th", start.alias("start"), "size", "win")
         for block in _in_blocks(prefixes, blocks, "win")
-    ]).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "size", "win")).alias("c")), "candidates")
-    # only documents with a candidate are read again: their words decide
-    text = F.col(text_col).cast("string")
-    known = candidates.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "c")
-    read = docs.select(F.col(id_col).alias("__id"), text.alias("__x"), F.xxhash64(text).alias("__h")).join(
-        known, (F.col("__h") == F.col("__t")) & F.col("__id").eqNullSafe(F.col("__d")))
-    read = read.groupBy("__d", "__t").agg(F.first("__x").alias("__x"), F.first("c").alias("c")).withColumn("__w", words_of(F.col("__x")))
-    same = F.filter("c", lambda c: F.array_join(F.slice("__w", c["start"], c["size"]), " ") == c["win"])
+    ])
+    # a window stands where each of its shingles does, word by word: the places are at hand, no text is read again
+    wanted = candidates.join(shingles.select("win", "off", "key", "sh"), "win").select(
+        F.col("doc_id").alias("d"), F.col("th").alias("t"), "start", "size", "win", (F.col("start") + F.col("off")).alias("p"), F.col("key").alias("k"), F.col("sh").alias("s"))
+    same = (F.col("t") == F.col("th")) & (F.col("p") == F.col("pos")) & (F.col("k") == F.col("key")) & F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("s") == F.col("sh"))
+    verified = (
+        wanted.join(hits, same).groupBy("d", "t", "start", "size", "win").agg(F.count("*").alias("found"))
+        .filter(F.col("found") == F.col("size") - F.least(F.col("size"), F.lit(SHINGLE)) + 1)
+    )
     matches = store(
-        read.select(F.col("__d").alias("doc_id"), F.col("__t").alias("th"), same.alias("c")).filter(F.size("c") > 0)
-        .select("doc_id", "th",
-                F.array_sort(F.array_distinct(F.transform("c", lambda c: F.struct((c["start"] - 1).alias("start"), c["size"].alias("len"))))).alias("spans"),
-                F.array_distinct(F.transform("c", lambda c: c["win"])).alias("wins")), "item-matches")
+        verified.groupBy(F.col("d").alias("doc_id"), F.col("t").alias("th")).agg(
+            F.sort_array(F.collect_set(F.struct((F.col("start") - 1).alias("start"), F.col("size").alias("len")))).alias("spans"),
+            F.collect_set("win").alias("wins")), "item-matches")
     return found.filter("pos = 0").select("doc_id", "th", "n"), matches, windows.select("item", "win")
 
 
