@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.clean import clean_text, is_binary_word, is_date_text, is_integer_text, is_number_text
 from ..functions.vocab import KEY_AFFIXES
 from ..sources.catalog import BOOL, FLOAT, INT, TEXT
+from .digests import stats_inputs
 
 COL_KEYS = ["table_id", "col_name", "col_pos", "kind"]
 
@@ -41,20 +42,27 @@ def value_counts(cells: DataFrame, keep_null: bool = False, clean: bool = False)
 
 
 def column_stats(vc_with_null: DataFrame, key_threshold: float = 0.8, datetime_threshold: float = 0.9) -> DataFrame:
-    """One row per column with counts, flags, semantic type and inferred dtype."""
-    v = F.col("value")
-    nonnull = v.isNotNull()
+    """One row per column with counts, flags, semantic type and inferred dtype.
+
+    Takes value counts with nulls, or value digests (``digests.value_digests``).
+    """
+    if "digest" in vc_with_null.columns:
+        ask = stats_inputs(vc_with_null)
+    else:
+        v = F.col("value")
+        ask = {"nonnull": v.isNotNull(), "number": is_number_text(v), "integer": is_integer_text(v), "date": is_date_text(v), "binary": is_binary_word(v)}
+    nonnull = ask["nonnull"]
     text = nonnull & (F.col("kind") == TEXT)
     # text-only tests: for numeric columns the ladder never reaches them, so
     # their (many) distinct values skip the regex and date-parse work
     stats = vc_with_null.groupBy(*COL_KEYS).agg(
         F.sum("cnt").alias("n_rows"),
         F.coalesce(F.sum(F.when(nonnull, F.col("cnt"))), F.lit(0)).alias("n_nonnull"),
-        F.count(v).alias("n_distinct"),
-        F.coalesce(F.max(F.when(nonnull, (F.col("kind") != TEXT) | is_number_text(v))), F.lit(False)).alias("any_numeric"),
-        F.coalesce(F.min(F.when(text, is_integer_text(v))), F.lit(True)).alias("all_integer_text"),
-        F.coalesce(F.sum(F.when(text & is_binary_word(v), 1)), F.lit(0)).alias("n_binary"),
-        F.coalesce(F.sum(F.when(text & is_date_text(v), F.col("cnt"))), F.lit(0)).alias("n_date"),
+        F.count_if(nonnull).alias("n_distinct"),
+        F.coalesce(F.max(F.when(nonnull, (F.col("kind") != TEXT) | ask["number"])), F.lit(False)).alias("any_numeric"),
+        F.coalesce(F.min(F.when(text, ask["integer"])), F.lit(True)).alias("all_integer_text"),
+        F.coalesce(F.sum(F.when(text & ask["binary"], 1)), F.lit(0)).alias("n_binary"),
+        F.coalesce(F.sum(F.when(text & ask["date"], F.col("cnt"))), F.lit(0)).alias("n_date"),
     )
     return stats.select(
         "*",

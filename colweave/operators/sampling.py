@@ -36,7 +36,7 @@ def _top_n(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def _numeric_sort_key() -> Column:
+def natural_sort_key() -> Column:
     """Numbers sort as numbers, text as text (pandas sorts the sampled objects)."""
     return F.when(F.col("kind") != TEXT, F.col("value").cast("double"))
 
@@ -52,7 +52,8 @@ def first_appearance_rank(vc: DataFrame, width: int = BUCKET_WIDTH) -> DataFrame
     counts = b.groupBy("table_id", "col_name", "_bkt").agg(F.count(F.lit(1)).alias("_bn"))
     wb = Window.partitionBy("table_id", "col_name").orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_off", F.coalesce(F.sum("_bn").over(wb), F.lit(0)))
-    wi = Window.partitionBy("table_id", "col_name", "_bkt").orderBy("first_row", "value")
+    ties = [c for c in ("value", "short", "digest") if c in vc.columns]
+    wi = Window.partitionBy("table_id", "col_name", "_bkt").orderBy("first_row", *ties)
     ranked = b.join(counts, ["table_id", "col_name", "_bkt"]).withColumn(
         "appear_rank", F.col("_off") + F.row_number().over(wi) - 1
     )
@@ -74,7 +75,7 @@ def sample_rows(vc: DataFrame, n: int = 10, mode: str = "mixed", seed: int = 42,
     small = df.filter(F.col("n_distinct") <= n).withColumn("_ord", F.struct(F.lit(None).cast("double"), F.col("value")))
     big = df.filter(F.col("n_distinct") > n)
     string_order = F.struct(F.lit(None).cast("double"), F.col("value"))
-    natural_order = F.struct(_numeric_sort_key(), F.col("value"))
+    natural_order = F.struct(natural_sort_key(), F.col("value"))
     if mode == "frequent":
         sel = _top_n(big, n, F.col("cnt").desc(), F.col("value")).withColumn("_ord", natural_order)
     elif mode == "mixed":

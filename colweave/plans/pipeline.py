@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import candidates as C
+from ..operators import digests as D
 from ..operators import llm as J
 from ..operators import pooling as PL
 from ..operators import profile as P
-from ..operators import sampling as S
 from ..operators import serialize as Z
 from ..operators.rerank import bipartite_rerank
 from ..operators.similarity import dense_topk, sparse_topk, tfidf_vectors
@@ -88,12 +88,12 @@ def preset(name: str, **options) -> MatchOptions:
 def column_profile(tabs: list[Table], opts: MatchOptions) -> DataFrame:
     """``(table_id, col_name, col_pos, kind, semantic_type, n_rows, n_distinct, samples)``."""
     c = cells(tabs, clean=False)
-    vc_all = P.value_counts(c, keep_null=True, clean=True)
+    counts = D.value_digests(c, clean=True)
     # read by the statistics and by every sampler branch: materialise once
     # (reliable checkpoint) instead of rescanning the tables per branch
-    vc_all = cut_lineage(vc_all) if opts.checkpoint else vc_all
-    stats = P.column_stats(vc_all)
-    samp = S.samples(vc_all.filter(F.col("value").isNotNull()), opts.sampling_size, opts.sampling_mode)
+    counts = cut_lineage(counts) if opts.checkpoint else counts
+    stats = P.column_stats(counts)
+    samp = D.samples(counts, c, opts.sampling_size, opts.sampling_mode, clean=True, by_row=all(t.order_key for t in tabs))
     keys = ["table_id", "col_name", "col_pos", "kind"]
     return stats.select(*keys, "semantic_type", "n_rows", "n_nonnull", "n_distinct").join(samp, keys, "left")
 
@@ -149,9 +149,10 @@ def _embedding_candidates(texts: DataFrame, src_ids: set, tgt_ids: set, opts: Ma
 
 def judged(matches: DataFrame, tabs: list[Table], opts: MatchOptions) -> DataFrame:
     """Scores of the judge where its answer can be read, else the scores of ``matches`` (RNK-4)."""
-    counts = P.value_counts(cells(tabs, clean=False))
+    raw = cells(tabs, clean=False)
+    counts = D.value_digests(raw)
     counts = cut_lineage(counts) if opts.checkpoint else counts
-    samples = S.samples(counts, 10, "priority_sampling")
+    samples = D.samples(counts, raw, 10, "priority_sampling", by_row=all(t.order_key for t in tabs))
     answers = opts.judge(J.prompts(matches, samples).select("src_table", "src_col", "tgt_table", "prompt"))
     return J.merge_judgements(matches, cut_lineage(answers) if opts.checkpoint else answers)
 

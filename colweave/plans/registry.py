@@ -13,7 +13,7 @@ from ..operators import benchgen as BG
 from ..operators import candidates as CA
 from ..operators import evaluate as EV
 from ..operators import llm as LL
-from ..operators import ngrams, profile, sampling
+from ..operators import digests, ngrams, profile, sampling
 from ..operators import serialize as Z
 from ..operators import traindata as TD
 from ..operators.similarity import dense_topk, minmax_normalize, sparse_topk, tfidf_vectors
@@ -60,12 +60,12 @@ def _vc(spark, sf, names, keep_null=False):
 
 
 def q_value_counts(spark, sf):
-    vc = _vc(spark, sf, ["orders", "events"])
+    vc = digests.value_counts(_cells(spark, sf, ["orders", "events"], clean=False), clean=True)
     return vc.select("table_id", "col_name", "value", "cnt", "first_row")
 
 
 def _stats(spark, sf, names):
-    return profile.column_stats(_vc(spark, sf, names, keep_null=True))
+    return profile.column_stats(digests.value_digests(_cells(spark, sf, names, clean=False), clean=True))
 
 
 def q_distinct_ratio(spark, sf):
@@ -105,8 +105,9 @@ def _sample_query(mode):
     def q(spark, sf):
         from ..session import cut_lineage
 
-        vc = cut_lineage(_vc(spark, sf, SAMPLE_TABLES))  # read by several sampler branches
-        s = sampling.samples(vc, n=10, mode=mode)
+        raw = _cells(spark, sf, SAMPLE_TABLES, clean=False)
+        counts = cut_lineage(digests.value_digests(raw, clean=True))  # read by several sampler branches
+        s = digests.samples(counts, raw, n=10, mode=mode, clean=True)
         return s.select("table_id", "col_name", F.array_join("samples", " | ").alias("samples"))
 
     q.__name__ = f"q_sample_{mode}"
@@ -506,8 +507,7 @@ def q_balanced_batches_three(spark, sf):
 def q_llm_prompts(spark, sf):
     """Judge prompts for customer -> supplier with every target as candidate (language-model-only mode)."""
     raw = _cells(spark, sf, ["customer", "supplier"], clean=False)
-    vc = profile.value_counts(raw)
-    samp = sampling.samples(vc, 10, "priority_sampling")
+    samp = digests.samples(digests.value_digests(raw), raw, 10, "priority_sampling")
     cols = raw.select("table_id", "col_name", "col_pos").distinct()
     pairs = _pairs_df(spark, [("customer", "supplier")])
     src = cols.select(F.col("table_id").alias("src_table"), F.col("col_name").alias("src_col")).join(pairs, "src_table")
