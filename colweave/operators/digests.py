@@ -1,7 +1,7 @@
 """Value counts keyed by digests, with texts fetched only for the values that are chosen (AGG-1).
 
 A value of at most ``SHORT`` bytes is its own key, a longer one is known by its
-128-bit digest: the counting shuffle carries nothing wider, whatever the cells
+128-bit digest in hex: the counting shuffle carries nothing wider, whatever the cells
 hold. What statistics and samplers ask of a long text (is it a number, a date;
 its first characters; its random draw) is worked out where the cell is read.
 ``with_text`` fetches texts by row and checks their digest, so a table of long
@@ -13,32 +13,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.clean import clean_text, is_binary_word, is_date_text, is_integer_text, is_number_text
+from ..functions.clean import clean_text, is_binary_word, is_date_text, is_integer_text, is_number_text, strip_unicode
 from ..functions.hashing import TWO_32, md5_unit, seeded_unit
+from ..session import cut_lineage
 from ..sources.catalog import TEXT
 from .sampling import KEYS, MODES, first_appearance_rank, natural_sort_key
 
 #: Bytes of a value that is its own key, and characters of a longer one that order it.
 SHORT, HEAD = 32, 16
-_NUMBER, _INTEGER, _DATE = 1, 2, 4
+_NUMBER, _INTEGER = 1, 2
+#: Sampling modes that need the draws of a seed.
+DRAWN = ("random", "weighted")
 ID = [*KEYS, "short", "digest"]
 
 
-def _keyed(df: DataFrame, seed: int) -> DataFrame:
-    """Replace ``value`` by its key; for long values also ``marks``, ``head`` and ``draw``."""
+def _keyed(df: DataFrame, seed: int | None) -> DataFrame:
+    """Replace ``value`` by its key; for long values also ``marks``, ``head`` and, with a seed, ``draw``."""
     v = F.col("value")
     long = F.octet_length(v) > SHORT
-    marks = (
-        F.when(is_number_text(v), _NUMBER).otherwise(0) + F.when(is_integer_text(v), _INTEGER).otherwise(0)
-        + F.when(is_date_text(v), _DATE).otherwise(0)
-    )
+    number = F.when(is_number_text(v), F.when(is_integer_text(v), _NUMBER + _INTEGER).otherwise(_NUMBER)).otherwise(0)
+    # numbers begin with a sign, digit, point or the i of infinity: other texts are looked at no further
+    marks = F.when(F.substring(v, 1, 1).rlike(r"[\s+\-.0-9iI]"), number).otherwise(0)
+    # the layouts of dates are shorter than SHORT, so a long value is one only with blanks around it
+    bare = strip_unicode(v)
+    padded = F.when(long & v.rlike(r"^\s*\d") & (F.octet_length(bare) <= SHORT), bare)
     return df.select(
         *[c for c in df.columns if c != "value"],
         F.when(~long, v).alias("short"),
-        F.when(long, F.unhex(F.md5(v))).alias("digest"),
+        F.when(long, F.md5(v)).alias("digest"),
         F.when(long & (F.col("kind") == TEXT), marks).alias("marks"),
         F.when(long, F.substring(v, 1, HEAD)).alias("head"),
-        F.when(long, seeded_unit(v, seed)).alias("draw"),
+        padded.alias("padded"),
+        (F.lit(None).cast("double") if seed is None else F.when(long, seeded_unit(v, seed))).alias("draw"),
     )
 
 
@@ -46,27 +52,30 @@ def _long_text(clean: bool) -> Column:
     return F.lit(clean) & (F.col("kind") == TEXT) & (F.octet_length("value") > SHORT)
 
 
-def value_digests(cells: DataFrame, clean: bool = False, seed: int = 42) -> DataFrame:
-    """``(table_id, col_name, col_pos, kind, short, digest, marks, head, draw, cnt, first_row)``, nulls as a value.
+def value_digests(cells: DataFrame, clean: bool = False, seed: int | None = None) -> DataFrame:
+    """``(table_id, col_name, col_pos, kind, short, digest, head, padded, marks, draw, cnt, first_row)``, nulls as a value.
 
     With ``clean`` the cells are raw. Long texts are cleaned where they are
     read, as few of them repeat; short ones are counted first and cleaned once
     for each different value. Both key columns are null for the null value.
+    ``draw`` is null without a seed; ``random`` and ``weighted`` samples need one.
     """
-    found = ["marks", "head", "draw"]
+    found = ["marks", "draw"]
     long = F.coalesce(_long_text(clean), F.lit(False))
     read = cells.select(*KEYS, "row_id", long.alias("done"), F.when(long, clean_text("value")).otherwise(F.col("value")).alias("value"))
-    # a long value's marks, head and draw are functions of it: any of the group's rows has them
-    counts = _keyed(read, seed).groupBy(*ID, "done").agg(
+    # a long value's marks, head and draw are functions of it: any of the group's rows has them. The head, a
+    # text, is a key: as the maximum of texts it would make Spark sort all cells instead of hashing them
+    counts = _keyed(read, seed).groupBy(*ID, "head", "padded", "done").agg(
         F.count(F.lit(1)).alias("cnt"), F.min("row_id").alias("first_row"), *[F.max(c).alias(c) for c in found])
     if not clean:
         return counts.drop("done")
-    text = F.col("kind") == TEXT
-    raw = counts.filter(text & ~F.col("done"))
-    recleaned = _keyed(raw.select(*KEYS, "cnt", "first_row", clean_text("short").alias("value")), seed)
-    merged = recleaned.unionByName(counts.filter(text & F.col("done")).drop("done")).groupBy(*ID).agg(
+    # one path for all rows, as each branch of a union would scan the tables again
+    again = (F.col("kind") == TEXT) & ~F.col("done") & F.col("short").isNotNull()
+    cleaned = _keyed(counts.withColumn("value", F.when(again, clean_text("short")).otherwise(F.col("short"))).withColumnsRenamed(
+        {c: f"_{c}" for c in ["short", "digest", "head", "padded", *found]}), seed)
+    kept = [F.coalesce(f"_{c}", c).alias(c) for c in ["digest", "head", "padded", *found]]
+    return cleaned.select(*KEYS, "short", *kept, "cnt", "first_row").groupBy(*ID, "head", "padded").agg(
         F.sum("cnt").alias("cnt"), F.min("first_row").alias("first_row"), *[F.max(c).alias(c) for c in found])
-    return merged.unionByName(counts.filter(~text).drop("done"))
 
 
 def is_value(df: DataFrame) -> Column:
@@ -85,7 +94,7 @@ def stats_inputs(vd: DataFrame) -> dict[str, Column]:
         "nonnull": is_value(vd),
         "number": _mark(_NUMBER, is_number_text(s)),
         "integer": _mark(_INTEGER, is_integer_text(s)),
-        "date": _mark(_DATE, is_date_text(s)),
+        "date": is_date_text(F.coalesce(s, "padded")),
         "binary": F.coalesce(is_binary_word(s), F.lit(False)),
     }
 
@@ -107,7 +116,7 @@ def with_text(vd: DataFrame, cells: DataFrame, clean: bool = False, by_row: bool
         source = source.withColumn("_at", F.coalesce("row_id", none)).join(rows, [*KEYS, "_at"], "left_semi")
     if clean:
         source = source.withColumn("value", F.when(F.col("kind") == TEXT, clean_text(v)).otherwise(v))
-    source = source.filter(F.octet_length("value") > SHORT).withColumn("digest", F.unhex(F.md5("value")))
+    source = source.filter(F.octet_length("value") > SHORT).withColumn("digest", F.md5("value"))
     keys = [*KEYS, "digest"]
     texts = source.join(wanted.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.first("value").alias("_text"))
     long = wanted.join(texts, keys).withColumn("value", F.col("_text")).select(*vd.columns, "value")
@@ -122,20 +131,26 @@ def value_counts(cells: DataFrame, clean: bool = False, by_row: bool = True) ->
 
 def samples(
     vd: DataFrame, cells: DataFrame, n: int = 10, mode: str = "mixed", clean: bool = False, by_row: bool = True,
+    seed: int = 42,
 ) -> DataFrame:
     """``(table_id, col_name, col_pos, kind, samples)``: as ``sampling.samples``, from value digests.
 
     Candidates are chosen by counts, draws and first characters; only their
-    texts are fetched and only they are put in order by whole texts.
+    texts are fetched and only they are put in order by whole texts. ``seed`` is that
+    of ``value_digests``.
     """
     if mode not in MODES:
         raise ValueError(f"unsupported sampling mode {mode!r}; use one of {MODES}")
+    if mode in DRAWN:
+        # a long value without its draw cannot be placed
+        lost = F.col("digest").isNotNull() & F.col("draw").isNull()
+        vd = vd.withColumn("draw", F.when(lost, F.raise_error(F.lit("value_digests needs a seed for this mode")).cast("double")).otherwise(F.col("draw")))
     vd = vd.filter(is_value(vd))
     nd = vd.groupBy("table_id", "col_name").agg(F.count(F.lit(1)).alias("n_distinct"))
     df = vd.join(nd, ["table_id", "col_name"])
     unit = F.when(F.col("short").isNotNull(), md5_unit(F.col("short"))).otherwise(
-        F.conv(F.substring(F.hex("digest"), 1, 8), 16, 10).cast("bigint") / F.lit(TWO_32))
-    draw = F.coalesce("draw", seeded_unit(F.col("short"), 42))
+        F.conv(F.substring("digest", 1, 8), 16, 10).cast("bigint") / F.lit(TWO_32))
+    draw = F.coalesce("draw", seeded_unit(F.col("short"), seed))
     order = {
         "frequent": -F.col("cnt"), "mixed": -F.col("cnt"), "random": draw,
         "weighted": -F.log(F.greatest(draw, F.lit(1e-12))) / F.col("cnt"),
@@ -154,7 +169,8 @@ def samples(
         spread = first_appearance_rank(big).filter(
             (F.pmod(F.col("appear_rank"), step) == 0) & (F.col("appear_rank") < step * F.lit(parts)))
         picked = picked.unionByName(spread.drop("appear_rank").withColumn("_why", F.lit(2)))
-    texts = with_text(picked, cells, clean, by_row)
+    # about n rows for each column, read by every step of the fetch: written once (reliable checkpoint)
+    texts = with_text(cut_lineage(picked), cells, clean, by_row)
     exact = Window.partitionBy("table_id", "col_name", "_why").orderBy("_key", "value")
     chosen = texts.withColumn("_r", F.row_number().over(exact)).filter((F.col("_why") != 1) | (F.col("_r") <= size))
     by_key = mode in ("weighted", "priority_sampling", "consistent_sampling")

@@ -88,7 +88,7 @@ def preset(name: str, **options) -> MatchOptions:
 def column_profile(tabs: list[Table], opts: MatchOptions) -> DataFrame:
     """``(table_id, col_name, col_pos, kind, semantic_type, n_rows, n_distinct, samples)``."""
     c = cells(tabs, clean=False)
-    counts = D.value_digests(c, clean=True)
+    counts = D.value_digests(c, clean=True, seed=42 if opts.sampling_mode in D.DRAWN else None)
     # read by the statistics and by every sampler branch: materialise once
     # (reliable checkpoint) instead of rescanning the tables per branch
     counts = cut_lineage(counts) if opts.checkpoint else counts
