@@ -8,7 +8,7 @@ comparison checks the semantics, not a shared implementation.
 
 from __future__ import annotations
 
-from ..functions.vocab import BINARY_WORDS, DATE_FORMATS, KEY_AFFIXES, NULL_SPELLINGS
+from ..functions.vocab import BINARY_WORDS, DATE_FORMATS, KEY_AFFIXES, NULL_SPELLINGS, PHI_FRACTION
 from ..operators.llm import AUG_NO_VALUES, AUG_WITH_VALUES, JUDGE_HEAD, JUDGE_MID, JUDGE_TAIL
 
 # (column, kind, sql type family) for the driver tables, in schema order
@@ -131,7 +131,7 @@ U0 = "(('0x' || substr(md5(value), 1, 8))::BIGINT / 4294967296.0)"
 U42 = "(('0x' || substr(md5('42:' || value), 1, 8))::BIGINT / 4294967296.0)"
 
 
-def sample_sql(mode: str, tables=SAMPLE_TABLES, n: int = 10, as_list: bool = False, clean_text: bool = True) -> str:
+def sample_sql(mode: str, tables=SAMPLE_TABLES, n: int = 10, as_list: bool = False, clean_text: bool = True, unit: str = U0) -> str:
     base = f"""
     WITH vc AS ({vc(cells(tables, clean_text=clean_text))}),
     v AS (SELECT * FROM vc WHERE value IS NOT NULL),
@@ -152,7 +152,7 @@ def sample_sql(mode: str, tables=SAMPLE_TABLES, n: int = 10, as_list: bool = Fal
               SELECT *, {key} AS k, row_number() OVER (PARTITION BY table_id, col_name ORDER BY {key}, value) AS rn FROM j)
               WHERE n_distinct <= {n} OR rn <= {n})"""
     elif mode == "priority_sampling":
-        prio = f"(cnt / greatest({U0}, 1e-12))"
+        prio = f"(cnt / greatest({unit}, 1e-12))"
         sel = f"""sel AS (SELECT *, CASE WHEN n_distinct > {n} THEN -p END AS k1 FROM (
               SELECT *, {prio} AS p, row_number() OVER (PARTITION BY table_id, col_name ORDER BY {prio} DESC, value) AS rn FROM j)
               WHERE n_distinct <= {n} OR rn <= {n})"""
@@ -886,9 +886,68 @@ def _extend_oracles_8(o: dict) -> dict:
     return o
 
 
+def murmur3_unit_sql(v: str) -> str:
+    """Golden-ratio fraction of the signed 32-bit MurmurHash3 (x86, seed 42) of a text's UTF-8 bytes."""
+    low = "4294967295::UBIGINT"
+    hexed, size = f"hex(encode({v}))", f"strlen({v})"
+
+    def times(x: str, by: int) -> str:
+        return f"(({x} * {by}::UBIGINT) & {low})"
+
+    def turned(x: str, by: int) -> str:
+        return f"((({x} << {by}) | ({x} >> {32 - by})) & {low})"
+
+    def word(at: str, n: int) -> str:  # little-endian; bytes past the end are left out
+        return "('0x0' || " + " || ".join(f"substr({hexed}, ({at}) + {2 * i + 1}, 2)" for i in reversed(range(n))) + ")::UBIGINT"
+
+    def scrambled(x: str) -> str:
+        return f"list_transform([{x}], lambda a: {times('a', 0xCC9E2D51)})[1]"
+
+    def mixed(x: str) -> str:
+        return f"list_transform([{scrambled(x)}], lambda b: {times(turned('b', 15), 0x1B873593)})[1]"
+
+    blocks = f"list_transform(range({size} // 4), lambda i: {mixed(word('i * 8', 4))})"
+    step = f"list_transform([xor(h, k)], lambda x: ({turned('x', 13)} * 5 + {0xE6546B64}::UBIGINT) & {low})[1]"
+    body = f"list_reduce(list_prepend(42::UBIGINT, {blocks}), lambda h, k: {step})"
+    last = f"xor(xor({body}, {mixed(word(f'({size} // 4) * 8', 3))}), {size}::UBIGINT)"
+    for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        last = f"list_transform([{last}], lambda x: {times(f'xor(x, x >> {shift})', by)})[1]"
+    return f"""list_transform(list_transform([{last}], lambda x: xor(x, x >> 16)::BIGINT), lambda h:
+        (CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) * CAST('{PHI_FRACTION}' AS DOUBLE)
+        - floor((CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) * CAST('{PHI_FRACTION}' AS DOUBLE)))[1]"""
+
+
+#: Round by round, all pairs that are the best left for both their sides; ``one`` has the pairs taken.
+GREEDY = """ord AS (SELECT source, target, score, row_number() OVER (ORDER BY score DESC, source, target) AS place FROM preds),
+    rounds AS (
+      SELECT *, place = min(place) OVER (PARTITION BY source) AND place = min(place) OVER (PARTITION BY target) AS won FROM ord
+      UNION ALL
+      SELECT source, target, score, place, place = min(place) OVER (PARTITION BY source) AND place = min(place) OVER (PARTITION BY target)
+      FROM (SELECT *, bool_or(won) OVER (PARTITION BY source) AS s_gone, bool_or(won) OVER (PARTITION BY target) AS t_gone FROM rounds)
+      WHERE NOT s_gone AND NOT t_gone),
+    one AS (SELECT source, target, score FROM rounds WHERE won)"""
+
+
+def _extend_oracles_9(o: dict) -> dict:
+    greedy = PG.replace("WITH ", "WITH RECURSIVE ", 1) + f", {GREEDY}"
+    o["greedy_one_to_one"] = f"""{greedy}
+        SELECT CAST(source AS VARCHAR) AS src_col, CAST(target AS VARCHAR) AS tgt_col, round(score, 6) AS score FROM one"""
+    core = o["metrics_core"]
+    o["metrics_core_one_to_one"] = greedy + core[len(PG):].replace("score FROM preds", "score FROM one", 1).replace("'all' AS scope", "'one_to_one' AS scope", 1)
+    o["sample_priority_murmur3"] = sample_sql("priority_sampling", unit=f"({murmur3_unit_sql('value')})")
+    o["resume_worklist"] = """
+        WITH t AS (SELECT source, count(*) AS documents, coalesce(sum(n_chars), 0) AS characters,
+              ('0x' || substr(md5(source), 1, 8))::BIGINT % 2 = 0 AS done FROM documents WHERE source IS NOT NULL GROUP BY source)
+        SELECT 'documents' AS method, source, CAST(done AS INT) AS n_results, CASE WHEN done THEN documents END AS value FROM t
+        UNION ALL SELECT 'characters', source, CAST(done AS INT), CASE WHEN done THEN characters END FROM t"""
+    o["distinct_ratio_sketch"] = f"""
+        SELECT table_id, col_name, n_rows, n_distinct > 0.8 * n_rows AS over FROM ({stats(cells(["customer", "orders", "events", "pages"]))})"""
+    return o
+
+
 def oracles() -> dict:
     """Every SQL oracle, by query name."""
     o = _base_oracles()
-    for extend in (_extend_oracles_batch1, _extend_oracles_2, _extend_oracles_3, _extend_oracles_4, _extend_oracles_5, _extend_oracles_6, _extend_oracles_7, _extend_oracles_8,):
+    for extend in (_extend_oracles_batch1, _extend_oracles_2, _extend_oracles_3, _extend_oracles_4, _extend_oracles_5, _extend_oracles_6, _extend_oracles_7, _extend_oracles_8, _extend_oracles_9):
         o = extend(o)
     return o

@@ -728,6 +728,56 @@ def q_sample_priority_murmur3(spark, sf):
     return s.select("table_id", "col_name", F.array_join("samples", " | ").alias("samples"))
 
 
+RESUME_METHODS = ["documents", "characters"]
+
+
+def q_resume_worklist(spark, sf):
+    """Work items (method, source of documents) with the results that a log holds of them after a broken run.
+
+    Batch 0 has half of the sources and is committed; it is run again, which adds
+    nothing. Batch 1 stops before its commit, so its items are pending like those never begun.
+    """
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..streaming import resultlog as RL
+
+    prepare(spark)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("source IS NOT NULL")
+    totals = docs.groupBy(F.col("source").alias("table_id")).agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("characters"))
+    results = totals.unpivot(["table_id"], RESUME_METHODS, "method", "value")
+    part = F.pmod(F.conv(F.substring(F.md5("table_id"), 1, 8), 16, 10).cast("bigint"), F.lit(2))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/colweave-results-{uuid.uuid4().hex}"
+    RL.commit_results(results.filter(part == 0), path, "resume", 0)
+    RL.commit_results(results.filter(part == 0), path, "resume", 0)
+    RL.stage_batch(results.filter((part == 1) & (F.col("method") == "documents")), path, "resume", 1)
+    log = RL.committed_results(spark, path, "table_id string, method string, value long")
+    items = RL.worklist(totals.select("table_id"), RESUME_METHODS)
+    keys = ["method", "table_id"]
+    logged = log.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_results"), F.max("value").alias("value"))
+    todo = RL.pending(items, log, keys).select(*keys, F.lit(0).cast("long").alias("n_results"), F.lit(None).cast("long").alias("value"))
+    return logged.unionByName(todo).select("method", F.col("table_id").alias("source"), "n_results", "value")
+
+
+SKETCH_TABLES = ["customer", "orders", "events", "pages"]
+
+
+def q_distinct_ratio_sketch(spark, sf):
+    """Whether a column's distinct values exceed 0.8 of its rows, from sketches stored by append (rows with even and odd keys)."""
+    import uuid
+
+    from ..operators import sketches as SK
+    from ..session import ensure_checkpoint_dir
+    from ..streaming import resultlog as RL
+
+    rows = _cells(spark, sf, SKETCH_TABLES)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/colweave-sketches-{uuid.uuid4().hex}"
+    for batch in (0, 1):
+        RL.commit_results(SK.column_sketches(rows.filter(F.pmod("row_id", F.lit(2)) == batch)), path, "sketches", batch)
+    merged = SK.merged_sketches(RL.committed_results(spark, path, SK.SKETCH_SCHEMA))
+    return SK.distinct_decisions(merged, rows).select("table_id", "col_name", "n_rows", "over")
+
+
 SAMPLE_QUERIES = {
     "sample_frequent": "frequent",
     "sample_mixed": "mixed",
@@ -811,6 +861,8 @@ def registry() -> dict:
     q["span_pool"] = _pool_query("table_context_window_span")
     q["marker_pool"] = _pool_query("table_context_window_starmie_structured")
     q["sweep_strategy_orders"] = q_sweep_strategy_orders
+    q["resume_worklist"] = q_resume_worklist
+    q["distinct_ratio_sketch"] = q_distinct_ratio_sketch
     for mode in WIDE_MODES:
         q[f"serialize_wide_{mode}"] = _serialize_wide_query(mode)
     for name, mode in SAMPLE_QUERIES.items():

@@ -4,6 +4,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from colweave.sources import files, sinks
@@ -47,6 +48,48 @@ def test_result_log_resume(spark):
     assert todo.count() == 5
 
 
+SCHEMA = "method string, value long"
+
+
+def _log(spark, path):
+    return sorted(tuple(r) for r in resultlog.committed_results(spark, path, SCHEMA).select("run", "batch", "method", "value").collect())
+
+
+def test_rerun_after_failed_commit_leaves_each_result_once(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "log")
+    assert _log(spark, path) == [] and resultlog.commits(spark, path).count() == 0
+    first = spark.createDataFrame([("a", 1), ("b", 2), ("b", 2)], SCHEMA)
+    with monkeypatch.context() as m:
+        def stopped(*_):
+            raise RuntimeError("lost before the commit")
+
+        m.setattr(resultlog, "mark_committed", stopped)
+        with pytest.raises(RuntimeError):
+            resultlog.commit_results(first.unionByName(first), path, "07", 0)
+    assert _log(spark, path) == []  # staged rows are not part of the log
+    assert resultlog.commit_results(first, path, "07", 0)
+    assert not resultlog.commit_results(first, path, "07", 0)
+    want = [("07", 0, "a", 1), ("07", 0, "b", 2), ("07", 0, "b", 2)]
+    assert _log(spark, path) == want
+    assert resultlog.commit_results(first.limit(0), path, "07", 1)  # an empty batch is a batch
+    assert resultlog.commit_results(first.filter("method = 'a'"), path, "other", 0)
+    assert _log(spark, path) == [*want, ("other", 0, "a", 1)]
+    assert sorted(tuple(r) for r in resultlog.commits(spark, path).collect()) == [("07", 0, 3), ("07", 1, 0), ("other", 0, 1)]
+    with pytest.raises(ValueError):
+        resultlog.commit_results(first, path, "a/b", 0)
+
+
+def test_replayed_stream_is_logged_once(spark, tmp_path):
+    source, path = str(tmp_path / "in"), str(tmp_path / "log")
+    spark.createDataFrame([("a", 1), ("b", 2)], SCHEMA).coalesce(1).write.parquet(source)
+    for checkpoint in ("one", "two"):  # the second one has lost the first one's progress
+        stream = spark.readStream.schema(SCHEMA).parquet(source)
+        query = stream.writeStream.foreachBatch(resultlog.committing_sink(path, "stream")).option(
+            "checkpointLocation", str(tmp_path / checkpoint)).trigger(availableNow=True).start()
+        assert query.awaitTermination(60)
+    assert _log(spark, path) == [("stream", 0, "a", 1), ("stream", 0, "b", 2)]
+
+
 def test_miss_log(spark):
     preds = spark.createDataFrame([("a", "x", 0.9, 1), ("a", "y", 0.5, 2)], "source string, target string, score double, rank int")
     gt = spark.createDataFrame([("a", "z"), ("a", "x")], "source string, target string")
