@@ -1,6 +1,7 @@
 """Language identification, near duplicates, language-model scores and the pipeline."""
 
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -231,6 +232,60 @@ def test_context_counts_add_up_by_levels(llm_spark, corpus, monkeypatch):
     assert all(np.array_equal(a, b) for a, b in zip(got, want))
 
 
+def test_segments_change_no_score_and_no_count(corpus, monkeypatch):
+    model = small_model(corpus[:100])
+    texts = [b" ".join(corpus[100:180]), b"", b" ".join(corpus[180:])[: 4 * lm.STRETCH], corpus[0]]
+    whole = model.score(texts)
+    slots = [np.bincount(s, minlength=1 << b) for s, (_, b) in zip(lm.Bits(texts, model.code, blocked=False).slots(), lm.PREDICTORS)]
+    monkeypatch.setattr(lm, "SEGMENT", 2 * lm.STRETCH)
+    monkeypatch.setattr(lm, "BATCH_BYTES", 3 * lm.STRETCH)
+    parts = list(lm.segments(texts, model.code, blocked=False))
+    assert len(parts) > 2 and len(texts[0]) > 3 * lm.SEGMENT and len(texts[2]) % lm.SEGMENT == 0
+    assert np.allclose(model.score(texts), whole, rtol=1e-6)
+    for i, (_, b) in enumerate(lm.PREDICTORS):
+        found = sum(np.bincount(list(bits.slots())[i], minlength=1 << b) for _, bits in parts)
+        assert np.array_equal(found, slots[i])
+
+
+def test_long_text_needs_bounded_memory(corpus):
+    model = small_model(corpus[:100])
+    piece = b" ".join(corpus)
+    peaks = []
+    for size in (1 << 20, 4 << 20):
+        text = (piece * (size // len(piece) + 1))[:size]
+        tracemalloc.start()
+        score = model.score([text])[0]
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert np.isfinite(score) and score < 0
+    assert peaks[1] < 1.2 * peaks[0] + (4 << 20)
+    assert model.score([b"a" * (3 * lm.SEGMENT)])[0] < 0  # one word of three segments
+
+
+def test_fit_leaves_own_counts_out_and_grows(llm_spark, corpus, monkeypatch):
+    model = small_model(corpus[:100])
+    bits = lm.Bits([corpus[0]], model.code, blocked=False)
+    own = [np.zeros((1 << b, 2), np.uint8) for _, b in lm.PREDICTORS]  # counts of the text itself and no other
+    for o, slots in zip(own, bits.slots()):
+        np.add.at(o, (slots, bits.bit), 1)
+    assert own[0].max() < lm.CAP
+    for x, gate, y in model.unseen([corpus[0], corpus[0]], own):
+        assert not gate.any() and not x[:-1].any() and len(y) == len(bits.bit)
+    df = llm_spark.createDataFrame([(t.decode(),) for t in corpus] * 2 + [("",), (None,)], "text string")
+    monkeypatch.setattr(lm, "FIT_TEXTS", 8)
+    few, _ = lm.fit_sample(df)
+    monkeypatch.setattr(lm, "FIT_SHARE", 0.5)
+    monkeypatch.setattr(lm, "FIT_TASK_BYTES", 10000)
+    many, tasks = lm.fit_sample(df)
+    texts = [r["text"] for r in many.collect()]
+    assert few.count() < 40 < 100 < len(texts) == len(set(texts)) and tasks > 3
+    signs = np.bincount(np.frombuffer(b"".join(corpus), np.uint8), minlength=257)
+    signs[lm.END] = len(corpus)
+    fitted = lm.train_mixer(df.limit(450), lm.prefix_code(signs))
+    start = lm.Mixer(fitted.code, fitted.tables)
+    assert fitted.score(corpus[:50]).sum() > start.score(corpus[:50]).sum()
+
+
 # pipeline
 
 def test_pipeline_stages(llm_spark, tmp_path):
