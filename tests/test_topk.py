@@ -1,12 +1,14 @@
 """Top-k retrieval by bounded blocks against all pairs."""
 
+import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from colweave.operators import topk
-from colweave.operators.similarity import dense_topk, sparse_topk
+from colweave.operators.similarity import dense_block_apply, dense_topk, sparse_topk
 
 
 @pytest.fixture(params=[0, 8])
@@ -128,3 +130,75 @@ def test_sparse_blocks_give_all_pairs(spark, direct, monkeypatch, by_group, summ
     monkeypatch.setattr(topk.blocked_topk, "__defaults__", (None, False, False, 40))
     got = found(r.asDict() for r in sparse_topk(df, df, 4, exclude_self=True, group_col="g" if by_group else None).collect())
     same(got, brute(dense_rows, dense_rows, 4, True, groups=tuple("xyz") if by_group else ("",)))
+
+
+def test_tiles_of_a_block_keep_ties_and_small_ids(spark, monkeypatch):
+    monkeypatch.setattr(topk, "TILE_ROWS", 7)
+    monkeypatch.setattr(topk, "TILE_QUERIES", 5)
+    x = np.round(vectors(8, 90, 1.0, dim=2), 1)
+    rows = [(i * 7 % 90, "", v) for i, v in enumerate(x)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, _, v in rows], "id long, vec array<double>")
+    for threshold in (None, 0.9):
+        got = found(r.asDict() | {"rgroup": ""} for r in dense_topk(df, df, 11, threshold, exclude_self=True).collect())
+        same(got, brute(rows, rows, 11, True, threshold))
+
+
+def shuffled_rows(df):
+    """Rows that the plan's exchanges wrote, by a run of it."""
+    df.collect()
+    stack, n = [df._jdf.queryExecution().executedPlan()], 0
+    while stack:
+        p = stack.pop()
+        if p.nodeName() == "AdaptiveSparkPlan":
+            stack.append(p.executedPlan())
+        elif p.nodeName().endswith("QueryStage"):
+            stack.append(p.plan())
+        if p.nodeName() == "Exchange":
+            n += p.metrics().apply("shuffleRecordsWritten").value()
+        stack += [p.children().apply(i) for i in range(p.children().size())]
+    return n
+
+
+def test_many_rows_are_few_blocks(spark, monkeypatch):
+    """Blocks are as large as a task can hold: 18,000 rows are not routed to cells, and copied as often as tasks need."""
+    def routed(*_):
+        raise AssertionError("routed")
+
+    monkeypatch.setattr(topk, "_scored", routed)
+    n = 18_000
+    df = spark.createDataFrame(((i, [float(i % 97), 1.0 + i % 89]) for i in range(n)), "id long, vec array<float>")
+    grid = 2 * (math.isqrt(2 * spark.sparkContext.defaultParallelism) + 1)
+    top = dense_topk(df, df, 1, exclude_self=True)
+    assert top.count() == n
+    assert shuffled_rows(top) <= (2 * grid + 1) * n
+
+
+def test_block_pairs_are_as_large_as_a_task_can_hold(spark):
+    """The partial rows of a pass over pairs do not grow with the number of rows (before: one for each 2048)."""
+    def largest(n):
+        df = spark.createDataFrame(((i, [1.0, float(i)]) for i in range(n)), "id long, vec array<float>")
+        out = dense_block_apply(df, df, lambda L, R, S: pd.DataFrame({"id": L["id"], "s": 0.0 if S is None else S.sum(axis=1)}), "id long, s double")
+        return out.groupBy("id").count().agg({"count": "max"}).first()[0]
+
+    grid = math.isqrt(2 * spark.sparkContext.defaultParallelism) + 1
+    assert largest(3000) <= grid and largest(1024 * grid + 5000) <= grid
+
+
+def test_one_group_joins_without_a_nested_loop(spark):
+    df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(20)], "id long, vec array<float>")
+    assert "NestedLoop" not in dense_topk(df, df, 3)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_sparse_queries_leave_the_searched_rows_in_place(spark, monkeypatch):
+    rows = sparse_rows(4, 260)
+    df = spark.createDataFrame(rows, "id long, g string, terms array<long>, weights array<double>")
+    left = df.filter("id < 9")
+    sent = sparse_topk(left, df, 4)
+    moved = shuffled_rows(sent)
+    assert moved <= 9 * 4 * df.rdd.getNumPartitions()
+    monkeypatch.setattr(topk, "SENT_NONZEROS", 0)
+    for limit in (0, 8):
+        monkeypatch.setattr(topk, "DIRECT", limit)
+        other = found(r.asDict() for r in sparse_topk(left, df, 4).collect())
+        same(found(r.asDict() for r in sent.collect()), other)
+    assert sparse_topk(df.limit(0), df, 4).count() == 0 and sparse_topk(left, df.limit(0), 4).count() == 0
