@@ -62,6 +62,16 @@ def test_small_tables_and_segments_change_nothing(library, monkeypatch):
     assert enc.counts([t.encode() for t in texts]).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_word_tables_of_a_worker_are_bounded():
+    enc = tokens.WordEncoder(tokens.tokenizer_path(), "ids")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(letters[i // 26**k % 26] for k in range(4)) for i in range(420_000)]
+    for i in range(0, len(words), 20_000):
+        for _ in enc.ids([" ".join(words[i : i + 20_000]).encode()]):
+            pass
+    assert 20_000 <= len(enc.full) <= 400_000 and len(enc.base) <= 400_000
+
+
 def test_segments_end_at_white_space():
     text = (data.sentence(random.Random(1), 500) + "\n" + "y" * 400 + " end").encode()
     parts = list(tokens.segments(text, 100))
