@@ -6,14 +6,22 @@ counts, smoothed idf ``ln((1+N)/(1+df)) + 1``, L2 norm per document, score =
 sum over documents; keep ``score > threshold``.
 
 All steps are explode + ``groupBy``; documents are rows, so work grows with data.
+Texts are dealt to tasks by document before their n-grams are formed, about ``TASK_GRAMS``
+in a task: they are counted there without a shuffle, and more texts make more tasks, not larger ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: N-grams counted in one task, about.
+TASK_GRAMS = 1 << 20
+
+
 def char_ngrams(df: DataFrame, text_col: str, n_min: int, n_max: int) -> DataFrame:
     """Explode ``(…, n, gram)`` for every character n-gram of ``text_col``.
 
@@ -39,7 +47,10 @@ def ngram_tfidf_scores(docs: DataFrame, group_cols: list[str], doc_col: str, tex
     """``(group_cols…, n, ngram, score)`` with ``score > threshold``."""
     docs = docs.filter(F.col(text_col).isNotNull())
     n_docs = docs.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n_docs"))
-    grams = char_ngrams(docs.select(*group_cols, doc_col, text_col), text_col, n_min, n_max)
+    n_chars = docs.agg(F.sum(F.length(text_col).cast("long"))).first()[0] or 0  # one scalar to the driver
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(n_chars * (n_max - n_min + 1) / TASK_GRAMS))
+    dealt = docs.select(*group_cols, doc_col, text_col).repartition(tasks, *group_cols, doc_col)
+    grams = char_ngrams(dealt, text_col, n_min, n_max)
     tf = grams.groupBy(*group_cols, doc_col, "n", "gram").agg(F.count(F.lit(1)).alias("tf"))
     df_ = tf.groupBy(*group_cols, "n", "gram").agg(F.count(F.lit(1)).alias("df"))
     w = (
@@ -47,9 +58,10 @@ def ngram_tfidf_scores(docs: DataFrame, group_cols: list[str], doc_col: str, tex
         .join(n_docs, group_cols)
         .withColumn("w", F.col("tf") * (F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0))
     )
-    norms = w.groupBy(*group_cols, doc_col, "n").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    # a document's n-grams stand together; its norm as a table of its own would be copied to every task
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*group_cols, doc_col, "n")))
     scored = (
-        w.join(norms, [*group_cols, doc_col, "n"])
+        w.filter(F.col(doc_col).isNotNull()).withColumn("norm", norm)
         .groupBy(*group_cols, "n", "gram")
         .agg(F.sum(F.col("w") / F.col("norm")).alias("score"))
     )
