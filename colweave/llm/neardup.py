@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colweave.llm.common import store
+from colweave.llm.common import keep, store
 from colweave.llm.quality import binomial_cdf
 from colweave.llm.tokens import binary_texts, gathered
 
@@ -58,6 +58,9 @@ SPREAD = 4
 STAR = 512
 #: Shingles hashed at once while MinHash values are made.
 CHUNK = 1 << 15
+#: Bytes of text whose signatures are made together, and hashed words that a worker remembers.
+SIGN_BYTES = 1 << 20
+REMEMBERED = 200_000
 
 _ODD = np.random.default_rng(20240501).integers(0, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = np.random.default_rng(20240502).integers(0, 2**63, VALUES, dtype=np.uint64)
@@ -74,7 +77,7 @@ _WORDS: dict[str, int] = {}
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > REMEMBERED:
         _WORDS.clear()
     out = []
     for w in words:
@@ -131,7 +134,8 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kind = src.schema["id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in gathered(batches, 4 << 20):
+        keep("shingles", _WORDS.clear)
+        for b in gathered(batches, SIGN_BYTES):
             x, bounds = shingles(binary_texts(b.column("text")))
             full = np.flatnonzero(np.diff(bounds))
             values = _minhash(x, np.append(bounds[full], len(x))) if len(full) else np.zeros((0, VALUES), "<u4")

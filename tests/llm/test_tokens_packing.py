@@ -216,3 +216,30 @@ def test_archives_are_gzip_members_of_whole_records(llm_spark):
     for r in index:
         record = zlib.decompress(raw[r["offset"] : r["offset"] + r["length"]], 31)
         assert record.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and record.endswith(b"\r\n\r\n")
+
+
+def test_worker_forgets_tables_of_other_stages():
+    """What one stage keeps in a Python worker is gone once a task of another stage begins there."""
+    from colweave.llm import common, neardup, tokens
+
+    enc = tokens.encoder(tokens.tokenizer_path(), "ids")
+    list(enc.ids([b"some words to keep"]))
+    assert tokens.encoder(tokens.tokenizer_path(), "ids") is enc
+    common.keep("shingles", neardup._WORDS.clear)
+    assert not tokens._ENCODERS
+    neardup.shingles([b"some words to keep"])
+    common.keep("shingles", neardup._WORDS.clear)
+    assert len(neardup._WORDS) == 4
+    common.keep("languages")
+    assert not neardup._WORDS
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    from colweave.llm import neardup
+
+    neardup._WORDS.clear()
+    texts = [f"w{i} x{i} y{i} z{i} v{i} u{i}".encode() for i in range(50)]
+    want = [neardup.shingles([t])[0].tolist() for t in texts]
+    monkeypatch.setattr(neardup, "REMEMBERED", 20)
+    assert [neardup.shingles([t])[0].tolist() for t in texts] == want
+    assert len(neardup._WORDS) <= 20 + 6
