@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colweave.llm.common import keep, store
+from colweave.llm.common import begin, store
 from colweave.llm.tokens import binary_texts, gathered
 
 #: Lengths of n-grams in bytes.
@@ -154,7 +154,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, bits: int = POSITION_BITS,
     chosen = drawn.groupBy("lang", "h1", "h2").agg(F.first("text").alias("text")).select(F.element_at(number, F.col("lang")).alias("lang"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep("languages")
+        begin("languages")
         for b in gathered(batches):
             lang = b.column("lang").to_numpy()
             texts = binary_texts(b.column("text"))
@@ -213,7 +213,7 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
     schema = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in names) + ", lang_pred string, score double"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep("languages")
+        begin("languages")
         for b in gathered(batches, 4 << 20):
             lang, value = shared.value.predict(binary_texts(b.column("__text")))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(lang), pa.array(value)], names=[*names, "lang_pred", "score"])
@@ -229,7 +229,7 @@ def accepted(docs: DataFrame, filters: Filters, min_score: float = MIN_SCORE, te
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep("languages")
+        begin("languages")
         for b in gathered(batches, 4 << 20):
             lang, score = shared.value.predict(binary_texts(b.column(text_col)))
             yield b.filter(pa.array([x != "und" and y >= min_score for x, y in zip(lang, score)], pa.bool_()))

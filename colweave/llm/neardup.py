@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colweave.llm.common import keep, store
+from colweave.llm.common import begin, store
 from colweave.llm.quality import binomial_cdf
 from colweave.llm.tokens import binary_texts, gathered
 
@@ -134,7 +134,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kind = src.schema["id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep("shingles", _WORDS.clear)
+        begin("shingles", _WORDS.clear)
         for b in gathered(batches, SIGN_BYTES):
             x, bounds = shingles(binary_texts(b.column("text")))
             full = np.flatnonzero(np.diff(bounds))

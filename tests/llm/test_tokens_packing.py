@@ -225,12 +225,12 @@ def test_worker_forgets_tables_of_other_stages():
     enc = tokens.encoder(tokens.tokenizer_path(), "ids")
     list(enc.ids([b"some words to keep"]))
     assert tokens.encoder(tokens.tokenizer_path(), "ids") is enc
-    common.keep("shingles", neardup._WORDS.clear)
+    common.begin("shingles", neardup._WORDS.clear)
     assert not tokens._ENCODERS
     neardup.shingles([b"some words to keep"])
-    common.keep("shingles", neardup._WORDS.clear)
+    common.begin("shingles", neardup._WORDS.clear)
     assert len(neardup._WORDS) == 4
-    common.keep("languages")
+    common.begin("languages")
     assert not neardup._WORDS
 
 
