@@ -331,3 +331,44 @@ def test_stages_take_awkward_rows(llm_spark):
             assert df.columns == data.documents(llm_spark).columns, name
         assert pipeline.STAGES[-1][1](llm_spark, df, SF_SMALL).count() >= 0
     assert sorted([(1, None), (None, 2)], key=key)
+
+
+def test_lm_fit_reads_all_training_texts(llm_spark, monkeypatch):
+    """The fit of the starting weights takes every different training text, whatever their number."""
+    corpus = [f"text {i} of " + "many words " * (i % 7 + 1) for i in range(600)]
+    df = llm_spark.createDataFrame([(i, t) for i, t in enumerate([*corpus, *corpus[:50], "", None])], "doc_id long, text string")
+    monkeypatch.setattr(lm, "FIT_TASK_BYTES", 10000)
+    found, tasks = lm.fit_texts(df)
+    assert sorted(r["text"] for r in found.collect()) == sorted(corpus)
+    assert tasks == -(-sum(map(len, corpus)) // 10000)
+    signs = np.bincount(np.frombuffer("".join(corpus).encode(), np.uint8), minlength=257)
+    asked = []
+    lm.train_mixer(df, lm.prefix_code(signs), lambda train: asked.append(train) or lm.fit_texts(train))
+    assert len(asked) == 1 and lm.train_mixer.__defaults__ == (lm.fit_texts,)
+
+
+def test_lm_unseen_texts_together_and_alone():
+    """Inputs without a text's own counts are those of the text alone, of short ones together as of one in segments."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{rng.integers(40)}" for _ in range(n)).encode() for n in (3, 200, 0, 900, 60)]
+    texts.append(texts[1])
+    signs = np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=257)
+    signs[lm.END] = len(texts)
+    code = lm.prefix_code(signs)
+    bits = lm.Bits(texts, code, blocked=False)
+    counts = [np.bincount(s * 2 + bits.bit, minlength=2 << b).reshape(-1, 2) for s, (_, b) in zip(bits.slots(), lm.PREDICTORS)]
+    capped = [np.minimum(c, lm.CAP).astype(np.uint8) for c in counts]
+    model = lm.Mixer(code, [lm.log_odds(c) for c in counts])
+    x, gate, y = (np.concatenate(v, axis=-1) for v in zip(*model.unseen(texts, capped)))
+    want = []
+    for t in texts:
+        own = lm.Bits([t], code)
+        odds = []
+        for slots, c, cap, table in zip(own.slots(), counts, capped, model.tables):
+            mine = np.bincount(slots * 2 + own.bit, minlength=c.size).reshape(-1, 2)
+            odds.append(np.where(cap.max(axis=1) == lm.CAP, table, lm.log_odds(c - mine))[slots])
+        want.append((*model.inputs(own, odds), own.bit))
+    wx, wg, wy = (np.concatenate(v, axis=-1) for v in zip(*want))
+    assert x.shape == wx.shape and any((c == lm.CAP).any() for c in capped)
+    got, all_of = np.vstack([x, gate, y]), np.vstack([wx, wg, wy])
+    assert np.array_equal(got[:, np.lexsort(got)], all_of[:, np.lexsort(all_of)])
