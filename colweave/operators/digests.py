@@ -10,18 +10,23 @@ documents sends to a shuffle only those that a sample shows.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import clean_text, is_binary_word, is_date_text, is_integer_text, is_number_text, strip_unicode
 from ..functions.hashing import TWO_32, md5_unit, seeded_unit
 from ..session import cut_lineage
-from ..sources.catalog import TEXT
-from .sampling import KEYS, MODES, first_appearance_rank, natural_sort_key
+from ..sources.catalog import TEXT, Table, cells as cells_of, native_counts
+from .sampling import KEYS, MODES, evenly_spread, natural_sort_key
 
 #: Bytes of a value that is its own key, and characters of a longer one that order it.
 SHORT, HEAD = 32, 16
 _NUMBER, _INTEGER = 1, 2
+#: Hash slots whose least keys bound a sample.
+SLOTS = 64
 #: Sampling modes that need the draws of a seed.
 DRAWN = ("random", "weighted")
 ID = [*KEYS, "short", "digest"]
@@ -52,23 +57,35 @@ def _long_text(clean: bool) -> Column:
     return F.lit(clean) & (F.col("kind") == TEXT) & (F.octet_length("value") > SHORT)
 
 
-def value_digests(cells: DataFrame, clean: bool = False, seed: int | None = None) -> DataFrame:
+def _cell_digests(cells: DataFrame, clean: bool, seed: int | None) -> DataFrame:
+    """Counts of cells by key; short texts are not cleaned yet (``done``)."""
+    long = F.coalesce(_long_text(clean), F.lit(False))
+    read = cells.select(*KEYS, "row_id", long.alias("done"), F.when(long, clean_text("value")).otherwise(F.col("value")).alias("value"))
+    # a long value's marks, head and draw are functions of it: any of the group's rows has them. The head, a
+    # text, is a key: as the maximum of texts it would make Spark sort all cells instead of hashing them
+    return _keyed(read, seed).groupBy(*ID, "head", "padded", "done").agg(
+        F.count(F.lit(1)).alias("cnt"), F.min("row_id").alias("first_row"), *[F.max(c).alias(c) for c in ("marks", "draw")])
+
+
+def value_digests(cells: DataFrame | None, clean: bool = False, seed: int | None = None, counted: DataFrame | None = None) -> DataFrame:
     """``(table_id, col_name, col_pos, kind, short, digest, head, padded, marks, draw, cnt, first_row)``, nulls as a value.
 
     With ``clean`` the cells are raw. Long texts are cleaned where they are
     read, as few of them repeat; short ones are counted first and cleaned once
     for each different value. Both key columns are null for the null value.
     ``draw`` is null without a seed; ``random`` and ``weighted`` samples need one.
+    ``counted`` are cells with counts, see ``native_counts``; either input may be None.
     """
     found = ["marks", "draw"]
-    long = F.coalesce(_long_text(clean), F.lit(False))
-    read = cells.select(*KEYS, "row_id", long.alias("done"), F.when(long, clean_text("value")).otherwise(F.col("value")).alias("value"))
-    # a long value's marks, head and draw are functions of it: any of the group's rows has them. The head, a
-    # text, is a key: as the maximum of texts it would make Spark sort all cells instead of hashing them
-    counts = _keyed(read, seed).groupBy(*ID, "head", "padded", "done").agg(
-        F.count(F.lit(1)).alias("cnt"), F.min("row_id").alias("first_row"), *[F.max(c).alias(c) for c in found])
+    parts = [] if cells is None else [_cell_digests(cells, clean, seed)]
+    if counted is not None:
+        held = counted.select(*KEYS, "cnt", F.col("row_id").alias("first_row"), F.lit(False).alias("done"), "value")
+        parts.append(_keyed(held, seed))
+    counts = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     if not clean:
-        return counts.drop("done")
+        if counted is None:
+            return counts.drop("done")
+        return counts.groupBy(*ID, "head", "padded").agg(F.sum("cnt").alias("cnt"), F.min("first_row").alias("first_row"), *[F.max(c).alias(c) for c in found])
     # one path for all rows, as each branch of a union would scan the tables again
     again = (F.col("kind") == TEXT) & ~F.col("done") & F.col("short").isNotNull()
     cleaned = _keyed(counts.withColumn("value", F.when(again, clean_text("short")).otherwise(F.col("short"))).withColumnsRenamed(
@@ -78,6 +95,11 @@ def value_digests(cells: DataFrame, clean: bool = False, seed: int | None = None
         F.sum("cnt").alias("cnt"), F.min("first_row").alias("first_row"), *[F.max(c).alias(c) for c in found])
 
 
+def table_digests(tables: list[Table], clean: bool = False, seed: int | None = None) -> DataFrame:
+    """``value_digests`` of the raw cells of tables, columns that are not text counted before they are made text."""
+    return value_digests(cells_of(tables, clean=False, native=False), clean, seed, native_counts(tables))
+
+
 def is_value(df: DataFrame) -> Column:
     """Whether a row of value digests stands for a value, not for null."""
     return F.col("short").isNotNull() | F.col("digest").isNotNull()
@@ -129,6 +151,34 @@ def value_counts(cells: DataFrame, clean: bool = False, by_row: bool = True) ->
     return with_text(vd.filter(is_value(vd)), cells, clean, by_row).select(*KEYS, "value", "cnt", "first_row")
 
 
+def _within(df: DataFrame, key: str, size: int, kind: str, most) -> DataFrame:
+    """``df`` with ``_most``: at least ``size`` rows of the row's column have a ``key`` no larger.
+
+    The least keys of hash slots belong to different rows, so the ``size``-th of them is such a bound; ``most`` where there are fewer.
+    """
+    columns = ["table_id", "col_name"]
+    slot = F.pmod(F.xxhash64("short", "digest"), F.lit(max(SLOTS, 4 * size))).alias("_slot")
+    least = df.groupBy(*columns, slot).agg(F.min(key).alias("_least")).groupBy(*columns).agg(F.array_sort(F.collect_list("_least")).alias("_least"))
+    bound = least.select(*columns, F.coalesce(F.get("_least", F.lit(size - 1)), F.lit(most).cast(kind)).alias("_most"))
+    return df.join(F.broadcast(bound), columns)
+
+
+def _foremost(df: DataFrame, size: int, ties: bool) -> DataFrame:
+    """The rows of ``df`` that can be among the first ``size`` of their column by ``_key`` and ``_head``, and few others, without a sort.
+
+    With ``ties`` many rows may share a key: of them, those with the least beginnings.
+    """
+    if size < 1:
+        return df.limit(0)
+    near = _within(df, "_key", size, "double", float("inf")).filter(F.col("_key") <= F.col("_most"))
+    if ties:
+        # seven bytes of the head as a number: in the order of the heads, which have no byte 0 before their end or share the number
+        start = F.conv(F.rpad(F.hex(F.substring(F.col("_head").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+        near = near.withColumn("_start", F.when(F.col("_key") < F.col("_most"), F.lit(-1).cast("long")).otherwise(start)).drop("_most")
+        near = _within(near, "_start", size, "long", (1 << 63) - 1).filter(F.col("_start") <= F.col("_most")).drop("_start")
+    return near.drop("_most")
+
+
 def samples(
     vd: DataFrame, cells: DataFrame, n: int = 10, mode: str = "mixed", clean: bool = False, by_row: bool = True,
     seed: int = 42,
@@ -146,8 +196,9 @@ def samples(
         lost = F.col("digest").isNotNull() & F.col("draw").isNull()
         vd = vd.withColumn("draw", F.when(lost, F.raise_error(F.lit("value_digests needs a seed for this mode")).cast("double")).otherwise(F.col("draw")))
     vd = vd.filter(is_value(vd))
+    # one row for each column: sent to all tasks, so that no column's values go to one task
     nd = vd.groupBy("table_id", "col_name").agg(F.count(F.lit(1)).alias("n_distinct"))
-    df = vd.join(nd, ["table_id", "col_name"])
+    df = vd.join(F.broadcast(nd), ["table_id", "col_name"])
     unit = F.when(F.col("short").isNotNull(), md5_unit(F.col("short"))).otherwise(
         F.conv(F.substring("digest", 1, 8), 16, 10).cast("bigint") / F.lit(TWO_32))
     draw = F.coalesce("draw", seeded_unit(F.col("short"), seed))
@@ -161,16 +212,21 @@ def samples(
     size = n // 2 if mode == "mixed" else n
     big = df.filter(F.col("n_distinct") > n)
     w = Window.partitionBy("table_id", "col_name").orderBy("_key", "_head")
-    picked = big.withColumn("_r", F.rank().over(w)).filter(F.col("_r") <= size).drop("_r").withColumn("_why", F.lit(1))
+    near = _foremost(big, size, ties=mode in ("mixed", "frequent"))
+    picked = near.withColumn("_r", F.rank().over(w)).filter(F.col("_r") <= size).drop("_r").withColumn("_why", F.lit(1))
     picked = picked.unionByName(df.filter(F.col("n_distinct") <= n).withColumn("_why", F.lit(0)))
     if mode == "mixed":
         parts = n - size
-        step = F.greatest(F.lit(1), F.floor(F.col("n_distinct") / F.lit(parts)))
-        spread = first_appearance_rank(big).filter(
-            (F.pmod(F.col("appear_rank"), step) == 0) & (F.col("appear_rank") < step * F.lit(parts)))
-        picked = picked.unionByName(spread.drop("appear_rank").withColumn("_why", F.lit(2)))
+        picked = picked.unionByName(evenly_spread(big, parts).withColumn("_why", F.lit(2)))
     # about n rows for each column, read by every step of the fetch: written once (reliable checkpoint)
-    texts = with_text(cut_lineage(picked), cells, clean, by_row)
+    picked = cut_lineage(picked)
+    # columns with a long pick, at most all columns of the tables: the cells of other columns, mostly whole tables, are not read again
+    columns = [F.col("table_id").eqNullSafe(r["table_id"]) & F.col("col_name").eqNullSafe(r["col_name"])
+               for r in picked.filter(F.col("digest").isNotNull()).select("table_id", "col_name").distinct().collect()]
+    if columns:
+        texts = with_text(picked, cells.filter(reduce(or_, columns)), clean, by_row)
+    else:
+        texts = picked.withColumn("value", F.col("short"))
     exact = Window.partitionBy("table_id", "col_name", "_why").orderBy("_key", "value")
     chosen = texts.withColumn("_r", F.row_number().over(exact)).filter((F.col("_why") != 1) | (F.col("_r") <= size))
     by_key = mode in ("weighted", "priority_sampling", "consistent_sampling")

@@ -24,6 +24,8 @@ from ..sources.catalog import TEXT
 MODES = ("random", "frequent", "mixed", "weighted", "priority_sampling", "consistent_sampling")
 KEYS = ["table_id", "col_name", "col_pos", "kind"]
 BUCKET_WIDTH = 1 << 20
+#: Buckets that a column's row ids are cut into first.
+WIDE_BUCKETS = 4096
 
 
 def _with_n_distinct(vc: DataFrame) -> DataFrame:
@@ -60,6 +62,38 @@ def first_appearance_rank(vc: DataFrame, width: int = BUCKET_WIDTH) -> DataFrame
     return ranked.drop("_bkt", "_bn", "_off")
 
 
+def _holding(df: DataFrame, width: Column, parts: int) -> DataFrame:
+    """Rows of the buckets of ``width`` row ids that hold a rank to be picked; ``_off`` becomes the values before the bucket."""
+    by = ["table_id", "col_name", "_off"]
+    b = df.withColumn("_bkt", F.floor(F.col("first_row") / width))
+    before = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    counts = b.groupBy(*by, "_step", "_bkt").agg(F.count(F.lit(1)).alias("_bn"))
+    counts = counts.withColumn("_start", F.col("_off") + F.coalesce(F.sum("_bn").over(before), F.lit(0)))
+    rank = F.col("_start") + F.pmod(-F.col("_start"), F.col("_step"))  # the first to be picked from here on
+    hit = counts.filter((rank < F.col("_start") + F.col("_bn")) & (rank < F.col("_step") * F.lit(parts))).select(*by, "_bkt", "_start")
+    # at most ``parts`` for each column
+    return b.join(F.broadcast(hit), [*by, "_bkt"]).drop("_off", "_bkt").withColumnRenamed("_start", "_off")
+
+
+def evenly_spread(vc: DataFrame, parts: int, width: int = BUCKET_WIDTH) -> DataFrame:
+    """``parts`` values of each column, evenly spread over its values by ``first_row``; needs ``n_distinct``.
+
+    Only buckets that hold a picked rank are sorted: few wide buckets of the column's row ids are counted, then
+    buckets of ``width`` ids within those that are hit.
+    """
+    columns = ["table_id", "col_name"]
+    span = vc.groupBy(*columns).agg(((F.max("first_row").cast("double") - F.min("first_row").cast("double")) / F.lit(WIDE_BUCKETS)).alias("_wide"))
+    step = F.greatest(F.lit(1), F.floor(F.col("n_distinct") / F.lit(parts)))
+    df = vc.join(F.broadcast(span), columns).withColumn("_step", step).withColumn("_off", F.lit(0).cast("long"))
+    wide = F.greatest(F.floor("_wide") + 1, F.lit(width))
+    near = _holding(_holding(df, wide, parts), F.lit(width), parts)
+    ties = [c for c in ("value", "short", "digest") if c in vc.columns]
+    w = Window.partitionBy(*columns, "_off").orderBy("first_row", *ties)
+    rank = F.col("_off") + F.row_number().over(w) - 1
+    ranked = near.withColumn("_rank", rank)
+    return ranked.filter((F.pmod("_rank", F.col("_step")) == 0) & (F.col("_rank") < F.col("_step") * F.lit(parts))).select(*vc.columns)
+
+
 def _hash_fraction(hash_fn: str):
     """Uniform fraction of a value: md5 (SQL-checkable) or exact golden-ratio murmur3 (seed 42)."""
     if hash_fn == "murmur3":

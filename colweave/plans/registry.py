@@ -106,7 +106,7 @@ def _sample_query(mode):
         from ..session import cut_lineage
 
         raw = _cells(spark, sf, SAMPLE_TABLES, clean=False)
-        counts = cut_lineage(digests.value_digests(raw, clean=True, seed=42))  # read by several sampler branches
+        counts = cut_lineage(digests.table_digests(load_catalog(spark, sf, SAMPLE_TABLES), clean=True, seed=42))  # read by several sampler branches
         s = digests.samples(counts, raw, n=10, mode=mode, clean=True)
         return s.select("table_id", "col_name", F.array_join("samples", " | ").alias("samples"))
 

@@ -173,35 +173,74 @@ def columns_relation(spark: SparkSession, tables: list[Table]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def _table_cells(t: Table, clean: bool) -> DataFrame:
+def _fields(t: Table) -> tuple[DataFrame, list[tuple[int, T.StructField]]]:
+    """The rows of a table with ``__row_id`` and unique names, and its columns by position."""
     src = t.df.select(t.row_id().alias("__row_id"), *[F.col(f"`{c}`") for c in (t.value_cols or t.df.columns)])
-    names = unique_names(src.columns[1:])
-    df = src.toDF("__row_id", *names)
-    fields = df.schema.fields[1:]
+    df = src.toDF("__row_id", *unique_names(src.columns[1:]))
+    return df, list(enumerate(df.schema.fields[1:]))
+
+
+def _native(t: Table, f: T.StructField) -> str | None:
+    """Type in which a column's values are counted before they are made text; None: text, nested or without row ids."""
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    if isinstance(f.dataType, whole):
+        kind = "bigint"
+    elif isinstance(f.dataType, (T.FloatType, T.DoubleType, T.DecimalType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        kind = f.dataType.simpleString()
+    else:
+        return None
+    return kind if t.order_key else None
+
+
+def _table_cells(t: Table, clean: bool, native: bool = True) -> DataFrame | None:
+    df, fields = _fields(t)
+    fields = [(i, f) for i, f in fields if native or not _native(t, f)]
+    if not fields:
+        return None
     exprs = []
-    for f in fields:
+    for _, f in fields:
         v = cell_text(f.name, f.dataType)
         if clean and kind_of(f.dataType) == TEXT:
             v = clean_text(v)
         exprs.append(v.alias(f.name))
     wide = df.select(F.col("__row_id").alias("row_id"), *exprs)
-    long = wide.unpivot(["row_id"], [f"`{n}`" for n in names], "col_name", "value")
-    pos_map = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
-    kind_map = F.create_map(*[x for f in fields for x in (F.lit(f.name), F.lit(kind_of(f.dataType)))])
-    return long.select(
-        F.lit(t.table_id).alias("table_id"),
-        "row_id",
-        "col_name",
-        pos_map[F.col("col_name")].cast("int").alias("col_pos"),
-        kind_map[F.col("col_name")].alias("kind"),
-        "value",
-    )
+    # not ``unpivot``: the code that Spark generates for what follows its Expand may not compile where expressions repeat,
+    # and the stage is interpreted
+    each = [F.struct(F.lit(f.name).alias("col_name"), F.lit(i).alias("col_pos"), F.lit(kind_of(f.dataType)).alias("kind"), F.col(f"`{f.name}`").alias("value"))
+            for i, f in fields]
+    return wide.select(F.lit(t.table_id).alias("table_id"), "row_id", F.inline(F.array(*each)))
+
 
+def native_counts(tables: list[Table]) -> DataFrame | None:
+    """``(table_id, row_id, col_name, col_pos, kind, value, cnt)`` of the columns that are not text: counted as numbers,
+    dates or booleans, made text once for each different value; ``row_id`` is the first row. None without such columns.
 
-def cells(tables: list[Table], clean: bool = True) -> DataFrame:
-    """``cells(table_id, row_id, col_name, col_pos, kind, value)``; text cells cleaned when ``clean``."""
-    parts = [_table_cells(t, clean) for t in tables]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    Two values may have one text, so counts are to be added up by it.
+    """
+    parts = []
+    for t in tables:
+        df, fields = _fields(t)
+        for dt in dict.fromkeys(_native(t, f) for _, f in fields if _native(t, f)):
+            own = [(i, f) for i, f in fields if _native(t, f) == dt]
+            each = F.array(*[F.struct(F.lit(i).alias("col_pos"), F.col(f"`{f.name}`").cast(dt).alias("v")) for i, f in own])
+            rows = df.select(F.col("__row_id").alias("row_id"), F.inline(each))
+            # keys of groups have no negative zero, so it is told apart
+            minus = (F.col("v") == 0) & F.col("v").cast("string").startswith("-") if dt in ("float", "double") else F.lit(False)
+            counts = rows.groupBy("col_pos", "v", F.coalesce(minus, F.lit(False)).alias("minus")).agg(F.count(F.lit(1)).alias("cnt"), F.min("row_id").alias("row_id"))
+            name = F.create_map(*[x for i, f in own for x in (F.lit(i), F.lit(f.name))])
+            text = F.when(F.col("minus"), F.lit("-0.0")).otherwise(cell_text("v", rows.schema["v"].dataType))
+            parts.append(counts.select(F.lit(t.table_id).alias("table_id"), "row_id", name[F.col("col_pos")].alias("col_name"), "col_pos",
+                                       F.lit(kind_of(own[0][1].dataType)).alias("kind"), text.alias("value"), "cnt"))
+    return reduce(lambda a, b: a.unionByName(b), parts) if parts else None
+
+
+def cells(tables: list[Table], clean: bool = True, native: bool = True) -> DataFrame | None:
+    """``cells(table_id, row_id, col_name, col_pos, kind, value)``; text cells cleaned when ``clean``.
+
+    Without ``native`` only the cells of columns that ``native_counts`` leaves out; None if there are none.
+    """
+    parts = [c for c in (_table_cells(t, clean, native) for t in tables) if c is not None]
+    return reduce(lambda a, b: a.unionByName(b), parts) if parts else None
 
 
 def load_catalog(spark: SparkSession, sf_dir: str, names: list[str], columns: dict | None = None) -> list[Table]:
