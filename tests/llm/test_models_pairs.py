@@ -372,3 +372,16 @@ def test_lm_unseen_texts_together_and_alone():
     assert x.shape == wx.shape and any((c == lm.CAP).any() for c in capped)
     got, all_of = np.vstack([x, gate, y]), np.vstack([wx, wg, wy])
     assert np.array_equal(got[:, np.lexsort(got)], all_of[:, np.lexsort(all_of)])
+
+
+def test_lm_fit_goes_through_large_tasks_as_often_as_small_ones(corpus, monkeypatch):
+    """Before, a task with 1 MB of texts or more went through them once, a smaller one three times."""
+    model = small_model(corpus[:60])
+    texts = [b" ".join(corpus[:12])[:2000]] * 550
+    assert sum(map(len, texts)) > 1 << 20
+    passes = []
+    monkeypatch.setattr(model, "unseen", lambda texts, capped: passes.append(sum(map(len, texts))) or iter(()))
+    for some in (texts[:3], texts):
+        passes.clear()
+        model.learn_weights(some, [])
+        assert passes == [sum(map(len, some))] * 3
