@@ -385,3 +385,38 @@ def test_lm_fit_goes_through_large_tasks_as_often_as_small_ones(corpus, monkeypa
         passes.clear()
         model.learn_weights(some, [])
         assert passes == [sum(map(len, some))] * 3
+
+
+def test_lm_steps_on_the_jvm_are_those_in_numpy(llm_spark, monkeypatch):
+    """Weights, outcomes and scores of the JVM's steps against those of Mixer, for short, long, empty and null texts."""
+    monkeypatch.setattr(lm, "SEGMENT", 2 * lm.STRETCH)
+    monkeypatch.setattr(lm, "BATCH_BYTES", 2 * lm.STRETCH)
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{rng.integers(60)}" for _ in range(n)) for n in (900, 1, 6000, 40, 3000)] + ["ünï 日本 " * 50, "x" * 9000, ""]
+    raw = [t.encode() for t in texts]
+    signs = np.bincount(np.frombuffer(b"".join(raw), np.uint8), minlength=257)
+    signs[lm.END] = len(raw)
+    code = lm.prefix_code(signs)
+    bits = lm.Bits(raw, code, blocked=False)
+    counts = [np.bincount(s * 2 + bits.bit, minlength=2 << b).reshape(-1, 2) for s, (_, b) in zip(bits.slots(), lm.PREDICTORS)]
+    odds, capped = [lm.log_odds(c) for c in counts], [np.minimum(c, lm.CAP).astype(np.uint8) for c in counts]
+    assert max(map(len, raw)) > 2 * lm.SEGMENT and any((c == lm.CAP).any() for c in capped)
+    model, kind = lm.Mixer(code, odds), "k int, value double, n double"
+    start = model.weights.copy()
+    seen = model.learn_weights(raw, capped)
+    one, n = model.outcomes(raw, capped)
+    model.set_refinement(one, n)
+    df = llm_spark.createDataFrame([(t,) for t in [*texts, None]], "text string").coalesce(1)
+    found = []
+    for keep in (1 << 27, 200_000, 0):  # inputs of all texts, of some and of none are kept between rounds
+        monkeypatch.setattr(lm, "FIT_KEEP_BYTES", keep)
+        jvm = lm.engine(llm_spark, code)
+        jvm.share(odds, capped)
+        found.append(jvm.learned(df.filter("text is not null"), start, kind).orderBy("k").collect())
+    assert found[0] == found[1] == found[2] and {r["n"] for r in found[0]} == {seen}
+    assert np.allclose([r["value"] / seen for r in found[0]], model.weights.reshape(-1), atol=1e-4)
+    got = jvm.outcomes(df.filter("text is not null"), model.weights, kind).orderBy("k").collect()
+    assert np.array_equal([r["n"] for r in got], n) and np.array_equal([r["value"] for r in got], one)
+    scores = [r[0] for r in df.select(jvm.score(df.text, model.weights, model.refine)).collect()]
+    assert np.allclose(scores, model.score([*raw, b""]), rtol=1e-4)
+    assert jvm.learned(df.limit(0), start, kind).count() == jvm.outcomes(df.limit(0), start, kind).count() == 0
