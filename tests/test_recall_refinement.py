@@ -37,3 +37,28 @@ def test_nothing_to_find(spark):
     df = spark.createDataFrame([(i, [1.0, float(i)], i) for i in range(4)], "id long, vec array<double>, label long")
     assert recall_at_ground_truth(df).first()[0] == 0.0
     assert recall_at_ground_truth(df.limit(0)).first()[0] == 0.0
+
+
+def test_first_pass_counts_every_other_at_once(monkeypatch):
+    """Before, the first pass listed every pair; its counts must be those of the pairs taken one by one, ids that come twice and missing labels too."""
+    import pandas as pd
+
+    from colweave.operators import evaluate as ev
+
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(40, 3)), rng.normal(size=(700, 3))
+    x[:9] = y[:9]
+    S = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
+    left = pd.DataFrame({"id": np.arange(40), "label": rng.integers(0, 4, 40), "lo": -ev.SCALE - 1000, "hi": ev.SCALE + 1000, "id_lo": 0, "id_hi": 1000})
+    right = pd.DataFrame({"id": np.arange(700) % 500, "label": rng.integers(0, 4, 700).astype(float)})
+    right.loc[3:30, "label"] = np.nan
+    monkeypatch.setattr(ev, "CHUNK_CELLS", 5000)
+    with monkeypatch.context() as m:
+        m.setattr(ev, "_places", None)  # listed no more
+        got = ev._parts_kernel(256)(left, right, S)
+    # one row leaves an id out, so pairs are listed
+    want = ev._parts_kernel(256)(left.assign(id_lo=np.where(left.index == 1, 1, 0)), right, S)
+    same = got["id"] != 1
+    assert got[same].reset_index(drop=True).equals(want[want["id"] != 1].reset_index(drop=True))
+    others = (left["id"].to_numpy()[:, None] != right["id"].to_numpy()).sum()
+    assert got["cnt"].sum() == others and got["pos"].sum() == ((left["label"].to_numpy()[:, None] == right["label"].to_numpy()) & (left["id"].to_numpy()[:, None] != right["id"].to_numpy())).sum()
